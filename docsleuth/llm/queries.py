@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docsleuth.llm import bpe, decontam, licenses, quality, sharding, simhash, substring, warc
+from docsleuth.llm import bpe, decontam, html_extract, licenses, quality, sharding, simhash, substring, warc
 from docsleuth.llm.common import table
 
 
+def op1_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.main_text(table(spark, sf_dir, "pages"))
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), with_ids=False)
 
@@ -49,5 +53,5 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op2_bpe, op4_decontamination, op5_simhash, op6_sharding, op7_warc, op8_quality, op9_licenses, op10_substring_dedup)
+    found = (op1_html, op2_bpe, op4_decontamination, op5_simhash, op6_sharding, op7_warc, op8_quality, op9_licenses, op10_substring_dedup)
     return {f.__name__: f for f in found}
