@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docsleuth.llm import bpe, decontam, html_extract, licenses, quality, sharding, simhash, substring, warc
+from docsleuth.llm import bpe, decontam, html_extract, licenses, quality, sharding, simhash, substring, toxicity, warc
 from docsleuth.llm.common import table
 
 
@@ -19,6 +19,12 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), with_ids=False)
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    model = toxicity.fit(documents, table(spark, sf_dir, "labels"))
+    return toxicity.scored(documents, model).select("doc_id", "held_out", "score", "predicted")
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.digests(decontam.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
@@ -53,5 +59,5 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_html, op2_bpe, op4_decontamination, op5_simhash, op6_sharding, op7_warc, op8_quality, op9_licenses, op10_substring_dedup)
+    found = (op1_html, op2_bpe, op3_toxicity, op4_decontamination, op5_simhash, op6_sharding, op7_warc, op8_quality, op9_licenses, op10_substring_dedup)
     return {f.__name__: f for f in found}
