@@ -47,7 +47,7 @@ def signal(name: str, applies: Column, passed: Column, severity: Column | str, s
     severity = F.lit(severity) if isinstance(severity, str) else severity
     score = F.lit(score) if isinstance(score, int) else score
     pairs = [x for k, v in details.items() for x in (F.lit(k), v.cast("string"))]
-    found = F.map_filter(F.create_map(*pairs), lambda _, v: v.isNotNull()) if pairs else F.create_map().cast("map<string,string>")
+    found = F.create_map(*pairs) if pairs else F.create_map().cast("map<string,string>")
     made = F.struct(
         F.lit(name).alias("name"),
         F.when(passed, F.lit("info")).otherwise(severity).alias("severity"),
