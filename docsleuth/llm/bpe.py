@@ -15,6 +15,7 @@ import hashlib
 import json
 import re
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -22,9 +23,16 @@ from docsleuth.llm.common import map_texts
 
 #: The place of the default vocabulary on executors: the file's name in the installed package of public tokenizers.
 VOCABULARY = "word_bpe_49k.json"
-#: A worker's trie and word memo are dropped at these sizes, which bounds its memory whatever the input.
-MAX_NODES = 600_000
-MAX_WORDS = 400_000
+#: At these sizes a worker's trie and memo lose their long entries, which seldom recur, and if that isn't enough all: its memory is bounded whatever the input.
+MAX_NODES = 400_000
+MAX_WORDS = 300_000
+MAX_PAIRS = 500_000
+KEPT_LENGTH = 7
+
+
+def shrunk(memo: dict, most: int) -> dict:
+    kept = {k: v for k, v in memo.items() if len(k) <= KEPT_LENGTH}
+    return kept if len(kept) <= most // 2 else {}
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -91,7 +99,7 @@ class TrieEncoder:
             if size <= depth and (token := get(word[depth - size : depth] + end)) is not None:
                 key = (last[word[: depth - size]] + 1) << 20 | token
                 if (known := follows.get(key)) is None:
-                    if len(follows) > 2_000_000:
+                    if len(follows) > MAX_PAIRS:
                         follows.clear()
                     known = follows[key] = self.may_follow((key >> 20) - 1, token)
                 if known:
@@ -117,7 +125,7 @@ class TrieEncoder:
     def encode_words(self, words: set[str]) -> dict[str, list[int]]:
         """The ids of each distinct word; in sorted order, which walks the trie depth first."""
         if len(self.last) > MAX_NODES:
-            self.reset()
+            self.last = shrunk(self.last, MAX_NODES) or {"": -1}
         return {w: self.encode_word(w) for w in sorted(words)}
 
     def decode(self, ids: list[int]) -> str:
@@ -170,9 +178,9 @@ class TextEncoder:
         fresh = set(pieces).difference(self.ids)
         if fresh:
             if len(self.ids) > MAX_WORDS:
-                self.ids.clear()
-                self.decoded.clear()
-                fresh = set(pieces)
+                self.ids = shrunk(self.ids, MAX_WORDS)
+                self.decoded = {k: self.decoded[k] for k in self.ids}
+                fresh = set(pieces).difference(self.ids)
             self.learn(fresh)
         ids, decoded = " ".join(map(self.ids.__getitem__, pieces)), " ".join(map(self.decoded.__getitem__, pieces))
         if "" in fresh or "  " in ids or ids[:1] == " " or ids[-1:] == " ":  # pieces without a token
@@ -203,10 +211,11 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
                 joined, decoded = own.encode(t.decode("utf-8", "replace"))
                 n.append(joined.count(" ") + 1 if joined else 0)
                 if with_ids:
-                    ids.append([int(i) for i in joined.split()])
+                    ids.append(np.fromstring(joined, np.int32, sep=" "))
                 a.append(hashlib.sha256(joined.encode()).hexdigest())
                 b.append(hashlib.sha256(decoded.encode()).hexdigest())
-            return [pa.array(n, pa.int64()), *([pa.array(ids, pa.list_(pa.int32()))] if with_ids else []), pa.array(a, pa.string()), pa.array(b, pa.string())]
+            listed = [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, ids)]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int32), *ids])))] if with_ids else []
+            return [pa.array(n, pa.int64()), *listed, pa.array(a, pa.string()), pa.array(b, pa.string())]
 
         return work
 

@@ -42,6 +42,25 @@ def utf8(column: str) -> Column:
     return F.coalesce(F.col(column).cast("string").cast("binary"), F.lit(b""))
 
 
+def by_hash(df: DataFrame, id_col: str, rows: int) -> DataFrame:
+    """All rows if there are at most so many, else about as many, by a hash of the id: one count, then a filter.
+
+    The share is set from the count, so the result's size is bounded whatever the input's, up to chance (a
+    twentieth more is out of the question for a thousand rows or more) and to rows that share an id.
+    """
+    total = df.count()
+    if total <= rows:
+        return df
+    return df.where(F.pmod(F.xxhash64(id_col), F.lit(1 << 40)) < int(rows / total * (1 << 40)))
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of so many rows, so that what Python makes of a piece stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def map_texts(df: DataFrame, id_col: str, text_col: str, make: Callable[[], Callable[[list[bytes]], list[pa.Array]]], schema: str, names: list[str]) -> DataFrame:
     """One row per input row: its id, and the columns that make()'s function computes from a batch of texts, in UTF-8.
 
@@ -53,7 +72,7 @@ def map_texts(df: DataFrame, id_col: str, text_col: str, make: Callable[[], Call
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
-        for batch in batches:
+        for batch in slices(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), *work(batch.column(1).to_pylist())], names=["__id", *names])
 
     return inner.mapInArrow(run, f"__id {id_type}, {schema}").withColumnRenamed("__id", id_col)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docsleuth.llm.common import utf8
+from docsleuth.llm.common import slices, utf8
 from docsleuth.llm.suffix_automaton import SuffixAutomaton, runs, words
 
 WINDOW = 13
@@ -93,7 +93,7 @@ def matches(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = [b.value for b in shared]
-        for batch in batches:
+        for batch in slices(batches):
             n, hit, items, spans = [], [], [], []
             for t in batch.column(1).to_pylist():
                 text, names = words(t), set()

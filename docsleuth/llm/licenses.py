@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docsleuth.llm.common import utf8
+from docsleuth.llm.common import slices, utf8
 from docsleuth.llm.suffix_automaton import SuffixAutomaton, runs, words
 
 # Phrases with their labels, and the public wording of licence notices.
@@ -126,7 +126,7 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrases:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = shared.value
         place = [("start", pa.int64()), ("end", pa.int64()), ("label", pa.string())]
-        for batch in batches:
+        for batch in slices(batches):
             n, found, spans = [], [], []
             for t in batch.column(1).to_pylist():
                 text = words(t)

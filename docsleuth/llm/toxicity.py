@@ -8,7 +8,7 @@ every document, forward and backward passes give each word's marginal probabilit
 value, sum and density, fitted on the same training documents, gives the document's score. Words with a marginal
 of at least one half are joined into the offending spans.
 
-Training takes at most PER_CLASS documents of each class, chosen by a hash of their ids, and of documents that
+Training takes about PER_CLASS documents of each class, chosen by a hash of their ids, and of documents that
 share their least shingle hash (near copies) only one. Scoring covers every document, whole. Null and empty texts
 have no words and get the model's base score; without labels of both classes every score is the share of toxic
 labels, or 0.
@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docsleuth.llm.common import utf8, written
+from docsleuth.llm.common import by_hash, slices, utf8, written
 
 PER_CLASS = 4000
 BEGINNINGS = (4, 5, 6)
@@ -176,11 +176,11 @@ def fit_document(x: np.ndarray, y: np.ndarray, rounds: int = 40) -> np.ndarray:
 
 
 def training_rows(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = PER_CLASS) -> DataFrame:
-    """y, text of at most per_class documents of each class, without near copies; written once, as three passes follow."""
+    """y, text of about per_class documents of each class, without near copies; written once, as three passes follow."""
     own = labels.where(F.col(label_col).isNotNull() & ~held_out(id_col)).select(F.col(id_col).alias("id"), (F.col(label_col) != 0).cast("int").alias("y"))
     chosen = None
-    for y in (0, 1):  # labels are narrow; the sort keeps per_class rows a task
-        part = own.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(per_class)
+    for y in (0, 1):
+        part = by_hash(own.where(F.col("y") == y), "id", per_class)
         chosen = part if chosen is None else chosen.union(part)
     texts = documents.select(F.col(id_col).alias("id"), utf8(text_col).alias("text"))
     found = texts.join(F.broadcast(chosen), "id").select("id", "y", "text")  # 2 x per_class rows of two numbers
@@ -252,13 +252,13 @@ def marks(df: DataFrame, model: Model, keep: str | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         known: dict[str, float] = {}
-        for batch in batches:
+        for batch in slices(batches):
             texts = [t.decode("utf-8", "replace") for t in batch.column(1).to_pylist()]
             sequences = []
             for t in texts:
                 words = _WORD.findall(t)
                 if fresh := set(words).difference(known):
-                    if len(known) > 500_000:
+                    if len(known) > 200_000:
                         known.clear()
                         fresh = set(words)
                     known.update((w, own.emission(w)) for w in fresh)
