@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docsleuth.functions import fixed
@@ -351,9 +351,24 @@ def register_pack(doc_type: str, pack: Callable[[], list[Rule]]) -> None:
 MORTGAGE_TYPES = ["mortgage", "mortgage_payslip", "mortgage_bank_statement", "employment_letter", "form16", "utility_bill", "gift_letter", "property_agreement", "payslip", "bank_statement"]
 
 
+_BUILT: dict[tuple, Column] = {}
+
+
+def built_once(name: str, make: Callable[[], Column]) -> Column:
+    """A pack's expression, kept for the life of the JVM: building hundreds of nodes from Python takes longer than planning them."""
+    key = (name, id(SparkSession.active()._jvm), tuple(_USER_PACKS.items()))
+    if key not in _BUILT:
+        _BUILT[key] = make()
+    return _BUILT[key]
+
+
 def domain_signals(as_of: Column | None = None) -> Column:
     """The rules of each row's type; types without a pack get none."""
     as_of = F.current_date() if as_of is None else as_of
+    return built_once(f"domain {as_of}", lambda: _domain_signals(as_of))
+
+
+def _domain_signals(as_of: Column) -> Column:
     t = F.col("doc_type")
     out = None
     packs: dict[str, Column] = {k: fired(p()) for k, p in _USER_PACKS.items()}
@@ -367,7 +382,7 @@ def domain_signals(as_of: Column | None = None) -> Column:
 def assess(df: DataFrame, as_of: Column | None = None, with_image: bool = False) -> DataFrame:
     """Signals, risk_score, truth_score, risk_level, verdict for summaries with the columns named in this module."""
     named = F.transform(domain_signals(as_of), lambda s: s.withField("name", F.concat(F.lit("domain::"), s["name"])))
-    df = with_numbers(df).withColumn("__core", fired(core())).withColumn("__domain", named)
+    df = with_numbers(df).withColumn("__core", built_once("core", lambda: fired(core()))).withColumn("__domain", named)
     parts = [F.col("__core"), F.col("__domain"), *([fired(image())] if with_image else [])]
     return scored(df.withColumn("signals", F.concat(*parts)).drop("__core", "__domain", NUMBERS))
 
