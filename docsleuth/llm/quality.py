@@ -27,6 +27,8 @@ MIN_WORDS = 50
 REPEAT_PERCENT = 50
 ROUNDS = 50
 FIRST_ACCURACY, FIRST_PRIOR = 0.85, 0.8
+#: Bounds that keep rules with few or one-sided votes from being argued away: every vote counts, and bad texts are never taken to be rare.
+LEAST_ACCURACY, MOST_GOOD = 0.8, 0.9
 
 
 def repeated_words(words: Column, n: Column) -> Column:
@@ -110,12 +112,12 @@ def fit(patterns: list[tuple[tuple[int | None, ...], int]], rounds: int = ROUNDS
     prior, accuracy = FIRST_PRIOR, [FIRST_ACCURACY] * (len(patterns[0][0]) if patterns else 0)
     for _ in range(rounds * bool(total)):
         post = [posterior(p, prior, accuracy) for p, _ in patterns]
-        prior = min(0.99, max(0.5, sum(q * n for q, (_, n) in zip(post, patterns, strict=True)) / total))
-        for i in range(len(accuracy)):
+        prior = min(MOST_GOOD, max(0.5, sum(q * n for q, (_, n) in zip(post, patterns, strict=True)) / total))
+        for i in range(len(accuracy)):  # maximisation, rule by rule
             seen = [(q if p[i] else 1 - q, n) for q, (p, n) in zip(post, patterns, strict=True) if p[i] is not None]
             # a few votes of the first guess, for rules that hardly ever vote
             right = (sum(q * n for q, n in seen) + 10 * FIRST_ACCURACY) / (sum(n for _, n in seen) + 10)
-            accuracy[i] = min(0.99, max(0.6, right))
+            accuracy[i] = min(0.99, max(LEAST_ACCURACY, right))
     return prior, accuracy
 
 
@@ -136,6 +138,7 @@ def scored(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules=
     cast = F.struct(*[F.coalesce(v.cast("int"), F.lit(-1)).alias(k) for k, v in votes.items()])
     counted = figures.groupBy(cast.alias("p")).count().collect()
     prior, accuracy = fit(sorted(((tuple(None if x < 0 else x for x in r["p"]), r["count"]) for r in counted), key=str), rounds)
+    accuracy = accuracy or [FIRST_ACCURACY] * len(votes)  # no rows
     odds = F.lit(math.log(prior / (1 - prior)))
     for a, v in zip(accuracy, votes.values(), strict=True):
         odds = odds + F.coalesce((2 * v - 1) * math.log(a / (1 - a)), F.lit(0.0))

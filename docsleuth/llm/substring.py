@@ -16,6 +16,7 @@ the marks to the texts.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,6 +32,9 @@ WORDS_PER_CHUNK = 5
 SPARSE = 256
 MIN_WORDS = 25
 _GEAR = np.array([xxhash.xxh64_intdigest(bytes([b]), 7) & 0xFFFF for b in range(256)], np.uint16)
+_NEXT = re.compile(rb"[ \t\n\r\x0b\x0c]")
+#: Bytes to look for the end of a word that a chunk's end cuts.
+NEAR = 40
 _SPACE = np.isin(np.arange(256), list(b" \t\n\r\x0b\x0c"))
 
 
@@ -83,6 +87,15 @@ def duplicates(parts: DataFrame) -> DataFrame:
     return parts.join(first, "digest").where(F.col("id") > F.col("first")).groupBy("id").agg(F.collect_set("digest").alias("marks"))
 
 
+def whole_words(text: bytes, a: int, b: int) -> tuple[int, int]:
+    """The span a to b without parts of words at its ends; where no white space is near, as in scripts without, it stays."""
+    if a and not text[a - 1 : a].isspace() and (m := _NEXT.search(text, a, min(b, a + NEAR))):
+        a = m.end()
+    if b < len(text) and not text[b - 1 : b].isspace():
+        b = max((m.end() for m in _NEXT.finditer(text, max(a, b - NEAR), b)), default=b)
+    return a, b
+
+
 def cut(text: bytes, marks: set[int], min_words: int, words_per_chunk: int) -> tuple[bytes, int, int, int]:
     """The text without its long duplicate runs; numbers of chunks, of duplicate ones, of words removed."""
     at = cuts(text, words_per_chunk)
@@ -91,6 +104,7 @@ def cut(text: bytes, marks: set[int], min_words: int, words_per_chunk: int) -> t
     edges = np.flatnonzero(np.diff(np.concatenate(([0], flags, [0]))))
     kept, last, removed = [], 0, 0
     for a, b in zip(at[edges[::2]].tolist(), at[edges[1::2]].tolist(), strict=True):
+        a, b = whole_words(text, a, b)
         words = len(text[a:b].split())
         if words >= min_words:
             kept.append(text[last:a])
