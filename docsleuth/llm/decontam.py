@@ -4,8 +4,9 @@ A window is 13 consecutive words of an item, or a whole shorter item. Where the
 word has 13 words or more, the windows that end there occur; where it has a shorter item as its end, that
 item's window does. All words inside an occurrence are hit.
 
-Items are broadcast in blocks of at most BLOCK_WORDS words, each block an automaton of bounded size; documents
-are read once for each block, and blocks after the first only exist for benchmarks beyond that size.
+Items are broadcast in blocks of at most BLOCK_WORDS words, each block an automaton of bounded size. A pass over the
+documents takes PASS_BLOCKS blocks at most; a larger benchmark takes more passes, each adding to what the one before
+has written, so no worker ever holds more than one pass's automata.
 
 Null and empty documents have no words, no hits and are not contaminated; items without words have no window.
 Repeated items each count, repeated documents give repeated rows. An item's null id counts as the text "null".
@@ -20,11 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docsleuth.llm.common import slices, utf8
+from docsleuth.llm.common import slices, utf8, written
 from docsleuth.llm.suffix_automaton import SuffixAutomaton, runs, words
 
 WINDOW = 13
-BLOCK_WORDS = 200_000
+BLOCK_WORDS = 50_000
+PASS_BLOCKS = 4
 #: A document is contaminated if this share of its words, in percent, is hit.
 COVERAGE_PERCENT = 5
 
@@ -50,6 +52,7 @@ class Matcher:
             if here or above:
                 self.short[s] = here + above
         self.least = min((min(window, len(w)) for _, w in split), default=window)
+        self.auto.own = []  # built upon, not needed any more
 
     def spans(self, text: list[bytes]) -> tuple[np.ndarray, set[int]]:
         """A mark for each word that is hit, and the items with an occurring window."""
@@ -86,31 +89,46 @@ def blocks(benchmark: DataFrame, item_col: str, text_col: str, block_words: int)
 
 def matches(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """id, n_words, n_hit, items (array of item ids as text, sorted), spans (array of hit word spans, start and end): one row per input row."""
-    spark = df.sparkSession
-    inner = df.select(F.col(id_col).alias("__id"), utf8(text_col).alias("__text"))
-    parts = list(blocks(benchmark, item_col, item_text_col, block_words))
-    shared = [spark.sparkContext.broadcast(Matcher(p, window)) for p in parts]  # each bounded by block_words
+    state = df.select(F.col(id_col).alias("__id"), utf8(text_col).alias("__text"))
+    group: list[list[tuple[str, bytes]]] = []
+    for block in blocks(benchmark, item_col, item_text_col, block_words):
+        if len(group) == PASS_BLOCKS:
+            state = written(_pass(state, group, window, True))
+            group = []
+        group.append(block)
+    return _pass(state, group, window, False).withColumnRenamed("__id", id_col)
+
+
+_SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+
+
+def _pass(state: DataFrame, group: list[list[tuple[str, bytes]]], window: int, more: bool) -> DataFrame:
+    """One pass over the documents; spans and items of an earlier pass, if there was one, are added to. The texts go on if more follow."""
+    shared = [state.sparkSession.sparkContext.broadcast(Matcher(p, window)) for p in group]  # each of block_words at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = [b.value for b in shared]
         for batch in slices(batches):
+            before = list(zip(*(batch.column(k).to_pylist() for k in (4, 5)), strict=True)) if batch.num_columns > 2 else [([], [])] * batch.num_rows
             n, hit, items, spans = [], [], [], []
-            for t in batch.column(1).to_pylist():
-                text, names = words(t), set()
+            for t, (old_items, old_spans) in zip(batch.column(1).to_pylist(), before, strict=True):
+                text, names = words(t), list(old_items)
                 marks = np.zeros(len(text), bool)
+                for x in old_spans:
+                    marks[x["start"] : x["end"]] = True
                 for m in own:
                     here, found = m.spans(text)
                     marks |= here
-                    names |= {(k, m.names[k]) for k in found} if len(own) == 1 else {(id(m), k, m.names[k]) for k in found}
+                    names += [m.names[k] for k in found]
                 edges = np.flatnonzero(np.diff(np.concatenate(([0], marks.astype(np.int8), [0]))))
                 n.append(len(text))
                 hit.append(int(marks.sum()))
-                items.append(sorted(x[-1] for x in names))
+                items.append(sorted(names))
                 spans.append([{"start": a, "end": b} for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(hit, pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))], names=["__id", "n_words", "n_hit", "items", "spans"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: 1 + more], pa.array(n, pa.int64()), pa.array(hit, pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array(spans, _SPANS)], names=["__id", *more * ["__text"], "n_words", "n_hit", "items", "spans"])
 
-    schema = f"__id {inner.schema['__id'].dataType.simpleString()}, n_words bigint, n_hit bigint, items array<string>, spans array<struct<start: bigint, end: bigint>>"
-    return inner.mapInArrow(run, schema).withColumnRenamed("__id", id_col)
+    schema = f"__id {state.schema['__id'].dataType.simpleString()}, {'__text binary, ' * more}n_words bigint, n_hit bigint, items array<string>, spans array<struct<start: bigint, end: bigint>>"
+    return state.mapInArrow(run, schema)
 
 
 def contaminated(found: DataFrame, percent: int = COVERAGE_PERCENT):

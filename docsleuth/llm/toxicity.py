@@ -178,6 +178,7 @@ def fit_document(x: np.ndarray, y: np.ndarray, rounds: int = 40) -> np.ndarray:
 def training_rows(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = PER_CLASS) -> DataFrame:
     """y, text of about per_class documents of each class, without near copies; written once, as three passes follow."""
     own = labels.where(F.col(label_col).isNotNull() & ~held_out(id_col)).select(F.col(id_col).alias("id"), (F.col(label_col) != 0).cast("int").alias("y"))
+    own = own.where(F.col("id").isNotNull()).groupBy("id").agg(F.max("y").alias("y"))  # an id counts once, however often it is labelled
     chosen = None
     for y in (0, 1):
         part = by_hash(own.where(F.col("y") == y), "id", per_class)
