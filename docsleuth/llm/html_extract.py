@@ -25,9 +25,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docsleuth.llm.common import utf8
+from docsleuth.llm.common import by_hash, slices, utf8
 
-#: Labelled pages that the weights are learned from, at most; chosen by a hash of their ids.
+#: Labelled pages that the weights are learned from, about; chosen by a hash of their ids.
 LABELLED_PAGES = 2000
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.DOTALL)
@@ -129,7 +129,9 @@ def count(page: str) -> Counter:
     return out
 
 
-DEFAULT = {"w": 1.0, "link": -1.0, "-": -1.0, "t": -0.5, "t article": -8.0, "t /article": -8.0, "t main": -8.0, "t /main": -8.0}
+#: A tag's cost within a content element.
+INSIDE = -1e-4
+DEFAULT = {"w": 1.0, "link": -1.0, "-": -1.0, "t": -0.1, "t article": -8.0, "t /article": -8.0, "t main": -8.0, "t /main": -8.0}
 
 
 def weights(counts: dict[tuple[str, bool], int]) -> dict[str, float]:
@@ -154,6 +156,8 @@ def extract(page: str, w: dict[str, float]) -> str:
             if weight is None:
                 weight = w["-"] if sided and not inside else w["w"] if sided or not at.endswith(" a") else w["link"]
             found.append((weight * len(value.split()), kind, value))
+        elif sided and inside:  # between words of one content element tags hardly count, so no short block is lost
+            found.append((INSIDE, kind, value))
         elif kind == "tag":
             found.append((w.get("t " + value, w["t"]), kind, value))
         else:
@@ -181,9 +185,10 @@ def extract(page: str, w: dict[str, float]) -> str:
 
 
 def learned(df: DataFrame, id_col: str = "page_id", html_col: str = "html", pages: int = LABELLED_PAGES) -> dict[str, float]:
-    """Weights from at most so many labelled pages; the counts are summed by Spark, a row for each feature reaches the driver."""
+    """Weights from about so many labelled pages; the counts are summed by Spark, a row for each feature reaches the driver."""
     content = F.col(html_col).cast("string")
-    sample = df.where(content.rlike("(?i)<(article|main)[ >]")).select(content.cast("binary").alias("h"), F.xxhash64(F.col(id_col)).alias("k")).orderBy("k").limit(pages).select("h")
+    labelled = df.where(content.rlike("(?i)<(article|main)[ >]"))
+    sample = by_hash(labelled, id_col, pages).select(content.cast("binary").alias("h"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: Counter = Counter()
@@ -203,7 +208,7 @@ def main_text(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html
     inner = df.select(F.col(id_col).alias("__id"), F.col(url_col).alias("__url"), utf8(html_col).alias("__html"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts = [extract(h.decode("utf-8", "replace"), own) for h in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["__id", "__url", "text", "n_chars"])
 
