@@ -398,7 +398,8 @@ def scored(df: DataFrame) -> DataFrame:
 
 def rule_rollup(df: DataFrame) -> DataFrame:
     """How often each rule fired and failed."""
-    one = df.select(F.explode("signals").alias("s"))
+    # an inner explode would also filter on the array's size, which evaluates every rule a second time
+    one = df.select(F.explode_outer("signals").alias("s")).where("s is not null")
     return one.groupBy(F.col("s.name").alias("name")).agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("s.passed")).alias("failed"), F.sum("s.score").alias("total_score"))
 
 
