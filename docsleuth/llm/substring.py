@@ -1,22 +1,22 @@
-"""Substring deduplication by content-defined chunks.
+"""Substring deduplication by winnowed seeds that are extended word by word.
 
-A gear hash rolls over the bytes; a chunk ends after white space where the hash of the last 16 bytes is small.
-So boundaries depend on nearby content only, and an insertion moves no boundary further away than that. A chunk
-is duplicate if a document with a smaller id has one with the same digest. Runs of neighbouring duplicate chunks
-of at least MIN_WORDS words are cut out; single chunks that recur by chance stay.
+Of the 13-word windows in each 25 neighbouring words the one with the least digest is a seed, so texts that share 25 words
+in a row share a seed there. A seed is repeated if a document with a smaller id has it too. Repeated seeds tile a
+passage but for its ends; those are extended word by word against the first document that has the outer seed.
+Runs of at least MIN_WORDS words are cut out. White space doesn't count; in scripts without spaces a character is a unit
+and half a word.
 
 The first document, by id, keeps a passage. Repeats inside one document are its own matter and stay. Documents
 with a null id neither lose nor claim passages. Null texts stay null, empty ones empty; repeated rows get the
-same result. Digests have 64 bits: a passage is only cut where several neighbouring digests recur.
+same result. Digests have 64 bits.
 
-Shuffles carry digests and ids, never chunks' text: one to find the digests that several documents have
-(combined before the shuffle, so a chunk in every document is one row a task), one to mark them, one to bring
-the marks to the texts.
+Shuffles carry digests and ids: one to find the digests that several documents have (combined before the shuffle, so
+a seed in every document is one row a task), one to mark them. Texts are shuffled twice: to look up the words around
+outer seeds, and to meet the marks.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,17 +25,26 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docsleuth.llm.common import utf8, written
+from docsleuth.llm.common import slices, utf8, written
 
 #: One white space in so many ends a chunk; one other character in SPARSE does, for scripts without spaces.
 WORDS_PER_CHUNK = 5
 SPARSE = 256
 MIN_WORDS = 25
 _GEAR = np.array([xxhash.xxh64_intdigest(bytes([b]), 7) & 0xFFFF for b in range(256)], np.uint16)
-_NEXT = re.compile(rb"[ \t\n\r\x0b\x0c]")
-#: Bytes to look for the end of a word that a chunk's end cuts.
-NEAR = 40
 _SPACE = np.isin(np.arange(256), list(b" \t\n\r\x0b\x0c"))
+#: For hashes of words: a value of each byte, an odd factor of each place.
+_BYTES = np.array([xxhash.xxh64_intdigest(bytes([b]), 11) for b in range(256)], np.uint64)
+_PLACES = np.array([xxhash.xxh64_intdigest(b"%d" % i, 13) | 1 for i in range(1024)], np.uint64)
+#: The first two UTF-8 bytes of characters in scripts without spaces: Thai to Myanmar, Khmer, Han and kana to Yi, full width.
+_WIDE = np.zeros(65536, bool)
+for _a, _b in ((0xE0B8, 0xE0BF), (0xE180, 0xE182), (0xE19E, 0xE19F), (0xE2BA, 0xE9BF), (0xEA80, 0xEA93), (0xEFA4, 0xEFAB), (0xEFBC, 0xEFBE), (0xF0A0, 0xF0BF)):
+    _WIDE[_a : _b + 1] = True
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    return h ^ (h >> np.uint64(29))
 
 
 def cuts(text: bytes, words_per_chunk: int = WORDS_PER_CHUNK) -> np.ndarray:
@@ -61,79 +70,186 @@ def digests(text: bytes, at: np.ndarray) -> list[int]:
     return [xxhash.xxh3_64_intdigest(text[a:b]) for a, b in zip(bounds, bounds[1:], strict=False)]
 
 
-def _signed(values: list[int]) -> np.ndarray:
-    return np.array(values, np.uint64).view(np.int64)
+def units(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each unit its first byte, a hash without white space, and twice the words it counts for.
+
+    A unit is a word between ASCII white space; a character of a script without spaces is one too, and counts half a word.
+    """
+    raw = np.frombuffer(text, np.uint8)
+    space = _SPACE[raw]
+    begins = ~space
+    begins[1:] &= space[:-1]
+    wide = None
+    if len(raw) > 2 and raw.max() >= 0xE0:
+        wide = np.zeros(len(raw), bool)
+        wide[:-1] = _WIDE[raw[:-1].astype(np.uint16) << np.uint16(8) | raw[1:]]
+        if wide.any():
+            at = np.flatnonzero(wide)
+            after = at + np.where(raw[at] >= 0xF0, 4, 3)
+            after = after[after < len(raw)]
+            begins[at] = True
+            begins[after[~space[after]]] = True
+    starts = np.flatnonzero(begins)
+    if not len(starts):
+        return starts, np.zeros(0, np.uint64), starts
+    a = starts[0]
+    offset = np.arange(a, len(raw)) - starts[np.cumsum(begins[a:]) - 1]
+    values = _BYTES[raw[a:]] * _PLACES[offset & 1023]
+    values[space[a:]] = 0
+    weight = np.full(len(starts), 2) if wide is None else np.where(wide[starts], 1, 2)
+    return starts, _mixed(np.add.reduceat(values, starts - a)), weight
+
+
+def seeds(words: np.ndarray, min_words: int = MIN_WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """First units and digests of the chosen windows: of all windows in min_words neighbouring units the least digest.
+
+    So two texts that share min_words units in a row share a seed there. Seeds that follow each other overlap or touch.
+    """
+    size = min_words - min_words // 2
+    n = len(words) - min_words + 1
+    if n < 1:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    every = len(words) - size + 1
+    h = np.zeros(every, np.uint64)
+    for j in range(size):
+        h += words[j : j + every] * _PLACES[j]
+    h = _mixed(h)
+    at = np.arange(n) + np.lib.stride_tricks.sliding_window_view(h, min_words - size + 1).argmin(axis=1)
+    at = at[np.concatenate(([True], at[1:] != at[:-1]))]
+    return at, h[at].view(np.int64)
 
 
-def chunks(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_chunk: int = WORDS_PER_CHUNK) -> DataFrame:
-    """digest, id: a row for each chunk of each document with an id."""
+def chunks(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+    """digest, id, k: a row for the k-th seed of each document with an id; of neighbours with the same digest the first."""
     inner = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), utf8(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found, sizes = [], []
+        for batch in slices(batches):
+            found, sizes = [np.zeros(0, np.int64)], []
             for t in batch.column(1).to_pylist():
-                own = digests(t, cuts(t, words_per_chunk))
-                found += own
+                own = seeds(units(t)[1], min_words)[1]
+                own = own[np.concatenate(([True], own[1:] != own[:-1]))] if len(own) else own
+                found.append(own)
                 sizes.append(len(own))
-            yield pa.RecordBatch.from_arrays([pa.array(_signed(found)), batch.column(0).take(pa.array(np.repeat(np.arange(len(sizes)), sizes)))], names=["digest", "id"])
+            ordinals = [np.arange(n, dtype=np.int32) for n in sizes]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), batch.column(0).take(pa.array(np.repeat(np.arange(len(sizes)), sizes))), pa.array(np.concatenate([np.zeros(0, np.int32), *ordinals]))], names=["digest", "id", "k"])
 
-    return inner.mapInArrow(run, f"digest bigint, id {inner.schema['id'].dataType.simpleString()}")
+    return inner.mapInArrow(run, f"digest bigint, id {inner.schema['id'].dataType.simpleString()}, k int")
 
 
 def duplicates(parts: DataFrame) -> DataFrame:
-    """id, marks: for each document that has any, the digests of its chunks that a document with a smaller id has too."""
+    """id, marks: for each document that has any, its seeds that a document with a smaller id has too, with the first such."""
     first = parts.groupBy("digest").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("digest", "first")
-    return parts.join(first, "digest").where(F.col("id") > F.col("first")).groupBy("id").agg(F.collect_set("digest").alias("marks"))
+    return parts.join(first, "digest").where(F.col("id") > F.col("first")).groupBy("id").agg(F.collect_list(F.struct("k", "digest", "first")).alias("marks"))
+
+
+def borders(marks: DataFrame) -> DataFrame:
+    """id, digest, first: the marks whose neighbour to a side is no mark, or one of another first document."""
+    kind = marks.schema["id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            at, found, firsts = [], [], []
+            for i, own in enumerate(batch.column(1).to_pylist()):
+                by_k = {m["k"]: m["first"] for m in own}
+                asked = {(m["digest"], m["first"]) for m in own if by_k.get(m["k"] - 1) != m["first"] or by_k.get(m["k"] + 1) != m["first"]}
+                for d, f in sorted(asked):
+                    at.append(i)
+                    found.append(d)
+                    firsts.append(f)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(found, pa.int64()), pa.array(firsts, batch.schema.field(0).type)], names=["id", "digest", "first"])
+
+    return marks.mapInArrow(run, f"id {kind}, digest bigint, first {kind}")
+
+
+def contexts(df: DataFrame, asked: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
+    """digest, before, after: of each seed asked for the words around it in its first document, as 32 bits each, nearest first."""
+    wanted = asked.groupBy("first").agg(F.collect_set("digest").alias("digests"))
+    texts = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("first"), utf8(text_col).alias("text"))
+    size = min_words - min_words // 2
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            out: tuple[list, list, list] = ([], [], [])
+            for t, digests_ in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                words, open_ = units(t)[1], set(digests_)
+                low = words.astype(np.uint32).view(np.int32)
+                at, own = seeds(words, min_words)
+                for p, d in zip(at.tolist(), own.tolist(), strict=True):
+                    if d in open_:
+                        open_.discard(d)
+                        out[0].append(d)
+                        out[1].append(low[max(0, p - 2 * size) : p][::-1].tolist())
+                        out[2].append(low[p + size : p + 3 * size].tolist())
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), *(pa.array(x, pa.list_(pa.int32())) for x in out[1:])], names=["digest", "before", "after"])
+
+    found = texts.join(wanted, "first").select("text", "digests").mapInArrow(run, "digest bigint, before array<int>, after array<int>")
+    return found.groupBy("digest").agg(F.min(F.struct("before", "after")).alias("c")).select("digest", "c.*")  # an id may have several rows
 
 
-def whole_words(text: bytes, a: int, b: int) -> tuple[int, int]:
-    """The span a to b without parts of words at its ends; where no white space is near, as in scripts without, it stays."""
-    if a and not text[a - 1 : a].isspace() and (m := _NEXT.search(text, a, min(b, a + NEAR))):
-        a = m.end()
-    if b < len(text) and not text[b - 1 : b].isspace():
-        b = max((m.end() for m in _NEXT.finditer(text, max(a, b - NEAR), b)), default=b)
-    return a, b
+def agreeing(a: np.ndarray, b: np.ndarray) -> int:
+    """How many values the two have in common from their start."""
+    n = min(len(a), len(b))
+    other = np.flatnonzero(a[:n] != b[:n])
+    return int(other[0]) if len(other) else n
 
 
-def cut(text: bytes, marks: set[int], min_words: int, words_per_chunk: int) -> tuple[bytes, int, int, int]:
-    """The text without its long duplicate runs; numbers of chunks, of duplicate ones, of words removed."""
-    at = cuts(text, words_per_chunk)
-    own = _signed(digests(text, at)).tolist()
-    flags = np.fromiter((x in marks for x in own), np.int8, len(own))
-    edges = np.flatnonzero(np.diff(np.concatenate(([0], flags, [0]))))
+def cut(text: bytes, marks: set[int], around: dict[int, tuple[list[int], list[int]]], min_words: int = MIN_WORDS) -> tuple[bytes, int, int, int]:
+    """The text without its long repeated runs; numbers of seeds, of repeated ones, of words removed."""
+    if not text:
+        return text, 0, 0, 0
+    starts, words, weight = units(text)
+    at, own = seeds(words, min_words)
+    size = min_words - min_words // 2
+    low = words.astype(np.uint32).view(np.int32)
+    spans, n_marked = [], 0
+    for p, d in zip(at.tolist(), own.tolist(), strict=True):
+        if d in marks:
+            n_marked += 1
+            a, b = p, p + size
+            if d in around:
+                before, after = (np.array(x, np.int32) for x in around[d])
+                a, b = a - agreeing(low[max(0, a - 2 * size) : a][::-1], before), b + agreeing(low[b : b + 2 * size], after)
+            spans.append((a, b))
+    runs: list[list[int]] = []
+    for a, b in sorted(spans):
+        if runs and a <= runs[-1][1]:
+            runs[-1][1] = max(runs[-1][1], b)
+        else:
+            runs.append([a, b])
     kept, last, removed = [], 0, 0
-    for a, b in zip(at[edges[::2]].tolist(), at[edges[1::2]].tolist(), strict=True):
-        a, b = whole_words(text, a, b)
-        words = len(text[a:b].split())
-        if words >= min_words:
-            kept.append(text[last:a])
-            last = b
-            removed += words
-    return b"".join([*kept, text[last:]]), len(own), int(flags.sum()), removed
+    for a, b in runs:
+        twice = int(weight[a:b].sum())
+        if twice >= 2 * min_words:
+            kept.append(text[last : starts[a]])
+            last = int(starts[b]) if b < len(starts) else len(text)
+            removed += twice // 2
+    return b"".join([*kept, text[last:]]), len(at), n_marked, removed
 
 
-def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, words_per_chunk: int = WORDS_PER_CHUNK) -> DataFrame:
-    """df with passages cut out of its texts, and n_chunks, n_duplicate_chunks, n_removed_words: one row per input row.
+def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+    """df with passages cut out of its texts, and n_chunks, n_duplicate_chunks (seeds), n_removed_words: one row per input row.
 
     Columns of df that are called like the three new ones are replaced.
     """
     fresh = ["n_chunks", "n_duplicate_chunks", "n_removed_words"]
     df = df.drop(*(c for c in fresh if c not in (id_col, text_col)))
-    marks = duplicates(written(chunks(df, id_col, text_col, words_per_chunk))).withColumnRenamed("id", "__id")
-    joined = df.join(marks, F.col(id_col) == F.col("__id"), "left").drop("__id").withColumnRenamed("marks", "__marks")
+    marks = written(duplicates(written(chunks(df, id_col, text_col, min_words))))
+    asked = written(borders(marks))
+    around = asked.join(written(contexts(df, asked, id_col, text_col, min_words)), "digest").groupBy("id").agg(F.collect_list(F.struct("digest", "before", "after")).alias("__around"))
+    found = marks.select("id", F.col("marks.digest").alias("__marks")).join(around, "id", "left").withColumnRenamed("id", "__id")
+    joined = df.join(found, F.col(id_col) == F.col("__id"), "left").drop("__id")
     at, last = df.columns.index(text_col), len(df.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts, n, dup, gone = [], [], [], []
-            for t, m in zip(batch.column(at).to_pylist(), batch.column(last).to_pylist(), strict=True):
-                raw = (t or "").encode()
-                out, a, b, c = cut(raw, set(m or ()), min_words, words_per_chunk)
+            for t, m, c in zip(*(batch.column(i).to_pylist() for i in (at, last, last + 1)), strict=True):
+                out, x, y, z = cut((t or "").encode(), set(m or ()), {r["digest"]: (r["before"], r["after"]) for r in c or ()}, min_words)
                 texts.append(None if t is None else out.decode())
-                n.append(a)
-                dup.append(b)
-                gone.append(c)
+                n.append(x)
+                dup.append(y)
+                gone.append(z)
             columns = list(batch.columns[:last])
             columns[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays([*columns, *(pa.array(x, pa.int64()) for x in (n, dup, gone))], names=[*batch.schema.names[:last], *fresh])

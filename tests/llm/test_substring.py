@@ -33,3 +33,18 @@ def test_rows(docs, no_docs, rows):
     kept = {r["doc_id"]: r["text"] for r in found.collect()}
     assert kept[1] == rows[0][1] and len(kept[2]) < 60 and kept[5] is None and kept[6] == "" and kept[8] == "one" and kept[10] == rows[10][1] and kept[None] == "no id here at all"
     assert substring.deduplicated(no_docs).count() == 0
+
+
+def test_whole_passages_go(spark):
+    """Every passage of 25 words or more goes with its ends, whatever stands around it; so does text without spaces."""
+    texts, left = {}, {}
+    for i in range(120):
+        words = prose(1000 + i, 25 + i % 35)[:-1].replace("w", "p").split()
+        a, b, c, d = (" ".join(f"{x}{i}n{j}" for j in range(30)) for x in "abcd")
+        texts[2 * i], texts[2 * i + 1] = f"{a} {' '.join(words)} {b}", f"{c}\n{'  '.join(words)} {d}"
+        left[2 * i], left[2 * i + 1] = texts[2 * i], f"{c}\n{d}"
+    han = "".join(chr(0x4E00 + (i * i * 7 + i) % 5003) for i in range(120))
+    texts |= {900: "甲乙" + han + "丙", 901: "one " + han + "丁 two"}
+    left |= {900: texts[900], 901: "one 丁 two"}
+    found = {r["doc_id"]: r["text"] for r in substring.deduplicated(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert found == left
