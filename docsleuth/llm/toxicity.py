@@ -9,7 +9,8 @@ value, sum and density, fitted on the same training documents, gives the documen
 of at least one half are joined into the offending spans.
 
 Training takes about PER_CLASS documents of each class, chosen by a hash of their ids, and of documents that
-share their least shingle hash (near copies) only one. Scoring covers every document, whole. Null and empty texts
+share their least shingle hash (near copies) only one. Where a class is larger than that, its documents weigh the more in
+the field and the document model, so that both see the classes' ratio among all training labels. Scoring covers every document, whole. Null and empty texts
 have no words and get the model's base score; without labels of both classes every score is the share of toxic
 labels, or 0.
 """
@@ -106,9 +107,10 @@ def score_sequences(sequences: list[np.ndarray], transitions: np.ndarray) -> lis
     return out
 
 
-def fit_field(sequences: list[tuple[list[list[int]], list[int]]], n_features: int, rounds: int = ROUNDS) -> tuple[np.ndarray, float, np.ndarray]:
-    """Weights, bias and transitions that make the labels likeliest, with a quadratic penalty; sequences: each word's feature numbers, and labels."""
-    sequences = sorted((s for s in sequences if s[1]), key=lambda s: -len(s[1]))
+def fit_field(sequences: list[tuple[list[list[int]], list[int]]], n_features: int, rounds: int = ROUNDS, weight: list[float] | None = None) -> tuple[np.ndarray, float, np.ndarray]:
+    """Weights, bias and transitions that make the labels likeliest, with a quadratic penalty; sequences: each word's feature numbers, and labels; weight: of each sequence."""
+    pairs = sorted(((s, v) for s, v in zip(sequences, weight or [1.0] * len(sequences), strict=True) if s[1]), key=lambda x: -len(x[0][1]))
+    sequences, own = [s for s, _ in pairs], np.array([v for _, v in pairs])
     sizes = np.array([len(y) for _, y in sequences])
     steps, n = int(sizes[0]), len(sequences)
     mask = np.arange(steps)[:, None] < sizes
@@ -142,14 +144,14 @@ def fit_field(sequences: list[tuple[list[list[int]], list[int]]], n_features: in
         p = np.where(mask, 1 / (1 + np.exp(np.clip(total[..., 0] - total[..., 1], -60, 60))), 0.0)
         z = np.logaddexp(total[..., 0], total[..., 1])[:-1]
         gradient = np.zeros_like(params)
-        rest = labels - p
+        rest = (labels - p) * own
         np.add.at(gradient[:n_features], which, rest.ravel()[where])
         gradient[n_features] = rest.sum()
         for a in (0, 1):
             for b in (0, 1):
                 expected = np.exp(np.minimum(0, alpha[:-1, :, a] + trans[a, b] + e[1:, :, b] + beta[1:, :, b] - z))
                 seen = (labels[:-1] == a) & (labels[1:] == b) & both
-                gradient[n_features + 1 + 2 * a + b] = seen.sum() - expected[both].sum()
+                gradient[n_features + 1 + 2 * a + b] = (seen * own).sum() - (np.where(both, expected, 0.0) * own).sum()
         gradient -= 0.1 * params
         m, v = 0.9 * m + 0.1 * gradient, 0.99 * v + 0.01 * gradient**2
         params = params + 0.15 * (m / (1 - 0.9**r)) / (np.sqrt(v / (1 - 0.99**r)) + 1e-8)
@@ -164,24 +166,30 @@ def aggregates(p: np.ndarray) -> tuple[float, float, float]:
     return float(np.log(top / (1 - top))), float(np.log1p(p[p > 0.05].sum())), float(p[p > 0.05].sum() / len(p))
 
 
-def fit_document(x: np.ndarray, y: np.ndarray, rounds: int = 40) -> np.ndarray:
-    """Logistic regression by Newton's method with a small penalty."""
+def fit_document(x: np.ndarray, y: np.ndarray, rounds: int = 40, weight: np.ndarray | None = None) -> np.ndarray:
+    """Logistic regression by Newton's method with a small penalty; weight: of each row."""
+    v = np.ones(len(x)) if weight is None else weight
     x = np.column_stack((np.ones(len(x)), x))
     w = np.zeros(x.shape[1])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        hessian = (x * (p * (1 - p))[:, None]).T @ x + 0.05 * np.eye(len(w))
-        w = w + np.linalg.solve(hessian, x.T @ (y - p) - 0.05 * w)
+        hessian = (x * (v * p * (1 - p))[:, None]).T @ x + 0.05 * np.eye(len(w))
+        w = w + np.linalg.solve(hessian, x.T @ (v * (y - p)) - 0.05 * w)
     return w
 
 
-def training_rows(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = PER_CLASS) -> DataFrame:
-    """y, text of about per_class documents of each class, without near copies; written once, as three passes follow."""
+def training_rows(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = PER_CLASS) -> tuple[DataFrame, dict[int, float]]:
+    """y, text of about per_class documents of each class, without near copies, written once, as three passes follow; the classes' weights.
+
+    A class weighs its training labels over those chosen, so 1 if all are; the smaller weight is scaled to 1.
+    """
     own = labels.where(F.col(label_col).isNotNull() & ~held_out(id_col)).select(F.col(id_col).alias("id"), (F.col(label_col) != 0).cast("int").alias("y"))
     own = own.where(F.col("id").isNotNull()).groupBy("id").agg(F.max("y").alias("y"))  # an id counts once, however often it is labelled
-    chosen = None
+    chosen, weights = None, {}
     for y in (0, 1):
-        part = by_hash(own.where(F.col("y") == y), "id", per_class)
+        every = own.where(F.col("y") == y)
+        part = by_hash(every, "id", per_class)
+        weights[y] = every.count() / max(1, part.count()) or 1.0
         chosen = part if chosen is None else chosen.union(part)
     texts = documents.select(F.col(id_col).alias("id"), utf8(text_col).alias("text"))
     found = texts.join(F.broadcast(chosen), "id").select("id", "y", "text")  # 2 x per_class rows of two numbers
@@ -196,11 +204,12 @@ def training_rows(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id
 
     kind = documents.schema[id_col].dataType.simpleString()
     keyed = found.mapInArrow(key, f"id {kind}, y int, text binary, least bigint")
-    return written(keyed.groupBy("least").agg(F.min(F.struct("id", "y", "text")).alias("r")).select("r.y", "r.text"))
+    rows = written(keyed.groupBy("least").agg(F.min(F.struct("id", "y", "text")).alias("r")).select("r.y", "r.text"))
+    return rows, {y: v / min(weights.values()) for y, v in weights.items()}
 
 
 def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = PER_CLASS) -> Model:
-    rows = training_rows(documents, labels, id_col, text_col, label_col, per_class)
+    rows, weights = training_rows(documents, labels, id_col, text_col, label_col, per_class)
     sizes = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
     if len(sizes) < 2:
         share = float(sizes.get(1, 0) > 0)
@@ -224,24 +233,25 @@ def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, tags = [], []
+            ids, tags, ys = [], [], batch.column(0)
             for y, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 fs = [[numbers[f] for f in features(w) if f in numbers] for w in _WORD.findall(t.decode("utf-8", "replace"))]
                 hit = next((i for i, x in enumerate(fs) if x), len(fs) // 2)
                 cut = slice(max(0, hit - WINDOW // 2), hit + WINDOW // 2)
                 ids.append(fs[cut])
                 tags.append([int(bool(y and x)) for x in fs[cut]])
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.list_(pa.list_(pa.int32()))), pa.array(tags, pa.list_(pa.int32()))], names=["ids", "tags"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.list_(pa.list_(pa.int32()))), pa.array(tags, pa.list_(pa.int32())), ys], names=["ids", "tags", "y"])
 
-    sequences = [(r["ids"], r["tags"]) for r in rows.mapInArrow(windows, "ids array<array<int>>, tags array<int>").collect()]
-    sequences.sort(key=str)  # the order of rows is no one's choice
+    found = [(r["ids"], r["tags"], r["y"]) for r in rows.mapInArrow(windows, "ids array<array<int>>, tags array<int>, y int").collect()]
+    found.sort(key=str)  # the order of rows is no one's choice
+    sequences = [x[:2] for x in found]
     model = Model()
     if telling and any(any(y) for _, y in sequences):
-        w, model.bias, model.transitions = fit_field(sequences, len(telling))
+        w, model.bias, model.transitions = fit_field(sequences, len(telling), weight=[weights[y] for *_, y in found])
         model.weights = dict(zip(telling, w.tolist(), strict=True))
     found = marks(rows.select(F.lit(0).alias("id"), "text", "y"), model, keep="y").collect()
     found = np.array(sorted((r["top"], r["mass"], r["density"], r["y"]) for r in found))
-    model.document = fit_document(found[:, :3], found[:, 3])
+    model.document = fit_document(found[:, :3], found[:, 3], weight=np.where(found[:, 3] == 1, weights[1], weights[0]))
     return model
 
 

@@ -56,3 +56,19 @@ def test_without_labels(docs, no_docs, spark):
     model = toxicity.fit(docs, labels)
     assert toxicity.scored(docs, model).where(F.col("predicted") == 1).count() == 0
     assert toxicity.scored(docs, model).count() == docs.count() and toxicity.scored(no_docs, model).count() == 0
+
+
+def test_scores_keep_the_prior_when_classes_are_sampled(spark):
+    """With fewer documents a class than labels, the mean score stays the share of toxic labels."""
+    rng = np.random.default_rng(3)
+    rows = []
+    for i in range(2400):
+        bad = i % 8 == 0
+        words = ["".join(chr(ord("a") + int(c)) if c.isdigit() else c for c in w) for w in prose(i, 30).split()]
+        if rng.random() < (0.7 if bad else 0.1):
+            words[5:5] = ["nastywort"]
+        rows.append((i, " ".join(words), int(bad)))
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels, per_class=200)
+    assert abs(toxicity.scored(docs, model).agg(F.avg("score")).first()[0] - 0.125) < 0.05
