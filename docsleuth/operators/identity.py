@@ -45,6 +45,23 @@ def embedding_links(df: DataFrame, id_col: str = "vec_id", vector: str = "embedd
     return a.join(b, "block").where((F.col("a") < F.col("b")) & (score >= least)).select("block", "a", "b", F.round(score, 4).alias("score"))
 
 
+def embedding_search(df: DataFrame, wanted: Column, id_col: str = "vec_id", vector: str = "embedding", least: float = MATCH, block: int = 4096) -> DataFrame:
+    """J12 as a search: query, match, score of the wanted rows against all others whose cosine reaches the threshold.
+
+    The wanted rows are dealt to blocks of about so many by a hash of the id; each is broadcast to a pass over all rows.
+    """
+    queries = df.where(wanted).select(F.col(id_col).alias("query"), F.col(vector).alias("vq"))
+    rows = df.select(F.col(id_col).alias("match"), F.col(vector).alias("vm"))
+    score = X.dot(F.col("vq"), F.col("vm"))
+    n = max(1, -(-queries.count() // block))
+    out = None
+    for k in range(n):
+        part = queries.where(F.pmod(F.xxhash64("query"), F.lit(n)) == k)
+        hit = rows.join(F.broadcast(part), (F.col("query") != F.col("match")) & (score >= least)).select("query", "match", F.round(score, 4).alias("score"))
+        out = hit if out is None else out.union(hit)
+    return out
+
+
 def kyc_verdict(check_type: Column, matched: Column, live: Column) -> Column:
     """L10."""
     both, one = matched & live, matched | live

@@ -396,6 +396,12 @@ def embedding_links(spark: SparkSession, d: str) -> DataFrame:
     return identity.embedding_links(V.table(spark, d, "embeddings")).select(*_long("block"), "a", "b")
 
 
+@query("SELECT a.vec_id AS query, b.vec_id AS match FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0 AND list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.40")
+def embedding_search(spark: SparkSession, d: str) -> DataFrame:
+    """J12 over all labels: every vec_id divisible by 100 against all rows."""
+    return identity.embedding_search(V.table(spark, d, "embeddings"), F.col("vec_id") % 100 == 0).select("query", "match")
+
+
 @query("SELECT c_custkey, s_suppkey, CAST(len(list_intersect(x, y)) AS BIGINT) AS shared FROM (SELECT c_custkey, c_nationkey, list_distinct(string_split(lower(c_mktsegment || ' nation ' || c_nationkey), ' ')) AS x FROM customer) JOIN (SELECT s_suppkey, s_nationkey, list_distinct(string_split(lower('supplier nation ' || s_nationkey), ' ')) AS y FROM supplier) ON c_nationkey = s_nationkey WHERE len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y))) >= 0.5")
 def name_matches(spark: SparkSession, d: str) -> DataFrame:
     c = V.table(spark, d, "customer").select("c_custkey", "c_nationkey", F.concat_ws(" ", F.col("c_mktsegment"), F.lit("nation"), F.col("c_nationkey").cast("string")).alias("x"))

@@ -101,6 +101,13 @@ def test_identity(spark):
     assert check(identity.face_match(vec(0.39), vec(1.0)))["display"] == 59.3
 
 
+def test_search_crosses_labels(spark):
+    df = spark.createDataFrame([(0, [1.0, 0.0], 1), (1, [0.6, 0.8], 2), (2, [0.0, 1.0], 1), (100, [0.8, 0.6], 3)], "vec_id long, embedding array<float>, label int")
+    for block in (1, 4096):
+        found = identity.embedding_search(df, F.col("vec_id") % 100 == 0, block=block).collect()
+        assert sorted((r["query"], r["match"], r["score"]) for r in found) == [(0, 1, 0.6), (0, 100, 0.8), (100, 0, 0.8), (100, 1, 0.96), (100, 2, 0.6)]
+
+
 def test_resolution(spark):
     schema = "first_name string, last_name string, pan string, aadhaar string"
     registry = spark.createDataFrame([("BT-000001", "A", "B", "P1", None), ("BT-000002", "C", "D", None, "X2")], f"entity_ref string, {schema}")
