@@ -19,10 +19,13 @@ def rank_name(rank: Column) -> Column:
     return F.element_at(F.array(F.lit("low"), F.lit("medium"), F.lit("high")), rank + 1)
 
 
-def grouped(reports: DataFrame, key: str = "case_key", evidence: int = 1000) -> DataFrame:
-    """Worst risk, lowest truth score, latest time, number of documents, and the newest documents first."""
+def grouped(reports: DataFrame, key: str = "case_key") -> DataFrame:
+    """Worst risk, lowest truth score, latest time, number of documents, and all documents, the newest first.
+
+    A case is one row with its documents, so a task holds those of its largest case.
+    """
     docs = F.sort_array(F.collect_list(F.struct("generated_at", "doc_id")), asc=False)
-    return reports.groupBy(F.col(key).alias("case_key")).agg(F.max(risk_rank(F.col("risk_level"))).alias("risk_rank"), F.least(F.lit(100), F.min("truth_score")).alias("min_truth_score"), F.max("generated_at").alias("latest"), F.count(F.lit(1)).alias("n_documents"), F.slice(docs, 1, evidence).alias("documents"))
+    return reports.groupBy(F.col(key).alias("case_key")).agg(F.max(risk_rank(F.col("risk_level"))).alias("risk_rank"), F.least(F.lit(100), F.min("truth_score")).alias("min_truth_score"), F.max("generated_at").alias("latest"), F.count(F.lit(1)).alias("n_documents"), docs.alias("documents"))
 
 
 def folded(events: DataFrame, key: str = "case_key", time: str = "ts", columns: list[str] | None = None) -> DataFrame:

@@ -147,3 +147,9 @@ def test_bundle_and_verdict(spark):
 def test_ledger_plan_filters_before_join(spark):
     rows = spark.createDataFrame([(1, datetime.date(2026, 1, 1), 1, 500000, 0), (1, datetime.date(2026, 1, 1), 2, 0, 500000)], "account long, txn_date date, txn_no int, debit long, credit long")
     assert ledger.round_trips(rows).first()["delta"] == 0
+
+
+def test_large_case_keeps_all_documents(spark):
+    reports = spark.range(1500).select(F.lit("c").alias("case_key"), F.col("id").alias("doc_id"), F.lit("low").alias("risk_level"), F.lit(50).alias("truth_score"), F.format_string("%06d", "id").alias("generated_at"))
+    case = cases.grouped(reports).first()
+    assert [x["doc_id"] for x in case["documents"]] == list(range(1499, -1, -1)) and case["n_documents"] == 1500
