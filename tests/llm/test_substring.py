@@ -48,3 +48,11 @@ def test_whole_passages_go(spark):
     left |= {900: texts[900], 901: "one 丁 two"}
     found = {r["doc_id"]: r["text"] for r in substring.deduplicated(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
     assert found == left
+
+
+def test_runs_follow_long_seeds(spark):
+    """A word 300 times stays where an earlier document has it eight times; so do four repeats of ten words from several documents."""
+    parts = [" ".join(f"s{i}n{j}" for j in range(10)) for i in range(4)]
+    texts = [(i, f"{p} " + " ".join(f"x{i}n{j}" for j in range(30))) for i, p in enumerate(parts)] + [(7, " ".join(parts)), (8, "one two " + "bar " * 8 + "end"), (9, "bar " * 300)]
+    found = {r["doc_id"]: r["text"] for r in substring.deduplicated(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert found == dict(texts)
