@@ -10,7 +10,7 @@ def shared_clusters(df: DataFrame, node: str, attributes: list[str], rounds: int
     """Node, cluster (the least node reachable over shared attribute values), by passing minima along values.
 
     A round is two aggregations, so a value that very many nodes share costs one row a task. Rounds stop at the
-    first that changes nothing; lineage is cut by checkpoints in the folder that the session names.
+    first that changes nothing, and it is an error if none does; lineage is cut by checkpoints in the folder that the session names.
     """
     values = [F.struct(F.lit(a).alias("k"), F.col(a).cast("string").alias("v")) for a in attributes]
     edges = df.select(F.col(node).alias("node"), F.explode(F.array(*values)).alias("e")).where("e.v is not null and e.v != ''").select("node", "e.k", "e.v").distinct().checkpoint()
@@ -22,8 +22,8 @@ def shared_clusters(df: DataFrame, node: str, attributes: list[str], rounds: int
         changed = after.where("new != cluster").limit(1).count()
         now = after.select("node", F.col("new").alias("cluster"))
         if not changed:
-            break
-    return now
+            return now
+    raise RuntimeError(f"no fixed point after {rounds} rounds")
 
 
 def near_templates(df: DataFrame, id_col: str, bits: str, radius: int = 3) -> DataFrame:

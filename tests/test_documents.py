@@ -1,9 +1,10 @@
 import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
 from docsleuth.functions import fixed
-from docsleuth.operators import cases, entities, extract, identity, ledger, reconcile, reports, rules, series
+from docsleuth.operators import cases, clusters, entities, extract, identity, ledger, reconcile, reports, rules, series
 
 SLIP = """NeoZoom Technologies Pvt Ltd
 Payslip for the month of January 2026
@@ -153,3 +154,11 @@ def test_large_case_keeps_all_documents(spark):
     reports = spark.range(1500).select(F.lit("c").alias("case_key"), F.col("id").alias("doc_id"), F.lit("low").alias("risk_level"), F.lit(50).alias("truth_score"), F.format_string("%06d", "id").alias("generated_at"))
     case = cases.grouped(reports).first()
     assert [x["doc_id"] for x in case["documents"]] == list(range(1499, -1, -1)) and case["n_documents"] == 1500
+
+
+def test_long_chain_is_no_silent_split(spark):
+    """Minima that haven't passed along the whole chain are an error."""
+    chain = spark.range(9).select(F.col("id").alias("node"), F.expr("id div 2").alias("a"), F.expr("(id + 1) div 2").alias("b"))
+    assert {r["cluster"] for r in clusters.shared_clusters(chain, "node", ["a", "b"]).collect()} == {0}
+    with pytest.raises(RuntimeError):
+        clusters.shared_clusters(chain, "node", ["a", "b"], rounds=2)
