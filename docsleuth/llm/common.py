@@ -6,24 +6,25 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bytes of a value that may be broadcast; callers with larger values work in blocks of this size.
-BROADCAST_BYTES = 64 << 20
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder that driver and executors share: below spark.checkpoint.dir, or, where that is unset (tests), below a local one."""
+    """A new folder that driver and executors share: below spark.checkpoint.dir, or, where that is unset and Spark is local (tests), below a local one."""
     context = spark.sparkContext
     base = context.getConf().get("spark.checkpoint.dir", None)
     if not base:
         if not context._jsc.sc().getCheckpointDir().isDefined():
+            if not context.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
             context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-", dir="/tmp"))
         base = context._jsc.sc().getCheckpointDir().get()
     return f"{base.rstrip('/')}/docsleuth-{uuid.uuid4().hex}"
@@ -54,11 +55,33 @@ def by_hash(df: DataFrame, id_col: str, rows: int) -> DataFrame:
     return df.where(F.pmod(F.xxhash64(id_col), F.lit(1 << 40)) < int(rows / total * (1 << 40)))
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
-    """The batches in pieces of so many rows, so that what Python makes of a piece stays small."""
+#: What a slice of a batch may hold, unless it is a single row.
+SLICE_ROWS, SLICE_BYTES = 1000, 8 << 20
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of at most so many rows, and bytes of texts, so that what Python makes of a piece stays small."""
     for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+        if not batch.num_rows:
+            continue
+        total = np.zeros(batch.num_rows, np.int64)
+        for c in batch.columns:
+            if pa.types.is_string(c.type) or pa.types.is_binary(c.type) or pa.types.is_large_string(c.type) or pa.types.is_large_binary(c.type):
+                total += pc.fill_null(pc.binary_length(c), 0).to_numpy(zero_copy_only=False)
+        total = np.cumsum(total)
+        at, before = 0, 0
+        while at < batch.num_rows:
+            stop = min(at + rows, max(at + 1, int(np.searchsorted(total, before + size, side="right"))))
+            yield batch.slice(at, stop - at)
+            at, before = stop, int(total[min(stop, batch.num_rows) - 1])
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """A column name like the given one that df does not have, whatever the case of its letters."""
+    taken = {c.lower() for c in df.columns}
+    while (name := f"_{name}").lower() in taken:
+        pass
+    return name
 
 
 def map_texts(df: DataFrame, id_col: str, text_col: str, make: Callable[[], Callable[[list[bytes]], list[pa.Array]]], schema: str, names: list[str]) -> DataFrame:

@@ -1,18 +1,19 @@
-"""Substring deduplication by winnowed seeds that are extended word by word.
+"""Substring deduplication by content-defined chunks.
 
-Of the 13-word windows in each 25 neighbouring words the one with the least digest is a seed, so texts that share 25 words
-in a row share a seed there. A seed is repeated if a document with a smaller id has it too. Repeated seeds tile a
-passage but for its ends; those are extended word by word against the first document that has the outer seed.
-Runs of at least MIN_WORDS words are cut out. White space doesn't count; in scripts without spaces a character is a unit
-and half a word.
+A gear rolling hash over a text's characters other than white space cuts it into chunks at word ends, so an insertion moves
+only the cuts beside it. A chunk and those after it, until LEAST_WORDS words are full, have one digest; the next such group
+starts with the next chunk. A group is repeated if a document with a smaller id has it too. Groups that follow each other
+both here and in the first document that has them make one run; a run's two ends are extended word by word against that
+document. Runs of at least MIN_WORDS words are cut out, so every word that goes lies in a run that stands word for word
+in one earlier document. White space doesn't count; in scripts without spaces a character is a word's half.
 
 The first document, by id, keeps a passage. Repeats inside one document are its own matter and stay. Documents
 with a null id neither lose nor claim passages. Null texts stay null, empty ones empty; repeated rows get the
-same result. Digests have 64 bits.
+same result. Digests have 64 bits. Columns of any other name are carried along, internal names give way to them.
 
 Shuffles carry digests and ids: one to find the digests that several documents have (combined before the shuffle, so
-a seed in every document is one row a task), one to mark them. Texts are shuffled twice: to look up the words around
-outer seeds, and to meet the marks.
+a group in every document is one row a task), one to mark them. Texts are shuffled twice: to look up the words around
+the ends of runs, and to meet the marks.
 """
 
 from __future__ import annotations
@@ -24,13 +25,19 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from docsleuth.llm.common import slices, utf8, written
+from docsleuth.llm.common import slices, unused, utf8, written
 
-#: One white space in so many ends a chunk; one other character in SPARSE does, for scripts without spaces.
+#: One word end in so many ends a chunk; no chunk is longer than MOST_WORDS, which only matters where hardly a hash differs.
 WORDS_PER_CHUNK = 5
-SPARSE = 256
-MIN_WORDS = 25
+MOST_WORDS = 64
+#: Chunks have a digest together with those after them until so many words are full.
+LEAST_WORDS = 8
+#: The shortest run that is cut: passages of over 50 words, less the words at their ends that touch other text.
+MIN_WORDS = 48
+#: How far a run's ends are extended; a passage begins further away from its first chunk once in ten thousand times.
+REACH = 48
 _GEAR = np.array([xxhash.xxh64_intdigest(bytes([b]), 7) & 0xFFFF for b in range(256)], np.uint16)
 _SPACE = np.isin(np.arange(256), list(b" \t\n\r\x0b\x0c"))
 #: For hashes of words: a value of each byte, an odd factor of each place.
@@ -47,29 +54,6 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def cuts(text: bytes, words_per_chunk: int = WORDS_PER_CHUNK) -> np.ndarray:
-    """Where chunks start and end: from 0 to len(text), always between characters."""
-    raw = np.frombuffer(text, np.uint8)
-    n = len(raw)
-    if not n:
-        return np.zeros(1, np.int64)
-    h = _GEAR[raw]
-    for step in (1, 2, 4, 8):  # doubles the window: 16 bytes of 16-bit sums
-        more = h.copy()
-        more[step:] += h[:-step] << np.uint16(step)
-        h = more
-    space = _SPACE[raw]
-    follows = np.ones(n, bool)
-    follows[:-1] = (raw[1:] & 0xC0) != 0x80
-    ends = np.flatnonzero((space & (h < 65536 // words_per_chunk)) | (~space & follows & (h < 65536 // SPARSE))) + 1
-    return np.concatenate(([0], ends[ends < n], [n]))
-
-
-def digests(text: bytes, at: np.ndarray) -> list[int]:
-    bounds = at.tolist()
-    return [xxhash.xxh3_64_intdigest(text[a:b]) for a, b in zip(bounds, bounds[1:], strict=False)]
-
-
 def units(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of each unit its first byte, a hash without white space, and twice the words it counts for.
 
@@ -100,59 +84,84 @@ def units(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return starts, _mixed(np.add.reduceat(values, starts - a)), weight
 
 
-def seeds(words: np.ndarray, min_words: int = MIN_WORDS) -> tuple[np.ndarray, np.ndarray]:
-    """First units and digests of the chosen windows: of all windows in min_words neighbouring units the least digest.
+def boundaries(text: bytes, starts: np.ndarray, words_per_chunk: int = WORDS_PER_CHUNK, most: int = MOST_WORDS) -> np.ndarray:
+    """Numbers of the units that begin a chunk, from 0, and the number of units: cuts of a gear hash over 16 bytes that aren't white space."""
+    raw = np.frombuffer(text, np.uint8)
+    own = np.flatnonzero(~_SPACE[raw])
+    h = _GEAR[raw[own]]
+    for step in (1, 2, 4, 8):  # doubles the window: 16 bytes of 16-bit sums
+        more = h.copy()
+        more[step:] += h[:-step] << np.uint16(step)
+        h = more
+    last = np.append(np.searchsorted(own, starts[1:]), len(own)) - 1
+    at = np.concatenate(([0], np.flatnonzero(h[last] < 65536 // words_per_chunk) + 1, [len(starts)]))
+    gaps = np.diff(at)
+    if (gaps > most).any():
+        at = np.concatenate([at, *(np.arange(at[k] + most, at[k + 1], most) for k in np.flatnonzero(gaps > most))])
+    return np.unique(at)
+
 
-    So two texts that share min_words units in a row share a seed there. Seeds that follow each other overlap or touch.
-    """
-    size = min_words - min_words // 2
-    n = len(words) - min_words + 1
-    if n < 1:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    every = len(words) - size + 1
-    h = np.zeros(every, np.uint64)
-    for j in range(size):
-        h += words[j : j + every] * _PLACES[j]
-    h = _mixed(h)
-    at = np.arange(n) + np.lib.stride_tricks.sliding_window_view(h, min_words - size + 1).argmin(axis=1)
-    at = at[np.concatenate(([True], at[1:] != at[:-1]))]
-    return at, h[at].view(np.int64)
-
-
-def chunks(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """digest, id, k: a row for the k-th seed of each document with an id; of neighbours with the same digest the first."""
+def groups(text: bytes, least: int = LEAST_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """units(), then of each group of chunks its first unit, the unit after its last one, and its digest."""
+    starts, words, weight = units(text)
+    none = np.zeros(0, np.int64)
+    if not len(starts):
+        return starts, words, weight, none, none, none
+    at = boundaries(text, starts)
+    full = np.searchsorted(at, at[:-1] + least)
+    a = np.flatnonzero(full < len(at))
+    ends = at[full[a]]
+    a = at[a]
+    # a digest is a sum over the units, each mixed with its place in the group
+    sizes = ends - a
+    place = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    values = words[np.repeat(a, sizes) + place] * _PLACES[place & 1023]
+    h = _mixed(np.add.reduceat(values, np.cumsum(sizes) - sizes)) if len(a) else np.zeros(0, np.uint64)
+    return starts, words, weight, a, ends, h.view(np.int64)
+
+
+def first_of_each(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each value stands first, in order, and whether it stands again."""
+    _, at, n = np.unique(h, return_index=True, return_counts=True)
+    order = np.argsort(at)
+    return at[order], n[order] > 1
+
+
+def chunks(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST_WORDS) -> DataFrame:
+    """digest, id, k, again: a row for each digest of a document with an id; k: the number of the group where it stands first; again: whether it stands more than once."""
     inner = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), utf8(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            found, sizes = [np.zeros(0, np.int64)], []
+            found, ordinals, more = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], [np.zeros(0, bool)]
             for t in batch.column(1).to_pylist():
-                own = seeds(units(t)[1], min_words)[1]
-                own = own[np.concatenate(([True], own[1:] != own[:-1]))] if len(own) else own
-                found.append(own)
-                sizes.append(len(own))
-            ordinals = [np.arange(n, dtype=np.int32) for n in sizes]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), batch.column(0).take(pa.array(np.repeat(np.arange(len(sizes)), sizes))), pa.array(np.concatenate([np.zeros(0, np.int32), *ordinals]))], names=["digest", "id", "k"])
+                own = groups(t, least)[5]
+                at, again = first_of_each(own)
+                more.append(again)
+                found.append(own[at])
+                ordinals.append(at.astype(np.int32))
+            sizes = [len(x) for x in found[1:]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), batch.column(0).take(pa.array(np.repeat(np.arange(len(sizes)), sizes))), pa.array(np.concatenate(ordinals)), pa.array(np.concatenate(more))], names=["digest", "id", "k", "again"])
 
-    return inner.mapInArrow(run, f"digest bigint, id {inner.schema['id'].dataType.simpleString()}, k int")
+    return inner.mapInArrow(run, f"digest bigint, id {inner.schema['id'].dataType.simpleString()}, k int, again boolean")
 
 
 def duplicates(parts: DataFrame) -> DataFrame:
-    """id, marks: for each document that has any, its seeds that a document with a smaller id has too, with the first such."""
-    first = parts.groupBy("digest").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("digest", "first")
-    return parts.join(first, "digest").where(F.col("id") > F.col("first")).groupBy("id").agg(F.collect_list(F.struct("k", "digest", "first")).alias("marks"))
+    """id, marks: for each document that has any, its digests that a document with a smaller id has too: k, digest, the first such document, the number there, and again."""
+    first = parts.groupBy("digest").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.min_by("k", "id").alias("at")).where("first < last").select("digest", "first", "at")
+    return parts.join(first, "digest").where(F.col("id") > F.col("first")).groupBy("id").agg(F.collect_list(F.struct("k", "digest", "first", "at", "again")).alias("marks"))
 
 
 def borders(marks: DataFrame) -> DataFrame:
-    """id, digest, first: the marks whose neighbour to a side is no mark, or one of another first document."""
+    """id, digest, first: the marks that don't continue to a side by one of the same first document that follows there too, and those that stand again elsewhere."""
     kind = marks.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             at, found, firsts = [], [], []
             for i, own in enumerate(batch.column(1).to_pylist()):
-                by_k = {m["k"]: m["first"] for m in own}
-                asked = {(m["digest"], m["first"]) for m in own if by_k.get(m["k"] - 1) != m["first"] or by_k.get(m["k"] + 1) != m["first"]}
+                by_k = {m["k"]: (m["first"], m["at"]) for m in own}
+                asked = {(m["digest"], m["first"]) for m in own for d in (-1, 1) if m["again"] or by_k.get(m["k"] + d) != (m["first"], m["at"] + d)}
                 for d, f in sorted(asked):
                     at.append(i)
                     found.append(d)
@@ -162,25 +171,22 @@ def borders(marks: DataFrame) -> DataFrame:
     return marks.mapInArrow(run, f"id {kind}, digest bigint, first {kind}")
 
 
-def contexts(df: DataFrame, asked: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
-    """digest, before, after: of each seed asked for the words around it in its first document, as 32 bits each, nearest first."""
+def contexts(df: DataFrame, asked: DataFrame, id_col: str, text_col: str, least: int, reach: int = REACH) -> DataFrame:
+    """digest, before, after: of each group asked for the words around it in its first document, as 32 bits each, nearest first."""
     wanted = asked.groupBy("first").agg(F.collect_set("digest").alias("digests"))
     texts = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("first"), utf8(text_col).alias("text"))
-    size = min_words - min_words // 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             out: tuple[list, list, list] = ([], [], [])
-            for t, digests_ in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words, open_ = units(t)[1], set(digests_)
-                low = words.astype(np.uint32).view(np.int32)
-                at, own = seeds(words, min_words)
-                for p, d in zip(at.tolist(), own.tolist(), strict=True):
-                    if d in open_:
-                        open_.discard(d)
+            for t, digests in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                _, words, _, begins, ends, own = groups(t, least)
+                low, wanted_here = words.astype(np.uint32).view(np.int32), set(digests)
+                for k in first_of_each(own)[0].tolist():
+                    if (d := int(own[k])) in wanted_here:
                         out[0].append(d)
-                        out[1].append(low[max(0, p - 2 * size) : p][::-1].tolist())
-                        out[2].append(low[p + size : p + 3 * size].tolist())
+                        out[1].append(low[max(0, begins[k] - reach) : begins[k]][::-1].tolist())
+                        out[2].append(low[ends[k] : ends[k] + reach].tolist())
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), *(pa.array(x, pa.list_(pa.int32())) for x in out[1:])], names=["digest", "before", "after"])
 
     found = texts.join(wanted, "first").select("text", "digests").mapInArrow(run, "digest bigint, before array<int>, after array<int>")
@@ -194,58 +200,71 @@ def agreeing(a: np.ndarray, b: np.ndarray) -> int:
     return int(other[0]) if len(other) else n
 
 
-def cut(text: bytes, marks: set[int], around: dict[int, tuple[list[int], list[int]]], min_words: int = MIN_WORDS) -> tuple[bytes, int, int, int]:
-    """The text without its long repeated runs; numbers of seeds, of repeated ones, of words removed."""
+def repeated(begins: np.ndarray, ends: np.ndarray, own: np.ndarray, low: np.ndarray, marks: dict[int, tuple], around: dict[int, tuple[list[int], list[int]]], reach: int = REACH) -> tuple[list[tuple[int, int]], int]:
+    """Runs of units that one earlier document has word for word, and the number of marked groups."""
+    runs, n_marked = [], 0
+    chain: list[int] = []  # the numbers of the groups of a run
+
+    def close() -> None:
+        if chain:
+            a, b = int(begins[chain[0]]), int(ends[chain[-1]])
+            if (c := around.get(int(own[chain[0]]))) is not None:
+                a -= agreeing(low[max(0, a - reach) : a][::-1], np.array(c[0], np.int32))
+            if (c := around.get(int(own[chain[-1]]))) is not None:
+                b += agreeing(low[b : b + reach], np.array(c[1], np.int32))
+            runs.append((a, b))
+            chain.clear()
+
+    before = None
+    for k, d in enumerate(own.tolist()):
+        mark = marks.get(d)
+        if mark is None or before is None or mark != (before[0], before[1] + 1):
+            close()
+        if mark is not None:
+            n_marked += 1
+            chain.append(k)
+        before = mark
+    close()
+    return runs, n_marked
+
+
+def cut(text: bytes, marks: dict[int, tuple], around: dict[int, tuple[list[int], list[int]]], min_words: int = MIN_WORDS, least: int = LEAST_WORDS) -> tuple[bytes, int, int, int]:
+    """The text without its long repeated runs; numbers of groups, of repeated ones, of words removed."""
     if not text:
         return text, 0, 0, 0
-    starts, words, weight = units(text)
-    at, own = seeds(words, min_words)
-    size = min_words - min_words // 2
-    low = words.astype(np.uint32).view(np.int32)
-    spans, n_marked = [], 0
-    for p, d in zip(at.tolist(), own.tolist(), strict=True):
-        if d in marks:
-            n_marked += 1
-            a, b = p, p + size
-            if d in around:
-                before, after = (np.array(x, np.int32) for x in around[d])
-                a, b = a - agreeing(low[max(0, a - 2 * size) : a][::-1], before), b + agreeing(low[b : b + 2 * size], after)
-            spans.append((a, b))
-    runs: list[list[int]] = []
-    for a, b in sorted(spans):
-        if runs and a <= runs[-1][1]:
-            runs[-1][1] = max(runs[-1][1], b)
-        else:
-            runs.append([a, b])
-    kept, last, removed = [], 0, 0
-    for a, b in runs:
-        twice = int(weight[a:b].sum())
-        if twice >= 2 * min_words:
-            kept.append(text[last : starts[a]])
+    starts, words, weight, begins, ends, own = groups(text, least)
+    runs, n_marked = repeated(begins, ends, own, words.astype(np.uint32).view(np.int32), marks, around) if marks else ([], 0)
+    total = np.concatenate(([0], np.cumsum(weight)))
+    kept, last, removed, done = [], 0, 0, 0
+    for a, b in sorted(runs):
+        if total[b] - total[a] >= 2 * min_words and b > done:
+            a = max(a, done)  # runs of several sources may overlap
+            kept.append(text[last : max(last, starts[a])])
             last = int(starts[b]) if b < len(starts) else len(text)
-            removed += twice // 2
-    return b"".join([*kept, text[last:]]), len(at), n_marked, removed
+            removed += int(total[b] - total[a])
+            done = b
+    return b"".join([*kept, text[last:]]), len(own), n_marked, removed // 2
 
 
-def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """df with passages cut out of its texts, and n_chunks, n_duplicate_chunks (seeds), n_removed_words: one row per input row.
+def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, least: int = LEAST_WORDS) -> DataFrame:
+    """df with passages cut out of its texts, and n_chunks, n_duplicate_chunks (groups), n_removed_words: one row per input row.
 
     Columns of df that are called like the three new ones are replaced.
     """
     fresh = ["n_chunks", "n_duplicate_chunks", "n_removed_words"]
     df = df.drop(*(c for c in fresh if c not in (id_col, text_col)))
-    marks = written(duplicates(written(chunks(df, id_col, text_col, min_words))))
+    marks = written(duplicates(written(chunks(df, id_col, text_col, least))))
     asked = written(borders(marks))
-    around = asked.join(written(contexts(df, asked, id_col, text_col, min_words)), "digest").groupBy("id").agg(F.collect_list(F.struct("digest", "before", "after")).alias("__around"))
-    found = marks.select("id", F.col("marks.digest").alias("__marks")).join(around, "id", "left").withColumnRenamed("id", "__id")
-    joined = df.join(found, F.col(id_col) == F.col("__id"), "left").drop("__id")
+    around = asked.join(written(contexts(df, asked, id_col, text_col, least)), "digest").groupBy("id").agg(F.collect_list(F.struct("digest", "before", "after")).alias("around"))
+    found = marks.join(around, "id", "left").select(F.col("id").alias(own_id := unused(df, "id")), F.col("marks").alias(unused(df, "marks")), F.col("around").alias(unused(df, "around")))
+    joined = df.join(found, df[id_col] == found[own_id], "left").drop(own_id)
     at, last = df.columns.index(text_col), len(df.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             texts, n, dup, gone = [], [], [], []
             for t, m, c in zip(*(batch.column(i).to_pylist() for i in (at, last, last + 1)), strict=True):
-                out, x, y, z = cut((t or "").encode(), set(m or ()), {r["digest"]: (r["before"], r["after"]) for r in c or ()}, min_words)
+                out, x, y, z = cut((t or "").encode(), {r["digest"]: (r["first"], r["at"]) for r in m or ()}, {r["digest"]: (r["before"], r["after"]) for r in c or ()}, min_words, least)
                 texts.append(None if t is None else out.decode())
                 n.append(x)
                 dup.append(y)
@@ -254,5 +273,4 @@ def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             columns[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays([*columns, *(pa.array(x, pa.int64()) for x in (n, dup, gone))], names=[*batch.schema.names[:last], *fresh])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    return joined.mapInArrow(run, f"{schema}, " + ", ".join(f"{c} bigint" for c in fresh))
+    return joined.mapInArrow(run, T.StructType([*df.schema.fields, *(T.StructField(c, T.LongType()) for c in fresh)]))
