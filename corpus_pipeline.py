@@ -10,19 +10,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docsleuth.llm import bpe, decontam, simhash, substring, toxicity
-from docsleuth.llm.common import shared_dir, table, written
+from docsleuth.llm.common import shared_dir, table, unused, written
 
 
 def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """The rows of docs whose id is in ids; rows without an id stay."""
-    return docs.join(ids.withColumnRenamed("doc_id", "__id"), F.col("doc_id") == F.col("__id"), "left_semi").unionByName(docs.where(F.col("doc_id").isNull()))
+    own = unused(docs, "id")
+    return docs.join(ids.withColumnRenamed("doc_id", own), F.col("doc_id") == F.col(own), "left_semi").unionByName(docs.where(F.col("doc_id").isNull()))
+
+
+def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of docs whose id is not in ids; rows without an id stay."""
+    own = unused(docs, "id")
+    return docs.join(ids.withColumnRenamed("doc_id", own), F.col("doc_id") == F.col(own), "left_anti")
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents whose toxicity score is at least one half."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    rejected = toxicity.scored(docs, model).where("predicted = 1").select(F.col("doc_id").alias("__id"))
-    return docs.join(rejected, F.col("doc_id") == F.col("__id"), "left_anti")
+    return _without(docs, toxicity.scored(docs, model).where("predicted = 1").select("doc_id"))
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,8 +46,7 @@ def without_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str)
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that the contract's rule calls contaminated."""
     found = decontam.matches(docs, table(spark, sf_dir, "benchmark"))
-    rejected = found.where(decontam.contaminated(found)).select(F.col("doc_id").alias("__id"))
-    return docs.join(rejected, F.col("doc_id") == F.col("__id"), "left_anti")
+    return _without(docs, found.where(decontam.contaminated(found)).select("doc_id"))
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
