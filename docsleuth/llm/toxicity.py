@@ -1,14 +1,18 @@
 """Toxicity by a linear-chain conditional random field over words.
 
-Only documents are labelled, so words are labelled from a distance first: in a toxic training document a word is
-toxic if it, or one of its beginnings, stands far more often in toxic than in clean training documents (a likelihood
-ratio test over documents); all other words, and all words of clean documents, are clean. On these labelled
-words the field is fitted by gradient ascent: weights of words and beginnings, and of the four transitions. For
-every document, forward and backward passes give each word's marginal probability; a logistic model of their largest
-value, sum and density, fitted on the same training documents, gives the document's score. Words with a marginal
-of at least one half are joined into the offending spans.
-
-Training takes about PER_CLASS documents of each class, chosen by a hash of their ids, and of documents that
+Only documents are labelled, so the words' tags are latent: the field is fitted to the likelihood of the documents' labels.
+A document is toxic where at least one word is; the likelihood of a clean label is the probability that forward
+passes give to the sequence without a toxic word, that of a toxic label the rest. Its gradient needs the marginals of the
+forward and backward passes and nothing else. So a word that stands in toxic documents beside a better sign of toxicity gets
+no weight, and one that alone explains a document does. A share of the labels may be wrong (NOISE).
+
+Features are words and their beginnings, those that stand in toxic training documents more often than chance explains (a likelihood ratio of at least the logarithm of the number of features tried). A word without any
+such feature is clean; what lies between such words is a run, and the field's sequences are the runs of whole documents,
+with transitions for entering, staying in and leaving a toxic span. For every document the marginals aggregate to the odds that any word
+is toxic, the expected number and share of toxic words; a logistic model of these, fitted on the training documents, gives the
+score. Words with a marginal of at least one half are joined into the offending spans.
+
+Training takes about PER_CLASS documents of each class, whole, chosen by a hash of their ids, and of documents that
 share their least shingle hash (near copies) only one. Where a class is larger than that, its documents weigh the more in
 the field and the document model, so that both see the classes' ratio among all training labels. Scoring covers every document, whole. Null and empty texts
 have no words and get the model's base score; without labels of both classes every score is the share of toxic
@@ -31,12 +35,12 @@ from pyspark.sql import functions as F
 from docsleuth.llm.common import by_hash, slices, utf8, written
 
 PER_CLASS = 4000
-BEGINNINGS = (4, 5, 6)
-#: A feature tells of toxic documents if its likelihood ratio statistic and its log odds reach these; the best MAX_FEATURES are taken.
-LEAST_RATIO, LEAST_ODDS, MAX_FEATURES = 20.0, 2.0, 4000
-#: Training sequences: so many words around a toxic one, or from the middle of a clean document.
-WINDOW = 48
-ROUNDS = 120
+BEGINNINGS = (4, 5, 6, 7)
+#: Training documents that a feature must stand in; how likely a label is wrong; the variance that weights may have.
+LEAST_DOCUMENTS, NOISE, SPREAD = 2, 0.02, 1.0
+ROUNDS = 150
+#: Training sequences are cut after so many words; scored ones are not.
+TRAINED_RUN = 64
 HELD_OUT = 5
 
 _WORD = re.compile(r"[^\W\d_]+")
@@ -55,115 +59,130 @@ def held_out(id_col: str) -> Column:
 @dataclass
 class Model:
     weights: dict[str, float] = field(default_factory=dict)
-    bias: float = -6.0
-    #: log potentials of (before, now)
-    transitions: np.ndarray = field(default_factory=lambda: np.zeros((2, 2)))
-    #: of 1, the largest marginal's logit, log(1 + sum of marginals), density
+    bias: float = -3.0
+    #: log potentials of entering, leaving and staying in a toxic span; staying clean has 0
+    transitions: np.ndarray = field(default_factory=lambda: np.zeros(3))
+    #: of 1, the log odds of any toxic word, log(1 + expected toxic words), their share
     document: np.ndarray = field(default_factory=lambda: np.zeros(4))
 
     def emission(self, word: str) -> float:
-        return self.bias + sum(self.weights.get(f, 0.0) for f in features(word))
+        """The log odds of toxic by itself; not a number for a word without a known feature, which is clean."""
+        found = [self.weights[f] for f in features(word) if f in self.weights]
+        return self.bias + sum(found) if found else np.nan
 
 
-def marginals(emissions: np.ndarray, sizes: np.ndarray, transitions: np.ndarray) -> np.ndarray:
-    """Of each word (row: time, column: sequence) the probability of toxic; columns are sorted by falling size.
+def passes(emissions: np.ndarray, sizes: np.ndarray, transitions: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of runs (columns, sorted by falling size; rows: words) each word's probability of toxic, the log of 1 / P(no toxic word), and the expected numbers of entries, leavings and stays.
 
-    In a field of two states both passes need the log odds alone: one number a sequence and step.
+    Before and after a run stands a clean word.
     """
-    t = np.exp(transitions)
+    enter, leave, stay = (float(t) for t in transitions)
     steps, n = emissions.shape
-    live = np.searchsorted(-sizes, -np.arange(steps), side="left")  # sequences longer than the step
-    forward = np.zeros_like(emissions)
-    for k in range(steps):
+    live = np.searchsorted(-sizes, -np.arange(steps), side="left")  # runs longer than the step
+    clean, toxic = np.zeros_like(emissions), np.full_like(emissions, -np.inf)
+    toxic[0] = enter + emissions[0]
+    for k in range(1, steps):
         a = live[k]
+        c, t = clean[k - 1, :a], toxic[k - 1, :a]
+        clean[k, :a] = np.logaddexp(c, t + leave)
+        toxic[k, :a] = emissions[k, :a] + np.logaddexp(c + enter, t + stay)
+    last = (sizes - 1, np.arange(n))
+    z = np.logaddexp(clean[last], toxic[last] + leave)
+    p, counts = np.zeros_like(emissions), np.zeros((3, n))
+    after_c, after_t = np.zeros(n), np.full(n, leave)  # log potentials of what follows a clean, a toxic word
+    for k in range(steps - 1, -1, -1):
+        a = live[k]
+        p[k, :a] = np.exp(toxic[k, :a] + after_t[:a] - z[:a])
         if k:
-            x = np.exp(np.clip(forward[k - 1, :a], -60, 60))
-            forward[k, :a] = emissions[k, :a] + np.log((t[0, 1] + t[1, 1] * x) / (t[0, 0] + t[1, 0] * x))
-        else:
-            forward[k, :a] = emissions[k, :a]
-    backward = np.zeros(n)
-    for k in range(steps - 2, -1, -1):
-        a = live[k + 1]
-        y = np.exp(np.clip(emissions[k + 1, :a] + backward[:a], -60, 60))
-        backward[:a] = np.log((t[1, 0] + t[1, 1] * y) / (t[0, 0] + t[0, 1] * y))
-        forward[k, : live[k]] += backward[: live[k]]
-    return 1 / (1 + np.exp(-np.clip(forward, -60, 60)))
-
-
-def score_sequences(sequences: list[np.ndarray], transitions: np.ndarray) -> list[np.ndarray]:
-    """Marginals of sequences of any lengths; similar lengths are padded together."""
-    out: list[np.ndarray] = [np.zeros(0)] * len(sequences)
-    order = sorted((i for i, s in enumerate(sequences) if len(s)), key=lambda i: -len(sequences[i]))
-    while order:
-        longest = len(sequences[order[0]])
-        block, order = order[: max(1, min(512, 2_000_000 // longest))], order[max(1, min(512, 2_000_000 // longest)) :]
-        sizes = np.array([len(sequences[i]) for i in block])
+            c, t, e = clean[k - 1, :a], toxic[k - 1, :a], emissions[k, :a]
+            counts[0, :a] += np.exp(c + enter + e + after_t[:a] - z[:a])
+            counts[1, :a] += np.exp(t + leave + after_c[:a] - z[:a])
+            counts[2, :a] += np.exp(t + stay + e + after_t[:a] - z[:a])
+            after_c[:a], after_t[:a] = np.logaddexp(after_c[:a], enter + e + after_t[:a]), np.logaddexp(leave + after_c[:a], stay + e + after_t[:a])
+    counts[0] += p[0]
+    counts[1] += p[last]
+    return p, z, counts
+
+
+def score_runs(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray, transitions: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Marginals of the values, and z of each run (see passes); runs of similar length are padded together."""
+    p, z = np.zeros(len(values)), np.zeros(len(starts))
+    order = np.argsort(-sizes, kind="stable")
+    at = 0
+    while at < len(order):
+        longest = int(sizes[order[at]])
+        block = order[at : at + max(1, min(20_000, 2_000_000 // longest))]
+        own = sizes[block]
+        cells = np.arange(own.sum()) - np.repeat(np.cumsum(own) - own, own)
+        columns = np.repeat(np.arange(len(block)), own)
+        places = starts[block][columns] + cells
         padded = np.zeros((longest, len(block)))
-        for c, i in enumerate(block):
-            padded[: sizes[c], c] = sequences[i]
-        found = marginals(padded, sizes, transitions)
-        for c, i in enumerate(block):
-            out[i] = found[: sizes[c], c].copy()
-    return out
+        padded[cells, columns] = values[places]
+        found, z[block], _ = passes(padded, own, transitions)
+        p[places] = found[cells, columns]
+        at += len(block)
+    return p, z
+
+
+def runs_of(values: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and sizes of the stretches of numbers among values, which also end where documents do."""
+    known = ~np.isnan(values)
+    first = known.copy()
+    first[1:] &= ~known[:-1]
+    inner = ends[(ends > 0) & (ends < len(values))]
+    first[inner] |= known[inner]
+    starts = np.flatnonzero(first)
+    stop = np.flatnonzero(~known)
+    stop = np.append(stop, len(values))[np.searchsorted(stop, starts)]
+    follow = np.append(starts[1:], len(values))
+    return starts, np.minimum(stop, follow) - starts
 
 
-def fit_field(sequences: list[tuple[list[list[int]], list[int]]], n_features: int, rounds: int = ROUNDS, weight: list[float] | None = None) -> tuple[np.ndarray, float, np.ndarray]:
-    """Weights, bias and transitions that make the labels likeliest, with a quadratic penalty; sequences: each word's feature numbers, and labels; weight: of each sequence."""
-    pairs = sorted(((s, v) for s, v in zip(sequences, weight or [1.0] * len(sequences), strict=True) if s[1]), key=lambda x: -len(x[0][1]))
-    sequences, own = [s for s, _ in pairs], np.array([v for _, v in pairs])
-    sizes = np.array([len(y) for _, y in sequences])
-    steps, n = int(sizes[0]), len(sequences)
-    mask = np.arange(steps)[:, None] < sizes
-    labels = np.zeros((steps, n))
-    where, which = [], []
-    for c, (words, y) in enumerate(sequences):
-        labels[: len(y), c] = y
-        for k, fs in enumerate(words):
-            where += [k * n + c] * len(fs)
-            which += fs
-    where, which = np.array(where, np.int64), np.array(which, np.int64)
-    w, bias, trans = np.zeros(n_features), -3.0, np.zeros((2, 2))
-    params = np.concatenate((w, [bias], trans.ravel()))
+@dataclass
+class Runs:
+    """Training runs: each word's features, each run's size and document."""
+
+    which: list[int] = field(default_factory=list)
+    n_features: list[int] = field(default_factory=list)
+    sizes: list[int] = field(default_factory=list)
+    documents: list[int] = field(default_factory=list)
+
+
+def fit_field(runs: Runs, labels: np.ndarray, prior: np.ndarray, weight: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, float, np.ndarray]:
+    """Weights, bias and transitions that make the documents' labels likeliest, with normal priors, those of the features' weights around prior; weight: of each document."""
+    n_features = len(prior)
+    sizes = np.array(runs.sizes)
+    order = np.argsort(-sizes, kind="stable")
+    rank = np.empty_like(order)
+    rank[order] = np.arange(len(order))
+    owner = np.array(runs.documents)[order]
+    cells = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    columns = rank[np.repeat(np.arange(len(sizes)), sizes)]
+    which, word = np.array(runs.which), np.repeat(np.arange(len(cells)), runs.n_features)
+    sizes = sizes[order]
+    sign = np.where(labels == 1, 1.0, -1.0) * weight * (1 - 2 * NOISE)
+    centre = np.concatenate((prior, [-4.0, 0.0, 0.0, 0.0]))
+    spread = np.concatenate((np.full(n_features, SPREAD), [4.0, 1.0, 1.0, 1.0]))
+    params = centre.copy()
     m, v = np.zeros_like(params), np.zeros_like(params)
-    both = mask[1:]
+    padded = np.zeros((int(sizes[0]), len(sizes)))
     for r in range(1, rounds + 1):
-        w, bias, trans = params[:n_features], params[n_features], params[n_features + 1 :].reshape(2, 2)
-        emissions = np.full(steps * n, bias)
-        np.add.at(emissions, where, w[which])
-        emissions = emissions.reshape(steps, n)
-        # full log-space passes, as the transitions' gradient needs pairs
-        e = np.stack((np.zeros_like(emissions), emissions), axis=-1)
-        alpha, beta = np.zeros_like(e), np.zeros_like(e)
-        alpha[0] = e[0]
-        for k in range(1, steps):
-            alpha[k] = e[k] + np.logaddexp(alpha[k - 1, :, :1] + trans[0], alpha[k - 1, :, 1:] + trans[1])
-        for k in range(steps - 2, -1, -1):
-            nxt = e[k + 1] + beta[k + 1]
-            beta[k] = np.where(both[k][:, None], np.logaddexp(trans[:, 0] + nxt[:, :1], trans[:, 1] + nxt[:, 1:]), 0.0)
-        total = alpha + beta
-        p = np.where(mask, 1 / (1 + np.exp(np.clip(total[..., 0] - total[..., 1], -60, 60))), 0.0)
-        z = np.logaddexp(total[..., 0], total[..., 1])[:-1]
-        gradient = np.zeros_like(params)
-        rest = (labels - p) * own
-        np.add.at(gradient[:n_features], which, rest.ravel()[where])
-        gradient[n_features] = rest.sum()
-        for a in (0, 1):
-            for b in (0, 1):
-                expected = np.exp(np.minimum(0, alpha[:-1, :, a] + trans[a, b] + e[1:, :, b] + beta[1:, :, b] - z))
-                seen = (labels[:-1] == a) & (labels[1:] == b) & both
-                gradient[n_features + 1 + 2 * a + b] = (seen * own).sum() - (np.where(both, expected, 0.0) * own).sum()
-        gradient -= 0.1 * params
+        padded[cells, columns] = params[n_features] + np.bincount(word, params[which], len(cells))
+        p, z, counts = passes(padded, sizes, params[n_features + 1 :])
+        clean = np.exp(-np.bincount(owner, z, len(labels)))  # the probability of no toxic word
+        seen = np.where(labels == 1, (1 - clean) * (1 - NOISE) + clean * NOISE, clean * (1 - NOISE) + (1 - clean) * NOISE)
+        push = (sign * clean / seen)[owner]  # of each run, what a unit more of expected counts brings
+        moved = p[cells, columns] * push[columns]
+        gradient = np.concatenate((np.bincount(which, moved[word], n_features), [moved.sum()], counts @ push)) - (params - centre) / spread
         m, v = 0.9 * m + 0.1 * gradient, 0.99 * v + 0.01 * gradient**2
         params = params + 0.15 * (m / (1 - 0.9**r)) / (np.sqrt(v / (1 - 0.99**r)) + 1e-8)
-    return params[:n_features], float(params[n_features]), params[n_features + 1 :].reshape(2, 2)
+    return params[:n_features], float(params[n_features]), params[n_features + 1 :]
 
 
-def aggregates(p: np.ndarray) -> tuple[float, float, float]:
-    """Largest marginal's logit, log(1 + sum), density of a document's marginals."""
-    if not len(p):
-        return -8.0, 0.0, 0.0
-    top = min(max(float(p.max()), 1e-4), 1 - 1e-4)
-    return float(np.log(top / (1 - top))), float(np.log1p(p[p > 0.05].sum())), float(p[p > 0.05].sum() / len(p))
+def aggregates(p: np.ndarray, z: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Log odds of any toxic word, log(1 + expected toxic words), their share; of documents with the sums p and z and so many words."""
+    odds = np.clip(np.where(z > 0, np.log(np.expm1(np.maximum(np.minimum(z, 30), 1e-12))), -8.0), -8.0, 8.0)
+    return np.column_stack((odds, np.log1p(p), p / np.maximum(words, 1)))
 
 
 def fit_document(x: np.ndarray, y: np.ndarray, rounds: int = 40, weight: np.ndarray | None = None) -> np.ndarray:
@@ -224,40 +243,58 @@ def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
             keys = list(total[0] | total[1])
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([total[1][k] for k in keys], pa.int64()), pa.array([total[0][k] for k in keys], pa.int64())], names=["f", "p", "n"])
 
-    counts = rows.mapInArrow(counted, "f string, p bigint, n bigint").groupBy("f").agg(F.sum("p").alias("p"), F.sum("n").alias("n")).where("p >= 3")
+    counts = rows.mapInArrow(counted, "f string, p bigint, n bigint").groupBy("f").agg(F.sum("p").alias("p"), F.sum("n").alias("n")).where(F.col("p") >= LEAST_DOCUMENTS)
     both = F.col("p") + F.col("n")
     ratio = 2 * (F.col("p") * F.log(F.col("p") / (both * pos / (pos + neg))) + F.when(F.col("n") > 0, F.col("n") * F.log(F.col("n") / (both * neg / (pos + neg)))).otherwise(0.0))
+    more = F.col("p") * neg > F.col("n") * pos
     odds = F.log((F.col("p") + 0.5) / (pos + 1)) - F.log((F.col("n") + 0.5) / (neg + 1))
-    telling = [r["f"] for r in counts.where((ratio >= LEAST_RATIO) & (odds >= LEAST_ODDS)).orderBy(ratio.desc(), "f").limit(MAX_FEATURES).collect()]
+    counts = written(counts)
+    least = float(np.log(max(counts.count(), 2)))  # about as much as the luckiest of so many features reaches by chance
+    found = sorted(tuple(r) for r in counts.where((ratio >= least) & more).select("f", (odds * (1 - least / ratio)).alias("odds")).collect())
+    telling = [f for f, _ in found]
     numbers = {f: i for i, f in enumerate(telling)}
+    # a word's features share its odds, less what chance may have brought
+    prior = np.array([o / (1 + sum(f[0] != "w" or len(f) - 1 > n for n in BEGINNINGS)) for f, o in found])
 
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, tags, ys = [], [], batch.column(0)
-            for y, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                fs = [[numbers[f] for f in features(w) if f in numbers] for w in _WORD.findall(t.decode("utf-8", "replace"))]
-                hit = next((i for i, x in enumerate(fs) if x), len(fs) // 2)
-                cut = slice(max(0, hit - WINDOW // 2), hit + WINDOW // 2)
-                ids.append(fs[cut])
-                tags.append([int(bool(y and x)) for x in fs[cut]])
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.list_(pa.list_(pa.int32()))), pa.array(tags, pa.list_(pa.int32())), ys], names=["ids", "tags", "y"])
-
-    found = [(r["ids"], r["tags"], r["y"]) for r in rows.mapInArrow(windows, "ids array<array<int>>, tags array<int>, y int").collect()]
-    found.sort(key=str)  # the order of rows is no one's choice
-    sequences = [x[:2] for x in found]
+            out: tuple[list, list, list] = ([], [], [])
+            for t in batch.column(1).to_pylist():
+                which, n, sizes = [], [], [0]
+                for w in _WORD.findall(t.decode("utf-8", "replace")):
+                    own = [numbers[f] for f in features(w) if f in numbers]
+                    if not own or sizes[-1] == TRAINED_RUN:
+                        sizes.append(0)
+                    if own:
+                        which += own
+                        n.append(len(own))
+                        sizes[-1] += 1
+                for x, y in zip(out, (which, n, [k for k in sizes if k]), strict=True):
+                    x.append(y)
+            yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.list_(pa.int32())) for x in out), batch.column(0)], names=["which", "n", "sizes", "y"])
+
+    found = [tuple(r) for r in rows.mapInArrow(sequences, "which array<int>, n array<int>, sizes array<int>, y int").collect()]
+    found.sort()  # the order of rows is no one's choice
+    labels = np.array([y for *_, y in found])
+    runs = Runs()
+    for k, (which, n, sizes, _) in enumerate(found):
+        runs.which += which
+        runs.n_features += n
+        runs.sizes += sizes
+        runs.documents += [k] * len(sizes)
     model = Model()
-    if telling and any(any(y) for _, y in sequences):
-        w, model.bias, model.transitions = fit_field(sequences, len(telling), weight=[weights[y] for *_, y in found])
+    if runs.sizes:
+        w, model.bias, model.transitions = fit_field(runs, labels, prior, np.array([weights[y] for y in labels.tolist()]))
         model.weights = dict(zip(telling, w.tolist(), strict=True))
-    found = marks(rows.select(F.lit(0).alias("id"), "text", "y"), model, keep="y").collect()
-    found = np.array(sorted((r["top"], r["mass"], r["density"], r["y"]) for r in found))
-    model.document = fit_document(found[:, :3], found[:, 3], weight=np.where(found[:, 3] == 1, weights[1], weights[0]))
+    own = marks(rows.select(F.lit(0).alias("id"), "text", "y"), model, keep="y").collect()
+    own = np.array(sorted((r["odds"], r["mass"], r["share"], r["y"]) for r in own))
+    model.document = fit_document(own[:, :3], own[:, 3], weight=np.where(own[:, 3] == 1, weights[1], weights[0]))
     return model
 
 
 def marks(df: DataFrame, model: Model, keep: str | None = None) -> DataFrame:
-    """id, top, mass, density, spans for rows of id and text (UTF-8); keep: one more column of whole numbers to carry along."""
-    shared = df.sparkSession.sparkContext.broadcast(model)  # at most MAX_FEATURES weights
+    """id, odds, mass, share, spans for rows of id and text (UTF-8); keep: one more column of whole numbers to carry along."""
+    shared = df.sparkSession.sparkContext.broadcast(model)  # weights of features that a bounded sample of documents has
     rows = df.select("id", "text", *([keep] if keep else []))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -265,7 +302,7 @@ def marks(df: DataFrame, model: Model, keep: str | None = None) -> DataFrame:
         known: dict[str, float] = {}
         for batch in slices(batches):
             texts = [t.decode("utf-8", "replace") for t in batch.column(1).to_pylist()]
-            sequences = []
+            values = []
             for t in texts:
                 words = _WORD.findall(t)
                 if fresh := set(words).difference(known):
@@ -273,14 +310,20 @@ def marks(df: DataFrame, model: Model, keep: str | None = None) -> DataFrame:
                         known.clear()
                         fresh = set(words)
                     known.update((w, own.emission(w)) for w in fresh)
-                sequences.append(np.fromiter(map(known.__getitem__, words), np.float64, len(words)))
-            found = score_sequences(sequences, own.transitions)
-            sums = [aggregates(p) for p in found]
-            spans = [spans_of(t, p) if len(p) and p.max() >= 0.5 else [] for t, p in zip(texts, found, strict=True)]
-            columns = [batch.column(0), *(pa.array([s[i] for s in sums], pa.float64()) for i in range(3)), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("probability", pa.float64())])))]
-            yield pa.RecordBatch.from_arrays([*columns, *([batch.column(2)] if keep else [])], names=["id", "top", "mass", "density", "spans", *([keep] if keep else [])])
-
-    schema = f"id {rows.schema['id'].dataType.simpleString()}, top double, mass double, density double, spans array<struct<start: bigint, end: bigint, probability: double>>"
+                values.append(np.fromiter(map(known.__getitem__, words), np.float64, len(words)))
+            sizes = np.array([len(x) for x in values])
+            ends = np.cumsum(sizes)
+            every = np.concatenate(values)
+            starts, lengths = runs_of(every, ends)
+            p, z = score_runs(every, starts, lengths, own.transitions)
+            of_word, of_run = np.repeat(np.arange(len(texts)), sizes), np.searchsorted(ends, starts, side="right")
+            sums = aggregates(np.bincount(of_word, p, len(texts)), np.bincount(of_run, z, len(texts)), sizes)
+            parts = np.split(p, ends[:-1])
+            spans = [spans_of(t, x) if len(x) and x.max() >= 0.5 else [] for t, x in zip(texts, parts, strict=True)]
+            columns = [batch.column(0), *(pa.array(sums[:, i]) for i in range(3)), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("probability", pa.float64())])))]
+            yield pa.RecordBatch.from_arrays([*columns, *([batch.column(2)] if keep else [])], names=["id", "odds", "mass", "share", "spans", *([keep] if keep else [])])
+
+    schema = f"id {rows.schema['id'].dataType.simpleString()}, odds double, mass double, share double, spans array<struct<start: bigint, end: bigint, probability: double>>"
     return rows.mapInArrow(run, schema + (f", {keep} {rows.schema[keep].dataType.simpleString()}" if keep else ""))
 
 
@@ -303,6 +346,6 @@ def scored(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     """id, held_out, score, predicted, spans: one row per input row, without a shuffle."""
     found = marks(df.select(F.col(id_col).alias("id"), utf8(text_col).alias("text")), model)
     w = [float(x) for x in model.document]
-    logit = F.lit(w[0]) + w[1] * F.col("top") + w[2] * F.col("mass") + w[3] * F.col("density")
+    logit = F.lit(w[0]) + w[1] * F.col("odds") + w[2] * F.col("mass") + w[3] * F.col("share")
     score = 1 / (1 + F.exp(-F.greatest(F.lit(-40.0), F.least(F.lit(40.0), logit))))
     return found.select(F.col("id").alias(id_col), held_out("id").alias("held_out"), score.alias("score"), F.when(score >= 0.5, 1).otherwise(0).alias("predicted"), "spans")

@@ -10,21 +10,55 @@ from .conftest import prose
 
 
 def brute(emissions, trans):
+    """Marginals, log of 1 / P(no toxic word), expected entries, leavings and stays over all tag sequences between clean words."""
     n = len(emissions)
-    p, z = np.zeros(n), 0.0
+    p, z, counts = np.zeros(n), 0.0, np.zeros(3)
     for y in itertools.product((0, 1), repeat=n):
-        w = np.exp(sum(e for e, s in zip(emissions, y, strict=True) if s) + sum(trans[a, b] for a, b in itertools.pairwise(y)))
+        steps = list(itertools.pairwise((0, *y, 0)))
+        own = np.array([steps.count(x) for x in ((0, 1), (1, 0), (1, 1))])
+        w = np.exp(sum(e for e, s in zip(emissions, y, strict=True) if s) + own @ trans)
         z += w
         p += w * np.array(y)
-    return p / z
+        counts += w * own
+    return p / z, np.log(z), counts / z
 
 
 def test_marginals():
     rng = np.random.default_rng(0)
-    trans = rng.normal(size=(2, 2))
-    sequences = [rng.normal(size=n) * 2 for n in (1, 7, 3, 0, 5, 7)]
-    for s, p in zip(sequences, toxicity.score_sequences(sequences, trans), strict=True):
-        assert np.allclose(p, brute(s, trans)) if len(s) else not len(p)
+    trans = rng.normal(size=3)
+    runs = [rng.normal(size=n) * 2 for n in (7, 7, 5, 3, 1)]
+    padded = np.zeros((7, 5))
+    for k, r in enumerate(runs):
+        padded[: len(r), k] = r
+    p, z, counts = toxicity.passes(padded, np.array([7, 7, 5, 3, 1]), trans)
+    for k, r in enumerate(runs):
+        want = brute(r, trans)
+        assert np.allclose(p[: len(r), k], want[0]) and np.isclose(z[k], want[1]) and np.allclose(counts[:, k], want[2])
+
+
+def test_runs_end_at_unknown_words_and_documents():
+    nan = np.nan
+    values = np.array([nan, 1, 2, nan, 3, 4, 5, nan, 6])
+    starts, sizes = toxicity.runs_of(values, np.array([0, 2, 5, 5, 9]))
+    assert starts.tolist() == [1, 2, 4, 5, 8] and sizes.tolist() == [1, 1, 1, 2, 1]
+    p, z = toxicity.score_runs(values, starts, sizes, np.array([0.3, -0.2, 0.5]))
+    assert np.allclose(p[[5, 6]], brute(values[5:7], np.array([0.3, -0.2, 0.5]))[0]) and p[0] == p[3] == p[7] == 0 and len(z) == 5
+
+
+def test_latent_tags():
+    """Of two words that stand in toxic documents, one of them in clean ones too, the other gets the blame; staying pays where toxic words come in pairs."""
+    rng = np.random.default_rng(1)
+    runs, labels = toxicity.Runs(), []
+    for d in range(400):
+        bad = d % 4 == 0
+        labels.append(int(bad))
+        words = [0] * int(rng.integers(1, 3)) + ([1, 1] if bad else []) + [2] * int(rng.integers(0, 2))
+        runs.which += words
+        runs.n_features += [1] * len(words)
+        runs.sizes.append(len(words))
+        runs.documents.append(d)
+    w, bias, trans = toxicity.fit_field(runs, np.array(labels), np.zeros(3), np.ones(400))
+    assert w[1] + bias > 0 > max(w[0], w[2]) + bias + 1 and trans[2] > 0
 
 
 def test_learned_field(spark):
