@@ -2,21 +2,23 @@
 
 Writing: a payload of at least MIN_BYTES that several pages share is stored once, with the page of the largest id;
 the others become revisit records that refer to it by id and digest. Spark's text writer emits whole records, so
-archives are committed task by task and survive lost executors; each file is one compressed stream of bounded
-record count.
+archives are committed task by task and survive lost executors; each file is one compressed stream of so many records as
+make up FILE_BYTES on average.
 
-Reading: files come as binary rows and are cut into records by their content lengths, never by looking for
-delimiters in payloads. Request and metadata records name their capture by WARC-Concurrent-To; one aggregation on
+Reading: files come as binary rows and are decompressed and cut into records piece by piece, by their content lengths, never by
+looking for delimiters in payloads; a worker holds a compressed file and one record of it. Request and metadata records name their capture by WARC-Concurrent-To; one aggregation on
 that identifier joins the three and gives one nested row a capture, two or more where identical rows were
 written repeatedly.
 
-A null payload is the empty one, a null url is empty, a null id is written as "null" and read as null.
+A null payload is the empty one, a null url is empty, a null id has no field and is read as null. Line breaks in urls and ids
+are written as percent codes; ids come back as they were.
 """
 
 from __future__ import annotations
 
 import gzip
 import hashlib
+import io
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -27,6 +29,7 @@ from docsleuth.llm.common import shared_dir
 
 MIN_BYTES = 1000
 RECORDS_PER_FILE = 6000
+FILE_BYTES = 128 << 20
 DATE = "2024-01-01T00:00:00Z"
 CRLF = "\r\n"
 #: Records that go from a worker to Spark at once, at most this many bytes of payload and one record.
@@ -48,13 +51,30 @@ def _record(kind: Column | str, record_id: Column, url: Column, content_type: st
     return F.concat(*head)
 
 
-def write(df: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_bytes: int = MIN_BYTES, records_per_file: int = RECORDS_PER_FILE) -> None:
-    """Archives below path; other columns are ignored."""
-    pages = df.select(F.col(id_col).alias("id"), F.regexp_replace(F.coalesce(F.col(url_col).cast("string"), F.lit("")), r"[\r\n]", "%0A").alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"))
+def one_line(v: Column) -> Column:
+    return F.replace(F.replace(v, F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
+
+
+def as_field(v: Column) -> Column:
+    """A value as text of one line; null is none."""
+    return one_line(F.replace(v.cast("string"), F.lit("%"), F.lit("%25")))
+
+
+def of_field(v: Column) -> Column:
+    """as_field() undone."""
+    return F.replace(F.replace(F.replace(v, F.lit("%0D"), F.lit("\r")), F.lit("%0A"), F.lit("\n")), F.lit("%25"), F.lit("%"))
+
+
+def write(df: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_bytes: int = MIN_BYTES, records_per_file: int | None = None) -> None:
+    """Archives below path; other columns are ignored. records_per_file: as many as make up FILE_BYTES, RECORDS_PER_FILE at most, unless given."""
+    if records_per_file is None:
+        mean = df.agg(F.avg(F.octet_length(F.coalesce(F.col(html_col).cast("string"), F.lit(""))))).first()[0] or 0
+        records_per_file = max(3, min(RECORDS_PER_FILE, int(3 * FILE_BYTES / (mean + 1))))
+    pages = df.select(F.col(id_col).alias("id"), one_line(F.coalesce(F.col(url_col).cast("string"), F.lit(""))).alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"))
     pages = pages.withColumns({"size": F.octet_length("html"), "digest": F.sha1(F.col("html").cast("binary"))})
     shared = pages.where(F.col("size") >= min_bytes).groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("id", "url")).alias("kept")).where("n > 1").select("digest", F.col("kept.id").alias("kept_id"), F.col("kept.url").alias("kept_url"))
     joined = pages.join(shared, "digest", "left")
-    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("null"))
+    text = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("null"))
     own = _urn("response", text("id"), F.col("url"), F.col("digest"))
     revisit = F.col("kept_id").isNotNull() & ~F.col("kept_id").eqNullSafe(F.col("id"))
     rows = joined.select("*", own.alias("own"), revisit.alias("revisit"))
@@ -62,7 +82,9 @@ def write(df: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url
     digest = F.concat(F.lit("sha1:"), F.upper("digest"))
     refers = F.when(F.col("revisit"), _urn("response", text("kept_id"), F.col("kept_url"), F.col("digest")))
     profile = F.when(F.col("revisit"), F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"))
-    fields = F.concat(F.lit("pageId: "), text("id"), F.lit(CRLF + "payloadLength: "), F.col("size").cast("string"), F.when(F.col("revisit"), F.concat(F.lit(CRLF + "refersToPage: "), text("kept_id"))).otherwise(F.lit("")), F.lit(CRLF))
+    own_id = F.coalesce(F.concat(F.lit(CRLF + "pageId: "), as_field(F.col("id"))), F.lit(""))
+    kept_id = F.when(F.col("revisit"), F.concat(F.lit(CRLF + "refersToPage: "), as_field(F.col("kept_id")))).otherwise(F.lit(""))
+    fields = F.concat(F.lit("payloadLength: "), F.col("size").cast("string"), own_id, kept_id, F.lit(CRLF))
     main = _record(F.when(F.col("revisit"), F.lit("revisit")).otherwise(F.lit("response")), F.col("own"), F.col("url"), "application/http; msgtype=response", http, ("WARC-Payload-Digest", digest), ("WARC-Profile", profile), ("WARC-Refers-To", refers))
     request = _record("request", _urn("request", F.col("own")), F.col("url"), "application/http; msgtype=request", F.concat(F.lit("GET "), F.col("url"), F.lit(f" HTTP/1.1{CRLF}{CRLF}")), ("WARC-Concurrent-To", F.col("own")))
     metadata = _record("metadata", _urn("metadata", F.col("own")), F.col("url"), "application/warc-fields", fields, ("WARC-Concurrent-To", F.col("own")))
@@ -70,17 +92,17 @@ def write(df: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url
 
 
 def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers (names in lower case) and block of each record; data may be compressed."""
-    if data[:2] == b"\x1f\x8b":
-        data = gzip.decompress(data)
-    at = 0
-    while (at := data.find(b"WARC/1.", at)) >= 0:
-        stop = data.index(b"\r\n\r\n", at)
-        lines = data[at:stop].decode("utf-8", "replace").split("\r\n")[1:]
-        headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
-        size = int(headers["content-length"])
-        yield headers, data[stop + 4 : stop + 4 + size]
-        at = stop + 4 + size
+    """Headers (names in lower case) and block of each record, read one after the other; data may be compressed."""
+    source = io.BytesIO(data)
+    stream = io.BufferedReader(gzip.GzipFile(fileobj=source)) if data[:2] == b"\x1f\x8b" else source
+    while line := stream.readline():
+        if not line.startswith(b"WARC/1."):
+            continue
+        headers = {}
+        while (line := stream.readline().rstrip(b"\r\n")):
+            k, _, v = line.decode("utf-8", "replace").partition(":")
+            headers[k.strip().lower()] = v.strip()
+        yield headers, stream.read(int(headers["content-length"]))
 
 
 _RECORD = [("record_type", pa.string()), ("record_id", pa.string()), ("concurrent_to", pa.string()), ("refers_to", pa.string()), ("url", pa.string()), ("header_digest", pa.string()), ("payload_bytes", pa.int64()), ("payload_sha1", pa.string()), ("payload", pa.binary())]
@@ -129,13 +151,14 @@ def captures(found: DataFrame) -> DataFrame:
 def page_digests(found: DataFrame, id_type: str = "bigint") -> DataFrame:
     """captures() as page_id, url, payload_bytes, payload_digest, record_type and refers_to; a revisit's size and digest are those of the payload it refers to."""
     response = F.col("response.record_type") == "response"
+    own = lambda k: of_field(F.col("fields")[k]).try_cast(id_type)
     return found.select(
-        F.expr(f"try_cast(fields['pageId'] as {id_type})").alias("page_id"),
+        own("pageId").alias("page_id"),
         F.col("response.url").alias("url"),
         F.when(response, F.col("response.payload_bytes")).otherwise(F.col("fields")["payloadLength"].cast("bigint")).alias("payload_bytes"),
         F.coalesce("response.payload_sha1", "response.header_digest").alias("payload_digest"),
         F.col("response.record_type").alias("record_type"),
-        F.expr(f"try_cast(fields['refersToPage'] as {id_type})").alias("refers_to"),
+        own("refersToPage").alias("refers_to"),
     )
 
 

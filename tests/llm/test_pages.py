@@ -103,3 +103,13 @@ def test_archives_parse(spark, tmp_path):
     assert {h or "" for _, _, h in rows} == bodies
     nested = warc.captures(warc.records(spark, str(tmp_path / "w"))).where("fields['pageId'] = '1'").first()
     assert nested["request"]["concurrent_to"] == nested["response"]["record_id"] == nested["metadata"]["concurrent_to"]
+
+
+def test_text_ids(spark):
+    """Null ids and ids with line breaks, percent signs and colons come back as they were."""
+    ids = [None, "null", "a\r\nb", "100%0A", "x: y", ""]
+    df = spark.createDataFrame([(i, "http://u\r\nX: y", f"<p>{k}") for k, i in enumerate(ids)], "page_id string, url string, html string")
+    assert sorted(map(str, (r["page_id"] for r in warc.round_trip(df).collect()))) == sorted(map(str, ids))
+    big = spark.createDataFrame([(i, "u", "x" * 2000) for i in ids], "page_id string, url string, html string")
+    found = {r["page_id"]: (r["record_type"], r["refers_to"]) for r in warc.round_trip(big).collect()}
+    assert found == {i: ("response", None) if i == "x: y" else ("revisit", "x: y") for i in ids}
