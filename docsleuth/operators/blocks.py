@@ -35,12 +35,16 @@ def channel_correlation(df: DataFrame, image: str, a: str, b: str, c: str) -> Da
 
 
 def copy_move(df: DataFrame, image: str, key: str, descriptor: str, x: str, y: str, diagonal: str, radius: int = 40, k: int = 3) -> DataFrame:
-    """Similar descriptors (whole numbers as bit sets) far apart in one image, blocked by a band of their bits."""
-    band = F.shiftrightunsigned(F.col(descriptor), 48)
-    a = df.select(image, band.alias("band"), F.col(key).alias("a"), F.col(descriptor).alias("da"), F.col(x).alias("ax"), F.col(y).alias("ay"), diagonal)
-    b = df.select(image, band.alias("band"), F.col(key).alias("b"), F.col(descriptor).alias("db"), F.col(x).alias("bx"), F.col(y).alias("by"))
-    apart = F.hypot(F.col("ax") - F.col("bx"), F.col("ay") - F.col("by"))
-    near = a.join(b, [image, "band"]).where((F.col("a") != F.col("b")) & (F.bit_count(F.col("da").bitwiseXOR(F.col("db"))) <= radius) & (apart >= 0.15 * F.col(diagonal)))
-    nth = F.row_number().over(Window.partitionBy(image, "a").orderBy(F.bit_count(F.col("da").bitwiseXOR(F.col("db"))), "b"))
-    best = near.withColumn("nth", nth).where(F.col("nth") <= k)
-    return best.groupBy(image).agg(F.least(F.lit(100.0), F.count(F.lit(1)) / 2).alias("copy_move_score"))
+    """Similar descriptors (arrays of whole numbers, as bit sets) far apart in one image; per image half the number of such neighbours, 100 at most.
+
+    Of each key point the k nearest of its image count, itself included, so all pairs of an image are compared, as the nearest can't
+    be told otherwise; a detector gives an image some hundred key points. Images without such neighbours have no row.
+    """
+    point = lambda p: F.struct(F.col(key).alias("k"), F.col(descriptor).alias("d"), F.col(x).alias("x"), F.col(y).alias("y")).alias(p)
+    a, b = df.select(image, diagonal, point("a")), df.select(image, point("b"))
+    distance = F.aggregate(F.zip_with("a.d", "b.d", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, v: s + v)
+    apart = F.hypot(F.col("a.x") - F.col("b.x"), F.col("a.y") - F.col("b.y")) >= 0.15 * F.col(diagonal)
+    other = F.col("a.k") != F.col("b.k")
+    pairs = a.join(b, image).select(image, F.col("a.k").alias("key"), F.struct(distance.alias("distance"), other.alias("other"), F.col("b.k").alias("k"), (other & apart).alias("apart")).alias("n"))
+    nearest = pairs.withColumn("__nth", F.row_number().over(Window.partitionBy(image, "key").orderBy("n"))).where(F.col("__nth") <= k)
+    return nearest.where((F.col("n.distance") <= radius) & F.col("n.apart")).groupBy(image).agg(F.least(F.lit(100.0), F.count(F.lit(1)) / 2).alias("copy_move_score"))

@@ -33,6 +33,30 @@ def folded(events: DataFrame, key: str = "case_key", time: str = "ts", columns:
     return events.groupBy(F.col(key).alias("case_key")).agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.col(time))).alias(c) for c in columns or STATE], F.max(time).alias("updated_at"))
 
 
+def upserted(current: DataFrame, changes: DataFrame, entities: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """Cases after changes, of which the last value that isn't null counts in each column.
+
+    A case that is new takes defaults for what is left, and its type and entity from its key (type::BT-..., cut at the last ::); the
+    entity only if it is known. changes: case_key, ts and the columns; current: case_key, document_type, entity_ref and the columns.
+    """
+    own = columns or STATE
+    latest = folded(changes, columns=own).withColumnsRenamed({c: f"__{c}" for c in own}).drop("updated_at")
+    joined = current.withColumn("__known", F.lit(True)).join(latest, "case_key", "full_outer")
+    ref = F.substring_index("case_key", "::", -1)
+    has_key = F.contains("case_key", F.lit("::"))
+    kind = F.when(has_key, F.left("case_key", F.length("case_key") - F.length(ref) - 2)).otherwise("")
+    joined = joined.withColumn("__ref", F.when(F.col("__known").isNull() & has_key & ref.startswith("BT-"), ref))
+    joined = joined.join(entities.select(F.col("entity_ref").alias("__entity")).distinct(), F.col("__ref") == F.col("__entity"), "left")
+    made = {c: F.coalesce(F.col(f"__{c}"), F.col(c), F.when(F.col("__known").isNull(), F.lit(DEFAULTS[c])) if c in DEFAULTS else F.lit(None)) for c in own}
+    new = F.col("__known").isNull()
+    return joined.withColumns(made | {"document_type": F.when(new, kind).otherwise(F.col("document_type")), "entity_ref": F.when(new, F.col("__entity")).otherwise(F.col("entity_ref"))}).select("case_key", "document_type", "entity_ref", *own)
+
+
+def noted(changes: DataFrame) -> DataFrame:
+    """The notes that changes bring: case_key, created_at, author, note, where the note isn't blank."""
+    return changes.where(F.trim("note") != "").select("case_key", F.col("ts").alias("created_at"), F.coalesce(F.nullif("author", F.lit("")), F.lit("system")).alias("author"), F.trim("note").alias("note"))
+
+
 def with_defaults(cases: DataFrame, state: DataFrame) -> DataFrame:
     """J02."""
     out = cases.join(state, "case_key", "left")

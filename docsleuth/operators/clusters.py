@@ -5,25 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docsleuth.operators.graph import components
+from docsleuth.sources.shared import written
 
-def shared_clusters(df: DataFrame, node: str, attributes: list[str], rounds: int = 20) -> DataFrame:
-    """Node, cluster (the least node reachable over shared attribute values), by passing minima along values.
 
-    A round is two aggregations, so a value that very many nodes share costs one row a task. Rounds stop at the
-    first that changes nothing, and it is an error if none does; lineage is cut by checkpoints in the folder that the session names.
+def shared_clusters(df: DataFrame, node: str, attributes: list[str]) -> DataFrame:
+    """Node, cluster (the least node reachable over shared attribute values).
+
+    Every node of a value is tied to the value's least node, so a value that very many nodes share costs a row each, not
+    pairs; the components of these ties are the clusters, however long their chains. Null and empty values tie nothing.
     """
     values = [F.struct(F.lit(a).alias("k"), F.col(a).cast("string").alias("v")) for a in attributes]
-    edges = df.select(F.col(node).alias("node"), F.explode(F.array(*values)).alias("e")).where("e.v is not null and e.v != ''").select("node", "e.k", "e.v").distinct().checkpoint()
-    now = df.select(F.col(node).alias("node")).distinct().withColumn("cluster", F.col("node"))
-    for _ in range(rounds):
-        low = edges.join(now, "node").groupBy("k", "v").agg(F.min("cluster").alias("low"))
-        best = edges.join(low, ["k", "v"]).groupBy("node").agg(F.min("low").alias("low"))
-        after = now.join(best, "node", "left").select("node", F.least("cluster", F.coalesce("low", "cluster")).alias("new"), "cluster").checkpoint()
-        changed = after.where("new != cluster").limit(1).count()
-        now = after.select("node", F.col("new").alias("cluster"))
-        if not changed:
-            return now
-    raise RuntimeError(f"no fixed point after {rounds} rounds")
+    held = written(df.where(F.col(node).isNotNull()).select(F.col(node).alias("node"), F.explode(F.array(*values)).alias("e")).where("e.v is not null and e.v != ''").select("node", "e.k", "e.v").distinct())
+    least = held.groupBy("k", "v").agg(F.min("node").alias("least"))
+    found = components(held.join(least, ["k", "v"]).select(F.col("node").alias("a"), F.col("least").alias("b")))
+    every = df.where(F.col(node).isNotNull()).select(F.col(node).alias("id")).distinct()
+    return every.join(found, F.col("id") == F.col("node"), "left").select(F.col("id").alias("node"), F.coalesce("root", "id").alias("cluster"))
 
 
 def near_templates(df: DataFrame, id_col: str, bits: str, radius: int = 3) -> DataFrame:

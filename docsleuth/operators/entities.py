@@ -10,7 +10,7 @@ from docsleuth.functions import scalars as X
 
 
 def latest(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
-    """The last row of each key; one shuffle on the key, whole rows as a struct's maximum."""
+    """The first row of each key in the given order; one shuffle on the key."""
     return df.withColumn("__nth", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("__nth = 1").drop("__nth")
 
 
@@ -101,6 +101,13 @@ def updated(current: DataFrame, changes: DataFrame, columns: list[str], stamp: C
     return out.withColumns({x: F.coalesce(F.col(f"__{x}"), F.col(x)) for x in columns} | {"updated_at": F.when(hit, stamp).otherwise(F.col("updated_at"))}).drop("__ref", *[f"__{x}" for x in columns])
 
 
+def document_information(scans: DataFrame, current: DataFrame | None = None) -> DataFrame:
+    """entity_ref, doc_id, document_type, extracted_data of each scan with an entity; rows of current for other scans stay."""
+    fields = F.coalesce("key_fields", F.create_map().cast("map<string,string>"))
+    made = scans.where(F.col("entity_ref").isNotNull()).select("entity_ref", "doc_id", F.coalesce("document_type", F.lit("generic")).alias("document_type"), fields.alias("extracted_data"))
+    return made if current is None else replaced(current, made, "doc_id")
+
+
 def replaced(current: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """Rows of new, and the old rows of other keys."""
     return current.join(new.select(key), key, "left_anti").unionByName(new)

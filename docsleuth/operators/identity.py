@@ -76,3 +76,11 @@ def head_turn(nose: Column, left: Column, right: Column) -> Column:
     """L09."""
     ratio = F.try_divide(F.abs(nose - left), F.abs(right - nose))
     return F.when(ratio > 1.6, "right").when(ratio < 0.6, "left").otherwise("center")
+
+
+def largest_face(faces: DataFrame, keys: list[str], box: str = "bbox") -> DataFrame:
+    """Of each frame or image the face with the largest box (x1, y1, x2, y2)."""
+    b = F.col(box)
+    area = (b["x2"] - b["x1"]) * (b["y2"] - b["y1"])
+    rest = [c for c in faces.columns if c not in keys]
+    return faces.groupBy(*keys).agg(F.max_by(F.struct(*rest), area).alias("f")).select(*keys, "f.*")

@@ -11,8 +11,49 @@ TOLERANCE = 0.15
 STOP_WORDS = ["BANK", "LTD", "LIMITED", "FINANCIAL", "OF", "INDIA"]
 
 
+def role(doc_type: Column, key_fields: Column, named: Column) -> Column:
+    """What a summary tells of: payslip, letter, form16, bank, gift or null. Generic ones count as letter or form 16 by tell-tale fields or titles."""
+    filled = lambda k: X.blank_to_null(key_fields[k]).isNotNull()
+    title = F.lower(F.coalesce(key_fields["title"], F.lit("")))
+    has = lambda k: F.coalesce(F.map_contains_key(named, F.lit(k)), F.lit(False))
+    generic = doc_type == "generic"
+    letter = filled("annual_ctc") | filled("gross_monthly_salary") | has("annual_ctc") | has("gross_monthly_salary") | title.contains("whomsoever")
+    form16 = title.rlike("form 16|form-16|certificate of tax") | has("assessment_year") | has("gross_salary_total") | has("tan_of_employer")
+    return F.when(doc_type == "payslip", "payslip").when((doc_type == "employment_letter") | generic & letter, "letter").when((doc_type == "form16") | generic & form16, "form16").when(doc_type == "bank_statement", "bank").when(doc_type == "gift_letter", "gift")
+
+
+def routed(summaries: DataFrame, key: str = "case_id", order: str = "ord") -> DataFrame:
+    """Summaries (doc_type, key_fields, named_fields, transactions) as the rows that evidence() takes, one a document; a bank statement's salary credit is the mean of its salary rows."""
+    k, n = F.col("key_fields"), F.transform_values("named_fields", lambda _, v: F.get(v, 0))
+    one = lambda *vs: amount(X.first_filled(*vs))
+    who = role(F.col("doc_type"), k, F.col("named_fields"))
+    at = lambda r, v: F.when(who == r, F.nullif(v, F.lit(0).cast("bigint")))
+    salary = F.filter("transactions", lambda t: F.lower(t["desc"]).contains("salary credit") & t["credit"].between(5_000, 2_000_000))
+    mean = F.try_divide(F.aggregate(salary, F.lit(0).cast("bigint"), lambda a, t: a + t["credit"]), F.size(salary)).cast("bigint")
+    annual = F.coalesce(at("letter", one(k["annual_ctc"], k["ctc"], n["annual_ctc"], n["ctc"])), at("form16", one(k["gross_salary"], k["gross_earnings"], n["gross_salary_total"], n["gross_salary"], n["gross_earnings"])), at("gift", one(k["gift_amount"])))
+    pan = F.when(who == "payslip", k["pan"]).when(who == "form16", n["pan_of_employee"])
+    bank = F.when(who == "payslip", k["bank"]).when(who == "bank", k["bank_name"])
+    return summaries.select(
+        key,
+        who.alias("role"),
+        order,
+        at("payslip", one(k["gross_earnings"])).alias("gross"),
+        at("payslip", one(k["net_pay"])).alias("net"),
+        annual.alias("annual"),
+        at("bank", mean).alias("salary_credit"),
+        X.blank_to_null(F.upper(F.trim(pan))).alias("pan"),
+        X.blank_to_null(F.upper(F.trim(bank))).alias("bank_name"),
+    ).where("role is not null")
+
+
+def sources(docs: DataFrame, key: str = "case_id", order: str = "ord") -> DataFrame:
+    """The evidence behind the figures, a row for each document's income: monthly and times twelve."""
+    monthly = F.when(F.col("role") == "payslip", F.col("gross")).when(F.col("role") == "bank", F.col("salary_credit")).otherwise((F.col("annual") / 12).cast("bigint"))
+    return docs.where(F.col("role") != "gift").select(key, "role", order, monthly.alias("monthly"), F.when(F.col("role").isin("letter", "form16"), F.col("annual")).otherwise(monthly * 12).alias("yearly")).where("monthly is not null")
+
+
 def evidence(docs: DataFrame, key: str = "case_id", order: str = "ord") -> DataFrame:
-    """Figures of each case. docs: role (payslip, letter, form16, bank, gift) and one amount or text column for each figure."""
+    """Figures of each case. docs: role (payslip, letter, form16, bank, gift) and one amount or text column for each figure."""
     def first(c: str, role: str) -> Column:
         return F.min_by(c, F.when((F.col("role") == role) & F.col(c).isNotNull(), F.col(order)))
 

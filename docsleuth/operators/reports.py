@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docsleuth.operators.cases import rank_name
@@ -89,3 +89,48 @@ def all_reports(verifications: DataFrame, comparisons: DataFrame) -> DataFrame:
     a = verifications.select("doc_id", F.lit("verification").alias("kind"), "source_name", "generated_at", "risk_level", "truth_score")
     b = comparisons.select("doc_id", F.lit("comparison").alias("kind"), "source_name", "generated_at", F.lit(None).cast("string").alias("risk_level"), F.lit(None).cast("int").alias("truth_score"))
     return a.unionByName(b)
+
+
+def entity_name(df_first: str = "first_name", df_last: str = "last_name") -> Column:
+    return F.trim(F.concat(F.coalesce(df_first, F.lit("")), F.lit(" "), F.coalesce(df_last, F.lit(""))))
+
+
+def linked_scans(scans: DataFrame, entities: DataFrame) -> DataFrame:
+    """Every scan with its entity's reference and name; scans without one are unlinked. entities: entity_ref, first_name, last_name."""
+    names = entities.select(F.col("entity_ref").alias("__ref"), entity_name().alias("entity_name"))
+    out = scans.join(names, F.col("entity_ref") == F.col("__ref"), "left")
+    key = F.concat_ws("::", F.coalesce("document_type", F.lit("generic")), F.coalesce("__ref", F.lit("unlinked")))
+    return out.withColumns({"case_key": key, "entity_ref": F.coalesce("__ref", F.lit("unlinked")), "entity_name": F.coalesce("entity_name", F.lit("—"))}).drop("__ref")
+
+
+def recent_scans(scans: DataFrame, entities: DataFrame, k: int = 200, time: str = "generated_at") -> DataFrame:
+    """The newest scans with their entities; the limit comes before the join, so the join's other side may be of any size."""
+    return linked_scans(scans.orderBy(F.desc(time), F.desc("doc_id")).limit(k), entities)
+
+
+def entity_overview(entities: DataFrame, scans: DataFrame, checks: DataFrame, entries: DataFrame, time: str = "generated_at") -> DataFrame:
+    """Each entity with its newest scan of every source and type, its newest check of every type, and its layered entries.
+
+    Every side is reduced to one row an entity before its join. scans: source_name, document_type, doc_id, risk_level; checks: check_type,
+    verdict, checked_at; entries: screen, section, updated_at.
+    """
+    last = scans.groupBy("entity_ref", "source_name", F.coalesce("document_type", F.lit("generic")).alias("document_type")).agg(F.max(F.struct(time, "doc_id", "risk_level")).alias("s"))
+    s = last.groupBy("entity_ref").agg(F.array_sort(F.collect_list(F.struct("source_name", "document_type", F.col("s.doc_id").alias("doc_id"), F.col("s.risk_level").alias("risk_level")))).alias("scans"))
+    c = checks.groupBy("entity_ref", "check_type").agg(F.max(F.struct("checked_at", "verdict")).alias("c"))
+    c = c.groupBy("entity_ref").agg(F.array_sort(F.collect_list(F.struct("check_type", F.col("c.verdict").alias("verdict")))).alias("checks"))
+    e = entries.groupBy("entity_ref", "screen", "section").agg(F.max("updated_at").alias("updated_at"))
+    e = e.groupBy("entity_ref").agg(F.array_sort(F.collect_list(F.struct("screen", "section", "updated_at"))).alias("entries"))
+    out = entities
+    for side in (s, c, e):
+        out = out.join(side, "entity_ref", "left")
+    return out
+
+
+def log_tail(logs: DataFrame, k: int = 15, time: str = "ts", tie: str | None = None) -> DataFrame:
+    """The last records, the newest first."""
+    return logs.orderBy(F.desc(time), *([F.desc(tie)] if tie else [])).limit(k)
+
+
+def visible_layers(layers: Column, shown: tuple[int, ...] = (1, 2, 4)) -> Column:
+    """of an array of structs with a title those whose title names a shown layer."""
+    return F.filter(layers, lambda x: F.substring(x["title"], 1, 7).isin(*[f"Layer {n}" for n in shown]))

@@ -2,43 +2,25 @@
 
 from __future__ import annotations
 
-import tempfile
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docsleuth.functions import scalars as X
 from docsleuth.operators import blocks, cases, clusters, entities, evaluate, extract, identity, ledger, reconcile, reports, rules, series
+from docsleuth.plans import filings  # noqa: F401  (registers its queries)
 from docsleuth.plans import views as V
+from docsleuth.plans.registry import QUERIES, SQL, Query, longs, query
+from docsleuth.sources.shared import shared_dir, written
 from docsleuth.streaming import flows, kyc
 
-Query = Callable[[SparkSession, str], DataFrame]
-_QUERIES: dict[str, Query] = {}
-_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None, with_: str = "") -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        _QUERIES[f.__name__] = f
-        if sql:
-            # a filtered count is a BIGINT in both engines
-            _SQL[f.__name__] = ((f"WITH {with_} " if with_ else "") + sql).replace("count_if(", "count(*) FILTER (")
-        return f
-
-    return add
 
 
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
-
-
-def _long(*names: str) -> list:
-    return [F.col(n).cast("bigint").alias(n) for n in names]
+    return dict(SQL)
 
 
 # ledgers
@@ -76,7 +58,7 @@ def ledger_summary(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT account, ref, txn_no, CAST(row_number() OVER (PARTITION BY account, ref ORDER BY txn_no) AS BIGINT) AS use FROM v_ledger WHERE trim(ref) <> '' QUALIFY row_number() OVER (PARTITION BY account, ref ORDER BY txn_no) > 1", V.LEDGER)
 def duplicate_references(spark: SparkSession, d: str) -> DataFrame:
-    return ledger.repeated_references(V.ledger(spark, d)).select("account", "ref", "txn_no", *_long("use"))
+    return ledger.repeated_references(V.ledger(spark, d)).select("account", "ref", "txn_no", *longs("use"))
 
 
 @query("SELECT account, strftime(txn_date, '%Y-%m') AS month, txn_no, credit FROM v_ledger WHERE descr = 'signup' QUALIFY row_number() OVER (PARTITION BY account, strftime(txn_date, '%Y-%m') ORDER BY txn_no) > 1", V.LEDGER)
@@ -86,7 +68,7 @@ def salary_regularity(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT account, CAST(min(txn_date) AS VARCHAR) AS first_day, CAST(max(txn_date) AS VARCHAR) AS last_day, CAST(date_diff('day', min(txn_date), max(txn_date)) AS BIGINT) AS span_days, CAST(sum(debit) AS BIGINT) AS debit_total, CAST(sum(credit) AS BIGINT) AS credit_total FROM v_ledger GROUP BY account", V.LEDGER)
 def date_coverage(spark: SparkSession, d: str) -> DataFrame:
-    return ledger.coverage(V.ledger(spark, d)).select("account", F.col("first_date").cast("string").alias("first_day"), F.col("last_date").cast("string").alias("last_day"), *_long("span_days"), "debit_total", "credit_total")
+    return ledger.coverage(V.ledger(spark, d)).select("account", F.col("first_date").cast("string").alias("first_day"), F.col("last_date").cast("string").alias("last_day"), *longs("span_days"), "debit_total", "credit_total")
 
 
 _ERRORS = """v_error AS (SELECT account, txn_no, expected, abs(balance - expected) AS diff FROM (
@@ -149,29 +131,17 @@ def identity_drift(spark: SparkSession, d: str) -> DataFrame:
 
 # rules and scores
 
-_RULES = """v_rules AS (SELECT person, period,
-  CASE WHEN NOT (gross >= net AND net > 0) THEN 55 ELSE 0 END AS gross_net, CASE WHEN NOT (gross >= basic AND basic > 0) THEN 40 ELSE 0 END AS basic_within,
-  CASE WHEN NOT (net <= gross - pf - pt - tds + greatest(500.0, gross * 0.02)) THEN 60 ELSE 0 END AS net_arith,
-  CASE WHEN basic > 0 AND pf / basic > 0.125 THEN 15 ELSE 0 END AS pf_rate, CASE WHEN pt NOT BETWEEN 0 AND 200 THEN 15 ELSE 0 END AS pt_slab,
-  CASE WHEN gross * 12 > 700000 AND tds = 0 THEN 20 ELSE 0 END AS tds_rule, CASE WHEN basic > 0 AND hra / basic > 1.0 THEN 15 ELSE 0 END AS hra_prop,
-  CASE WHEN gross > 0 AND NOT (basic / gross BETWEEN 0.30 AND 0.55) THEN 20 ELSE 0 END AS basic_prop,
-  CASE WHEN basic > 0 AND hra / basic > 0.55 THEN CASE WHEN hra / basic * 100 - 50 > 30 THEN 50 WHEN hra / basic * 100 - 50 > 15 THEN 35 ELSE 25 END ELSE 0 END AS hra_basic,
-  CASE WHEN days NOT BETWEEN 0 AND 31 THEN 15 ELSE 0 END AS days_rule, CASE WHEN gross > 0 AND basic / gross < 0.20 THEN 20 ELSE 0 END AS basic_min,
-  CASE WHEN gross - deductions <> net THEN 65 ELSE 0 END AS exact, 5 AS name_missing FROM v_slip),
-v_score AS (SELECT *, gross_net + basic_within + net_arith + pf_rate + pt_slab + tds_rule + hra_prop + basic_prop + hra_basic + days_rule + basic_min + exact + name_missing AS risk FROM v_rules)"""
-
-
-@query("SELECT person, CAST(period AS VARCHAR) AS period, CAST(risk AS BIGINT) AS risk_score, CAST(greatest(0, 100 - risk) AS BIGINT) AS truth_score, CASE WHEN risk >= 60 THEN 'high' WHEN risk >= 25 THEN 'medium' ELSE 'low' END AS risk_level FROM v_score", f"{V.SLIPS}, {_RULES}")
+@query("SELECT person, CAST(period AS VARCHAR) AS period, CAST(risk AS BIGINT) AS risk_score, CAST(greatest(0, 100 - risk) AS BIGINT) AS truth_score, CASE WHEN risk >= 60 THEN 'high' WHEN risk >= 25 THEN 'medium' ELSE 'low' END AS risk_level FROM v_score", f"{V.SLIPS}, {V.RULES}")
 def payslip_scores(spark: SparkSession, d: str) -> DataFrame:
-    return rules.assess(V.slips(spark, d)).select("person", F.col("period").cast("string").alias("period"), *_long("risk_score", "truth_score"), "risk_level")
+    return rules.assess(V.slips(spark, d)).select("person", F.col("period").cast("string").alias("period"), *longs("risk_score", "truth_score"), "risk_level")
 
 
 @query(
     "SELECT * FROM (" + " UNION ALL ".join(f"SELECT 'domain::{n}' AS name, count_if({c} > 0) AS failed, CAST(sum({c}) AS BIGINT) AS total_score FROM v_rules" for n, c in [("gross_gte_net_pay", "gross_net"), ("basic_within_gross", "basic_within"), ("net_pay_arithmetic", "net_arith"), ("pf_rate_validity", "pf_rate"), ("pt_slab_validity", "pt_slab"), ("tds_plausibility", "tds_rule"), ("hra_proportion", "hra_prop"), ("basic_gross_proportion", "basic_prop"), ("hra_basic_proportion", "hra_basic"), ("paid_days_range", "days_rule"), ("basic_minimum_proportion", "basic_min")]) + ") WHERE failed > 0",
-    f"{V.SLIPS}, {_RULES}",
+    f"{V.SLIPS}, {V.RULES}",
 )
 def rule_failures(spark: SparkSession, d: str) -> DataFrame:
-    return rules.rule_rollup(rules.assess(V.slips(spark, d))).where("failed > 0 and name like 'domain::%'").select("name", "failed", *_long("total_score"))
+    return rules.rule_rollup(rules.assess(V.slips(spark, d))).where("failed > 0 and name like 'domain::%'").select("name", "failed", *longs("total_score"))
 
 
 # documents
@@ -213,7 +183,7 @@ def text_search(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT case_key, max(CASE risk_level WHEN 'high' THEN 2 WHEN 'medium' THEN 1 ELSE 0 END)::BIGINT AS risk_rank, least(100, min(truth_score))::BIGINT AS min_truth_score, max(generated_at) AS latest, count(*) AS n_documents, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY generated_at DESC) AS documents FROM v_report GROUP BY case_key", V.REPORTS)
 def case_groups(spark: SparkSession, d: str) -> DataFrame:
     found = cases.grouped(V.reports(spark, d))
-    return found.select("case_key", *_long("risk_rank", "min_truth_score"), "latest", "n_documents", F.array_join(F.transform("documents", lambda x: x["doc_id"].cast("string")), ",").alias("documents"))
+    return found.select("case_key", *longs("risk_rank", "min_truth_score"), "latest", "n_documents", F.array_join(F.transform("documents", lambda x: x["doc_id"].cast("string")), ",").alias("documents"))
 
 
 @query("SELECT case_key, status, disposition, priority, updated_at FROM v_state", V.CASE_EVENTS)
@@ -233,7 +203,7 @@ def _lanes(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT case_key, risk_rank::BIGINT AS risk_rank, latest, needs_review FROM v_lane ORDER BY needs_review DESC, risk_rank DESC, latest DESC, case_key LIMIT 50", f"{V.CASE_EVENTS}, {_QUEUE}")
 def case_queue(spark: SparkSession, d: str) -> DataFrame:
-    return cases.queue(_lanes(spark, d), 50).select("case_key", *_long("risk_rank"), "latest", "needs_review")
+    return cases.queue(_lanes(spark, d), 50).select("case_key", *longs("risk_rank"), "latest", "needs_review")
 
 
 @query("SELECT CASE WHEN needs_review THEN 'needs_review' WHEN risk_rank > 0 THEN 'resolved' ELSE 'auto_approved' END AS lane, count(*) AS n FROM v_lane GROUP BY 1", f"{V.CASE_EVENTS}, {_QUEUE}")
@@ -393,7 +363,7 @@ def bundle_risk(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT a.label::BIGINT AS block, a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id WHERE list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.40")
 def embedding_links(spark: SparkSession, d: str) -> DataFrame:
-    return identity.embedding_links(V.table(spark, d, "embeddings")).select(*_long("block"), "a", "b")
+    return identity.embedding_links(V.table(spark, d, "embeddings")).select(*longs("block"), "a", "b")
 
 
 @query("SELECT a.vec_id AS query, b.vec_id AS match FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0 AND list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.40")
@@ -453,40 +423,46 @@ def block_errors(spark: SparkSession, d: str) -> DataFrame:
 @query("WITH RECURSIVE e AS (SELECT s_suppkey AS node, 'n' || (s_suppkey % 41) AS v FROM supplier UNION ALL SELECT s_suppkey, 'm' || (s_suppkey // 30) FROM supplier WHERE s_suppkey % 2 = 0), r(node, low) AS (SELECT node, node FROM e UNION SELECT b.node, r.low FROM r JOIN e a ON r.node = a.node JOIN e b ON a.v = b.v) SELECT node, min(low) AS cluster FROM r GROUP BY 1")
 def shared_clusters(spark: SparkSession, d: str) -> DataFrame:
     rows = V.table(spark, d, "supplier").select(F.col("s_suppkey").alias("node"), (F.col("s_suppkey") % 41).alias("n"), F.when(F.col("s_suppkey") % 2 == 0, F.expr("s_suppkey div 30")).alias("m"))
-    _checkpoints(spark)
     return clusters.shared_clusters(rows, "node", ["n", "m"])
 
 
-def _checkpoints(spark: SparkSession) -> None:
-    """Where the session names no folder for checkpoints, as in tests, a local one."""
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-", dir="/tmp"))
+# streams, run over what there is
 
+def _log_stream(spark: SparkSession, d: str) -> DataFrame:
+    events = spark.readStream.schema(V.table(spark, d, "events").schema).parquet(f"{d}/events.parquet*")
+    return V.log_rows(events)
 
-def _scratch(spark: SparkSession) -> str:
-    import uuid
 
-    _checkpoints(spark)
-    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{uuid.uuid4().hex}"
+@query("SELECT strftime(date_trunc('minute', ts), '%Y-%m-%d %H:%M:%S') AS minute, level, count(*) AS n FROM v_log GROUP BY date_trunc('minute', ts), level HAVING date_trunc('minute', ts) + INTERVAL 6 MINUTE <= (SELECT max(ts) FROM v_log)", V.LOGS)
+def streamed_log_volume(spark: SparkSession, d: str) -> DataFrame:
+    """L13 as a stream: windows of a minute under a watermark of five; the sink holds the closed ones."""
+    base = shared_dir(spark)
+    found = flows.run_once(flows.log_volume(_log_stream(spark, d)), spark, f"{base}/sink", f"{base}/checkpoint")
+    return found.select(F.date_format("minute", "yyyy-MM-dd HH:mm:ss").alias("minute"), "level", "n")
 
 
-# streams, run over what there is
+@query("SELECT strftime(w, '%Y-%m-%d %H:%M:%S') AS start, count_if(level = 'ERROR') AS n_errors, count(*) AS n FROM (SELECT date_trunc('minute', ts) - to_minutes(k) AS w, level FROM v_log, generate_series(0, 9) g(k)) GROUP BY w HAVING w + INTERVAL 15 MINUTE <= (SELECT max(ts) FROM v_log)", V.LOGS)
+def streamed_live_errors(spark: SparkSession, d: str) -> DataFrame:
+    """L14 as a stream: sliding windows of ten minutes under a watermark of five; the sink holds the closed ones."""
+    base = shared_dir(spark)
+    found = flows.run_once(flows.live_errors(_log_stream(spark, d)), spark, f"{base}/sink", f"{base}/checkpoint")
+    return found.select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n_errors", "n")
 
-@query("SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, level, count(*) AS n FROM v_log GROUP BY 1, 2", V.LOGS)
-def streamed_log_days(spark: SparkSession, d: str) -> DataFrame:
-    """L13 as a stream: the sink holds every closed minute, and the batch twin the rest."""
-    base = _scratch(spark)
-    events = spark.readStream.schema(V.table(spark, d, "events").schema).parquet(f"{d}/events.parquet*")
-    level = F.when(F.col("event_type") == "error", "ERROR").when(F.col("event_type") == "view", "DEBUG").when(F.col("event_type") == "signup", "WARNING").otherwise("INFO")
-    timed = events.select(F.col("ts"), level.alias("level"))
-    out = flows.run_once(timed, spark, f"{base}/sink", f"{base}/checkpoint")
-    return out.groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day"), "level").agg(F.count(F.lit(1)).alias("n"))
+
+@query(SQL["payslip_scores"])
+def streamed_scores(spark: SparkSession, d: str) -> DataFrame:
+    """The batch rules over a stream of summaries."""
+    base = shared_dir(spark)
+    slips = written(V.slips(spark, d), f"{base}/slips")
+    found = flows.score_stream(spark.readStream.schema(slips.schema).parquet(f"{base}/slips"))
+    found = found.select("person", F.col("period").cast("string").alias("period"), *longs("risk_score", "truth_score"), "risk_level")
+    return flows.run_once(found, spark, f"{base}/sink", f"{base}/checkpoint")
 
 
 @query("SELECT doc_id, CASE WHEN greatest(licence, secret, english, german) = 0 THEN 'generic' WHEN licence = greatest(licence, secret, english, german) THEN 'licence' WHEN secret = greatest(secret, english, german) THEN 'secret' WHEN english >= german THEN 'english' ELSE 'german' END AS doc_type FROM s", _CLASS)
 def streamed_classification(spark: SparkSession, d: str) -> DataFrame:
     """The batch expressions over a stream."""
-    base = _scratch(spark)
+    base = shared_dir(spark)
     docs = spark.readStream.schema(V.table(spark, d, "documents").schema).parquet(f"{d}/documents.parquet*")
     found = docs.select("doc_id", extract.classify(F.lit(""), F.col("text"), _TAXONOMY)["type"].alias("doc_type"))
     return flows.run_once(found, spark, f"{base}/sink", f"{base}/checkpoint")
@@ -494,13 +470,13 @@ def streamed_classification(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def liveness_sessions(spark: SparkSession, d: str) -> DataFrame:
-    """Challenge events of keyed state; SQL has no such state, tests compare with the plain loop."""
-    base = _scratch(spark)
+    """Events of all four challenges by keyed state; SQL has no such state, tests compare with the plain loop."""
+    base = shared_dir(spark)
     V.frames(spark, d).write.parquet(f"{base}/frames")
     stream = spark.readStream.schema(spark.read.parquet(f"{base}/frames").schema).parquet(f"{base}/frames")
     before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
-        return flows.run_once(kyc.sessions(stream, ["turn_left", "turn_right", "nod"]), spark, f"{base}/sink", f"{base}/checkpoint")
+        return flows.run_once(kyc.sessions(stream), spark, f"{base}/sink", f"{base}/checkpoint")
     finally:
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)

@@ -85,6 +85,18 @@ v_slip AS (
          net + CASE WHEN person % 11 = 0 THEN 7 ELSE 0 END AS net FROM v_parts)"""
 
 
+RULES = """v_rules AS (SELECT person, period,
+  CASE WHEN NOT (gross >= net AND net > 0) THEN 55 ELSE 0 END AS gross_net, CASE WHEN NOT (gross >= basic AND basic > 0) THEN 40 ELSE 0 END AS basic_within,
+  CASE WHEN NOT (net <= gross - pf - pt - tds + greatest(500.0, gross * 0.02)) THEN 60 ELSE 0 END AS net_arith,
+  CASE WHEN basic > 0 AND pf / basic > 0.125 THEN 15 ELSE 0 END AS pf_rate, CASE WHEN pt NOT BETWEEN 0 AND 200 THEN 15 ELSE 0 END AS pt_slab,
+  CASE WHEN gross * 12 > 700000 AND tds = 0 THEN 20 ELSE 0 END AS tds_rule, CASE WHEN basic > 0 AND hra / basic > 1.0 THEN 15 ELSE 0 END AS hra_prop,
+  CASE WHEN gross > 0 AND NOT (basic / gross BETWEEN 0.30 AND 0.55) THEN 20 ELSE 0 END AS basic_prop,
+  CASE WHEN basic > 0 AND hra / basic > 0.55 THEN CASE WHEN hra / basic * 100 - 50 > 30 THEN 50 WHEN hra / basic * 100 - 50 > 15 THEN 35 ELSE 25 END ELSE 0 END AS hra_basic,
+  CASE WHEN days NOT BETWEEN 0 AND 31 THEN 15 ELSE 0 END AS days_rule, CASE WHEN gross > 0 AND basic / gross < 0.20 THEN 20 ELSE 0 END AS basic_min,
+  CASE WHEN gross - deductions <> net THEN 65 ELSE 0 END AS exact, 5 AS name_missing FROM v_slip),
+v_score AS (SELECT *, gross_net + basic_within + net_arith + pf_rate + pt_slab + tds_rule + hra_prop + basic_prop + hra_basic + days_rule + basic_min + exact + name_missing AS risk FROM v_rules)"""
+
+
 def reports(spark: SparkSession, d: str) -> DataFrame:
     """Orders as verification reports: a case for each customer."""
     score = F.expr("100 - o_orderkey * 13 % 97")
@@ -124,9 +136,14 @@ FRAMES = """v_frame AS (
          event_id * 53 % 89 / 100.0 AS pitch FROM events)"""
 
 
-def logs(spark: SparkSession, d: str) -> DataFrame:
+def log_rows(events: DataFrame) -> DataFrame:
+    """Events, as a table or a stream, as log records."""
     level = F.when(F.col("event_type") == "error", "ERROR").when(F.col("event_type") == "view", "DEBUG").when(F.col("event_type") == "signup", "WARNING").otherwise("INFO")
-    return table(spark, d, "events").select("ts", level.alias("level"), F.concat(F.lit("module"), (F.col("user_id") % 37).cast("string")).alias("module"), F.col("event_type").alias("msg"), whole(F.col("value") * 1000).alias("elapsed_ms"))
+    return events.select("ts", level.alias("level"), F.concat(F.lit("module"), (F.col("user_id") % 37).cast("string")).alias("module"), F.col("event_type").alias("msg"), whole(F.col("value") * 1000).alias("elapsed_ms"))
+
+
+def logs(spark: SparkSession, d: str) -> DataFrame:
+    return log_rows(table(spark, d, "events"))
 
 
 LOGS = """v_log AS (
@@ -135,18 +152,18 @@ LOGS = """v_log AS (
 
 
 def income_documents(spark: SparkSession, d: str) -> DataFrame:
-    """Documents of applicants with one income figure each: months as payslips, orders as letters and form 16."""
+    """Documents of applicants with one figure each: months as payslips, orders as letters, form 16 and gifts, customers as bank statements."""
     pay = series(spark, d).select(F.col("person").alias("case_id"), F.lit("payslip").alias("role"), "ord", "gross", "net", F.lit(None).cast("bigint").alias("annual"), F.lit(None).cast("bigint").alias("salary_credit"), F.concat(F.lit("ABCDE"), F.lpad((F.col("ord") % 3).cast("string"), 4, "0"), F.lit("F")).alias("pan"), F.lit("HDFC Bank").alias("bank_name"))
     total = whole(F.col("o_totalprice"))
-    other = table(spark, d, "orders").where("o_orderkey % 3 < 2")
-    other = other.select(F.col("o_custkey").alias("case_id"), F.when(F.col("o_orderkey") % 3 == 0, "form16").otherwise("letter").alias("role"), F.col("o_orderkey").alias("ord"), F.lit(None).cast("bigint").alias("gross"), F.lit(None).cast("bigint").alias("net"), (total * 12).alias("annual"), F.lit(None).cast("bigint").alias("salary_credit"), F.concat(F.lit("ABCDE"), F.lpad((F.col("o_orderkey") % 2).cast("string"), 4, "0"), F.lit("F")).alias("pan"), F.lit(None).cast("string").alias("bank_name"))
+    kind = F.when(F.col("o_orderkey") % 3 == 0, "form16").when(F.col("o_orderkey") % 3 == 1, "letter").otherwise("gift")
+    other = table(spark, d, "orders").select(F.col("o_custkey").alias("case_id"), kind.alias("role"), F.col("o_orderkey").alias("ord"), F.lit(None).cast("bigint").alias("gross"), F.lit(None).cast("bigint").alias("net"), (total * 12).alias("annual"), F.lit(None).cast("bigint").alias("salary_credit"), F.concat(F.lit("ABCDE"), F.lpad((F.col("o_orderkey") % 2).cast("string"), 4, "0"), F.lit("F")).alias("pan"), F.lit(None).cast("string").alias("bank_name"))
     bank = table(spark, d, "customer").select(F.col("c_custkey").alias("case_id"), F.lit("bank").alias("role"), F.col("c_custkey").alias("ord"), F.lit(None).cast("bigint").alias("gross"), F.lit(None).cast("bigint").alias("net"), F.lit(None).cast("bigint").alias("annual"), whole(F.abs("c_acctbal") * 20).alias("salary_credit"), F.lit(None).cast("string").alias("pan"), F.when(F.col("c_custkey") % 2 == 0, "HDFC BANK LTD").otherwise("ICICI BANK").alias("bank_name"))
     return pay.unionByName(other).unionByName(bank)
 
 
 INCOME = SERIES + """, v_income AS (
   SELECT person AS case_id, 'payslip' AS role, ord, gross, net, CAST(NULL AS BIGINT) AS annual, CAST(NULL AS BIGINT) AS salary_credit, 'ABCDE' || lpad(CAST(ord % 3 AS VARCHAR), 4, '0') || 'F' AS pan, 'HDFC Bank' AS bank_name FROM v_series
-  UNION ALL SELECT o_custkey, CASE WHEN o_orderkey % 3 = 0 THEN 'form16' ELSE 'letter' END, o_orderkey, NULL, NULL, CAST(round(o_totalprice) AS BIGINT) * 12, NULL, 'ABCDE' || lpad(CAST(o_orderkey % 2 AS VARCHAR), 4, '0') || 'F', NULL FROM orders WHERE o_orderkey % 3 < 2
+  UNION ALL SELECT o_custkey, CASE o_orderkey % 3 WHEN 0 THEN 'form16' WHEN 1 THEN 'letter' ELSE 'gift' END, o_orderkey, NULL, NULL, CAST(round(o_totalprice) AS BIGINT) * 12, NULL, 'ABCDE' || lpad(CAST(o_orderkey % 2 AS VARCHAR), 4, '0') || 'F', NULL FROM orders
   UNION ALL SELECT c_custkey, 'bank', c_custkey, NULL, NULL, NULL, CAST(round(abs(c_acctbal) * 20) AS BIGINT), NULL, CASE WHEN c_custkey % 2 = 0 THEN 'HDFC BANK LTD' ELSE 'ICICI BANK' END FROM customer),
 v_evidence AS (
   SELECT case_id, CAST(floor(avg(gross) FILTER (role = 'payslip')) AS BIGINT) AS avg_gross, CAST(floor(avg(net) FILTER (role = 'payslip')) AS BIGINT) AS avg_net,

@@ -36,6 +36,6 @@ def live_errors(logs: DataFrame, ts: str = "ts", delay: str = "5 minutes") -> Da
 
 
 def run_once(stream: DataFrame, spark: SparkSession, path: str, checkpoint: str, schema: str | None = None) -> DataFrame:
-    """Runs a stream over what there is and returns its sink as a table."""
+    """Runs a stream over what there is and returns its sink as a table; of windows it holds those that the watermark has closed."""
     stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(schema or stream.schema).parquet(path)

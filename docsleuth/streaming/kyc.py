@@ -4,15 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from docsleuth.operators.identity import MATCH
+
 CHALLENGES = ["turn_left", "turn_right", "nod", "blink"]
 RECENT, LEAST_FRAMES, TTL_MS = 20, 3, 30 * 60 * 1000
 LEFT, RIGHT, NOD = 0.62, 0.38, 0.28
-EVENT = "session_id string, frame_no bigint, status string, challenge string, passed int"
+EVENT = "session_id string, frame_no bigint, status string, challenge string, passed int, similarity double"
+#: The frames of a challenge that a blink is judged by, beside the recent ones.
+FIRST = 5
 
 
 def frame_features(points: str = "points", box: str = "bbox", extra: DataFrame | None = None) -> dict[str, Column]:
@@ -25,9 +30,10 @@ def frame_features(points: str = "points", box: str = "bbox", extra: DataFrame |
     return {"nose_rel_x": (at(2, "x") - b["x1"]) / width, "nose_rel_y": (at(2, "y") - b["y1"]) / height, "yaw": (at(2, "x") - eye_x) / apart, "pitch": (at(2, "y") - eye_y) / apart}
 
 
-def challenge_passed(kind: str, frames: list[dict]) -> bool:
-    """L02-L05 over a challenge's frames so far."""
-    if len(frames) < LEAST_FRAMES:
+def challenge_passed(kind: str, frames: list[dict], gone: int = 0, low: tuple[float, float] = (np.inf, np.inf)) -> bool:
+    """L02-L05 over a challenge's frames so far: the FIRST ones and the RECENT ones, and of those gone between them the number and the least ear and det_score."""
+    n = len(frames) + gone
+    if n < LEAST_FRAMES:
         return False
     recent = frames[-RECENT:]
     if kind == "turn_left":
@@ -36,69 +42,85 @@ def challenge_passed(kind: str, frames: list[dict]) -> bool:
         return min(f["nose_rel_x"] for f in recent) <= RIGHT
     if kind == "nod":
         pitch = [f["pitch"] for f in recent]
-        return len(frames) >= 6 and max(pitch) - min(pitch) >= NOD
-    if kind == "blink" and len(frames) >= 8:
+        return n >= 6 and max(pitch) - min(pitch) >= NOD
+    if kind == "blink" and n >= 8:
         ear, score = [f["ear"] for f in frames], [f["det_score"] for f in frames]
-        if sum(ear[:5]) / 5 > 0.18 and min(ear[5:]) < 0.15 and sum(ear[-5:]) / 5 > 0.18:
+        if sum(ear[:FIRST]) / FIRST > 0.18 and min(low[0], *ear[FIRST:]) < 0.15 and sum(ear[-5:]) / 5 > 0.18:
             return True
-        base = max(score[:5])
-        return base >= 0.88 and min(score[5:]) < 0.94 * base and sum(score[-5:]) / 5 >= 0.96 * base
+        base = max(score[:FIRST])
+        return base >= 0.88 and min(low[1], *score[FIRST:]) < 0.94 * base and sum(score[-5:]) / 5 >= 0.96 * base
     return False
 
 
 class Session(StatefulProcessor):
-    """The number of passed challenges and the current one's frames; a session without frames for half an hour expires."""
+    """The number of passed challenges and the current one's frames, a bounded number of them.
+
+    When the last challenge has passed, a session with a reference embedding completes if the frame's own embedding is as similar as face_match()
+    asks, else it fails; one without completes. A session without frames for half an hour expires, and what is kept of a
+    finished one goes by the same timer.
+    """
 
     FRAME = "frame_no bigint, nose_rel_x double, pitch double, ear double, det_score double"
     NAMES = ("frame_no", "nose_rel_x", "pitch", "ear", "det_score")
+    COLUMNS = ("session_id", "frame_no", "status", "challenge", "passed", "similarity")
 
     def __init__(self, challenges: list[str]):
         self.challenges = challenges
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.index = handle.getValueState("index", "n int, done boolean")
+        self.index = handle.getValueState("index", "n int, done boolean, gone int, ear double, score double")
         self.frames = handle.getListState("frames", self.FRAME)
 
+    def finished(self, frame: dict) -> tuple[str, float | None]:
+        """L07."""
+        reference, own = frame.get("reference"), frame.get("embedding")
+        if reference is None or not len(reference):
+            return "completed", None
+        similarity = float(np.dot(np.asarray(own, float), np.asarray(reference, float))) if own is not None and len(own) == len(reference) else 0.0
+        return "completed" if similarity >= MATCH else "failed", similarity
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        n, done = self.index.get() if self.index.exists() else (0, False)
+        n, done, gone, *low = self.index.get() if self.index.exists() else (0, False, 0, np.inf, np.inf)
         names = list(self.NAMES)
         history = [dict(zip(names, r, strict=True)) for r in self.frames.get()] if self.frames.exists() else []
         out = []
         incoming = pd.concat(list(rows)).sort_values("frame_no")
-        for frame in incoming[names].to_dict("records"):
+        for frame in incoming.to_dict("records"):
             if done:
                 break
             history.append(frame)
             kind = self.challenges[n]
-            if challenge_passed(kind, history):
-                n, history = n + 1, []
+            if challenge_passed(kind, history, gone, tuple(low)):
+                n, history, gone, low = n + 1, [], 0, [np.inf, np.inf]
                 done = n == len(self.challenges)
-                out.append((key[0], int(frame["frame_no"]), "completed" if done else "challenge_passed", kind, n))
-        self.index.update((n, done))
+                status, similarity = self.finished(frame) if done else ("challenge_passed", None)
+                out.append((key[0], int(frame["frame_no"]), status, kind, n, similarity))
+            elif len(history) > FIRST + RECENT:
+                old = history.pop(FIRST)
+                gone, low = gone + 1, [min(low[0], old["ear"]), min(low[1], old["det_score"])]
+        self.index.update((n, done, gone, *map(float, low)))
         self.frames.clear()
         if history and not done:
             self.frames.put([tuple(f[c] for c in names) for f in history])
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
-        expires = int(incoming["ts"].max().timestamp() * 1000) + TTL_MS
-        if not done and expires > timerValues.getCurrentWatermarkInMs():
-            self.handle.registerTimer(expires)
-        yield pd.DataFrame(out, columns=["session_id", "frame_no", "status", "challenge", "passed"])
+        self.handle.registerTimer(int(incoming["ts"].max().timestamp() * 1000) + TTL_MS)
+        yield pd.DataFrame(out, columns=list(self.COLUMNS)).astype({"similarity": "float64"})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        n, done = self.index.get() if self.index.exists() else (0, False)
+        n, done, *_ = self.index.get() if self.index.exists() else (0, False)
         self.index.clear()
         self.frames.clear()
-        rows = [] if done else [(key[0], -1, "expired", "", n)]
-        yield pd.DataFrame(rows, columns=["session_id", "frame_no", "status", "challenge", "passed"])
+        rows = [] if done else [(key[0], -1, "expired", "", n, None)]
+        yield pd.DataFrame(rows, columns=list(self.COLUMNS)).astype({"similarity": "float64"})
 
     def close(self) -> None:
         pass
 
 
 def sessions(frames: DataFrame, challenges: list[str] | None = None) -> DataFrame:
-    """Events of a stream of frames, by session; ts, a timestamp, drives the expiry."""
+    """Events of a stream of frames, by session; ts, a timestamp, drives the expiry. Frames may have an embedding and their session's reference embedding."""
     timed = frames.withWatermark("ts", "10 minutes")
     return timed.groupBy("session_id").transformWithStateInPandas(Session(challenges or CHALLENGES), EVENT, "Append", "EventTime")
 
