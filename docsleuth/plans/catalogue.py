@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from docsleuth.functions import scalars as X
 from docsleuth.operators import blocks, cases, clusters, entities, evaluate, extract, identity, ledger, reconcile, reports, rules, series
-from docsleuth.plans import filings  # noqa: F401  (registers its queries)
+from docsleuth.plans import filings, papers  # noqa: F401  (they register their queries)
 from docsleuth.plans import views as V
 from docsleuth.plans.registry import QUERIES, SQL, Query, longs, query
 from docsleuth.sources.shared import shared_dir, written
@@ -146,13 +146,9 @@ def rule_failures(spark: SparkSession, d: str) -> DataFrame:
 
 # documents
 
-_TAXONOMY = [("licence", ["license", "licensed", "copyright"]), ("secret", ["token", "password", "secret"]), ("english", ["the ", " and "]), ("german", [" der ", " und "]), ("generic", [])]
-_CLASS = "t AS (SELECT doc_id, lower(coalesce(text, '')) AS x FROM documents), s AS (SELECT doc_id, " + ", ".join(" + ".join(f"CASE WHEN contains(x, '{w}') THEN 1 ELSE 0 END" for w in ws) + f" AS {k}" for k, ws in _TAXONOMY if ws) + " FROM t)"
-
-
-@query("SELECT doc_id, CASE WHEN greatest(licence, secret, english, german) = 0 THEN 'generic' WHEN licence = greatest(licence, secret, english, german) THEN 'licence' WHEN secret = greatest(secret, english, german) THEN 'secret' WHEN english >= german THEN 'english' ELSE 'german' END AS doc_type, CAST(greatest(licence, secret, english, german) AS BIGINT) AS score FROM s", _CLASS)
+@query("SELECT doc_id, CASE WHEN greatest(licence, secret, english, german) = 0 THEN 'generic' WHEN licence = greatest(licence, secret, english, german) THEN 'licence' WHEN secret = greatest(secret, english, german) THEN 'secret' WHEN english >= german THEN 'english' ELSE 'german' END AS doc_type, CAST(greatest(licence, secret, english, german) AS BIGINT) AS score FROM s", V.CLASSES)
 def classified_documents(spark: SparkSession, d: str) -> DataFrame:
-    found = V.table(spark, d, "documents").withColumn("c", extract.classify(F.lit(""), F.col("text"), _TAXONOMY))
+    found = V.table(spark, d, "documents").withColumn("c", extract.classify(F.lit(""), F.col("text"), V.TAXONOMY))
     return found.select("doc_id", F.col("c.type").alias("doc_type"), F.coalesce(F.col("c.scores")[F.col("c.type")], F.lit(0)).cast("bigint").alias("score"))
 
 
@@ -459,12 +455,12 @@ def streamed_scores(spark: SparkSession, d: str) -> DataFrame:
     return flows.run_once(found, spark, f"{base}/sink", f"{base}/checkpoint")
 
 
-@query("SELECT doc_id, CASE WHEN greatest(licence, secret, english, german) = 0 THEN 'generic' WHEN licence = greatest(licence, secret, english, german) THEN 'licence' WHEN secret = greatest(secret, english, german) THEN 'secret' WHEN english >= german THEN 'english' ELSE 'german' END AS doc_type FROM s", _CLASS)
+@query("SELECT doc_id, CASE WHEN greatest(licence, secret, english, german) = 0 THEN 'generic' WHEN licence = greatest(licence, secret, english, german) THEN 'licence' WHEN secret = greatest(secret, english, german) THEN 'secret' WHEN english >= german THEN 'english' ELSE 'german' END AS doc_type FROM s", V.CLASSES)
 def streamed_classification(spark: SparkSession, d: str) -> DataFrame:
     """The batch expressions over a stream."""
     base = shared_dir(spark)
     docs = spark.readStream.schema(V.table(spark, d, "documents").schema).parquet(f"{d}/documents.parquet*")
-    found = docs.select("doc_id", extract.classify(F.lit(""), F.col("text"), _TAXONOMY)["type"].alias("doc_type"))
+    found = docs.select("doc_id", extract.classify(F.lit(""), F.col("text"), V.TAXONOMY)["type"].alias("doc_type"))
     return flows.run_once(found, spark, f"{base}/sink", f"{base}/checkpoint")
 
 

@@ -252,7 +252,7 @@ def statements(spark: SparkSession, d: str) -> DataFrame:
     return out.drop("transactions").join(df.select(F.col("k").alias("doc_id"), rows.cast(ledger.TRANSACTIONS).alias("transactions")), "doc_id")
 
 
-_STATEMENTS = V.BALANCES + """, v_rows AS (SELECT account AS doc_id, txn_date, txn_no, CASE WHEN descr = 'signup' THEN 'salary' ELSE descr END AS descr, ref, debit * 10 AS debit, credit * 10 AS credit, balance * 10 AS balance FROM v_balance),
+STATEMENTS = V.BALANCES + """, v_rows AS (SELECT account AS doc_id, txn_date, txn_no, CASE WHEN descr = 'signup' THEN 'salary' ELSE descr END AS descr, ref, debit * 10 AS debit, credit * 10 AS credit, balance * 10 AS balance FROM v_balance),
 v_pairs AS (SELECT DISTINCT a.doc_id FROM v_rows a JOIN v_rows b ON a.doc_id = b.doc_id AND a.txn_date = b.txn_date WHERE a.debit >= 100000 AND b.credit >= 100000 AND abs(a.debit - b.credit) * 100 <= a.debit * 2),
 v_refs AS (SELECT DISTINCT doc_id FROM (SELECT doc_id, trim(ref) AS r FROM v_rows WHERE trim(ref) <> '') GROUP BY doc_id, r HAVING count(*) > 1),
 v_months AS (SELECT DISTINCT doc_id FROM v_rows WHERE descr = 'salary' GROUP BY doc_id, strftime(txn_date, '%Y-%m') HAVING count(*) > 1),
@@ -276,7 +276,7 @@ _LEDGER_SIGNALS = [
         ("overdraft_flag", "closing < 0", "false", "'low'", "5"),
         *_LEDGER_SIGNALS,
     ),
-    _STATEMENTS,
+    STATEMENTS,
 )
 def banking_signals(spark: SparkSession, d: str) -> DataFrame:
     """The banking pack over statements."""
@@ -292,7 +292,7 @@ def banking_signals(spark: SparkSession, d: str) -> DataFrame:
         ("bank_statement_date_range", "true", "late <= 20 AND early <= 20", "'high'", "65"),
         ("bank_debit_credit_arithmetic", "n >= 2", "doc_id NOT IN (SELECT doc_id FROM v_diff WHERE diff >= 10000 AND diff % 1000 = 0)", "'critical'", "65"),
     ),
-    _STATEMENTS,
+    STATEMENTS,
 )
 def statement_signals(spark: SparkSession, d: str) -> DataFrame:
     """R36-R42, J08, V04."""

@@ -97,6 +97,10 @@ RULES = """v_rules AS (SELECT person, period,
 v_score AS (SELECT *, gross_net + basic_within + net_arith + pf_rate + pt_slab + tds_rule + hra_prop + basic_prop + hra_basic + days_rule + basic_min + exact + name_missing AS risk FROM v_rules)"""
 
 
+TAXONOMY = [("licence", ["license", "licensed", "copyright"]), ("secret", ["token", "password", "secret"]), ("english", ["the ", " and "]), ("german", [" der ", " und "]), ("generic", [])]
+CLASSES = "t AS (SELECT doc_id, lower(coalesce(text, '')) AS x FROM documents), s AS (SELECT doc_id, " + ", ".join(" + ".join(f"CASE WHEN contains(x, '{w}') THEN 1 ELSE 0 END" for w in ws) + f" AS {k}" for k, ws in TAXONOMY if ws) + " FROM t)"
+
+
 def reports(spark: SparkSession, d: str) -> DataFrame:
     """Orders as verification reports: a case for each customer."""
     score = F.expr("100 - o_orderkey * 13 % 97")
