@@ -57,14 +57,15 @@ class TrieEncoder:
         self.names = {i: t for t, i in self.vocab.items()} | {t["id"]: t["content"] for t in spec["added_tokens"]}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.ranks = {tuple(m if isinstance(m, list) else m.split(" ")): k for k, m in enumerate(model["merges"])}
-        #: for the last three symbols, the sizes of the longer tokens that end so
+        #: for the last four symbols, the sizes of the longer tokens that end so
         self.sizes: dict[str, set[int]] = {}
         for t in self.vocab:
             body, end = (t.removesuffix(self.end), self.end) if t.endswith(self.end) and len(t) > len(self.end) else (t, "")
-            if len(body) > 2:
-                self.sizes.setdefault(body[-3:] + end, set()).add(len(body))
-        self.sizes = {k: (*sorted(v, reverse=True), 2, 1) for k, v in self.sizes.items()}
+            if len(body) > 3:
+                self.sizes.setdefault(body[-4:] + end, set()).add(len(body))
+        self.sizes = {k: (*sorted(v, reverse=True), 3, 2, 1) for k, v in self.sizes.items()}
         self.follows: dict[int, bool] = {}
+        self.halves: dict[str, tuple[str, str, int]] = {}
         self.reset()
 
     def reset(self) -> None:
@@ -86,16 +87,51 @@ class TrieEncoder:
             parts[at : at + 2] = ["".join(parts[at : at + 2])]
         return parts
 
+    def half(self, token: str) -> tuple[str, str, int]:
+        """The two parts whose joining makes the token last, and that joining's rank; -1 for a symbol, and 1 << 61 for a token that joining never makes."""
+        if (known := self.halves.get(token)) is None:
+            parts = self.symbols(token)
+            known = (token, token, -1) if len(parts) == 1 else (token, token, 1 << 61)
+            while len(parts) > 1:
+                rank, at = min((self.ranks.get((a, b), 1 << 60), i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)))
+                if rank == 1 << 60:
+                    break
+                if len(parts) == 2:
+                    known = (parts[0], parts[1], rank)
+                parts[at : at + 2] = ["".join(parts[at : at + 2])]
+            self.halves[token] = known
+        return known
+
     def may_follow(self, before: int, token: int) -> bool:
-        """Whether the two stand side by side in an encoding; before is -1 at a word's start."""
-        own = [self.names[token]]
-        left = [] if before < 0 else [self.names[before]]
-        return self.merged([s for t in left + own for s in self.symbols(t)]) == left + own
+        """Whether the two stand side by side in an encoding; before is -1 at a word's start.
+
+        They do unless a joining over their border comes first: both are taken apart from their last joinings backwards, and
+        the parts that meet at the border must not be joined earlier than they became what they are.
+        """
+        right = self.names[token]
+        if before < 0:
+            return self.half(right)[2] < 1 << 61
+        left = self.names[before]
+        made = 1 << 60  # when the parts that meet now were joined to something else
+        (_, l2, lr), (r1, _, rr) = self.half(left), self.half(right)
+        if max(lr, rr) == 1 << 61:
+            return False
+        while True:
+            if self.ranks.get((left, right), 1 << 60) < made:
+                return False
+            if lr < 0 and rr < 0:
+                return True
+            if lr > rr:  # the joinings of equal rank go from left to right
+                left, made = l2, lr
+                _, l2, lr = self.half(left)
+            else:
+                right, made = r1, rr + 1
+                r1, _, rr = self.half(right)
 
     def last_token(self, word: str, depth: int, end: str) -> tuple[int, int]:
         """The last token of word[:depth], and where it starts."""
         get, last, follows = self.vocab.get, self.last, self.follows
-        for size in self.sizes.get(word[depth - 3 : depth] + end, (2, 1)) if depth > 2 else (2, 1):
+        for size in self.sizes.get(word[depth - 4 : depth] + end, (3, 2, 1)) if depth > 3 else (3, 2, 1):
             if size <= depth and (token := get(word[depth - size : depth] + end)) is not None:
                 key = (last[word[: depth - size]] + 1) << 20 | token
                 if (known := follows.get(key)) is None:

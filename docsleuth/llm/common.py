@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -12,30 +10,13 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docsleuth.sources.shared import shared_dir, written
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+__all__ = ["by_hash", "map_texts", "shared_dir", "slices", "table", "unused", "utf8", "written"]
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder that driver and executors share: below spark.checkpoint.dir, or, where that is unset and Spark is local (tests), below a local one."""
-    context = spark.sparkContext
-    base = context.getConf().get("spark.checkpoint.dir", None)
-    if not base:
-        if not context._jsc.sc().getCheckpointDir().isDefined():
-            if not context.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-            context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-", dir="/tmp"))
-        base = context._jsc.sc().getCheckpointDir().get()
-    return f"{base.rstrip('/')}/docsleuth-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, path: str | None = None) -> DataFrame:
-    """df, written once to the shared folder and read from there: later jobs neither recompute it nor depend on the executors that made it."""
-    spark = df.sparkSession
-    path = path or shared_dir(spark)
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def utf8(column: str) -> Column:

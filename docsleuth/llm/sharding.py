@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docsleuth.llm.common import utf8
+from docsleuth.llm.common import utf8, written
 
 SHARDS = 40
 #: Each shard's rows are numbered in this many blocks of hashed keys; their counts, shards x BLOCKS rows, are what may be broadcast.
@@ -51,8 +51,8 @@ def assign(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", weight
         .select("id", "size", "text_crc32", (-F.col("best.shard")).cast("int").alias("shard"), F.when(F.col("more") > F.col("best.score"), F.lit(n)).otherwise(-F.col("best.shard")).cast("int").alias("grown_shard"))
         .withColumn("block", F.pmod(F.xxhash64("id"), F.lit(BLOCKS)).cast("int"))
     )
-    # counting needs keys alone, so this second pass over the input reads one column
-    counts = df.select(F.col(id_col).alias("id")).select(shard_of(F.col("id"), weights).alias("shard"), F.pmod(F.xxhash64("id"), F.lit(BLOCKS)).cast("int").alias("block")).groupBy("shard", "block").count()
+    placed = written(placed)  # a few numbers a row; counting and numbering would otherwise rank all shards twice
+    counts = placed.groupBy("shard", "block").count()
     before = F.coalesce(F.sum("count").over(Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = counts.select("shard", "block", before.alias("offset"))
     numbered = placed.withColumn("at", F.row_number().over(Window.partitionBy("shard", "block").orderBy("id", "size", "text_crc32")))

@@ -1,4 +1,5 @@
 import hashlib
+import random
 
 import pytest
 from hypothesis import given, settings
@@ -53,3 +54,20 @@ def test_rows(docs, no_docs, rows):
     assert bpe.encode(no_docs).count() == 0
     back = {r["doc_id"]: r["text"] for r in bpe.decode(bpe.encode(docs)).collect()}
     assert back[8] == both("one")[1] and back[6] == ""
+
+
+def test_pairs_as_by_joining():
+    """may_follow() agrees with joining the two tokens' symbols from scratch."""
+    trie = bpe.TrieEncoder(bpe.vocabulary_path())
+    rng = random.Random(3)
+    ids = [i for i, t in trie.names.items() if t not in trie.special]
+    short = [i for i in ids if len(trie.names[i]) <= 4]
+    seen = set()
+    for n in range(20_000):
+        a, b = rng.choice(short if n % 2 else ids), rng.choice(short if n % 3 else ids)
+        left, right = trie.names[a], trie.names[b]
+        if not left.endswith(trie.end):
+            want = trie.merged([s for t in (left, right) for s in trie.symbols(t)]) == [left, right]
+            seen.add(want)
+            assert trie.may_follow(a, b) == want, (left, right)
+    assert seen == {True, False}
