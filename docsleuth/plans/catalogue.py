@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from docsleuth.functions import scalars as X
 from docsleuth.operators import blocks, cases, clusters, entities, evaluate, extract, identity, ledger, reconcile, reports, rules, series
-from docsleuth.plans import filings, papers  # noqa: F401  (they register their queries)
+from docsleuth.plans import desk, filings, papers  # noqa: F401  (they register their queries)
 from docsleuth.plans import views as V
 from docsleuth.plans.registry import QUERIES, SQL, Query, longs, query
 from docsleuth.sources.shared import shared_dir, written

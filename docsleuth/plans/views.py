@@ -140,10 +140,10 @@ FRAMES = """v_frame AS (
          event_id * 53 % 89 / 100.0 AS pitch FROM events)"""
 
 
-def log_rows(events: DataFrame) -> DataFrame:
+def log_rows(events: DataFrame, *more: str) -> DataFrame:
     """Events, as a table or a stream, as log records."""
     level = F.when(F.col("event_type") == "error", "ERROR").when(F.col("event_type") == "view", "DEBUG").when(F.col("event_type") == "signup", "WARNING").otherwise("INFO")
-    return events.select("ts", level.alias("level"), F.concat(F.lit("module"), (F.col("user_id") % 37).cast("string")).alias("module"), F.col("event_type").alias("msg"), whole(F.col("value") * 1000).alias("elapsed_ms"))
+    return events.select(*more, "ts", level.alias("level"), F.concat(F.lit("module"), (F.col("user_id") % 37).cast("string")).alias("module"), F.col("event_type").alias("msg"), whole(F.col("value") * 1000).alias("elapsed_ms"))
 
 
 def logs(spark: SparkSession, d: str) -> DataFrame:
