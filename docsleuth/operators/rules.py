@@ -19,28 +19,34 @@ SIGNAL = "struct<name:string,severity:string,score:int,summary:string,passed:boo
 Rule = Column
 
 
-def text(*keys: str) -> Column:
-    """The first key with a value that isn't empty."""
-    return X.first_filled(*[F.col("key_fields")[k] for k in keys])
+#: What packs ask of key_fields, by the name of the column that holds it: with_fields() computes each once a row.
+_TEXTS: dict[str, tuple[str, ...]] = {}
+_NUMBERS: dict[str, tuple[str, ...]] = {}
 
 
-#: The numbers of key_fields, parsed once a row by assess() before any rule asks for them.
-NUMBERS = "__numbers"
+def text(*keys: str) -> Column:
+    """The first key with a value that isn't empty."""
+    name = f"__text {'|'.join(keys)}"
+    _TEXTS[name] = keys
+    return F.col(f"`{name}`")
 
 
 def num(*keys: str) -> Column:
     """The number of the first key with a value that isn't empty."""
-    if len(keys) == 1:
-        return F.col(NUMBERS)[keys[0]]
-    filled = lambda k: F.coalesce(F.col("key_fields")[k] != "", F.lit(False))
-    out = F.when(filled(keys[0]), F.col(NUMBERS)[keys[0]])
-    for k in keys[1:]:
-        out = out.when(filled(k), F.col(NUMBERS)[k])
-    return out
+    name = f"__number {'|'.join(keys)}"
+    _NUMBERS[name] = keys
+    return F.col(f"`{name}`")
 
 
-def with_numbers(df: DataFrame) -> DataFrame:
-    return df.withColumn(NUMBERS, F.transform_values("key_fields", lambda _, v: X.parse_amount(v)))
+def with_fields(df: DataFrame) -> DataFrame:
+    """df with the columns that the packs built so far refer to; the optimiser leaves out those that a query doesn't use."""
+    first = lambda keys: X.first_filled(*[F.col("key_fields")[k] for k in keys])
+    # one key's number is that of any value, several keys' that of the first filled one: an empty value has none either way
+    return df.withColumns({n: first(k) for n, k in _TEXTS.items()} | {n: X.parse_amount(first(k)) for n, k in _NUMBERS.items()})
+
+
+def without_fields(df: DataFrame) -> DataFrame:
+    return df.drop(*_TEXTS, *_NUMBERS)
 
 
 def signal(name: str, applies: Column, passed: Column, severity: Column | str, score: Column | int, summary: str, **details: Column) -> Rule:
@@ -325,15 +331,26 @@ def image() -> list[Rule]:
     ]
 
 
-def _mortgage(as_of: Column) -> Column:
-    """Sub-routing by the type's text; a type that names none of them gets all but the utility rules."""
+def _mortgage(as_of: Column, types: list[str]) -> Column:
+    """Sub-routing by the type's text; a type that names none of them gets all but the utility rules. Only rules that types may get are in the plan."""
     t = F.col("doc_type")
-    slip, bank, job, tax, bill = t.contains("payslip"), t.contains("bank"), t.contains("employment"), t.contains("form16") | t.contains("tds"), t.contains("utility")
-    routed = [(slip, mortgage_payslip()), (bank, mortgage_bank()), (job, mortgage_employment(as_of)), (tax, mortgage_form16())]
-    rest = ~(slip | bank | job | tax | bill)
+    names = {"payslip": ("payslip",), "bank": ("bank",), "employment": ("employment",), "form16": ("form16", "tds"), "utility": ("utility",)}
+    kinds = lambda x: [k for k, ws in names.items() if any(w in x for w in ws)]
+    hit = {k: F.lit(False) for k in names}
+    for k, ws in names.items():
+        for w in ws:
+            hit[k] = t.contains(w) if w == ws[0] else hit[k] | t.contains(w)
+    everything = any(not kinds(x) for x in types)
+    rest = ~(hit["payslip"] | hit["bank"] | hit["employment"] | hit["form16"] | hit["utility"])
+    packs = {"payslip": mortgage_payslip, "bank": mortgage_bank, "employment": lambda: mortgage_employment(as_of), "form16": mortgage_form16, "utility": mortgage_utility}
     # a rule stands once in the plan, behind the types that it is for
-    gated = [F.when(rest | hit, r) for hit, rules in routed for r in rules]
-    return fired([*gated, *(F.when(bill, r) for r in mortgage_utility())])
+    gated = []
+    for k, pack in packs.items():
+        named = any(k in kinds(x) for x in types)
+        if named or everything and k != "utility":
+            gate = hit[k] if not everything or k == "utility" else rest | hit[k]
+            gated += [r if len(types) == 1 else F.when(gate, r) for r in pack()]
+    return fired(gated)
 
 
 def fired(rules: list[Rule]) -> Column:
@@ -362,29 +379,31 @@ def built_once(name: str, make: Callable[[], Column]) -> Column:
     return _BUILT[key]
 
 
-def domain_signals(as_of: Column | None = None) -> Column:
-    """The rules of each row's type; types without a pack get none."""
+def domain_signals(as_of: Column | None = None, types: list[str] | None = None) -> Column:
+    """The rules of each row's type; types without a pack get none. types: those that occur, where they are known; other rows then get none."""
     as_of = F.current_date() if as_of is None else as_of
-    return built_once(f"domain {as_of}", lambda: _domain_signals(as_of))
+    return built_once(f"domain {as_of} {types}", lambda: _domain_signals(as_of, types))
 
 
-def _domain_signals(as_of: Column) -> Column:
+def _domain_signals(as_of: Column, types: list[str] | None) -> Column:
     t = F.col("doc_type")
-    out = None
-    packs: dict[str, Column] = {k: fired(p()) for k, p in _USER_PACKS.items()}
-    for name, rules in (("payment_receipt", payments()), ("insurance", insurance()), ("healthcare", healthcare()), ("invoice", invoice()), ("compliance", compliance(as_of))):
-        packs.setdefault(name, fired(rules))
-    for name, made in packs.items():
-        out = F.when(t == name, made) if out is None else out.when(t == name, made)
-    return out.when(t.isin(*MORTGAGE_TYPES), _mortgage(as_of)).otherwise(F.array().cast(f"array<{SIGNAL}>"))
-
-
-def assess(df: DataFrame, as_of: Column | None = None, with_image: bool = False) -> DataFrame:
-    """Signals, risk_score, truth_score, risk_level, verdict for summaries with the columns named in this module."""
-    named = F.transform(domain_signals(as_of), lambda s: s.withField("name", F.concat(F.lit("domain::"), s["name"])))
-    df = with_numbers(df).withColumn("__core", built_once("core", lambda: fired(core()))).withColumn("__domain", named)
-    parts = [F.col("__core"), F.col("__domain"), *([fired(image())] if with_image else [])]
-    return scored(df.withColumn("signals", F.concat(*parts)).drop("__core", "__domain", NUMBERS))
+    wanted = lambda k: types is None or k in types
+    packs: dict[str, Column] = {k: fired(p()) for k, p in _USER_PACKS.items() if wanted(k)}
+    own: dict[str, Callable[[], list[Rule]]] = {"payment_receipt": payments, "insurance": insurance, "healthcare": healthcare, "invoice": invoice, "compliance": lambda: compliance(as_of)}
+    packs |= {k: fired(rules()) for k, rules in own.items() if wanted(k) and k not in packs}
+    routed = [k for k in MORTGAGE_TYPES if wanted(k) and k not in packs]
+    choices = [(t == k, made) for k, made in packs.items()] + ([(t.isin(*routed), _mortgage(as_of, routed))] if routed else [])
+    out = F.array().cast(f"array<{SIGNAL}>")
+    for hit, made in reversed(choices):
+        out = F.when(hit, made).otherwise(out)
+    return out
+
+
+def assess(df: DataFrame, as_of: Column | None = None, with_image: bool = False, types: list[str] | None = None) -> DataFrame:
+    """Signals, risk_score, truth_score, risk_level, verdict for summaries with the columns named in this module. types: see domain_signals()."""
+    named = F.transform(domain_signals(as_of, types), lambda s: s.withField("name", F.concat(F.lit("domain::"), s["name"])))
+    parts = [built_once("core", lambda: fired(core())), named, *([fired(image())] if with_image else [])]
+    return scored(without_fields(with_fields(df).withColumn("signals", F.concat(*parts))))
 
 
 def scored(df: DataFrame) -> DataFrame:

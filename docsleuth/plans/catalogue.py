@@ -133,7 +133,7 @@ def identity_drift(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT person, CAST(period AS VARCHAR) AS period, CAST(risk AS BIGINT) AS risk_score, CAST(greatest(0, 100 - risk) AS BIGINT) AS truth_score, CASE WHEN risk >= 60 THEN 'high' WHEN risk >= 25 THEN 'medium' ELSE 'low' END AS risk_level FROM v_score", f"{V.SLIPS}, {V.RULES}")
 def payslip_scores(spark: SparkSession, d: str) -> DataFrame:
-    return rules.assess(V.slips(spark, d)).select("person", F.col("period").cast("string").alias("period"), *longs("risk_score", "truth_score"), "risk_level")
+    return rules.assess(V.slips(spark, d), types=["payslip"]).select("person", F.col("period").cast("string").alias("period"), *longs("risk_score", "truth_score"), "risk_level")
 
 
 @query(
@@ -141,7 +141,7 @@ def payslip_scores(spark: SparkSession, d: str) -> DataFrame:
     f"{V.SLIPS}, {V.RULES}",
 )
 def rule_failures(spark: SparkSession, d: str) -> DataFrame:
-    return rules.rule_rollup(rules.assess(V.slips(spark, d))).where("failed > 0 and name like 'domain::%'").select("name", "failed", *longs("total_score"))
+    return rules.rule_rollup(rules.assess(V.slips(spark, d), types=["payslip"])).where("failed > 0 and name like 'domain::%'").select("name", "failed", *longs("total_score"))
 
 
 # documents
@@ -450,7 +450,7 @@ def streamed_scores(spark: SparkSession, d: str) -> DataFrame:
     """The batch rules over a stream of summaries."""
     base = shared_dir(spark)
     slips = written(V.slips(spark, d), f"{base}/slips")
-    found = flows.score_stream(spark.readStream.schema(slips.schema).parquet(f"{base}/slips"))
+    found = flows.score_stream(spark.readStream.schema(slips.schema).parquet(f"{base}/slips"), types=["payslip"])
     found = found.select("person", F.col("period").cast("string").alias("period"), *longs("risk_score", "truth_score"), "risk_level")
     return flows.run_once(found, spark, f"{base}/sink", f"{base}/checkpoint")
 

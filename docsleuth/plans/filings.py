@@ -40,7 +40,7 @@ def filing(df: DataFrame, doc_type: str, **fields: Column) -> DataFrame:
 
 
 def signals(df: DataFrame, found: Column) -> DataFrame:
-    one = rules.with_numbers(df).select("doc_id", F.explode_outer(found).alias("s")).where("s is not null")
+    one = rules.with_fields(df).select("doc_id", F.explode_outer(found).alias("s")).where("s is not null")
     return one.select("doc_id", "s.name", "s.severity", F.col("s.score").cast("bigint").alias("score"), "s.passed")
 
 
@@ -220,8 +220,9 @@ def tax_and_utility_signals(spark: SparkSession, d: str) -> DataFrame:
 )
 def payroll_signals(spark: SparkSession, d: str) -> DataFrame:
     """The payroll pack over payslips."""
-    rows = rules.with_numbers(V.slips(spark, d).withColumn("key_fields", F.map_filter(F.map_concat("key_fields", F.create_map(F.lit("uan"), F.when(F.col("person") % 3 == 1, "1001 6537 1521").when(F.col("person") % 3 == 2, "12345"))), lambda _, v: v.isNotNull())))
-    one = rows.select(F.col("person").alias("doc_id"), F.col("period").cast("string").alias("period"), F.explode_outer(rules.fired(rules.payroll())).alias("s")).where("s is not null")
+    found = rules.fired(rules.payroll())
+    rows = rules.with_fields(V.slips(spark, d).withColumn("key_fields", F.map_filter(F.map_concat("key_fields", F.create_map(F.lit("uan"), F.when(F.col("person") % 3 == 1, "1001 6537 1521").when(F.col("person") % 3 == 2, "12345"))), lambda _, v: v.isNotNull())))
+    one = rows.select(F.col("person").alias("doc_id"), F.col("period").cast("string").alias("period"), F.explode_outer(found).alias("s")).where("s is not null")
     return one.select("doc_id", "period", "s.name", "s.severity", F.col("s.score").cast("bigint").alias("score"), "s.passed")
 
 
@@ -385,5 +386,5 @@ def error_profiles(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT person, CAST(period AS VARCHAR) AS period, count(*) AS n_failed, CAST(sum(x) AS BIGINT) AS score FROM (SELECT person, period, unnest([gross_net, basic_within, net_arith, pf_rate, pt_slab, tds_rule, hra_prop, basic_prop, hra_basic, days_rule, basic_min]) AS x FROM v_rules) WHERE x > 0 GROUP BY ALL", f"{V.SLIPS}, {V.RULES}")
 def failed_rules(spark: SparkSession, d: str) -> DataFrame:
     """failed signals of payslips' domain rules."""
-    found = rules.failed_signals(rules.assess(V.slips(spark, d))).where("signal.name like 'domain::%'")
+    found = rules.failed_signals(rules.assess(V.slips(spark, d), types=["payslip"])).where("signal.name like 'domain::%'")
     return found.groupBy("person", F.col("period").cast("string").alias("period")).agg(F.count(F.lit(1)).alias("n_failed"), F.sum("signal.score").cast("bigint").alias("score"))

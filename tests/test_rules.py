@@ -14,7 +14,7 @@ def signals(spark, doc_type, fields, transactions=(), metadata=None, as_of="2026
 
 def pack(spark, made, fields, transactions=()):
     row = ("x", {k: str(v) for k, v in fields.items()}, {}, [], [], list(transactions))
-    df = rules.with_numbers(spark.createDataFrame([row], SCHEMA))
+    df = rules.with_fields(spark.createDataFrame([row], SCHEMA))
     return {s["name"]: s["score"] for s in df.select(rules.fired(made).alias("s")).first()["s"] if not s["passed"]}
 
 

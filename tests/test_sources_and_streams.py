@@ -1,11 +1,14 @@
+import datetime as dt
 import json
 
+import numpy as np
+
 from pyspark.sql import functions as F
 
 from docsleuth.plans import catalogue
 from docsleuth.plans import views as V
 from docsleuth.sources import files
-from docsleuth.streaming import kyc
+from docsleuth.streaming import flows, kyc
 
 SF = "/root/testdata/sf0.001"
 
@@ -60,7 +63,7 @@ def test_challenges():
 
 def test_session_stream_equals_plain_loop(spark):
     got = sorted((r["session_id"], r["frame_no"], r["challenge"]) for r in catalogue.liveness_sessions(spark, SF).collect() if r["status"] != "expired")
-    want, kinds = [], ["turn_left", "turn_right", "nod"]
+    want, kinds = [], kyc.CHALLENGES
     sessions = {}
     for r in V.frames(spark, SF).orderBy("frame_no").collect():
         sessions.setdefault(r["session_id"], []).append(r.asDict())
@@ -76,6 +79,38 @@ def test_session_stream_equals_plain_loop(spark):
     assert got == sorted(want)
 
 
+def test_long_challenges_keep_few_frames(spark):
+    """Folding the frames between the first and the recent ones changes no verdict."""
+    rng = np.random.default_rng(2)
+    for kind in kyc.CHALLENGES:
+        for _ in range(40):
+            whole, kept, gone, low = [], [], 0, [np.inf, np.inf]
+            for _ in range(90):
+                whole.append(frame(nose_rel_x=rng.uniform(0.35, 0.65), pitch=rng.uniform(0, 0.3), ear=rng.uniform(0.1, 0.3), det_score=rng.uniform(0.8, 1)))
+                kept.append(whole[-1])
+                assert kyc.challenge_passed(kind, whole) == kyc.challenge_passed(kind, kept, gone, tuple(low))
+                if len(kept) > kyc.FIRST + kyc.RECENT:
+                    old = kept.pop(kyc.FIRST)
+                    gone, low = gone + 1, [min(low[0], old["ear"]), min(low[1], old["det_score"])]
+
+
+def test_sessions_compare_with_the_reference(spark, tmp_path):
+    rows = []
+    for session, own, reference in (("same", [1.0, 0.0], [1.0, 0.0]), ("other", [0.0, 1.0], [1.0, 0.0]), ("none", [1.0, 0.0], None), ("lost", None, [1.0, 0.0])):
+        rows += [(session, i, 0.7, 0.6, 0.3, 1.0, dt.datetime(2024, 1, 1, 0, 0, i), own, reference) for i in range(4)]
+    rows += [("idle", 0, 0.5, 0.6, 0.3, 1.0, dt.datetime(2024, 1, 1), None, None), ("late", 0, 0.5, 0.6, 0.3, 1.0, dt.datetime(2024, 1, 1, 2), None, None)]
+    schema = "session_id string, frame_no bigint, nose_rel_x double, pitch double, ear double, det_score double, ts timestamp, embedding array<double>, reference array<double>"
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "f"))
+    stream = spark.readStream.schema(schema).parquet(str(tmp_path / "f"))
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        found = flows.run_once(kyc.sessions(stream, ["turn_left"]), spark, str(tmp_path / "s"), str(tmp_path / "c")).collect()
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+    assert {r["session_id"]: (r["status"], r["similarity"]) for r in found} == {"same": ("completed", 1.0), "other": ("failed", 0.0), "none": ("completed", None), "lost": ("failed", 0.0), "idle": ("expired", None)}
+
+
 def test_entry_point_without_llm(spark):
     import __spark_entry__
 
