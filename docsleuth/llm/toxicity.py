@@ -21,6 +21,7 @@ labels, or 0.
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -28,6 +29,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -140,39 +142,44 @@ def runs_of(values: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 @dataclass
 class Runs:
-    """Training runs: each word's features, each run's size and document."""
+    """Training runs: each word's features and their number, each run's size and document, in order."""
 
-    which: list[int] = field(default_factory=list)
-    n_features: list[int] = field(default_factory=list)
-    sizes: list[int] = field(default_factory=list)
-    documents: list[int] = field(default_factory=list)
+    which: np.ndarray
+    n_features: np.ndarray
+    sizes: np.ndarray
+    documents: np.ndarray
 
 
 def fit_field(runs: Runs, labels: np.ndarray, prior: np.ndarray, weight: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, float, np.ndarray]:
     """Weights, bias and transitions that make the documents' labels likeliest, with normal priors, those of the features' weights around prior; weight: of each document."""
     n_features = len(prior)
-    sizes = np.array(runs.sizes)
-    order = np.argsort(-sizes, kind="stable")
-    rank = np.empty_like(order)
-    rank[order] = np.arange(len(order))
-    owner = np.array(runs.documents)[order]
-    cells = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    columns = rank[np.repeat(np.arange(len(sizes)), sizes)]
-    which, word = np.array(runs.which), np.repeat(np.arange(len(cells)), runs.n_features)
-    sizes = sizes[order]
+    sizes, owner = np.array(runs.sizes), np.array(runs.documents)
+    which, word = np.array(runs.which), np.repeat(np.arange(len(runs.n_features)), runs.n_features)
+    begins = np.cumsum(sizes) - sizes
+    groups = []  # runs of similar size are padded together: run numbers, sizes, and of each word its place
+    for _, members in itertools.groupby(np.argsort(-sizes, kind="stable").tolist(), key=lambda k: int(sizes[k] - 1).bit_length()):
+        own = np.array(list(members))
+        n = sizes[own]
+        cells = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        columns = np.repeat(np.arange(len(own)), n)
+        groups.append((own, n, cells, columns, begins[own][columns] + cells, np.zeros((int(n[0]), len(own)))))
     sign = np.where(labels == 1, 1.0, -1.0) * weight * (1 - 2 * NOISE)
     centre = np.concatenate((prior, [-4.0, 0.0, 0.0, 0.0]))
     spread = np.concatenate((np.full(n_features, SPREAD), [4.0, 1.0, 1.0, 1.0]))
     params = centre.copy()
     m, v = np.zeros_like(params), np.zeros_like(params)
-    padded = np.zeros((int(sizes[0]), len(sizes)))
+    p, z, counts = np.zeros(len(runs.n_features)), np.zeros(len(sizes)), np.zeros((3, len(sizes)))
+    run_of_word = np.repeat(np.arange(len(sizes)), sizes)
     for r in range(1, rounds + 1):
-        padded[cells, columns] = params[n_features] + np.bincount(word, params[which], len(cells))
-        p, z, counts = passes(padded, sizes, params[n_features + 1 :])
+        emissions = params[n_features] + np.bincount(word, params[which], len(p))
+        for own, n, cells, columns, places, padded in groups:
+            padded[cells, columns] = emissions[places]
+            found, z[own], counts[:, own] = passes(padded, n, params[n_features + 1 :])
+            p[places] = found[cells, columns]
         clean = np.exp(-np.bincount(owner, z, len(labels)))  # the probability of no toxic word
         seen = np.where(labels == 1, (1 - clean) * (1 - NOISE) + clean * NOISE, clean * (1 - NOISE) + (1 - clean) * NOISE)
         push = (sign * clean / seen)[owner]  # of each run, what a unit more of expected counts brings
-        moved = p[cells, columns] * push[columns]
+        moved = p * push[run_of_word]
         gradient = np.concatenate((np.bincount(which, moved[word], n_features), [moved.sum()], counts @ push)) - (params - centre) / spread
         m, v = 0.9 * m + 0.1 * gradient, 0.99 * v + 0.01 * gradient**2
         params = params + 0.15 * (m / (1 - 0.9**r)) / (np.sqrt(v / (1 - 0.99**r)) + 1e-8)
@@ -198,7 +205,7 @@ def fit_document(x: np.ndarray, y: np.ndarray, rounds: int = 40, weight: np.ndar
 
 
 def training_rows(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = PER_CLASS) -> tuple[DataFrame, dict[int, float]]:
-    """y, text of about per_class documents of each class, without near copies, written once, as three passes follow; the classes' weights.
+    """y, text, least (their own shingle hash) of about per_class documents of each class, without near copies, written once, as three passes follow; the classes' weights.
 
     A class weighs its training labels over those chosen, so 1 if all are; the smaller weight is scaled to 1.
     """
@@ -223,7 +230,7 @@ def training_rows(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id
 
     kind = documents.schema[id_col].dataType.simpleString()
     keyed = found.mapInArrow(key, f"id {kind}, y int, text binary, least bigint")
-    rows = written(keyed.groupBy("least").agg(F.min(F.struct("id", "y", "text")).alias("r")).select("r.y", "r.text"))
+    rows = written(keyed.groupBy("least").agg(F.min(F.struct("id", "y", "text")).alias("r")).select("r.y", "r.text", "least"))
     return rows, {y: v / min(weights.values()) for y, v in weights.items()}
 
 
@@ -271,19 +278,15 @@ def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
                         sizes[-1] += 1
                 for x, y in zip(out, (which, n, [k for k in sizes if k]), strict=True):
                     x.append(y)
-            yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.list_(pa.int32())) for x in out), batch.column(0)], names=["which", "n", "sizes", "y"])
-
-    found = [tuple(r) for r in rows.mapInArrow(sequences, "which array<int>, n array<int>, sizes array<int>, y int").collect()]
-    found.sort()  # the order of rows is no one's choice
-    labels = np.array([y for *_, y in found])
-    runs = Runs()
-    for k, (which, n, sizes, _) in enumerate(found):
-        runs.which += which
-        runs.n_features += n
-        runs.sizes += sizes
-        runs.documents += [k] * len(sizes)
+            yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.list_(pa.int32())) for x in out), batch.column(0), batch.column(2)], names=["which", "n", "sizes", "y", "least"])
+
+    # the order of rows is no one's choice
+    found = rows.mapInArrow(sequences, "which array<int>, n array<int>, sizes array<int>, y int, least bigint").toArrow().sort_by("least")
+    flat = lambda c: pc.list_flatten(found[c].combine_chunks()).to_numpy()
+    labels = found["y"].to_numpy()
+    runs = Runs(flat("which"), flat("n"), flat("sizes"), np.repeat(np.arange(len(labels)), pc.list_value_length(found["sizes"]).to_numpy()))
     model = Model()
-    if runs.sizes:
+    if len(runs.sizes):
         w, model.bias, model.transitions = fit_field(runs, labels, prior, np.array([weights[y] for y in labels.tolist()]))
         model.weights = dict(zip(telling, w.tolist(), strict=True))
     own = marks(rows.select(F.lit(0).alias("id"), "text", "y"), model, keep="y").collect()

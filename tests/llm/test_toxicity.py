@@ -48,7 +48,7 @@ def test_runs_end_at_unknown_words_and_documents():
 def test_latent_tags():
     """Of two words that stand in toxic documents, one of them in clean ones too, the other gets the blame; staying pays where toxic words come in pairs."""
     rng = np.random.default_rng(1)
-    runs, labels = toxicity.Runs(), []
+    runs, labels = toxicity.Runs([], [], [], []), []
     for d in range(400):
         bad = d % 4 == 0
         labels.append(int(bad))
