@@ -48,26 +48,31 @@ def classify(name: Column, text: Column, taxonomy: list[tuple[str, list[str]]] =
     A marker counts once, wherever it stands; a type named by the file counts two more. The first type of the
     best score wins; without any the type is generic.
     """
-    name = F.lower(F.coalesce(name, F.lit("")))
-    whole = F.concat(name, F.lit("\n"), F.lower(F.coalesce(text, F.lit(""))))
-    scores, markers = [], []
-    for k, (kind, words) in enumerate(taxonomy):
-        hits = [F.when(F.contains(whole, F.lit(w)), F.lit(w)) for w in words]
-        boost = F.contains(name, F.lit(kind)) if kind != "generic" else F.lit(False)
-        scores.append(F.struct((sum((F.when(h.isNotNull(), 1).otherwise(0) for h in hits), F.lit(0)) + F.when(boost, 2).otherwise(0)).alias("score"), F.lit(-k).alias("rank"), F.lit(kind).alias("type")))
-        markers.append(F.struct(F.lit(kind).alias("type"), F.array_compact(F.array(*hits, F.when(boost, F.lit("(filename_boost)")))).alias("found")))
-    best = F.array_max(F.array(*scores))
-    hit = best["score"] > 0
-    positive = F.filter(F.array(*scores), lambda s: s["score"] > 0)
-    found = F.filter(F.array(*markers), lambda m: F.size(m["found"]) > 0)
-    return F.struct(
-        F.when(hit, best["type"]).otherwise("generic").alias("type"),
-        F.when(hit & (best["type"] != "generic"), F.least(F.lit(0.98), F.round(0.4 + 0.12 * best["score"], 2))).otherwise(0.2).alias("confidence"),
-        F.map_from_entries(F.transform(positive, lambda s: F.struct(s["type"], s["score"]))).alias("scores"),
-        F.map_from_entries(F.transform(found, lambda m: F.struct(m["type"], m["found"]))).alias("markers"),
-        F.length(F.coalesce(text, F.lit(""))).alias("text_length"),
-        F.left(F.translate(F.coalesce(text, F.lit("")), "\n", " "), F.lit(300)).alias("preview"),
-    )
+    name, text = F.lower(F.coalesce(name, F.lit(""))), F.coalesce(text, F.lit(""))
+
+    def marked(whole: Column) -> Column:
+        """Of each type its rank and the markers found."""
+        found = lambda kind, words: F.array_compact(F.array(*[F.when(F.contains(whole, F.lit(w)), F.lit(w)) for w in words], *([F.when(F.contains(name, F.lit(kind)), F.lit("(filename_boost)"))] if kind != "generic" else [F.lit(None).cast("string")])))
+        return F.array(*[F.struct(F.lit(-k).alias("rank"), F.lit(kind).alias("type"), found(kind, words).alias("found")) for k, (kind, words) in enumerate(taxonomy)])
+
+    def scored(types: Column) -> Column:
+        hit = F.transform(F.filter(types, lambda m: F.size(m["found"]) > 0), lambda m: F.struct((F.size(m["found"]) + F.when(F.array_contains(m["found"], "(filename_boost)"), 1).otherwise(0)).alias("score"), m["rank"].alias("rank"), m["type"].alias("type"), m["found"].alias("found")))
+        return F.struct(F.array_max(F.transform(hit, lambda h: F.struct(h["score"], h["rank"], h["type"]))).alias("best"), hit.alias("hit"))
+
+    def summed(x: Column) -> Column:
+        best, hit = x["best"], x["hit"]
+        return F.struct(
+            F.coalesce(best["type"], F.lit("generic")).alias("type"),
+            F.when(best["type"] != "generic", F.least(F.lit(0.98), F.round(0.4 + 0.12 * best["score"], 2))).otherwise(0.2).alias("confidence"),
+            F.map_from_entries(F.transform(hit, lambda h: F.struct(h["type"], h["score"]))).alias("scores"),
+            F.map_from_entries(F.transform(hit, lambda h: F.struct(h["type"], h["found"]))).alias("markers"),
+            F.length(text).alias("text_length"),
+            F.left(F.translate(text, "\n", " "), F.lit(300)).alias("preview"),
+        )
+
+    # arrays of one element bind what would else be evaluated for every marker, type and result
+    once = lambda value, make: F.get(F.transform(F.array(value), make), 0)
+    return once(once(once(F.concat(name, F.lit("\n"), F.lower(text)), marked), scored), summed)
 
 
 _DATE = r"\b\d{1,2}[/-]\d{1,2}[/-]\d{2,4}\b"
