@@ -14,6 +14,7 @@ Repeated items each count, repeated documents give repeated rows. An item's null
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docsleuth.llm.common import slices, utf8, written
+from docsleuth.llm.common import slices, unused, utf8, written
 from docsleuth.llm.suffix_automaton import SuffixAutomaton, runs, words
 
 WINDOW = 13
@@ -136,32 +137,59 @@ def contaminated(found: DataFrame, percent: int = COVERAGE_PERCENT):
     return (found["n_hit"] > 0) & (100 * found["n_hit"] >= percent * found["n_words"])
 
 
-def without_spans(df: DataFrame, benchmark: DataFrame, text_col: str = "text", least: int = WINDOW, window: int = WINDOW) -> DataFrame:
-    """df with the hit spans of at least so many words cut out of its texts, for corpora that keep the rest of such documents."""
-    spark = df.sparkSession
-    shared = [spark.sparkContext.broadcast(Matcher(p, window)) for p in blocks(benchmark, "item_id", "text", BLOCK_WORDS)]
-    at = df.columns.index(text_col)
+def without_spans(df: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", least: int = WINDOW, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """df with the hit spans of at least so many words cut out of its texts, for corpora that keep the rest of such documents.
 
-    def run(batches):
-        own = [b.value for b in shared]
-        for batch in batches:
-            yield batch.set_column(at, text_col, pa.array([None if t is None else cut(t, own, least) for t in batch.column(at).to_pylist()], pa.string()))
+    Larger benchmarks take more passes, as in matches(); each adds the spans it finds, and the last one's cut is made from all of them.
+    """
+    own = unused(df, "spans")
+    state = df.withColumn(own, F.array().cast("array<struct<start: bigint, end: bigint>>"))
+    group: list[list[tuple[str, bytes]]] = []
+    for block in blocks(benchmark, item_col, item_text_col, block_words):
+        if len(group) == PASS_BLOCKS:
+            state = written(_spanned(state, group, window, text_col, own))
+            group = []
+        group.append(block)
+    state = _spanned(state, group, window, text_col, own)
+    at, spans_at = state.columns.index(text_col), state.columns.index(own)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            texts = [None if t is None else cut(t, [(x["start"], x["end"]) for x in s], least) for t, s in zip(batch.column(at).to_pylist(), batch.column(spans_at).to_pylist(), strict=True)]
+            yield batch.set_column(at, text_col, pa.array(texts, pa.string()))
+
+    return state.mapInArrow(run, state.schema).drop(own)
+
+
+def _spanned(state: DataFrame, group: list[list[tuple[str, bytes]]], window: int, text_col: str, own: str) -> DataFrame:
+    """state, whose spans have those of one more group of blocks."""
+    shared = [state.sparkSession.sparkContext.broadcast(Matcher(p, window)) for p in group]  # each of block_words at most
+    at, spans_at = state.columns.index(text_col), state.columns.index(own)
 
-    return df.mapInArrow(run, df.schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matchers = [b.value for b in shared]
+        for batch in slices(batches):
+            out = []
+            for t, old in zip(batch.column(at).to_pylist(), batch.column(spans_at).to_pylist(), strict=True):
+                tokens = words((t or "").encode())
+                marks = np.zeros(len(tokens), bool)
+                for x in old:
+                    marks[x["start"] : x["end"]] = True
+                for m in matchers:
+                    marks |= m.spans(tokens)[0]
+                edges = np.flatnonzero(np.diff(np.concatenate(([0], marks.astype(np.int8), [0])))).tolist()
+                out.append([{"start": a, "end": b} for a, b in zip(edges[::2], edges[1::2], strict=True)])
+            yield batch.set_column(spans_at, own, pa.array(out, _SPANS))
 
+    return state.mapInArrow(run, state.schema)
 
-def cut(text: str, own: list[Matcher], least: int) -> str:
-    import re
 
+def cut(text: str, spans: list[tuple[int, int]], least: int) -> str:
+    """The text without its spans (of word numbers, the end after the last) of at least so many words."""
     raw = text.encode()
     places = [m.span() for m in re.finditer(rb"[0-9A-Za-z\x80-\xff]+", raw)]
-    tokens = words(raw)
-    marks = np.zeros(len(tokens), bool)
-    for m in own:
-        marks |= m.spans(tokens)[0]
-    edges = np.flatnonzero(np.diff(np.concatenate(([0], marks.astype(np.int8), [0]))))
     out, last = [], 0
-    for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
+    for a, b in spans:
         if b - a >= least:
             out.append(raw[last : places[a][0]])
             last = places[b - 1][1]

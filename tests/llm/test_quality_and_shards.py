@@ -1,5 +1,6 @@
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -61,3 +62,29 @@ def test_sharding(docs, no_docs, rows):
         slots.setdefault(r["shard"], []).append(r["slot"])
     assert all(sorted(x) == list(range(len(x))) for x in slots.values())
     assert sharding.assign(no_docs).count() == 0
+
+
+def test_expectation_maximisation_row_by_row():
+    """fit() over vote patterns equals the same maximisation over single rows; simulated accuracies come back where bounds allow."""
+    rng = random.Random(5)
+    truth = [0.95, 0.9, 0.85]
+    rows = []
+    for _ in range(4000):
+        good = rng.random() < 0.8
+        rows.append(tuple(None if rng.random() < 0.2 else int(good if rng.random() < a else not good) for a in truth))
+    prior, accuracy = quality.FIRST_PRIOR, [quality.FIRST_ACCURACY] * 3
+    for _ in range(quality.ROUNDS):
+        post = []
+        for votes in rows:
+            g, b = prior, 1 - prior
+            for v, a in zip(votes, accuracy, strict=True):
+                if v is not None:
+                    g, b = g * (a if v else 1 - a), b * (1 - a if v else a)
+            post.append(g / (g + b))
+        prior = min(quality.MOST_GOOD, max(0.5, sum(post) / len(rows)))
+        for i in range(3):
+            right = sum(q if v[i] else 1 - q for q, v in zip(post, rows, strict=True) if v[i] is not None) + 10 * quality.FIRST_ACCURACY
+            accuracy[i] = min(0.99, max(quality.LEAST_ACCURACY, right / (sum(v[i] is not None for v in rows) + 10)))
+    found = quality.fit(sorted(Counter(rows).items(), key=str))
+    assert abs(found[0] - prior) < 1e-9 and all(abs(a - b) < 1e-9 for a, b in zip(found[1], accuracy, strict=True))
+    assert abs(prior - 0.8) < 0.03 and all(abs(a - b) < 0.03 for a, b in zip(accuracy, truth, strict=True))

@@ -49,6 +49,7 @@ def test_decontamination(spark, docs, no_docs, rows, monkeypatch):
     assert decontam.matches(no_docs, table).count() == 0
     assert {r["n_hit"] for r in decontam.matches(docs, table.limit(0)).collect()} == {0}
     cut = {r["doc_id"]: r["text"] for r in decontam.without_spans(docs, table).collect()}
+    assert cut == {r["doc_id"]: r["text"] for r in decontam.without_spans(docs, table, block_words=3).collect()}  # as many passes as it takes
     assert brute(cut[4], items[:1])[1] == 0 and cut[1] == rows[0][1] and cut[5] is None
 
 
