@@ -24,8 +24,8 @@ from docsleuth.llm.common import map_texts
 #: The place of the default vocabulary on executors: the file's name in the installed package of public tokenizers.
 VOCABULARY = "word_bpe_49k.json"
 #: At these sizes a worker's trie and memo lose their long entries, which seldom recur, and if that isn't enough all: its memory is bounded whatever the input.
-MAX_NODES = 400_000
-MAX_WORDS = 300_000
+MAX_NODES = 700_000
+MAX_WORDS = 500_000
 MAX_PAIRS = 500_000
 KEPT_LENGTH = 7
 
