@@ -445,6 +445,16 @@ def streamed_live_errors(spark: SparkSession, d: str) -> DataFrame:
     return found.select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n_errors", "n")
 
 
+@query("SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, level, count(*) AS n FROM v_log GROUP BY 1, 2", V.LOGS)
+def streamed_log_days(spark: SparkSession, d: str) -> DataFrame:
+    """Days summed from the minutes that the stream has closed, and those of the batch twin that it has not."""
+    base = shared_dir(spark)
+    closed = flows.run_once(flows.log_volume(_log_stream(spark, d)), spark, f"{base}/sink", f"{base}/checkpoint")
+    last = closed.agg(F.max("minute").alias("last"))
+    rest = flows.log_volume(V.logs(spark, d)).crossJoin(F.broadcast(last)).where(F.coalesce(F.col("minute") > F.col("last"), F.lit(True))).drop("last")
+    return closed.unionByName(rest).groupBy(F.date_format("minute", "yyyy-MM-dd").alias("day"), "level").agg(F.sum("n").alias("n"))
+
+
 @query(SQL["payslip_scores"])
 def streamed_scores(spark: SparkSession, d: str) -> DataFrame:
     """The batch rules over a stream of summaries."""
