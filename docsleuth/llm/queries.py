@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docsleuth.llm import bpe, decontam, html_extract, licenses, quality, sharding, simhash, substring, toxicity, warc
+from docsleuth.llm import bpe, decontam, html_extract, licenses, periods, quality, resample, sharding, simhash, substring, toxicity, warc
 from docsleuth.llm.common import table
 
 
@@ -58,6 +60,26 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_chunks", "n_duplicate_chunks", "n_removed_words", "text")
 
 
+def planted(doc_id: int | None, ids: np.ndarray) -> np.ndarray:
+    """The contract's repetition in every tenth document, by the checksum of its id: from a word on, the words of one period over and over."""
+    h = 1 if doc_id is None else zlib.crc32(str(doc_id).encode())
+    n, g = len(ids), h // 10
+    if h % 10 or not n:
+        return ids
+    a = g % n
+    period = 1 + (n - a) // (3 + g % 8)
+    return np.concatenate([ids[:a], ids[a + np.arange(n - a) % period]])
+
+
+def op11_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periods.periodic_runs(table(spark, sf_dir, "documents"), alter=planted, outputs=False)
+
+
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = resample.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_html, op2_bpe, op3_toxicity, op4_decontamination, op5_simhash, op6_sharding, op7_warc, op8_quality, op9_licenses, op10_substring_dedup)
+    found = (op1_html, op2_bpe, op3_toxicity, op4_decontamination, op5_simhash, op6_sharding, op7_warc, op8_quality, op9_licenses, op10_substring_dedup, op11_periods, op13_resampling)
     return {f.__name__: f for f in found}
