@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docsleuth.llm import bpe, decontam, html_extract, licenses, periods, quality, resample, sharding, simhash, substring, toxicity, warc
+from docsleuth.llm import bpe, decontam, html_extract, licenses, periods, quality, resample, sharding, simhash, substring, suffixes, toxicity, warc
 from docsleuth.llm.common import table
 
 
@@ -75,11 +75,16 @@ def op11_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periods.periodic_runs(table(spark, sf_dir, "documents"), alter=planted, outputs=False)
 
 
+def op12_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffixes.deduplicated(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = resample.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_features", "weight", "score", "rank")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_html, op2_bpe, op3_toxicity, op4_decontamination, op5_simhash, op6_sharding, op7_warc, op8_quality, op9_licenses, op10_substring_dedup, op11_periods, op13_resampling)
+    found = (op1_html, op2_bpe, op3_toxicity, op4_decontamination, op5_simhash, op6_sharding, op7_warc, op8_quality, op9_licenses, op10_substring_dedup, op11_periods, op12_suffixes, op13_resampling)
     return {f.__name__: f for f in found}
