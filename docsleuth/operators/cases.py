@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docsleuth.functions import fixed
@@ -101,6 +101,23 @@ def lifecycle(assessments: DataFrame, state: DataFrame) -> DataFrame:
     return joined.where(open_case).withColumn("e", event).where("e is not null").select("case_key", "e.*")
 
 
+def lifecycle_in_order(assessments: DataFrame, state: DataFrame, order: str) -> DataFrame:
+    """L15 where a case may have several new assessments: each meets the case as those before it left it.
+
+    Of a case that nobody has seen the first assessment decides: low risk closes it, and a closed one is left alone; any other opens it, and then
+    low risk says nothing. So one look at a case's first row takes the place of a loop. Columns: case_key, the event's, and the order's.
+    """
+    first = assessments.groupBy("case_key").agg(F.min_by(F.lower("risk_level"), order).alias("first_level"), F.min(order).alias("first_at"))
+    known = first.join(state.select("case_key", "disposition", F.lit(True).alias("seen")), "case_key", "left").where(~F.coalesce("disposition", F.lit("open")).isin("cleared", "fraud_confirmed"))
+    closes = F.col("seen").isNull() & ~F.col("first_level").isin("high", "medium")
+    joined = assessments.join(known.select("case_key", closes.alias("closes"), "first_at"), "case_key")
+    level = F.lower("risk_level")
+    high, medium = level == "high", level == "medium"
+    told = joined.where(F.when(F.col("closes"), F.col(order) == F.col("first_at")).otherwise(high | medium))
+    closing = F.col("closes")
+    return told.select("case_key", F.when(closing, "closed").when(high, "triage").otherwise("new").alias("status"), F.when(closing, "cleared").otherwise("open").alias("disposition"), F.when(~closing & high, "high").otherwise("normal").alias("priority"), order)
+
+
 def reopened(anomalies: DataFrame, state: DataFrame) -> DataFrame:
     """Cleared cases of entities with an anomaly; matched on the parsed reference."""
     ref = F.substring_index("case_key", "::", -1)

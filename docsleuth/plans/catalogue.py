@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from docsleuth.functions import scalars as X
 from docsleuth.operators import blocks, cases, clusters, entities, evaluate, extract, identity, ledger, reconcile, reports, rules, series
-from docsleuth.plans import desk, filings, papers  # noqa: F401  (they register their queries)
+from docsleuth.plans import arrivals, desk, filings, papers  # noqa: F401  (they register their queries)
 from docsleuth.plans import views as V
 from docsleuth.plans.registry import QUERIES, SQL, Query, longs, query
 from docsleuth.sources.shared import shared_dir, written
@@ -480,9 +480,5 @@ def liveness_sessions(spark: SparkSession, d: str) -> DataFrame:
     base = shared_dir(spark)
     V.frames(spark, d).write.parquet(f"{base}/frames")
     stream = spark.readStream.schema(spark.read.parquet(f"{base}/frames").schema).parquet(f"{base}/frames")
-    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    try:
+    with flows.rocksdb(spark):
         return flows.run_once(kyc.sessions(stream), spark, f"{base}/sink", f"{base}/checkpoint")
-    finally:
-        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)

@@ -27,3 +27,35 @@ def written(df: DataFrame, path: str | None = None) -> DataFrame:
     path = path or shared_dir(spark)
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def _path(spark: SparkSession, path: str):
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return found, found.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is such a file or folder, in any store that Spark reads."""
+    found, store = _path(spark, path)
+    return store.exists(found)
+
+
+def names(spark: SparkSession, path: str) -> list[str]:
+    """What a folder holds directly; nothing if there is no such folder."""
+    found, store = _path(spark, path)
+    return sorted(s.getPath().getName() for s in store.listStatus(found)) if store.exists(found) else []
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    found, store = _path(spark, path)
+    store.delete(found, True)
+
+
+def placed(spark: SparkSession, folder: str, path: str) -> None:
+    """Moves the only part file of a folder that Spark wrote to a path of its own; what was there goes."""
+    part = next(n for n in names(spark, folder) if n.startswith("part-"))
+    found, store = _path(spark, path)
+    store.delete(found, False)
+    store.mkdirs(found.getParent())
+    if not store.rename(_path(spark, f"{folder}/{part}")[0], found):
+        raise OSError(f"could not move {folder} to {path}")

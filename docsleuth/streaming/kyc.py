@@ -125,6 +125,16 @@ def sessions(frames: DataFrame, challenges: list[str] | None = None) -> DataFram
     return timed.groupBy("session_id").transformWithStateInPandas(Session(challenges or CHALLENGES), EVENT, "Append", "EventTime")
 
 
+def with_references(frames: DataFrame, entities: DataFrame, key: str = "entity_ref", vector: str = "embedding") -> DataFrame:
+    """A stream of frames with their people's reference embeddings, from the table of entities, before any keyed state.
+
+    The table is read anew for every micro-batch; frames of unknown people have no reference. Of several rows of a person the one with the greatest
+    embedding counts, so that no frame is doubled.
+    """
+    known = entities.groupBy(F.col(key).alias("__ref")).agg(F.max(vector).alias("reference"))
+    return frames.drop("reference").join(known, F.col(key) == F.col("__ref"), "left").drop("__ref")
+
+
 def first_passes(frames: DataFrame) -> DataFrame:
     """W14, L02-L04 for a table of frames: per session the first frame at which each window challenge passes."""
     w = Window.partitionBy("session_id").orderBy("frame_no").rowsBetween(-(RECENT - 1), 0)
