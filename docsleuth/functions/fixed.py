@@ -92,3 +92,20 @@ TAN = "(?i)^[A-Z]{4}[0-9]{5}[A-Z]$"
 UPI = "^[a-zA-Z0-9.\\-_+]+@[a-zA-Z0-9]+$"
 GSTIN = "^[0-9]{2}[A-Z]{5}[0-9]{4}[A-Z][A-Z0-9]Z[A-Z0-9]$"
 RISK_RANK = {"low": 0, "medium": 1, "high": 2}
+
+# What letters and statements say, as patterns of running text, and the labels of a statement's balances.
+CIN_IN_TEXT = r"(?i)\bCIN[:\s]+([LU][0-9]{5}[A-Z]{2}[0-9]{4}[A-Z]{2,4}[0-9]{6})\b"
+ANNUAL_CTC = r"(?i)(?:ctc|cost.{0,30}?company)[^0-9\n]{0,40}?([0-9][0-9,]+)\s+per\s+annum"
+GROSS_MONTHLY = r"(?i)gross\s+monthly[^0-9\n]{0,20}?([0-9][0-9,]+)"
+JOINING_DATE = r"(?i)(?:with\s+effect\s+from|date\s+of\s+joining|joining\s+date|joining\s+from)\s+([0-9]{1,2}\s+[A-Za-z]+\s+[0-9]{4}|[0-9]{1,2}[/-][A-Za-z0-9]+[/-][0-9]{4})"
+ISSUE_DATE = r"(?:^|\n)\s*[Dd]ated?\s*[:\-]\s*([0-9]{1,2}\s+[A-Za-z]+\s+[0-9]{4}|[0-9]{1,2}[/-][0-9]{1,2}[/-][0-9]{4})"
+EMPLOYEE_NAME = r"(?:certify\s+that|employee\s+name\s*[:\-])\s*([A-Z][a-z]+(?:\s+[A-Z][a-z]+){1,3})[\s,.]"
+STATEMENT_PERIOD = r"(?i)([0-9]{1,2}[/-][A-Za-z0-9]+[/-][0-9]{4})\s+to\s+([0-9]{1,2}[/-][A-Za-z0-9]+[/-][0-9]{4})"
+IFSC_IN_TEXT = r"(?i)\b([A-Z]{4}0[A-Z0-9]{6})\b"
+MASKED_ACCOUNT = r"\b((?:X{4}\s?){2}[0-9]{4})\b"
+OPENING_LABELS = ["opening_balance", "opening_bal", "balance_bf", "balance_brought_forward"]
+CLOSING_LABELS = ["closing_balance", "closing_bal", "balance_cf", "balance_carried_forward"]
+GIFT_AMOUNT = r"(?i)(?:gifted?\s+a?\s*sum\s+of|gift\s+(?:amount|of))[^0-9\n]{0,30}?([0-9][0-9,]+)"
+PROPERTY_VALUE = r"(?i)property\s+value\s+is[^0-9\n]{0,20}?([0-9][0-9,]+)"
+DONOR_PAN = r"\bPAN\s*[:\-]\s*([A-Z]{5}[0-9]{4}[A-Z])\b"
+LETTER_DATE = r"[Dd]ate\s*[:\-]\s*([0-9]{1,2}\s+[A-Za-z]+\s+[0-9]{4})"

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from docsleuth.operators import quantiles, similar
+
 
 def noise_cv(df: DataFrame, image: str, blocks: list[str], value: str) -> DataFrame:
     """Spread of the blocks' standard deviations over their mean; 0 for flat images."""
@@ -14,11 +16,9 @@ def noise_cv(df: DataFrame, image: str, blocks: list[str], value: str) -> DataFr
 
 
 def top_residual(df: DataFrame, image: str, value: str, share: float = 0.05) -> DataFrame:
-    """Mean of the largest five per cent, scaled to 0-100."""
-    w = Window.partitionBy(image)
-    ranked = df.withColumn("__r", F.row_number().over(w.orderBy(F.desc(value)))).withColumn("__n", F.count(F.lit(1)).over(w))
-    top = ranked.where(F.col("__r") <= F.greatest(F.lit(1), F.floor(F.col("__n") * share)))
-    return top.groupBy(image).agg(F.least(F.lit(100.0), F.round(F.avg(value) * 3 / 255 * 100, 2)).alias("residual_score"))
+    """Mean of the largest five per cent, scaled to 0-100. The threshold comes from a sketch and an exact pass (quantiles.top), so no task sorts an image."""
+    found = quantiles.top(df, [image], value, lambda n: F.greatest(F.lit(1), F.floor(n * share)), around=1 - share)
+    return found.select(image, F.least(F.lit(100.0), F.round(F.col("top_sum") / F.col("k") * 3 / 255 * 100, 2)).alias("residual_score"))
 
 
 def high_error_share(df: DataFrame, image: str, blocks: list[str], value: str) -> DataFrame:
@@ -37,14 +37,16 @@ def channel_correlation(df: DataFrame, image: str, a: str, b: str, c: str) -> Da
 def copy_move(df: DataFrame, image: str, key: str, descriptor: str, x: str, y: str, diagonal: str, radius: int = 40, k: int = 3) -> DataFrame:
     """Similar descriptors (arrays of whole numbers, as bit sets) far apart in one image; per image half the number of such neighbours, 100 at most.
 
-    Of each key point the k nearest of its image count, itself included, so all pairs of an image are compared, as the nearest can't
-    be told otherwise; a detector gives an image some hundred key points. Images without such neighbours have no row.
+    Of each key point the k nearest of its image count, itself included. Points meet by blocks of their descriptors (similar.nearest), so most pairs of an
+    image are never compared. Images without such neighbours have no row.
     """
-    point = lambda p: F.struct(F.col(key).alias("k"), F.col(descriptor).alias("d"), F.col(x).alias("x"), F.col(y).alias("y")).alias(p)
-    a, b = df.select(image, diagonal, point("a")), df.select(image, point("b"))
-    distance = F.aggregate(F.zip_with("a.d", "b.d", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, v: s + v)
-    apart = F.hypot(F.col("a.x") - F.col("b.x"), F.col("a.y") - F.col("b.y")) >= 0.15 * F.col(diagonal)
-    other = F.col("a.k") != F.col("b.k")
-    pairs = a.join(b, image).select(image, F.col("a.k").alias("key"), F.struct(distance.alias("distance"), other.alias("other"), F.col("b.k").alias("k"), (other & apart).alias("apart")).alias("n"))
-    nearest = pairs.withColumn("__nth", F.row_number().over(Window.partitionBy(image, "key").orderBy("n"))).where(F.col("__nth") <= k)
-    return nearest.where((F.col("n.distance") <= radius) & F.col("n.apart")).groupBy(image).agg(F.least(F.lit(100.0), F.count(F.lit(1)) / 2).alias("copy_move_score"))
+    point = F.struct(F.col(key).alias("k"), F.col(x).alias("x"), F.col(y).alias("y"))
+    near = similar.nearest(df, image, key, descriptor, k, radius)
+    places = df.select(F.col(image).alias("__image"), point.alias("p"), F.col(diagonal).alias("__diagonal"))
+    at = lambda name: places.select(F.col("__image").alias(image), F.col("p.k").alias(name), F.col("p").alias(f"p_{name}"), F.col("__diagonal").alias(f"diagonal_{name}"))
+    placed = near.join(at("a"), [image, "a"]).join(at("b"), [image, "b"])
+    apart = F.hypot(F.col("p_a.x") - F.col("p_b.x"), F.col("p_a.y") - F.col("p_b.y")) >= 0.15 * F.col("diagonal_a")
+    other = F.col("a") != F.col("b")
+    n = F.struct("distance", other.alias("other"), F.col("b").alias("k"), (other & apart).alias("apart"))
+    ranked = placed.withColumn("n", n).withColumn("__nth", F.row_number().over(Window.partitionBy(image, "a").orderBy("n"))).where(F.col("__nth") <= k)
+    return ranked.where(F.col("n.apart")).groupBy(image).agg(F.least(F.lit(100.0), F.count(F.lit(1)) / 2).alias("copy_move_score"))

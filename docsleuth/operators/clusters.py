@@ -1,4 +1,4 @@
-"""Clusters of records that share attributes, and of near-equal templates."""
+"""Clusters of records that share attributes."""
 
 from __future__ import annotations
 
@@ -21,12 +21,3 @@ def shared_clusters(df: DataFrame, node: str, attributes: list[str]) -> DataFram
     found = components(held.join(least, ["k", "v"]).select(F.col("node").alias("a"), F.col("least").alias("b")))
     every = df.where(F.col(node).isNotNull()).select(F.col(node).alias("id")).distinct()
     return every.join(found, F.col("id") == F.col("node"), "left").select(F.col("id").alias("node"), F.coalesce("root", "id").alias("cluster"))
-
-
-def near_templates(df: DataFrame, id_col: str, bits: str, radius: int = 3) -> DataFrame:
-    """Pairs of distinct 64-bit template hashes at most three bits apart: they agree in one of four bands."""
-    bands = F.array(*[F.struct(F.lit(i).alias("i"), F.shiftrightunsigned(F.col(bits), 16 * i).bitwiseAND(F.lit(0xFFFF).cast("bigint")).alias("v")) for i in range(4)])
-    keyed = df.groupBy(F.col(bits).alias("h")).agg(F.min(id_col).alias("id")).withColumnRenamed("h", bits).select("id", bits, F.explode(bands).alias("band"))
-    a, b = keyed.alias("a"), keyed.alias("b")
-    near = a.join(b, F.col("a.band") == F.col("b.band")).where((F.col("a.id") < F.col("b.id")) & (F.bit_count(F.col(f"a.{bits}").bitwiseXOR(F.col(f"b.{bits}"))) <= radius))
-    return near.select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()

@@ -102,7 +102,7 @@ def _find(pattern: str, group: int = 1) -> Column:
 
 
 def _amount_over(pattern: str, least: int) -> Column:
-    v = X.parse_amount(F.regexp_replace(F.regexp_extract("full_text", pattern, 1), r"\.\d{1,2}$", ""))
+    v = X.parse_amount(F.regexp_extract("full_text", pattern, 1))
     return F.when(v > least, v.cast("string"))
 
 
@@ -115,40 +115,53 @@ def payslip_fields() -> dict[str, Column]:
 
 
 def employment_fields() -> dict[str, Column]:
-    """X18."""
-    day = r"(\d{1,2}[-/ ](?:\d{1,2}|[A-Za-z]{3,9})[-/ ,]*\d{4})"
+    """What a letter's sentences say; amounts without their commas, dates as written."""
     return {
-        "cin": F.upper(_find(r"(?i)\bCIN[:\s]+([LU][0-9]{5}[A-Z]{2}[0-9]{4}[A-Z]{2,4}[0-9]{6})\b")),
-        "annual_ctc": _amount_over(r"(?i)annual\s+(?:ctc|compensation|cost to company)[^0-9\n]{0,40}([0-9][0-9,]*(?:\.\d{1,2})?)", 10_000),
-        "monthly_gross": _amount_over(r"(?i)(?:gross monthly|monthly gross)[^0-9\n]{0,40}([0-9][0-9,]*(?:\.\d{1,2})?)", 1_000),
-        "join_date": _find(rf"(?i)(?:date of joining|joined|since)[^0-9\n]{{0,30}}{day}"),
-        "issue_date": _find(rf"(?i)(?:^|\n)\s*date\s*[:\s]\s*{day}"),
-        "employee_name": _find(r"(?i)(?:certify that|employee name)[:\s]+(?:mr\.?|ms\.?|mrs\.?)?\s*([A-Z][a-zA-Z.]+(?:\s+[A-Z][a-zA-Z.]+){0,3})"),
+        "cin": F.upper(_find(fixed.CIN_IN_TEXT)),
+        "annual_ctc": _amount_over(fixed.ANNUAL_CTC, 10_000),
+        "gross_monthly_salary": _amount_over(fixed.GROSS_MONTHLY, 1_000),
+        "date_of_joining": _find(fixed.JOINING_DATE),
+        "letter_issue_date": _find(fixed.ISSUE_DATE),
+        "employee_name": _find(fixed.EMPLOYEE_NAME),
     }
 
 
 def bank_fields() -> dict[str, Column]:
-    """X19."""
-    day = r"(\d{1,2}[-/ ](?:\d{1,2}|[A-Za-z]{3,9})[-/ ]\d{4})"
+    """A statement's head, and the totals and ends of its ledger (the column transactions)."""
     head = F.filter("line_list", lambda x: (F.length(x) < 70) & F.upper(x).rlike(r"\bBANK\b"))
+    balance = lambda labels: F.coalesce(*[X.parse_amount(F.get(F.col("named_fields")[x], 0)) for x in labels]).cast("string")
     return {
         "bank_name": F.get(head, 0),
-        "period_from": _find(rf"(?i)period[^0-9\n]{{0,20}}{day}\s*(?:to|-)\s*{day}", 1),
-        "period_to": _find(rf"(?i)period[^0-9\n]{{0,20}}{day}\s*(?:to|-)\s*{day}", 2),
-        "ifsc": _find(r"\b([A-Z]{4}0[A-Z0-9]{6})\b"),
-        "account_number": F.coalesce(_alias("account_number", "account_no", "a_c_no"), _find(r"([Xx*]{2,}\d{3,})")),
-        "opening_balance": _alias("opening_balance"),
-        "closing_balance": _alias("closing_balance"),
+        "period_from": _find(fixed.STATEMENT_PERIOD, 1),
+        "period_to": _find(fixed.STATEMENT_PERIOD, 2),
+        "ifsc": F.upper(_find(fixed.IFSC_IN_TEXT)),
+        "account_number": _find(fixed.MASKED_ACCOUNT),
+        "opening_balance": balance(fixed.OPENING_LABELS),
+        "closing_balance": balance(fixed.CLOSING_LABELS),
+        **ledger_fields(F.col("transactions")),
+    }
+
+
+def ledger_fields(t: Column) -> dict[str, Column]:
+    """Totals, and first and last day as written; rows whose date can't be read come first. None of an empty ledger."""
+    dated = F.transform(t, lambda x, i: F.struct(F.coalesce(X.bank_date(x["date"]), F.lit("0001-01-01").cast("date")).alias("d"), i.alias("i"), x["date"].alias("date")))
+    total = lambda side: F.aggregate(t, F.lit(0).cast("bigint"), lambda a, x: a + x[side])
+    some = F.size(t) > 0
+    return {
+        "credit_total": F.when(some, total("credit").cast("string")),
+        "debit_total": F.when(some, total("debit").cast("string")),
+        "earliest_txn_date": F.array_min(dated)["date"],
+        "latest_txn_date": F.array_max(dated)["date"],
     }
 
 
 def gift_fields() -> dict[str, Column]:
     """X22."""
     return {
-        "gift_amount": _amount_over(r"(?i)(?:sum|amount|gift)\s+of[^0-9\n]{0,20}([0-9][0-9,]*(?:\.\d{1,2})?)", 10_000),
-        "property_value": _amount_over(r"(?i)property\s+(?:value|worth|valued)[^0-9\n]{0,30}([0-9][0-9,]*(?:\.\d{1,2})?)", 10_000),
-        "donor_pan": _find(r"\b([A-Z]{5}[0-9]{4}[A-Z])\b"),
-        "letter_date": _find(r"(?i)date[:\s]+(\d{1,2}[-/ ](?:\d{1,2}|[A-Za-z]{3,9})[-/ ]\d{4})"),
+        "gift_amount": _amount_over(fixed.GIFT_AMOUNT, 10_000),
+        "property_value": _amount_over(fixed.PROPERTY_VALUE, 10_000),
+        "donor_pan": _find(fixed.DONOR_PAN),
+        "letter_date": _find(fixed.LETTER_DATE),
     }
 
 
@@ -180,7 +193,7 @@ def rederived_sides(t: Column) -> Column:
 
 
 def summaries(df: DataFrame, id_col: str = "doc_id", name_col: str = "source_name", pages: str = "pages", parity: bool = True, taxonomy: list[tuple[str, list[str]]] = fixed.DOC_TYPES) -> DataFrame:
-    """One row per document. parity=False also maps labels that rules know by other names and re-derives ledger sides."""
+    """One row per document, with the columns that rules.assess() asks for. parity=False also maps labels that rules know by other names and re-derives ledger sides."""
     base = df.select(F.col(id_col).alias("doc_id"), F.col(name_col).alias("source_name"), F.col(pages).alias("pages"))
     full = F.array_join(F.transform("pages", lambda p: F.coalesce(p["text"], F.lit(""))), "\n")
     listed = F.flatten(F.transform("pages", lambda p: F.filter(F.transform(F.split(F.coalesce(p["text"], F.lit("")), r"\R"), lambda x: F.trim(x)), lambda x: x != "")))
@@ -195,11 +208,15 @@ def summaries(df: DataFrame, id_col: str = "doc_id", name_col: str = "source_nam
     key_fields = None
     for name, fs in routed:
         key_fields = F.when(F.col("doc_type") == name, as_map(fs)) if key_fields is None else key_fields.when(F.col("doc_type") == name, as_map(fs))
-    out = out.withColumn("key_fields", key_fields.otherwise(scalar)).withColumn("transactions", F.when(F.col("doc_type") == "bank_statement", transactions(F.col("line_list"))).otherwise(F.array().cast(ledger.TRANSACTIONS)))
+    rows = transactions(F.col("line_list"))
+    out = out.withColumn("transactions", F.when(F.col("doc_type") == "bank_statement", rows).otherwise(F.array().cast(ledger.TRANSACTIONS)))
+    if not parity:
+        out = out.withColumn("transactions", rederived_sides(F.col("transactions")))
+    out = out.withColumn("key_fields", key_fields.otherwise(scalar))
     if not parity:
         extra = F.map_filter(F.create_map(F.lit("pf"), F.col("key_fields")["epf_contribution"], F.lit("ifsc_code"), F.col("key_fields")["ifsc"], F.lit("total_credits"), F.col("key_fields")["credit_total"], F.lit("total_debits"), F.col("key_fields")["debit_total"]), lambda _, v: v.isNotNull())
         only_new = F.map_filter(extra, lambda k, _: ~F.map_contains_key("key_fields", k))
-        out = out.withColumn("key_fields", F.map_concat("key_fields", only_new)).withColumn("transactions", rederived_sides(F.col("transactions")))
+        out = out.withColumn("key_fields", F.map_concat("key_fields", only_new))
     title = F.get(F.filter("line_list", lambda x: (F.length(x) > 10) & ~x.rlike(r"^[*\-= ]+$")), 0)
     slip_title = F.get(F.filter("line_list", lambda x: F.lower(x).contains("payslip for the month of")), 0)
     return out.withColumns({"issuer": F.get("line_list", 0), "title": F.when(F.col("doc_type") == "payslip", F.coalesce(slip_title, title)).otherwise(title), "line_count": F.size("line_list"), "dates": candidate_dates(F.col("full_text"))})

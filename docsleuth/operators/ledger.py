@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from docsleuth.functions import fixed
 from docsleuth.functions import scalars as X
+from docsleuth.operators import segments
 
 TRANSACTION = "struct<date:string,desc:string,ref:string,debit:bigint,credit:bigint,balance:bigint>"
 TRANSACTIONS = f"array<{TRANSACTION}>"
@@ -56,15 +57,26 @@ def balance_errors(rows: DataFrame, account: str = "account", date: str = "txn_d
     """Rows whose stated balance does not follow from the one before; large round differences are marked."""
     w = Window.partitionBy(account).orderBy(F.col(date).asc_nulls_first(), order)
     expected = F.lag(balance).over(w) + F.col("credit") - F.col("debit")
-    found = rows.withColumn("expected", expected).withColumn("diff", F.abs(F.col(balance) - F.col("expected")))
+    return _balance_errors(rows.withColumn("expected", expected), balance)
+
+
+def _balance_errors(rows: DataFrame, balance: str) -> DataFrame:
+    found = rows.withColumn("diff", F.abs(F.col(balance) - F.col("expected")))
     found = found.where(F.col("diff") > F.greatest(F.lit(500).cast("bigint"), (F.abs(F.col("expected")) * 0.01).cast("bigint")))
     return found.withColumn("round_number", (F.col("diff") >= 10_000) & (F.col("diff") % 1000 == 0))
 
 
+def balance_errors_in_ranges(rows: DataFrame, account: str = "account", date: str = "txn_date", order: str = "txn_no", balance: str = "balance", ranges: int | None = None) -> DataFrame:
+    """W02 for accounts of any size: as balance_errors(), but no task holds an account whole."""
+    found = segments.with_previous(rows, account, [date, order], [balance], ranges)
+    expected = F.col("previous")[balance] + F.col("credit") - F.col("debit")
+    return _balance_errors(found.withColumn("expected", expected).drop("previous"), balance)
+
+
 def first_balance_errors(rows: DataFrame, account: str = "account", **columns: str) -> DataFrame:
-    """R42 over a table: the first error of each account decides."""
-    order = columns.get("order", "txn_no")
-    return balance_errors(rows, account, **columns).groupBy(F.col(account).alias("account")).agg(F.count(F.lit(1)).alias("n_errors"), F.min_by(F.struct("diff", "round_number"), order).alias("first")).select("account", "n_errors", F.col("first.diff").alias("first_diff"), F.col("first.round_number").alias("suspicious"))
+    """R42 over a table: the first error of each account, by date and number, decides."""
+    at = F.struct(columns.get("date", "txn_date"), columns.get("order", "txn_no"))
+    return balance_errors(rows, account, **columns).groupBy(F.col(account).alias("account")).agg(F.count(F.lit(1)).alias("n_errors"), F.min_by(F.struct("diff", "round_number"), at).alias("first")).select("account", "n_errors", F.col("first.diff").alias("first_diff"), F.col("first.round_number").alias("suspicious"))
 
 
 def features(rows: DataFrame, account: str = "account", date: str = "txn_date") -> DataFrame:

@@ -242,9 +242,9 @@ def mortgage_bank() -> list[Rule]:
 
 def mortgage_employment(as_of: Column) -> list[Rule]:
     """R43-R47; nothing fires without a CIN, pay or joining date."""
-    cin, ctc, gross = text("cin"), num("annual_ctc"), num("monthly_gross")
+    cin, ctc, gross = text("cin", "company_cin", "company_identification_number"), num("annual_ctc", "ctc"), num("gross_monthly_salary", "monthly_gross", "monthly_gross_salary")
     join_text = text("join_date", "date_of_joining")
-    join, issue = X.employment_date(join_text), X.employment_date(text("issue_date", "letter_date"))
+    join, issue = X.employment_date(join_text), X.employment_date(text("letter_issue_date", "issue_date", "letter_date"))
     any_field = cin.isNotNull() | ctc.isNotNull() | gross.isNotNull() | join_text.isNotNull()
     valid = cin.rlike(fixed.CIN)
     year = F.regexp_extract(join_text, "((?:19|20)[0-9]{2})", 1).try_cast("int")
@@ -263,7 +263,7 @@ def mortgage_employment(as_of: Column) -> list[Rule]:
 
 def mortgage_form16() -> list[Rule]:
     """R48-R49."""
-    tan, gross, tds = text("tan", "tan_of_employer"), num("gross_salary"), num("tds")
+    tan, gross, tds = text("tan", "tan_of_employer", "employer_tan"), num("gross_salary", "gross_salary_total", "gross_earnings"), num("tds", "tax_deducted_at_source_tds", "total_tds")
     return [
         signal("tan_format_validity", tan.isNotNull(), tan.rlike(fixed.TAN), "medium", 15, "TAN has its format.", tan=tan),
         signal("form16_tds_plausibility", (gross != 0) & tds.isNotNull(), ~((gross > 700_000) & (tds == 0)), "medium", 20, "Tax is deducted above the threshold.", gross=gross, tds=tds),

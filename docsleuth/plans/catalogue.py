@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from docsleuth.functions import scalars as X
 from docsleuth.operators import blocks, cases, clusters, entities, evaluate, extract, identity, ledger, reconcile, reports, rules, series
-from docsleuth.plans import arrivals, desk, filings, papers  # noqa: F401  (they register their queries)
+from docsleuth.plans import arrivals, desk, filings, papers, pruned  # noqa: F401  (they register their queries)
 from docsleuth.plans import views as V
 from docsleuth.plans.registry import QUERIES, SQL, Query, longs, query
 from docsleuth.sources.shared import shared_dir, written
@@ -71,7 +71,7 @@ def date_coverage(spark: SparkSession, d: str) -> DataFrame:
     return ledger.coverage(V.ledger(spark, d)).select("account", F.col("first_date").cast("string").alias("first_day"), F.col("last_date").cast("string").alias("last_day"), *longs("span_days"), "debit_total", "credit_total")
 
 
-_ERRORS = """v_error AS (SELECT account, txn_no, expected, abs(balance - expected) AS diff FROM (
+_ERRORS = """v_error AS (SELECT account, txn_date, txn_no, expected, abs(balance - expected) AS diff FROM (
   SELECT *, lag(balance) OVER (PARTITION BY account ORDER BY txn_date, txn_no) + credit - debit AS expected FROM v_balance)
   WHERE abs(balance - expected) > greatest(500, CAST(trunc(abs(expected) * 0.01) AS BIGINT)))"""
 
@@ -81,7 +81,7 @@ def running_balance_errors(spark: SparkSession, d: str) -> DataFrame:
     return ledger.balance_errors(V.balances(spark, d)).select("account", "txn_no", "expected", "diff", "round_number")
 
 
-@query("SELECT account, count(*) AS n_errors, arg_min(diff, txn_no) AS first_diff, arg_min(diff >= 10000 AND diff % 1000 = 0, txn_no) AS suspicious FROM v_error GROUP BY account", f"{V.BALANCES}, {_ERRORS}")
+@query("SELECT account, count(*) AS n_errors, arg_min(diff, [CAST(txn_date - DATE '1970-01-01' AS BIGINT), txn_no]) AS first_diff, arg_min(diff >= 10000 AND diff % 1000 = 0, [CAST(txn_date - DATE '1970-01-01' AS BIGINT), txn_no]) AS suspicious FROM v_error GROUP BY account", f"{V.BALANCES}, {_ERRORS}")
 def first_balance_errors(spark: SparkSession, d: str) -> DataFrame:
     return ledger.first_balance_errors(V.balances(spark, d))
 

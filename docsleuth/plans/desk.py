@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docsleuth.functions import scalars as X
-from docsleuth.operators import blocks, cases, clusters, entities, evaluate, identity, ledger, reconcile, reports, series
+from docsleuth.operators import blocks, cases, clusters, entities, evaluate, identity, ledger, reconcile, reports, series, similar
 from docsleuth.plans import views as V
 from docsleuth.plans.filings import ORDERS, orders
 from docsleuth.plans.registry import query
@@ -293,20 +293,20 @@ _POINTS = """v_point AS (SELECT p_partkey // 25 AS image, p_partkey AS k, p_part
 
 @query(
     """SELECT image, CAST(count(*) AS BIGINT) AS neighbours FROM (SELECT *, row_number() OVER (PARTITION BY image, k ORDER BY distance, other, k2, apart) AS nth FROM (SELECT a.image, a.k, b.k AS k2, a.k <> b.k AS other, bit_count(xor(a.d, b.d)) + bit_count(xor(a.e, b.e)) AS distance, a.k <> b.k AND sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) >= 0.15 * 1000 AS apart FROM v_point a JOIN v_point b ON a.image = b.image))
-  WHERE nth <= 3 AND distance <= 40 AND apart GROUP BY 1 HAVING count(*) < 200""",
+  WHERE nth <= 3 AND distance <= 40 AND apart GROUP BY 1""",
     _POINTS,
 )
 def copy_moves(spark: SparkSession, d: str) -> DataFrame:
     """Parts as key points, some with near-equal descriptors far apart."""
     k = F.col("p_partkey")
     rows = V.table(spark, d, "part").select(F.expr("p_partkey div 25").alias("image"), k.alias("k"), F.array((k % 5 * 1_099_511_627).bitwiseXOR(k % 3), F.when(k % 2 == 0, F.lit(0).cast("bigint")).otherwise(F.lit((1 << 52) - 1))).alias("d"), (k % 25 * 40).cast("double").alias("x"), (k * 7 % 100).cast("double").alias("y"), F.lit(1000.0).alias("diagonal"))
-    return blocks.copy_move(rows, "image", "k", "d", "x", "y", "diagonal").where("copy_move_score < 100").select("image", (F.col("copy_move_score") * 2).cast("bigint").alias("neighbours"))
+    return blocks.copy_move(rows, "image", "k", "d", "x", "y", "diagonal").select("image", (F.col("copy_move_score") * 2).cast("bigint").alias("neighbours"))
 
 
 @query("SELECT a.id AS a, b.id AS b FROM v_hash a JOIN v_hash b ON a.id < b.id AND bit_count(xor(a.h, b.h)) <= 3", "v_hash AS (SELECT min(p_partkey) AS id, h FROM (SELECT p_partkey, p_partkey % 500 * 4101 AS h FROM part) GROUP BY h)")
 def near_templates(spark: SparkSession, d: str) -> DataFrame:
     """N08."""
-    return clusters.near_templates(V.table(spark, d, "part").select("p_partkey", (F.col("p_partkey") % 500 * 4101).alias("h")), "p_partkey", "h")
+    return similar.near_templates(V.table(spark, d, "part").select("p_partkey", (F.col("p_partkey") % 500 * 4101).alias("h")), "p_partkey", "h")
 
 
 _FACES = "v_face AS (SELECT l_orderkey AS frame, l_linenumber AS face, l_quantity AS w, l_linenumber + 10 AS h, l_extendedprice / 1000 AS px FROM lineitem)"

@@ -182,7 +182,7 @@ def employment_signals(spark: SparkSession, d: str) -> DataFrame:
     k, t = F.col("k"), F.col("t")
     number = F.concat((1985 + k % 17).cast("string"), F.lit("PTC"), F.lpad((k % 1_000_000).cast("string"), 6, "0"))
     joined = F.date_format(F.add_months("day", (-12 * (k % 19)).cast("int")), "d-M-yyyy")
-    df = filing(orders(spark, d), "employment_letter", cin=pick(F.concat(F.lit("U72200MH"), number), F.lower(F.concat(F.lit("U72200MH"), number)), "X12", None), annual_ctc=pick(None, t * 12, t * 12), monthly_gross=pick(None, *[t + (k % 5 - 2) * 20_000] * 4), join_date=pick(joined, joined, joined, None), issue_date=pick(None, *[F.date_format("day", "d MMMM yyyy")] * 6))
+    df = filing(orders(spark, d), "employment_letter", cin=pick(F.concat(F.lit("U72200MH"), number), F.lower(F.concat(F.lit("U72200MH"), number)), "X12", None), annual_ctc=pick(None, t * 12, t * 12), gross_monthly_salary=pick(None, *[t + (k % 5 - 2) * 20_000] * 4), date_of_joining=pick(joined, joined, joined, None), letter_issue_date=pick(None, *[F.date_format("day", "d MMMM yyyy")] * 6))
     return signals(df, rules.domain_signals(F.lit(AS_OF).cast("date")))
 
 

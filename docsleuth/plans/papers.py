@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docsleuth.functions import scalars as X
-from docsleuth.operators import entities, extract, identity, ledger, reconcile
+from docsleuth.operators import entities, extract, identity, ledger, reconcile, rules
 from docsleuth.plans import filings
 from docsleuth.plans import views as V
 from docsleuth.plans.filings import ORDERS, orders, pick
@@ -91,47 +91,96 @@ def extracted_payslips(spark: SparkSession, d: str) -> DataFrame:
 
 
 def letters(spark: SparkSession, d: str) -> DataFrame:
+    """An employment letter for each order: some without a CIN, some whose yearly and monthly pay disagree, some with a joining date of long ago."""
     k, t, day = F.col("k"), F.col("t"), F.col("day")
     comma = lambda c: F.format_number(c, 0)
+    number = said("CIN: U72200MH{}PTC{}", 1985 + k % 17, F.lpad((k % 1_000_000).cast("string"), 6, "0"))
+    issued = pick(said("Date: {}", F.date_format(day, "d MMMM yyyy")), said("Dated: {}", F.date_format(day, "dd-MM-yyyy")), said("Date - {}", F.date_format(day, "dd MMM yyyy")))
+    joined = F.date_format(F.add_months(day, (-12 * (k % 19)).cast("int")), "dd MMMM yyyy")
     return paper(
-        orders(spark, d), "k", F.concat(F.lit("letter"), k), "Acme Works Limited", said("CIN: U72200MH{}PTC{}", 1985 + k % 17, F.lpad((k % 1_000_000).cast("string"), 6, "0")), said("Date: {}", F.date_format(day, "d MMMM yyyy")), "To whomsoever it may concern",
-        said("This is to certify that Ms. Asha Person joined on {} as an engineer.", F.date_format(F.add_months(day, -24), "d-M-yyyy")), said("Her annual CTC is Rs. {}.00 and her gross monthly salary is Rs {} only.", comma(t * 12), comma(t)), "HR Department, employment verification",
+        orders(spark, d), "k", F.concat(F.lit("letter"), k), "Acme Works Limited", pick(number, number, "CIN: N/A"), issued, "TO WHOMSOEVER IT MAY CONCERN",
+        "This is to certify that Asha Person, bearing PAN ABCDE1234F, is a full-time employee of Acme Works.", pick(said("She is serving as engineer, with effect from {}.", joined), said("Date of Joining  {}", joined), "She is serving as engineer."),
+        said("Her current annual Cost-to-Company (CTC) is Rs. {} per annum (Gross Monthly: Rs. {}).", comma(t * 12), comma(t + (k % 5 - 2) * 20_000)), "Issued by the HR department for employment verification.",
     )
 
 
 def gifts(spark: SparkSession, d: str) -> DataFrame:
+    """A gift declaration for each order; a PAN counts by its label only."""
     k, t, day = F.col("k"), F.col("t"), F.col("day")
-    return paper(orders(spark, d), "k", F.concat(F.lit("gift_"), k), "GIFT DECLARATION", said("Date: {}", F.date_format(day, "dd/MM/yyyy")), said("I hereby declare that the sum of Rs {} is not a loan. This amount is a gift.", t * pick_n(1, 0)), said("Property value of Rs {}", F.format_number(t * 9, 0)), said("Donor PAN ABCDE{}F", F.lpad((k % 10_000).cast("string"), 4, "0")))
+    money = said("I do hereby declare that I have gifted a sum of Rs. {} to my daughter for the down payment.", F.format_number(t, 0))
+    return paper(
+        orders(spark, d), "k", F.concat(F.lit("gift_"), k), "GIFT DECLARATION LETTER", said("Date: {}", F.date_format(day, "dd MMMM yyyy")), pick(money, said("The gift amount is Rs {} only and not a loan.", t), "A sum of Rs 99,999 is not a loan. This amount is a gift."),
+        said("The property value is Rs. {}.", F.format_number(t * 9, 0)), "Her own number is QWERT1234Y", said("PAN: ABCDE{}F", F.lpad((k % 10_000).cast("string"), 4, "0")),
+    )
 
 
 def pick_n(*numbers: int) -> Column:
     return pick(*[str(n) for n in numbers]).cast("bigint")
 
 
+_LETTERS = ORDERS + """, v_said AS (SELECT k AS doc_id, CASE WHEN k % 3 < 2 THEN 'U72200MH' || (1985 + k % 17) || 'PTC' || lpad(CAST(k % 1000000 AS VARCHAR), 6, '0') END AS cin, 1985 + k % 17 AS born,
+  CASE WHEN t * 12 > 10000 THEN t * 12 END AS ctc, CASE WHEN abs(t + (k % 5 - 2) * 20000) > 1000 THEN abs(t + (k % 5 - 2) * 20000) END AS gross, CASE WHEN k % 3 < 2 THEN CAST(day - to_years(CAST(k % 19 AS INT)) AS DATE) END AS joined, day AS issued,
+  CASE k % 3 WHEN 0 THEN strftime(day, '%-d %B %Y') WHEN 1 THEN strftime(day, '%d-%m-%Y') ELSE strftime(day, '%d %b %Y') END AS issued_text FROM v_order)"""
+
+
 @query(
-    "SELECT k AS doc_id, 'employment_letter' AS doc_type, CASE WHEN t * 12 > 10000 THEN CAST(t * 12 AS VARCHAR) END AS yearly, CASE WHEN t > 1000 THEN CAST(t AS VARCHAR) END AS other, 'U72200MH' || (1985 + k % 17) || 'PTC' || lpad(CAST(k % 1000000 AS VARCHAR), 6, '0') AS code, strftime(CAST(day - INTERVAL 24 MONTH AS DATE), '%-d-%-m-%Y') AS started, strftime(day, '%-d %B %Y') AS issued FROM v_order"
-    " UNION ALL SELECT k, 'gift_letter', CASE WHEN k % 2 = 0 AND t > 10000 THEN CAST(t AS VARCHAR) END, CASE WHEN t * 9 > 10000 THEN CAST(t * 9 AS VARCHAR) END, 'ABCDE' || lpad(CAST(k % 10000 AS VARCHAR), 4, '0') || 'F', NULL, strftime(day, '%d/%m/%Y') FROM v_order",
-    ORDERS,
+    "SELECT doc_id, 'employment_letter' AS doc_type, CAST(ctc AS VARCHAR) AS yearly, CAST(gross AS VARCHAR) AS other, cin AS code, strftime(joined, '%d %B %Y') AS started, issued_text AS issued, 'Asha Person' AS name FROM v_said"
+    " UNION ALL SELECT k, 'gift_letter', CASE WHEN k % 3 < 2 AND t > 10000 THEN CAST(t AS VARCHAR) END, CASE WHEN t * 9 > 10000 THEN CAST(t * 9 AS VARCHAR) END, 'ABCDE' || lpad(CAST(k % 10000 AS VARCHAR), 4, '0') || 'F', NULL, strftime(day, '%d %B %Y'), NULL FROM v_order",
+    _LETTERS,
 )
 def extracted_letters(spark: SparkSession, d: str) -> DataFrame:
     """X18, X22, X23."""
     k = F.col("key_fields")
-    out = extract.summaries(letters(spark, d).unionByName(gifts(spark, d).withColumn("doc_id", -F.col("doc_id"))))
-    return out.select(F.abs("doc_id").alias("doc_id"), "doc_type", F.coalesce(k["annual_ctc"], k["gift_amount"]).alias("yearly"), F.coalesce(k["monthly_gross"], k["property_value"]).alias("other"), F.coalesce(k["cin"], k["donor_pan"]).alias("code"), k["join_date"].alias("started"), F.coalesce(k["issue_date"], k["letter_date"]).alias("issued"))
+    out = extract.summaries(letters(spark, d).unionByName(gifts(spark, d).withColumn("doc_id", -1 - F.col("doc_id"))))
+    number = F.when(F.col("doc_id") < 0, -1 - F.col("doc_id")).otherwise(F.col("doc_id"))
+    return out.select(number.alias("doc_id"), "doc_type", F.coalesce(k["annual_ctc"], k["gift_amount"]).alias("yearly"), F.coalesce(k["gross_monthly_salary"], k["property_value"]).alias("other"), F.coalesce(k["cin"], k["donor_pan"]).alias("code"), k["date_of_joining"].alias("started"), F.coalesce(k["letter_issue_date"], k["letter_date"]).alias("issued"), k["employee_name"].alias("name"))
+
+
+def scanned(papers: DataFrame, doc_type: str, parity: bool = True) -> DataFrame:
+    """3.1: texts to summaries to rules to scores, one plan with the shuffle that assembles labels: doc_id, doc_type, risk_score, risk_level, verdict, failed (names of failed rules)."""
+    found = extract.summaries(papers, parity=parity).withColumns({"metadata": F.create_map().cast("map<string,string>"), "signature_markers": F.array().cast("array<string>")})
+    out = rules.assess(found, F.lit(filings.AS_OF).cast("date"), types=[doc_type])
+    named = F.array_join(F.array_sort(F.transform(F.filter("signals", lambda s: ~s["passed"] & (s["score"] > 0)), lambda s: s["name"])), ",")
+    return out.select("doc_id", "doc_type", F.col("risk_score").cast("bigint").alias("risk_score"), "risk_level", "verdict", named.alias("failed"))
+
+
+def scan_sql(view: str, doc_type: str, *scores: tuple[str, str]) -> str:
+    """The same of a view whose columns give each rule's score."""
+    named = ", ".join(f"CASE WHEN {sql} > 0 THEN '{name}' END" for name, sql in sorted(scores))
+    total = " + ".join(f"({sql})" for _, sql in scores)
+    return f"""SELECT doc_id, '{doc_type}' AS doc_type, CAST(risk AS BIGINT) AS risk_score, CASE WHEN risk >= 60 THEN 'high' WHEN risk >= 25 THEN 'medium' ELSE 'low' END AS risk_level,
+  CASE WHEN risk >= 60 THEN 'suspicious_inconsistency' WHEN risk >= 25 THEN 'review_recommended' ELSE 'no_obvious_tampering' END AS verdict, concat_ws(',', {named}) AS failed FROM (SELECT *, {total} AS risk FROM {view})"""
+
+
+@query(
+    scan_sql(
+        "v_said",
+        "employment_letter",
+        ("domain::employer_cin_present", "CASE WHEN cin IS NULL THEN 35 ELSE 0 END"),
+        ("domain::cin_age_vs_join_date", "CASE WHEN cin IS NOT NULL AND born > year(joined) THEN 30 ELSE 0 END"),
+        ("domain::ctc_monthly_gross_consistency", "CASE WHEN ctc IS NOT NULL AND gross IS NOT NULL AND abs(ctc / 12 - gross) > greatest(5000, CAST(trunc(abs(ctc / 12) * 0.15) AS BIGINT)) THEN 20 ELSE 0 END"),
+        ("domain::employment_backdating_signal", f"CASE WHEN k_read AND issued > joined AND date_diff('day', issued, DATE '{filings.AS_OF}') BETWEEN 0 AND 365 AND date_diff('day', joined, issued) / 365.25 >= 12 THEN 40 ELSE 0 END"),
+    ).replace("k_read", "joined IS NOT NULL"),
+    _LETTERS,
+)
+def scanned_letters(spark: SparkSession, d: str) -> DataFrame:
+    """3.1, R43-R47: letters from text to score."""
+    return scanned(letters(spark, d), "employment_letter")
 
 
 def statement_papers(spark: SparkSession, d: str) -> DataFrame:
     """A bank statement's text for each account."""
     t = filings.statements(spark, d).select("doc_id", "transactions", F.col("key_fields")["closing_balance"].alias("close"))
-    first, last = F.get("transactions", 0), F.element_at("transactions", -1)
+    shown = lambda x, back: F.date_format(F.date_sub(X.bank_date(x["date"]), back), "dd-MMM-yyyy")
+    first_day, last_day = shown(F.get("transactions", 0), (F.col("doc_id") % 40).cast("int")), shown(F.element_at("transactions", -1), -(F.col("doc_id") % 25).cast("int"))
     rows = F.array_join(F.transform("transactions", lambda x: F.concat_ws("   ", x["date"], x["desc"], x["ref"], F.greatest(x["debit"], x["credit"]).cast("string"), x["balance"].cast("string"))), "\n")
     head = pick("HDFC BANK LTD", "STATE BANK OF INDIA", by="doc_id")
-    return paper(t, "doc_id", F.concat(F.lit("s"), "doc_id"), head, "Bank Statement", said("Account Number   XXXX{}", F.lpad((F.col("doc_id") % 10_000).cast("string"), 4, "0")), said("Statement period {} to {}", first["date"], last["date"]), "IFSC   HDFC0001234", "Opening Balance   10000000", rows, said("Closing Balance   {}", F.coalesce("close", F.lit("77"))))
+    return paper(t, "doc_id", F.concat(F.lit("s"), "doc_id"), head, "Bank Statement", said("Account: XXXX XXXX {}", F.lpad((F.col("doc_id") % 10_000).cast("string"), 4, "0")), said("{} to {}", first_day, last_day), "Branch IFSC hdfc0001234", pick("Opening Balance   10,000,000", "Balance BF   10000000", by="doc_id"), rows, said("Closing Balance   {}", F.coalesce("close", F.lit("77"))))
 
 
 @query(
-    """SELECT doc_id, 'bank_statement' AS doc_type, CASE doc_id % 2 WHEN 0 THEN 'HDFC BANK LTD' ELSE 'STATE BANK OF INDIA' END AS bank_name, 'HDFC0001234' AS ifsc, 'XXXX' || lpad(CAST(doc_id % 10000 AS VARCHAR), 4, '0') AS account_number, '10000000' AS opening, coalesce(CAST(closing AS VARCHAR), '77') AS closing,
-  strftime(f, '%d-%m-%Y') AS period_from, strftime(l, '%d-%m-%Y') AS period_to, shown AS n_rows, debits, credits FROM v_st JOIN (SELECT doc_id, min(txn_date) AS f, max(txn_date) AS l, count(*) FILTER (balance >= 1000) AS shown, coalesce(CAST(sum(debit) FILTER (balance >= 1000) AS BIGINT), 0) AS debits, coalesce(CAST(sum(credit) FILTER (balance >= 1000) AS BIGINT), 0) AS credits FROM v_rows GROUP BY 1) USING (doc_id)""",
+    """SELECT doc_id, 'bank_statement' AS doc_type, CASE doc_id % 2 WHEN 0 THEN 'HDFC BANK LTD' ELSE 'STATE BANK OF INDIA' END AS bank_name, 'HDFC0001234' AS ifsc, 'XXXX XXXX ' || lpad(CAST(doc_id % 10000 AS VARCHAR), 4, '0') AS account_number, '10000000' AS opening, coalesce(CAST(closing AS VARCHAR), '77') AS closing,
+  strftime(CAST(f - CAST(doc_id % 40 AS INT) AS DATE), '%d-%b-%Y') AS period_from, strftime(CAST(l + CAST(doc_id % 25 AS INT) AS DATE), '%d-%b-%Y') AS period_to, shown AS n_rows, debits, credits FROM v_st JOIN (SELECT doc_id, min(txn_date) AS f, max(txn_date) AS l, count(*) FILTER (balance >= 1000) AS shown, coalesce(CAST(sum(debit) FILTER (balance >= 1000) AS BIGINT), 0) AS debits, coalesce(CAST(sum(credit) FILTER (balance >= 1000) AS BIGINT), 0) AS credits FROM v_rows GROUP BY 1) USING (doc_id)""",
     filings.STATEMENTS,
 )
 def extracted_statements(spark: SparkSession, d: str) -> DataFrame:
@@ -142,6 +191,44 @@ def extracted_statements(spark: SparkSession, d: str) -> DataFrame:
     return found.select("doc_id", "doc_type", k["bank_name"].alias("bank_name"), k["ifsc"].alias("ifsc"), k["account_number"].alias("account_number"), k["opening_balance"].alias("opening"), k["closing_balance"].alias("closing"), k["period_from"].alias("period_from"), k["period_to"].alias("period_to"), F.size("transactions").cast("bigint").alias("n_rows"), total("debit").alias("debits"), total("credit").alias("credits"))
 
 
+_READ = filings.STATEMENTS + """, v_seen AS (SELECT *, greatest(debit, credit) AS amount, lag(balance) OVER (PARTITION BY doc_id ORDER BY txn_date, txn_no) AS before FROM v_rows WHERE balance >= 1000),
+v_read AS (SELECT doc_id, txn_date, txn_no, descr, ref, balance, before, CASE WHEN abs(balance - before) <> amount OR before IS NULL THEN debit WHEN balance < before THEN amount ELSE 0 END AS debit,
+  CASE WHEN abs(balance - before) <> amount OR before IS NULL THEN credit WHEN balance > before THEN amount ELSE 0 END AS credit FROM v_seen),
+v_wrong AS (SELECT doc_id, arg_min(diff, [CAST(txn_date - DATE '1970-01-01' AS BIGINT), txn_no]) AS diff FROM (SELECT *, abs(balance - (before + credit - debit)) AS diff, before + credit - debit AS expected FROM v_read) WHERE diff > greatest(500, CAST(trunc(abs(expected) * 0.01) AS BIGINT)) GROUP BY 1),
+v_scan AS (SELECT s.doc_id, s.closing, r.*, o.*, w.diff, t.n AS trips, f.n AS refs, m.n AS months FROM v_st s
+  LEFT JOIN (SELECT doc_id AS d, count(*) AS n, CAST(sum(debit) AS BIGINT) AS debits, CAST(sum(credit) AS BIGINT) AS credits, min(txn_date) AS first, max(txn_date) AS last FROM v_read GROUP BY 1) r ON s.doc_id = r.d
+  JOIN (SELECT doc_id AS d2, min(txn_date) AS all_first, max(txn_date) AS all_last FROM v_rows GROUP BY 1) o ON s.doc_id = o.d2
+  LEFT JOIN v_wrong w ON s.doc_id = w.doc_id
+  LEFT JOIN (SELECT a.doc_id, count(*) AS n FROM v_read a JOIN v_read b ON a.doc_id = b.doc_id AND a.txn_date = b.txn_date WHERE a.debit >= 100000 AND b.credit >= 100000 AND abs(a.debit - b.credit) * 100 <= a.debit * 2 GROUP BY 1) t ON s.doc_id = t.doc_id
+  LEFT JOIN (SELECT doc_id, count(*) AS n FROM (SELECT doc_id FROM v_read WHERE trim(ref) <> '' GROUP BY doc_id, trim(ref) HAVING count(*) > 1) GROUP BY 1) f ON s.doc_id = f.doc_id
+  LEFT JOIN (SELECT doc_id, count(*) AS n FROM (SELECT doc_id FROM v_read WHERE descr = 'salary' GROUP BY doc_id, strftime(txn_date, '%Y-%m') HAVING count(*) > 1) GROUP BY 1) m ON s.doc_id = m.doc_id)"""
+
+
+@query(
+    scan_sql(
+        "v_scan",
+        "bank_statement",
+        ("domain::balance_arithmetic", "CASE WHEN n > 0 AND abs(10000000 + credits - debits - coalesce(closing, 77)) > greatest(10, CAST(trunc(abs(coalesce(closing, 77)) * 0.01) AS BIGINT)) THEN 60 ELSE 0 END"),
+        ("domain::bank_ifsc_bank_name_consistency", "CASE WHEN doc_id % 2 = 1 THEN 65 ELSE 0 END"),
+        ("domain::circular_funds_detection", "CASE WHEN trips > 0 THEN 40 ELSE 0 END"),
+        ("domain::duplicate_txn_reference", "CASE WHEN refs > 0 THEN 35 ELSE 0 END"),
+        ("domain::salary_credit_regularity", "CASE WHEN months > 0 THEN 20 ELSE 0 END"),
+        ("domain::bank_statement_date_range", "CASE WHEN n > 0 AND (first - all_first + doc_id % 40 > 20 OR all_last - last + doc_id % 25 > 20) THEN 65 ELSE 0 END"),
+        ("domain::bank_debit_credit_arithmetic", "CASE WHEN n >= 2 AND diff >= 10000 AND diff % 1000 = 0 THEN 65 ELSE 0 END"),
+    ),
+    _READ,
+)
+def scanned_statements(spark: SparkSession, d: str) -> DataFrame:
+    """3.1, X19-X21, R36-R42: statements from text to score."""
+    return scanned(statement_papers(spark, d), "bank_statement", parity=False)
+
+
+@query(scan_sql("v_words", "payslip", ("amount_in_words_matches_net_pay", "CASE WHEN CASE k % 3 WHEN 0 THEN 5000 WHEN 1 THEN 901 END IS DISTINCT FROM t // 2 - t // 10 THEN 40 ELSE 0 END")).replace("doc_id", "k AS doc_id", 1), _SLIP)
+def scanned_payslips(spark: SparkSession, d: str) -> DataFrame:
+    """3.1, R24-R35, R51-R53: payslips from text to score."""
+    return scanned(payslips(spark, d), "payslip", parity=False)
+
+
 @query("SELECT doc_id, count(*) AS n_rows, CAST(sum(debit) AS BIGINT) AS debit_total, CAST(sum(credit) AS BIGINT) AS credit_total, CAST(min(txn_date) AS VARCHAR) AS first_day, CAST(max(txn_date) AS VARCHAR) AS last_day FROM v_rows WHERE balance >= 1000 GROUP BY 1", filings.STATEMENTS)
 def statement_totals(spark: SparkSession, d: str) -> DataFrame:
     """The ledger in the statements' texts, through the table form."""

@@ -3,7 +3,7 @@
 A sync lists the source, compares it with the newest whole snapshot by path, length and modification time, copies what is new or changed into
 its own version's folder and writes the manifest last. The manifest is the commit point: a version without one counts for nothing, and
 the next sync writes it anew. A snapshot names every file of the source with the version that holds its bytes, so unchanged files are
-never copied again, and any version can be read as it was.
+never copied again, and any version can be read as it was. Empty files are left out, as Spark's readers don't list them.
 """
 
 from __future__ import annotations

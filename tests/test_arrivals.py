@@ -70,7 +70,7 @@ def test_sync_versions(spark, tmp_path):
     source, target = tmp_path / "in", f"{tmp_path}/out"
     (source / "deep").mkdir(parents=True)
     (source / "a.txt").write_bytes(b"one")
-    (source / "deep" / "b.TXT").write_bytes(b"")
+    (source / "deep" / "b.TXT").write_bytes(b"x")
     (source / "c.exe").write_bytes(b"no")
     assert sync.versions(spark, target) == [] and sync.manifest(spark, target).count() == 0
     first = sync.sync(spark, str(source), target, ["txt"])
@@ -88,7 +88,7 @@ def test_sync_versions(spark, tmp_path):
     assert (third.version, third.counts) == (2, {"skipped": 2})
     stored = {r["path"]: open(r["stored"], "rb").read() for r in sync.stored(spark, target).collect()}
     assert stored == {"a.txt": b"another", "d.txt": b"new" * 100_000}
-    assert {r["path"]: open(r["stored"], "rb").read() for r in sync.stored(spark, target, 0).collect()} == {"a.txt": b"one", "deep/b.TXT": b""}
+    assert {r["path"]: open(r["stored"], "rb").read() for r in sync.stored(spark, target, 0).collect()} == {"a.txt": b"one", "deep/b.TXT": b"x"}
     assert not (tmp_path / "out" / "snapshots" / "v000002" / "files").exists()
 
 

@@ -160,3 +160,60 @@ def test_long_chain_is_no_silent_split(spark):
     """Minima that haven't passed along the whole chain are an error."""
     chain = spark.range(9).select(F.col("id").alias("node"), F.expr("id div 2").alias("a"), F.expr("(id + 1) div 2").alias("b"))
     assert {r["cluster"] for r in clusters.shared_clusters(chain, "node", ["a", "b"]).collect()} == {0}
+
+
+LETTER = """Infotech Works Limited
+CIN: L22210MH2015PLC084781
+Dated: 15 March 2026
+TO WHOMSOEVER IT MAY CONCERN
+This is to certify that Asha Person, bearing PAN ABCDE1234F, is an employee.
+She serves as engineer, with effect from 20 September 2001.
+Her current annual Cost-to-Company (CTC) is Rs. 11,10,000 per annum (Gross Monthly: Rs. 42,500).
+Authorised Signatory, Head of HR department"""
+
+STATEMENT = """HDFC BANK LTD
+Bank Statement
+XXXX XXXX 1234
+IFSC HDFC0001234
+01-Jan-2026 to 31-Mar-2026
+Opening Balance   50,000
+05-01-2026   SALARY CREDIT   REF1   30,000   80,000
+12-02-2026   RENT   REF2   20,000   60,000
+Closing Balance   60,000"""
+
+
+def _scan(spark, text, name, **options):
+    rows = extract.pages_of_text(spark.createDataFrame([(1, name, text)], "doc_id int, source_name string, text string"))
+    found = extract.summaries(rows, **options).withColumns({"metadata": F.create_map().cast("map<string,string>"), "signature_markers": F.array().cast("array<string>")})
+    row = rules.assess(found, F.lit("2026-04-01").cast("date")).select("doc_type", "key_fields", "signals", "risk_score").first()
+    return row, {s["name"].removeprefix("domain::"): s["passed"] for s in row["signals"]}
+
+
+def test_letter_from_text_to_rules(spark):
+    row, said = _scan(spark, LETTER, "letter.pdf")
+    assert row["doc_type"] == "employment_letter"
+    assert row["key_fields"] == {"cin": "L22210MH2015PLC084781", "annual_ctc": "1110000", "gross_monthly_salary": "42500", "date_of_joining": "20 September 2001", "letter_issue_date": "15 March 2026", "employee_name": "Asha Person"}
+    assert {k: said[k] for k in ("employer_cin_format", "cin_age_vs_join_date", "ctc_monthly_gross_consistency", "employment_backdating_signal")} == {"employer_cin_format": True, "cin_age_vs_join_date": False, "ctc_monthly_gross_consistency": False, "employment_backdating_signal": False}
+    assert row["risk_score"] == 30 + 20 + 40
+
+
+def test_statement_from_text_to_rules(spark):
+    row, said = _scan(spark, STATEMENT, "s.pdf", parity=False)
+    k = row["key_fields"]
+    assert (k["account_number"], k["period_from"], k["period_to"], k["opening_balance"], k["closing_balance"]) == ("XXXX XXXX 1234", "01-Jan-2026", "31-Mar-2026", "50000", "60000")
+    assert (k["credit_total"], k["debit_total"], k["earliest_txn_date"], k["latest_txn_date"]) == ("30000", "20000", "05-01-2026", "12-02-2026")
+    assert said["balance_arithmetic"] is True and said["bank_ifsc_bank_name_consistency"] is True
+    assert said["bank_statement_date_range"] is False and said["bank_debit_credit_arithmetic"] is True
+    # by parity the totals keep the names that rules don't know
+    assert "balance_arithmetic" not in _scan(spark, STATEMENT, "s.pdf")[1]
+
+
+@pytest.mark.parametrize(
+    ("text", "fields"),
+    [
+        ("GIFT DECLARATION\nDate: 10 March 2026\nI have gifted a sum of Rs. 18,00,000 to him. The property value is Rs. 20,00,000.\nABCDE9999Z\nPAN: YLSFF4758H", {"gift_amount": "1800000", "property_value": "2000000", "donor_pan": "YLSFF4758H", "letter_date": "10 March 2026"}),
+        ("GIFT DECLARATION\nthis is a gift of 9,000\na sum of 50,000 and ABCDE9999Z", {}),
+    ],
+)
+def test_gift_letters(spark, text, fields):
+    assert _scan(spark, text, "gift.pdf")[0]["key_fields"] == fields

@@ -91,10 +91,10 @@ def test_bank_name_and_range(spark):
 
 @pytest.mark.parametrize(
     ("change", "failing"),
-    [({}, {}), ({"cin": "INVALID123"}, {"employer_cin_format": 35}), ({"cin": ""}, {"employer_cin_present": 35}), ({"cin": "L85110KA2023PLC013341"}, {"cin_age_vs_join_date": 30}), ({"issue_date": "15 March 2026", "join_date": "01 April 2000"}, {"employment_backdating_signal": 40}), ({"issue_date": "15 March 2026", "join_date": "01 April 2016"}, {})],
+    [({}, {}), ({"cin": "INVALID123"}, {"employer_cin_format": 35}), ({"cin": ""}, {"employer_cin_present": 35}), ({"cin": "L85110KA2023PLC013341"}, {"cin_age_vs_join_date": 30}), ({"letter_issue_date": "15 March 2026", "date_of_joining": "01 April 2000"}, {"employment_backdating_signal": 40}), ({"letter_issue_date": "15 March 2026", "date_of_joining": "01 April 2016"}, {})],
 )
 def test_employment_letter(spark, change, failing):
-    base = {"cin": "L85110KA1981PLC013341", "join_date": "15-06-2022", "annual_ctc": 1200000, "monthly_gross": 100000}
+    base = {"cin": "L85110KA1981PLC013341", "date_of_joining": "15-06-2022", "annual_ctc": 1200000, "gross_monthly_salary": 100000}
     assert signals(spark, "employment_letter", base | change)[1] == failing
 
 
