@@ -5,8 +5,8 @@ encoding leaves the encoding of the shorter prefix. So a trie node needs only on
 token of its prefix; it is the longest vocabulary entry that ends there and that may follow the last
 token of the node where it starts. Words with a common prefix share those nodes and their states.
 
-Null and empty texts have no tokens. Repeated rows give repeated results. Texts may have any length:
-they are cut at white space, which the tokenizer drops, and never held as token lists of a batch.
+Null and empty texts have no tokens. Repeated rows give repeated results. Texts and words may have any length: texts
+are cut at white space, which the tokenizer drops, and words cost memory in proportion to their length.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +28,10 @@ VOCABULARY = "word_bpe_49k.json"
 MAX_NODES = 700_000
 MAX_WORDS = 500_000
 MAX_PAIRS = 500_000
+#: Longer prefixes are no nodes of the trie.
+SHARED = 24
+#: Longer pieces of texts are not kept in the memo.
+KEPT_PIECE = 100
 KEPT_LENGTH = 7
 
 
@@ -69,7 +74,7 @@ class TrieEncoder:
         self.reset()
 
     def reset(self) -> None:
-        #: the trie: a node is addressed by its prefix and holds the last token of it, -1 at the root
+        #: the trie: a node is addressed by its prefix, of SHARED characters at most, and holds the last token of it, -1 at the root
         self.last: dict[str, int] = {"": -1}
 
     def symbols(self, token: str) -> list[str]:
@@ -128,22 +133,24 @@ class TrieEncoder:
                 right, made = r1, rr + 1
                 r1, _, rr = self.half(right)
 
-    def last_token(self, word: str, depth: int, end: str) -> tuple[int, int]:
-        """The last token of word[:depth], and where it starts."""
+    def last_token(self, word: str, depth: int, end: str, path: array | None = None) -> tuple[int, int]:
+        """The last token of word[:depth], and where it starts; path, or else the trie, has the last tokens of the word's shorter prefixes."""
         get, last, follows = self.vocab.get, self.last, self.follows
         for size in self.sizes.get(word[depth - 4 : depth] + end, (3, 2, 1)) if depth > 3 else (3, 2, 1):
             if size <= depth and (token := get(word[depth - size : depth] + end)) is not None:
-                key = (last[word[: depth - size]] + 1) << 20 | token
+                key = ((last[word[: depth - size]] if path is None else path[depth - size]) + 1) << 20 | token
                 if (known := follows.get(key)) is None:
                     if len(follows) > MAX_PAIRS:
                         follows.clear()
                     known = follows[key] = self.may_follow((key >> 20) - 1, token)
                 if known:
                     return token, depth - size
-        raise ValueError(f"no token ends {word[:depth]!r}")
+        raise ValueError(f"no token ends {word[max(0, depth - 40) : depth]!r}")
 
     def encode_word(self, word: str) -> list[int]:
         """Walks down to the deepest known node, makes the missing ones, then reads the tokens from the end."""
+        if len(word) > SHARED:
+            return self.encode_long(word)
         last, n = self.last, len(word)
         depth = n - 1
         while word[:depth] not in last:
@@ -158,6 +165,24 @@ class TrieEncoder:
             at -= len(self.names[token])
         return out[::-1]
 
+    def encode_long(self, word: str) -> list[int]:
+        """The same for words whose longer prefixes are no nodes: the states beyond are an array, so a word costs memory in proportion to its length."""
+        last, n = self.last, len(word)
+        path = array("i", [-1])
+        for d in range(1, n):
+            known = last.get(word[:d]) if d <= SHARED else None
+            if known is None:
+                known = self.last_token(word, d, "", path)[0]
+                if d <= SHARED:
+                    last[word[:d]] = known
+            path.append(known)
+        token, at = self.last_token(word, n, self.end, path)
+        out = array("i", [token])
+        while at:
+            out.append(path[at])
+            at -= len(self.names[path[at]])
+        return out[::-1].tolist()
+
     def encode_words(self, words: set[str]) -> dict[str, list[int]]:
         """The ids of each distinct word; in sorted order, which walks the trie depth first."""
         if len(self.last) > MAX_NODES:
@@ -221,6 +246,9 @@ class TextEncoder:
         ids, decoded = " ".join(map(self.ids.__getitem__, pieces)), " ".join(map(self.decoded.__getitem__, pieces))
         if "" in fresh or "  " in ids or ids[:1] == " " or ids[-1:] == " ":  # pieces without a token
             ids, decoded = " ".join(ids.split()), " ".join(d for p in pieces if (d := self.decoded[p]))
+        for p in fresh:
+            if len(p) > KEPT_PIECE:
+                del self.ids[p], self.decoded[p]
         return ids, decoded
 
 

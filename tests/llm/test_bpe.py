@@ -1,5 +1,6 @@
 import hashlib
 import random
+import tracemalloc
 
 import pytest
 from hypothesis import given, settings
@@ -44,6 +45,22 @@ def test_shrinking_memo(monkeypatch):
         assert own.encode(text) == both(text)
 
 
+@pytest.mark.parametrize("word", ["ab" * 150_000, "漢字" * 50_000 + "x", "xyzzy" * 30_000, "".join(random.Random(2).choices("etaoinshr", k=150_000))])
+def test_very_long_words(word):
+    """Time and memory in proportion to the word, and nothing of it kept."""
+    assert OURS.encode(word) == both(word)
+    assert word not in OURS.ids and max(map(len, OURS.trie.last)) <= bpe.SHARED
+
+
+def test_a_word_of_a_million_letters():
+    own = bpe.TextEncoder(PATH)
+    tracemalloc.start()
+    ids, _ = own.encode("ab" * 500_000)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert ids.count(" ") > 100_000 and peak < 400 << 20
+
+
 def test_rows(docs, no_docs, rows):
     found = sorted((tuple(r) for r in bpe.encode(docs).collect()), key=str)
     want = []
