@@ -9,7 +9,7 @@ documents takes PASS_BLOCKS blocks at most; a larger benchmark takes more passes
 has written, so no worker ever holds more than one pass's automata.
 
 Null and empty documents have no words, no hits and are not contaminated; items without words have no window.
-Repeated items each count, repeated documents give repeated rows. An item's null id counts as the text "null".
+Items that share an id count as one, and each one's windows as its own; repeated documents give repeated rows. An item's null id counts as the text "null".
 """
 
 from __future__ import annotations
@@ -94,18 +94,25 @@ def matches(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     group: list[list[tuple[str, bytes]]] = []
     for block in blocks(benchmark, item_col, item_text_col, block_words):
         if len(group) == PASS_BLOCKS:
-            state = written(_pass(state, group, window, True))
+            shared = _broadcast(state, group, window)
+            state = written(_pass(state, shared, True))
+            for b in shared:
+                b.destroy()
             group = []
         group.append(block)
-    return _pass(state, group, window, False).withColumnRenamed("__id", id_col)
+    return _pass(state, _broadcast(state, group, window), False).withColumnRenamed("__id", id_col)
+
+
+def _broadcast(state: DataFrame, group: list[list[tuple[str, bytes]]], window: int) -> list:
+    """A matcher for each block, of block_words at most."""
+    return [state.sparkSession.sparkContext.broadcast(Matcher(p, window)) for p in group]
 
 
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
-def _pass(state: DataFrame, group: list[list[tuple[str, bytes]]], window: int, more: bool) -> DataFrame:
+def _pass(state: DataFrame, shared: list, more: bool) -> DataFrame:
     """One pass over the documents; spans and items of an earlier pass, if there was one, are added to. The texts go on if more follow."""
-    shared = [state.sparkSession.sparkContext.broadcast(Matcher(p, window)) for p in group]  # each of block_words at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = [b.value for b in shared]
@@ -124,7 +131,7 @@ def _pass(state: DataFrame, group: list[list[tuple[str, bytes]]], window: int, m
                 edges = np.flatnonzero(np.diff(np.concatenate(([0], marks.astype(np.int8), [0]))))
                 n.append(len(text))
                 hit.append(int(marks.sum()))
-                items.append(sorted(names))
+                items.append(sorted(set(names)))
                 spans.append([{"start": a, "end": b} for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True)])
             yield pa.RecordBatch.from_arrays([*batch.columns[: 1 + more], pa.array(n, pa.int64()), pa.array(hit, pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array(spans, _SPANS)], names=["__id", *more * ["__text"], "n_words", "n_hit", "items", "spans"])
 
@@ -147,10 +154,13 @@ def without_spans(df: DataFrame, benchmark: DataFrame, text_col: str = "text", i
     group: list[list[tuple[str, bytes]]] = []
     for block in blocks(benchmark, item_col, item_text_col, block_words):
         if len(group) == PASS_BLOCKS:
-            state = written(_spanned(state, group, window, text_col, own))
+            shared = _broadcast(state, group, window)
+            state = written(_spanned(state, shared, text_col, own))
+            for b in shared:
+                b.destroy()
             group = []
         group.append(block)
-    state = _spanned(state, group, window, text_col, own)
+    state = _spanned(state, _broadcast(state, group, window), text_col, own)
     at, spans_at = state.columns.index(text_col), state.columns.index(own)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,9 +171,8 @@ def without_spans(df: DataFrame, benchmark: DataFrame, text_col: str = "text", i
     return state.mapInArrow(run, state.schema).drop(own)
 
 
-def _spanned(state: DataFrame, group: list[list[tuple[str, bytes]]], window: int, text_col: str, own: str) -> DataFrame:
+def _spanned(state: DataFrame, shared: list, text_col: str, own: str) -> DataFrame:
     """state, whose spans have those of one more group of blocks."""
-    shared = [state.sparkSession.sparkContext.broadcast(Matcher(p, window)) for p in group]  # each of block_words at most
     at, spans_at = state.columns.index(text_col), state.columns.index(own)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

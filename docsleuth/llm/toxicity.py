@@ -12,8 +12,8 @@ with transitions for entering, staying in and leaving a toxic span. For every do
 is toxic, the expected number and share of toxic words; a logistic model of these, fitted on the training documents, gives the
 score. Words with a marginal of at least one half are joined into the offending spans.
 
-Training takes about PER_CLASS documents of each class, whole, chosen by a hash of their ids, and of documents that
-share their least shingle hash (near copies) only one. Where a class is larger than that, its documents weigh the more in
+Training takes about PER_CLASS documents of each class, whole, chosen by a hash of their ids; equal texts of one class count
+once. Runs of over TRAINED_RUN words with features are cut for training only. Where a class is larger than PER_CLASS, its documents weigh the more in
 the field and the document model, so that both see the classes' ratio among all training labels. Scoring covers every document, whole. Null and empty texts
 have no words and get the model's base score; without labels of both classes every score is the share of toxic
 labels, or 0.
@@ -30,7 +30,6 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -205,7 +204,7 @@ def fit_document(x: np.ndarray, y: np.ndarray, rounds: int = 40, weight: np.ndar
 
 
 def training_rows(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = PER_CLASS) -> tuple[DataFrame, dict[int, float]]:
-    """y, text, least (their own shingle hash) of about per_class documents of each class, without near copies, written once, as three passes follow; the classes' weights.
+    """y, text, key (a hash of the text) of about per_class documents of each class, equal texts of a class once, written once, as three passes follow; the classes' weights.
 
     A class weighs its training labels over those chosen, so 1 if all are; the smaller weight is scaled to 1.
     """
@@ -220,17 +219,7 @@ def training_rows(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id
     texts = documents.select(F.col(id_col).alias("id"), utf8(text_col).alias("text"))
     found = texts.join(F.broadcast(chosen), "id").select("id", "y", "text")  # 2 x per_class rows of two numbers
 
-    def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            least = []
-            for t in batch.column(2).to_pylist():
-                w = t.split()
-                least.append(min((xxhash.xxh64_intdigest(b" ".join(w[i : i + 5])) for i in range(max(1, len(w) - 4))), default=0) >> 1)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(least, pa.int64())], names=["id", "y", "text", "least"])
-
-    kind = documents.schema[id_col].dataType.simpleString()
-    keyed = found.mapInArrow(key, f"id {kind}, y int, text binary, least bigint")
-    rows = written(keyed.groupBy("least").agg(F.min(F.struct("id", "y", "text")).alias("r")).select("r.y", "r.text", "least"))
+    rows = written(found.groupBy("y", "text").agg(F.count(F.lit(1)).alias("n")).select("y", "text", F.xxhash64("text").alias("key")))
     return rows, {y: v / min(weights.values()) for y, v in weights.items()}
 
 
@@ -278,10 +267,10 @@ def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
                         sizes[-1] += 1
                 for x, y in zip(out, (which, n, [k for k in sizes if k]), strict=True):
                     x.append(y)
-            yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.list_(pa.int32())) for x in out), batch.column(0), batch.column(2)], names=["which", "n", "sizes", "y", "least"])
+            yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.list_(pa.int32())) for x in out), batch.column(0), batch.column(2)], names=["which", "n", "sizes", "y", "key"])
 
     # the order of rows is no one's choice
-    found = rows.mapInArrow(sequences, "which array<int>, n array<int>, sizes array<int>, y int, least bigint").toArrow().sort_by("least")
+    found = rows.mapInArrow(sequences, "which array<int>, n array<int>, sizes array<int>, y int, key bigint").toArrow().sort_by("key")
     flat = lambda c: pc.list_flatten(found[c].combine_chunks()).to_numpy()
     labels = found["y"].to_numpy()
     runs = Runs(flat("which"), flat("n"), flat("sizes"), np.repeat(np.arange(len(labels)), pc.list_value_length(found["sizes"]).to_numpy()))

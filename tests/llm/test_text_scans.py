@@ -66,3 +66,12 @@ def test_licenses(spark, docs, no_docs):
         assert r["base_labels"] == ",".join(sorted({v for _, v in places}))
     assert [found[i]["labels"] for i in (2, 3, 4, 5)] == ["gpl-3", "gpl-3", "", ""] and found[3]["score"] == 1.0 and len(found[3]["spans"]) == 500
     assert licenses.scan(docs).count() == docs.count() and licenses.scan(no_docs).count() == 0
+
+
+def test_items_of_one_id_count_once(spark):
+    docs = spark.createDataFrame([(1, "a b c x d e f"), (2, "d e f"), (3, "c x d")], "doc_id int, text string")
+    items = spark.createDataFrame([("k", "a b c"), ("k", "d e f"), ("l", "c x d")], "item_id string, text string")
+    got = {r["doc_id"]: (r["n_hit"], r["n_items"], r["items"]) for r in decontam.digests(decontam.matches(docs, items)).collect()}
+    assert got == {1: (7, 2, ["k", "l"]), 2: (3, 1, ["k"]), 3: (3, 1, ["l"])}
+    # several passes, their broadcasts given up in between
+    assert {r["doc_id"]: r["n_hit"] for r in decontam.matches(docs, items.unionByName(items).unionByName(items), block_words=3).collect()} == {1: 7, 2: 3, 3: 3}
