@@ -138,6 +138,18 @@ def detail(cases: DataFrame, notes: DataFrame) -> DataFrame:
     return cases.join(n, "case_key", "left")
 
 
+def timeline(reports: DataFrame, state: DataFrame, notes: DataFrame) -> DataFrame:
+    """J15 as rows, for cases of any size: what a case's page shows, a row for each report and each note, with the case's state beside it.
+
+    case_key, the state's columns (defaults where nobody has set them), kind (report, note), at, what (the report's source or the note's text), by (risk level or author).
+    Reports of cases without any state are open; notes of unknown cases have no place.
+    """
+    known = with_defaults(reports.select("case_key").distinct(), state)
+    shown = reports.select("case_key", F.lit("report").alias("kind"), F.col("generated_at").alias("at"), F.col("source_name").alias("what"), F.col("risk_level").alias("by"))
+    said = notes.select("case_key", F.lit("note").alias("kind"), F.col("created_at").alias("at"), F.col("note").alias("what"), F.col("author").alias("by"))
+    return known.join(shown.unionByName(said), "case_key")
+
+
 def fan_out(checks: DataFrame) -> DataFrame:
     """The screens and sections that one check fills."""
     def entry(screen: str, section: str) -> Column:

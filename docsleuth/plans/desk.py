@@ -10,7 +10,7 @@ from docsleuth.operators import blocks, cases, clusters, entities, evaluate, ide
 from docsleuth.plans import views as V
 from docsleuth.plans.filings import ORDERS, orders
 from docsleuth.plans.registry import query
-from docsleuth.sources import files
+from docsleuth.sources import files, schemas
 from docsleuth.sources.shared import shared_dir
 from docsleuth.streaming import flows, kyc
 
@@ -55,13 +55,26 @@ def visible_layers(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT case_key, count(*) AS n_notes, string_agg(note, '|' ORDER BY generated_at, note) AS notes FROM (SELECT *, source_name || '.' AS note FROM v_report WHERE doc_id % 3 = 0) GROUP BY 1", V.REPORTS)
 def case_notes(spark: SparkSession, d: str) -> DataFrame:
-    """Notes that changes bring, in order, beside their cases."""
+    """Notes that changes bring, in order, beside their cases."""
     r = V.reports(spark, d)
     changes = r.select("case_key", F.col("generated_at").alias("ts"), F.lit("").alias("author"), F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("  "), "source_name", F.lit(". "))).otherwise("   ").alias("note"))
     detail = cases.detail(r.select("case_key").distinct(), cases.noted(changes)).where("notes is not null")
     return detail.select("case_key", F.size("notes").cast("bigint").alias("n_notes"), F.array_join(F.transform("notes", lambda n: n["note"]), "|").alias("notes"))
 
 
+@query(
+    """SELECT s.case_key, coalesce(s.status, 'new') AS status, coalesce(s.disposition, 'open') AS disposition, coalesce(s.priority, 'normal') AS priority, i.kind, i.at, i.what, i.by FROM v_state s JOIN (
+  SELECT case_key, 'report' AS kind, generated_at AS at, source_name AS what, risk_level AS by FROM v_report UNION ALL SELECT case_key, 'note', generated_at, source_name || '.', 'system' FROM v_report WHERE doc_id % 3 = 0) i ON s.case_key = i.case_key""",
+    V.CASE_EVENTS,
+)
+def case_timeline(spark: SparkSession, d: str) -> DataFrame:
+    """Cases with their state, reports and notes."""
+    r = V.reports(spark, d)
+    changes = r.select("case_key", F.col("generated_at").alias("ts"), F.lit("").alias("author"), F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("  "), "source_name", F.lit(". "))).otherwise("   ").alias("note"))
+    state = cases.folded(V.case_events(spark, d), columns=["status", "disposition", "priority"]).drop("updated_at")
+    return cases.timeline(r, state, cases.noted(changes))
+
+
 _UPSERT = V.CASE_EVENTS + """, v_current AS (SELECT 'payslip::BT-' || c_custkey AS case_key, 'old' AS document_type, 'E' || c_custkey AS entity_ref, 'seen' AS status, CAST(NULL AS VARCHAR) AS disposition, 'low' AS priority FROM customer WHERE c_custkey % 3 = 0)"""
 
 
@@ -339,7 +352,7 @@ def frame_features(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT doc_id, CAST(length(text) AS BIGINT) AS n_chars, lang FROM documents WHERE text IS NOT NULL")
 def json_intake(spark: SparkSession, d: str) -> DataFrame:
-    """Documents as JSON files, taken in as a stream."""
+    """Documents as JSON files, taken in as a stream. Null texts have no file."""
     base = shared_dir(spark)
     docs = V.table(spark, d, "documents").where("text is not null").select("doc_id", "text", F.col("lang").alias("risk_level"))
     files.write_reports(docs, f"{base}/json")
@@ -347,6 +360,31 @@ def json_intake(spark: SparkSession, d: str) -> DataFrame:
     return flows.run_once(stream, spark, f"{base}/sink", f"{base}/checkpoint").select("doc_id", F.length("text").cast("bigint").alias("n_chars"), F.col("risk_level").alias("lang"))
 
 
+@query("SELECT via, 'Supplier ' || s_suppkey || ' of nation ' || s_nationkey AS text, 1::BIGINT AS n_pages FROM supplier, (SELECT unnest(['table', 'stream']) AS via)")
+def raw_intake(spark: SparkSession, d: str) -> DataFrame:
+    """Parsed documents, a JSON file each, as a table and as a stream; the stream's checkpoint remembers the files of its first run."""
+    base = shared_dir(spark)
+    page = F.struct(F.lit(1).alias("page"), F.concat(F.lit("Supplier "), "s_suppkey", F.lit(" of nation "), "s_nationkey").alias("text"))
+    docs = V.table(spark, d, "supplier").select("s_suppkey", F.to_json(F.struct(F.array(page).alias("pages"))).alias("value"))
+    out = None
+    for part in ("s_suppkey % 2 = 0", "s_suppkey % 2 = 1"):
+        docs.where(part).select("value").write.mode("append").option("maxRecordsPerFile", 1).text(f"{base}/raw")
+        taken = flows.run_once(flows.intake(spark, f"{base}/raw", schemas.RAW), spark, f"{base}/sink", f"{base}/checkpoint")
+    for via, found in (("table", files.raw_documents(spark, f"{base}/raw")), ("stream", taken)):
+        rows = found.select(F.lit(via).alias("via"), F.get("pages", 0)["text"].alias("text"), F.size("pages").cast("bigint").alias("n_pages"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@query("""SELECT 'risk_level=' || risk_level AS prefix, 1::BIGINT AS n, CAST(sum(length('{"doc_id":' || doc_id || ',"source_name":"' || source_name || '"}') + 1) AS BIGINT) AS bytes FROM v_report GROUP BY 1""", V.REPORTS)
+def report_inventory(spark: SparkSession, d: str) -> DataFrame:
+    """Reports stored by their risk level, and what lies below each prefix."""
+    base = shared_dir(spark)
+    files.write_reports(V.reports(spark, d).select("doc_id", "source_name", "risk_level").repartition("risk_level"), f"{base}/reports")
+    found = files.listing(spark, f"{base}/reports", ["json"])
+    return files.inventory(found, 1, f"{base}/reports").select("prefix", "n", "bytes")
+
+
 @query("SELECT level, CASE WHEN level = 'RAW' THEN 'none' ELSE msg END AS msg, count(*) AS n, CAST(round(sum(elapsed_ms)) AS BIGINT) AS elapsed FROM (SELECT CASE WHEN user_id % 9 = 0 THEN 'RAW' ELSE 'INFO' END AS level, event_type AS msg, CASE WHEN user_id % 9 > 0 THEN event_id % 7 END AS elapsed_ms FROM events) GROUP BY ALL")
 def json_logs(spark: SparkSession, d: str) -> DataFrame:
     """Log lines as JSON, some of them none."""
@@ -377,7 +415,7 @@ def manifests(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT extension, count(*) AS n, CAST(sum(fresh) AS BIGINT) AS n_unseen FROM (SELECT DISTINCT lang, '.json' AS extension, CASE WHEN lang = 'en' THEN 0 ELSE 1 END AS fresh FROM documents) GROUP BY 1")
 def stored_files(spark: SparkSession, d: str) -> DataFrame:
-    """A file for each language, listed, counted and compared with an earlier listing."""
+    """A file for each language, listed, counted and compared with an earlier listing."""
     base = shared_dir(spark)
     V.table(spark, d, "documents").select("doc_id", "lang").repartition("lang").write.partitionBy("lang").json(f"{base}/files")
     found = files.listing(spark, f"{base}/files", ["JSON", ".txt"]).where(files.is_audit_source(F.col("path")))

@@ -73,7 +73,7 @@ _PAYMENT = ORDERS + """, v_payment AS (SELECT k AS doc_id, CASE WHEN t % 3 = 0 T
     _PAYMENT,
 )
 def payment_signals(spark: SparkSession, d: str) -> DataFrame:
-    """R01, R13-R15, V01."""
+    """R01, R13-R15."""
     amount = pick(F.concat(F.lit("Rs "), (F.col("t") - 150_000).cast("string")), F.col("t"), None, by="t")
     df = filing(orders(spark, d), "payment_receipt", amount=amount, transaction_id=pick("", None, F.concat(F.lit("T"), "k"), "  "), reference_number=pick(None, "   ", F.concat(F.lit("R"), "k")), payment_date=pick(None, *[F.col("day")] * 4), upi_id=pick(F.concat(F.lit("u."), "k", F.lit("@okbank")), F.concat(F.lit("no at sign "), "k"), None))
     return signals(df, rules.domain_signals(F.lit(AS_OF).cast("date")))
@@ -157,6 +157,24 @@ def compliance_signals(spark: SparkSession, d: str) -> DataFrame:
     return signals(df, rules.domain_signals(F.lit(AS_OF).cast("date")))
 
 
+def parking() -> list[rules.Rule]:
+    """A pack as a user would write one."""
+    fee, plate = rules.num("fee"), rules.text("plate")
+    return [rules.required(["plate", "fee"]), rules.signal("fee_is_small", fee.isNotNull(), fee <= 150_000, "medium", 30, "The fee is small.", fee=fee), rules.signal("plate_format", plate.isNotNull(), plate.rlike("^[A-Z]{2}[0-9]+$"), "low", 10, "The plate has its format.", plate=plate)]
+
+
+_PARKING = ORDERS + """, v_park AS (SELECT k AS doc_id, CASE k % 3 WHEN 0 THEN 'MH' || k WHEN 1 THEN 'x' || k END AS plate, CASE k % 4 WHEN 0 THEN NULL ELSE t END AS fee FROM v_order)"""
+
+
+@query(signal_sql("v_park", required_sql("v_park", "plate", "CAST(fee AS VARCHAR)"), ("fee_is_small", "fee IS NOT NULL", "fee <= 150000", "'medium'", "30"), ("plate_format", "plate IS NOT NULL", "regexp_full_match(plate, '[A-Z]{2}[0-9]+')", "'low'", "10")), _PARKING)
+def user_pack_signals(spark: SparkSession, d: str) -> DataFrame:
+    """Rules for a type of the user's, registered at run time."""
+    rules.register_pack("parking_receipt", parking)
+    k, t = F.col("k"), F.col("t")
+    df = filing(orders(spark, d), "parking_receipt", plate=pick(F.concat(F.lit("MH"), k), F.concat(F.lit("x"), k), None), fee=pick(None, t, t, t))
+    return signals(df, rules.domain_signals(F.lit(AS_OF).cast("date"), types=["parking_receipt"]))
+
+
 # employment letters, tax forms, utility bills
 
 _LETTER = ORDERS + f""", v_letter AS (SELECT k AS doc_id, CASE k % 4 WHEN 0 THEN 'U72200MH' || (1985 + k % 17) || 'PTC' || lpad(CAST(k % 1000000 AS VARCHAR), 6, '0') WHEN 1 THEN 'u72200mh' || (1985 + k % 17) || 'ptc' || lpad(CAST(k % 1000000 AS VARCHAR), 6, '0') WHEN 2 THEN 'X12' END AS cin,
