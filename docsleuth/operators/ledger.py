@@ -79,6 +79,43 @@ def first_balance_errors(rows: DataFrame, account: str = "account", **columns: s
     return balance_errors(rows, account, **columns).groupBy(F.col(account).alias("account")).agg(F.count(F.lit(1)).alias("n_errors"), F.min_by(F.struct("diff", "round_number"), at).alias("first")).select("account", "n_errors", F.col("first.diff").alias("first_diff"), F.col("first.round_number").alias("suspicious"))
 
 
+FINDINGS = "struct<n_rows:bigint,has_references:boolean,has_salary:boolean,pairs:bigint,evidence:string,repeated_references:bigint,references:string,repeated_months:bigint,months:string,error_row:bigint,error_diff:bigint>"
+
+
+def findings_of(t: Column) -> Column:
+    """What rules ask of a statement's ledger, from its array: for statements whose rows came with a document."""
+    pairs, refs, months, error = round_trip_array(t), repeated_reference_array(t), repeated_salary_array(t), first_balance_error_array(t)
+    return F.struct(
+        F.coalesce(F.size(t), F.lit(0)).alias("n_rows"), F.exists(t, lambda x: F.trim(x["ref"]) != "").alias("has_references"), F.exists(t, lambda x: is_salary(x["desc"])).alias("has_salary"),
+        F.size(pairs).alias("pairs"), F.to_json(F.slice(pairs, 1, 5)).alias("evidence"), F.size(refs).alias("repeated_references"), F.array_join(F.slice(refs, 1, 10), ",").alias("references"),
+        F.size(months).alias("repeated_months"), F.array_join(months, ",").alias("months"), error["txn_no"].alias("error_row"), error["diff"].alias("error_diff"),
+    ).cast(FINDINGS)
+
+
+def findings(rows: DataFrame, account: str = "account", date: str = "txn_date", order: str = "txn_no", ranges: int | None = None) -> DataFrame:
+    """account, ledger_findings: the same from a table of ledger rows, for ledgers of any size; no account's rows are gathered.
+
+    Each figure is an aggregation or a join on account and day, reference or month. Evidence and the lists of references and months are not kept; the
+    error's row is its number in the table.
+    """
+    key = F.col(account).alias("account")
+    count = F.count(F.lit(1)).cast("bigint")
+    salary = is_salary(F.col("desc"))
+    whole = rows.groupBy(key).agg(count.alias("n_rows"), F.bool_or(F.trim("ref") != "").alias("has_references"), F.bool_or(salary).alias("has_salary"))
+    trips = round_trips(rows, account, date, order).groupBy("account").agg(count.alias("pairs"))
+    # all uses of a reference, and all salaries of a month, but the first
+    refs = rows.where(F.trim("ref") != "").groupBy(key, F.trim("ref").alias("r")).agg(count.alias("n")).where("n > 1").groupBy("account").agg(F.sum(F.col("n") - 1).alias("repeated_references"))
+    months = rows.where(salary).groupBy(key, F.date_format(date, "yyyy-MM").alias("m")).agg(count.alias("n")).where("n > 1").groupBy("account").agg(F.sum(F.col("n") - 1).alias("repeated_months"))
+    at = F.struct(F.col(date), F.col(order))
+    errors = balance_errors_in_ranges(rows, account, date, order, ranges=ranges).groupBy(key).agg(F.min_by(F.struct(F.col(order).cast("bigint").alias("error_row"), F.col("diff").alias("error_diff")), at).alias("e")).select("account", "e.*")
+    out = whole
+    for part in (trips, refs, months, errors):
+        out = out.join(part, "account", "left")
+    zero = {c: F.coalesce(c, F.lit(0).cast("bigint")) for c in ("pairs", "repeated_references", "repeated_months")}
+    named = {n: zero.get(n, F.lit(None) if n in ("evidence", "references", "months") else F.col(n)) for n in (f.split(":")[0] for f in FINDINGS[7:-1].split(","))}
+    return out.select("account", F.struct(*[c.alias(n) for n, c in named.items()]).cast(FINDINGS).alias("ledger_findings"))
+
+
 def features(rows: DataFrame, account: str = "account", date: str = "txn_date") -> DataFrame:
     """Rows a month, largest and mean balance, days since the last salary credit."""
     months = F.count_distinct(F.date_format(date, "yyyy-MM"))

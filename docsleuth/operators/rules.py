@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from docsleuth.functions import fixed
 from docsleuth.functions import scalars as X
+from docsleuth.operators import ledger
 
 SIGNAL = "struct<name:string,severity:string,score:int,summary:string,passed:boolean,details:map<string,string>>"
 Rule = Column
@@ -42,11 +43,13 @@ def with_fields(df: DataFrame) -> DataFrame:
     """df with the columns that the packs built so far refer to; the optimiser leaves out those that a query doesn't use."""
     first = lambda keys: X.first_filled(*[F.col("key_fields")[k] for k in keys])
     # one key's number is that of any value, several keys' that of the first filled one: an empty value has none either way
-    return df.withColumns({n: first(k) for n, k in _TEXTS.items()} | {n: X.parse_amount(first(k)) for n, k in _NUMBERS.items()})
+    # a statement brings the findings of its ledger as a column, or else the ledger itself
+    found = F.col("ledger_findings") if "ledger_findings" in df.columns else ledger.findings_of(F.col("transactions")) if "transactions" in df.columns else F.lit(None).cast(ledger.FINDINGS)
+    return df.withColumns({n: first(k) for n, k in _TEXTS.items()} | {n: X.parse_amount(first(k)) for n, k in _NUMBERS.items()} | {"__ledger": found})
 
 
 def without_fields(df: DataFrame) -> DataFrame:
-    return df.drop(*_TEXTS, *_NUMBERS)
+    return df.drop(*_TEXTS, *_NUMBERS, "__ledger")
 
 
 def signal(name: str, applies: Column, passed: Column, severity: Column | str, score: Column | int, summary: str, **details: Column) -> Rule:
@@ -116,17 +119,13 @@ def _balance(severity: str = "high", score: int = 60) -> Rule:
 
 
 def _ledger_rules() -> list[Rule]:
-    """R10-R12, R38-R40 over the transactions array."""
-    from docsleuth.operators import ledger
-
-    t = F.col("transactions")
-    filled = F.size(F.coalesce(t, F.array().cast(ledger.TRANSACTIONS))) > 0
-    pairs, refs, months = ledger.round_trip_array(t), ledger.repeated_reference_array(t), ledger.repeated_salary_array(t)
-    has_salary = F.exists(t, lambda x: ledger.is_salary(x["desc"]))
+    """R10-R12, R38-R40 over what is known of a statement's ledger: findings of its array, or of a table of rows (ledger.findings)."""
+    f = F.col("__ledger")
+    filled = f["n_rows"] > 0
     return [
-        signal("circular_funds_detection", filled, F.size(pairs) == 0, "high", 40, "No same-day round trips.", pairs=F.size(pairs), evidence=F.to_json(F.slice(pairs, 1, 5))),
-        signal("duplicate_txn_reference", filled & F.exists(t, lambda x: F.trim(x["ref"]) != ""), F.size(refs) == 0, "high", 35, "Transaction references are unique.", references=F.array_join(F.slice(refs, 1, 10), ",")),
-        signal("salary_credit_regularity", has_salary, F.size(months) == 0, "medium", 20, "One salary credit a month.", months=F.array_join(months, ",")),
+        signal("circular_funds_detection", filled, f["pairs"] == 0, "high", 40, "No same-day round trips.", pairs=f["pairs"], evidence=f["evidence"]),
+        signal("duplicate_txn_reference", filled & f["has_references"], f["repeated_references"] == 0, "high", 35, "Transaction references are unique.", references=f["references"]),
+        signal("salary_credit_regularity", f["has_salary"], f["repeated_months"] == 0, "medium", 20, "One salary credit a month.", months=f["months"]),
     ]
 
 
@@ -221,22 +220,20 @@ def mortgage_payslip() -> list[Rule]:
 
 def mortgage_bank() -> list[Rule]:
     """R36-R42."""
-    from docsleuth.operators import ledger
-
     ifsc, name = F.upper(text("ifsc", "ifsc_code")), F.upper(text("bank_name"))
     banks = F.create_map(*[x for k, v in fixed.IFSC_BANKS.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
     expected = banks[F.substring(ifsc, 1, 4)]
     first, last = X.statement_date(text("earliest_transaction_date", "earliest_txn_date")), X.statement_date(text("latest_transaction_date", "latest_txn_date"))
     start, end = X.statement_date(text("period_from")), X.statement_date(text("period_to"))
     late, early = F.date_diff(first, start), F.date_diff(end, last)
-    error = ledger.first_balance_error_array(F.col("transactions"))
-    rounded = (error["diff"] >= 10_000) & (error["diff"] % 1000 == 0)
+    row, diff = F.col("__ledger")["error_row"], F.col("__ledger")["error_diff"]
+    rounded = (diff >= 10_000) & (diff % 1000 == 0)
     return [
         _balance(),
         signal("bank_ifsc_bank_name_consistency", (F.length(ifsc) >= 4) & name.isNotNull() & expected.isNotNull(), F.exists(expected, lambda x: F.contains(name, x)), "high", 65, "IFSC and bank name belong together.", ifsc=ifsc, bank_name=name),
         *_ledger_rules(),
         signal("bank_statement_date_range", first.isNotNull() & last.isNotNull() & start.isNotNull() & end.isNotNull(), (late <= 20) & (early <= 20), "high", 65, "Transactions cover the stated period.", start_gap=late, end_gap=early),
-        signal("bank_debit_credit_arithmetic", F.size("transactions") >= 2, error.isNull() | ~rounded, "critical", 65, "Running balances follow from debits and credits.", row=error["txn_no"], diff=error["diff"]),
+        signal("bank_debit_credit_arithmetic", F.col("__ledger")["n_rows"] >= 2, row.isNull() | ~rounded, "critical", 65, "Running balances follow from debits and credits.", row=row, diff=diff),
     ]
 
 

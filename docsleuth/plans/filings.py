@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from docsleuth.operators import ledger, rules
 from docsleuth.plans import views as V
-from docsleuth.plans.registry import query
+from docsleuth.plans.registry import SQL, query
 
 #: The day that rules about the future and recent letters are asked for.
 AS_OF = "1998-06-30"
@@ -244,14 +244,10 @@ def payroll_signals(spark: SparkSession, d: str) -> DataFrame:
     return one.select("doc_id", "period", "s.name", "s.severity", F.col("s.score").cast("bigint").alias("score"), "s.passed")
 
 
-def statements(spark: SparkSession, d: str) -> DataFrame:
-    """A statement for each account: ledger rows ten times as large, signups as salaries, and header fields that agree with them or not."""
-    k = F.col("account")
-    row = F.struct("txn_date", "txn_no", F.date_format("txn_date", "dd-MM-yyyy").alias("date"), F.when(F.col("desc") == "signup", "Salary credit").otherwise(F.col("desc")).alias("desc"), "ref", (F.col("debit") * 10).alias("debit"), (F.col("credit") * 10).alias("credit"), (F.col("balance") * 10).alias("balance"))
-    t = V.balances(spark, d).groupBy("account").agg(F.array_sort(F.collect_list(row)).alias("t"), F.sum(F.col("debit") * 10).alias("debits"), F.sum(F.col("credit") * 10).alias("credits"), F.min("txn_date").alias("first"), F.max("txn_date").alias("last"))
+def heads(df: DataFrame) -> DataFrame:
+    """Header fields of statements (k, debits, credits, first, last) that agree with their ledgers or not."""
     close = 10_000_000 + F.col("credits") - F.col("debits")
-    df = t.withColumn("k", k)
-    out = filing(
+    return filing(
         df,
         "bank_statement",
         opening_balance=F.lit(10_000_000),
@@ -267,10 +263,32 @@ def statements(spark: SparkSession, d: str) -> DataFrame:
         period_from=F.date_format(F.date_sub("first", (F.col("k") % 40).cast("int")), "d MMM yyyy"),
         period_to=F.date_format(F.date_add("last", (F.col("k") % 25).cast("int")), "d MMMM yyyy"),
     )
+
+
+def statements(spark: SparkSession, d: str) -> DataFrame:
+    """A statement for each account: ledger rows ten times as large, signups as salaries, and header fields that agree with them or not."""
+    k = F.col("account")
+    row = F.struct("txn_date", "txn_no", F.date_format("txn_date", "dd-MM-yyyy").alias("date"), F.when(F.col("desc") == "signup", "Salary credit").otherwise(F.col("desc")).alias("desc"), "ref", (F.col("debit") * 10).alias("debit"), (F.col("credit") * 10).alias("credit"), (F.col("balance") * 10).alias("balance"))
+    t = V.balances(spark, d).groupBy("account").agg(F.array_sort(F.collect_list(row)).alias("t"), F.sum(F.col("debit") * 10).alias("debits"), F.sum(F.col("credit") * 10).alias("credits"), F.min("txn_date").alias("first"), F.max("txn_date").alias("last"))
+    df = t.withColumn("k", k)
+    out = heads(df)
     rows = F.transform("t", lambda x: F.struct(*[x[c].alias(c) for c in ("date", "desc", "ref", "debit", "credit", "balance")]))
     return out.drop("transactions").join(df.select(F.col("k").alias("doc_id"), rows.cast(ledger.TRANSACTIONS).alias("transactions")), "doc_id")
 
 
+def statement_rows(spark: SparkSession, d: str) -> DataFrame:
+    """The same ledger as a table of rows."""
+    times = {c: F.col(c) * 10 for c in ("debit", "credit", "balance")}
+    return V.balances(spark, d).withColumns(times | {"desc": F.when(F.col("desc") == "signup", "Salary credit").otherwise(F.col("desc"))})
+
+
+def statement_heads(spark: SparkSession, d: str) -> DataFrame:
+    """The same statements without their ledgers: what is said of them, and the findings of the table."""
+    rows = statement_rows(spark, d)
+    found = ledger.coverage(rows)
+    return heads(found.select(F.col("account").alias("k"), F.col("debit_total").alias("debits"), F.col("credit_total").alias("credits"), F.col("first_date").alias("first"), F.col("last_date").alias("last"))).drop("transactions").join(ledger.findings(rows, ranges=24).withColumnRenamed("account", "doc_id"), "doc_id")
+
+
 STATEMENTS = V.BALANCES + """, v_rows AS (SELECT account AS doc_id, txn_date, txn_no, CASE WHEN descr = 'signup' THEN 'salary' ELSE descr END AS descr, ref, debit * 10 AS debit, credit * 10 AS credit, balance * 10 AS balance FROM v_balance),
 v_pairs AS (SELECT DISTINCT a.doc_id FROM v_rows a JOIN v_rows b ON a.doc_id = b.doc_id AND a.txn_date = b.txn_date WHERE a.debit >= 100000 AND b.credit >= 100000 AND abs(a.debit - b.credit) * 100 <= a.debit * 2),
 v_refs AS (SELECT DISTINCT doc_id FROM (SELECT doc_id, trim(ref) AS r FROM v_rows WHERE trim(ref) <> '') GROUP BY doc_id, r HAVING count(*) > 1),
@@ -318,6 +336,18 @@ def statement_signals(spark: SparkSession, d: str) -> DataFrame:
     return signals(statements(spark, d), rules.domain_signals(F.lit(AS_OF).cast("date")))
 
 
+@query(SQL["statement_signals"])
+def ranged_statement_signals(spark: SparkSession, d: str) -> DataFrame:
+    """R36-R42 where a ledger has any number of rows: findings of the table in place of an array."""
+    return signals(statement_heads(spark, d), rules.domain_signals(F.lit(AS_OF).cast("date"), types=["bank_statement"]))
+
+
+@query(SQL["banking_signals"])
+def ranged_banking_signals(spark: SparkSession, d: str) -> DataFrame:
+    """R07-R12 over such statements."""
+    return signals(statement_heads(spark, d), rules.fired(rules.banking()))
+
+
 # rules of every document, and of images
 
 _CORE = ORDERS + """, v_doc AS (SELECT k AS doc_id, CASE k % 3 WHEN 0 THEN 'payslip' WHEN 1 THEN 'bank_statement' ELSE 'gift_letter' END AS kind, CASE k % 5 WHEN 0 THEN 'Adobe Photoshop 2024' WHEN 1 THEN 'made with CANVA' WHEN 2 THEN 'Writer' END AS maker, k % 4 = 0 AS signed, k % 9 AS n_dates,
