@@ -8,6 +8,7 @@ or shuffle. Users add packs with register_pack().
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,7 +18,17 @@ from docsleuth.functions import scalars as X
 from docsleuth.operators import ledger
 
 SIGNAL = "struct<name:string,severity:string,score:int,summary:string,passed:boolean,details:map<string,string>>"
-Rule = Column
+
+
+@dataclass(frozen=True)
+class Rule:
+    """A rule as the signal it gives, and as its score alone, which is all that risk needs: null where it doesn't apply."""
+
+    signal: Column
+    score: Column
+
+    def where(self, gate: Column) -> Rule:
+        return Rule(F.when(gate, self.signal), F.when(gate, self.score))
 
 
 #: What packs ask of key_fields, by the name of the column that holds it: with_fields() computes each once a row.
@@ -65,7 +76,7 @@ def signal(name: str, applies: Column, passed: Column, severity: Column | str, s
         passed.alias("passed"),
         found.alias("details"),
     )
-    return F.when(applies, made)
+    return Rule(made, F.when(passed, F.lit(0)).otherwise(score).cast("int")).where(applies)
 
 
 def only_failure(name: str, fails: Column, severity: Column | str, score: Column | int, summary: str, **details: Column) -> Rule:
@@ -255,7 +266,7 @@ def mortgage_employment(as_of: Column) -> list[Rule]:
         signal("ctc_monthly_gross_consistency", ctc.isNotNull() & gross.isNotNull(), F.abs(ctc / 12 - gross) <= F.greatest(F.lit(5000).cast("bigint"), whole(F.abs(ctc / 12) * 0.15)), "medium", 20, "Annual and monthly pay agree.", annual=ctc, monthly=gross),
         signal("employment_backdating_signal", join.isNotNull() & issue.isNotNull() & (issue > join), ~(recent & (gap >= 12)), "high", 40, "The joining date is not long before a recent letter.", years=F.round(gap, 1)),
     ]
-    return [F.when(any_field, r) for r in guarded]
+    return [r.where(any_field) for r in guarded]
 
 
 def mortgage_form16() -> list[Rule]:
@@ -315,7 +326,9 @@ def image() -> list[Rule]:
         fails, soft = (v >= failing, v >= mild) if at_least else (v > failing, v > mild)
         made = signal(name, v.isNotNull(), ~fails, severity, score, f"{value} is in its usual range.", value=F.round(v, 3))
         # a mild value passes with a low severity and score
-        return F.when(v.isNotNull(), F.when(~fails & soft, made.withField("severity", F.lit("low")).withField("score", F.lit(mild_score))).otherwise(made))
+        mildly = ~fails & soft
+        mild = made.signal.withField("severity", F.lit("low")).withField("score", F.lit(mild_score))
+        return Rule(F.when(mildly, mild).otherwise(made.signal), F.when(mildly, mild_score).otherwise(made.score)).where(v.isNotNull())
 
     return [
         signal("image_suspicious_authoring_tool", F.lit(True), tool.isNull(), "high", 45, "No editing tool in the image's metadata.", tool=tool),
@@ -328,7 +341,7 @@ def image() -> list[Rule]:
     ]
 
 
-def _mortgage(as_of: Column, types: list[str]) -> Column:
+def _mortgage(as_of: Column, types: list[str], combine: Callable[[list[Rule]], Column]) -> Column:
     """Sub-routing by the type's text; a type that names none of them gets all but the utility rules. Only rules that types may get are in the plan."""
     t = F.col("doc_type")
     names = {"payslip": ("payslip",), "bank": ("bank",), "employment": ("employment",), "form16": ("form16", "tds"), "utility": ("utility",)}
@@ -346,12 +359,20 @@ def _mortgage(as_of: Column, types: list[str]) -> Column:
         named = any(k in kinds(x) for x in types)
         if named or everything and k != "utility":
             gate = hit[k] if not everything or k == "utility" else rest | hit[k]
-            gated += [r if len(types) == 1 else F.when(gate, r) for r in pack()]
-    return fired(gated)
+            gated += [r if len(types) == 1 else r.where(gate) for r in pack()]
+    return combine(gated)
 
 
 def fired(rules: list[Rule]) -> Column:
-    return F.array_compact(F.array(*rules)).cast(f"array<{SIGNAL}>")
+    return F.array_compact(F.array(*[r.signal for r in rules])).cast(f"array<{SIGNAL}>")
+
+
+def points(rules: list[Rule]) -> Column:
+    """The sum of the rules' scores, without building their signals."""
+    total = F.lit(0)
+    for r in rules:
+        total = total + F.coalesce(r.score, F.lit(0))
+    return total
 
 
 _USER_PACKS: dict[str, Callable[[], list[Rule]]] = {}
@@ -379,25 +400,36 @@ def built_once(name: str, make: Callable[[], Column]) -> Column:
 def domain_signals(as_of: Column | None = None, types: list[str] | None = None) -> Column:
     """The rules of each row's type; types without a pack get none. types: those that occur, where they are known; other rows then get none."""
     as_of = F.current_date() if as_of is None else as_of
-    return built_once(f"domain {as_of} {types}", lambda: _domain_signals(as_of, types))
+    return built_once(f"domain {as_of} {types}", lambda: _domain(as_of, types, fired, F.array().cast(f"array<{SIGNAL}>")))
 
 
-def _domain_signals(as_of: Column, types: list[str] | None) -> Column:
+def domain_points(as_of: Column | None = None, types: list[str] | None = None) -> Column:
+    """The sum of those signals' scores."""
+    as_of = F.current_date() if as_of is None else as_of
+    return built_once(f"points {as_of} {types}", lambda: _domain(as_of, types, points, F.lit(0)))
+
+
+def _domain(as_of: Column, types: list[str] | None, combine: Callable[[list[Rule]], Column], out: Column) -> Column:
     t = F.col("doc_type")
     wanted = lambda k: types is None or k in types
-    packs: dict[str, Column] = {k: fired(p()) for k, p in _USER_PACKS.items() if wanted(k)}
+    packs: dict[str, Column] = {k: combine(p()) for k, p in _USER_PACKS.items() if wanted(k)}
     own: dict[str, Callable[[], list[Rule]]] = {"payment_receipt": payments, "insurance": insurance, "healthcare": healthcare, "invoice": invoice, "compliance": lambda: compliance(as_of)}
-    packs |= {k: fired(rules()) for k, rules in own.items() if wanted(k) and k not in packs}
+    packs |= {k: combine(rules()) for k, rules in own.items() if wanted(k) and k not in packs}
     routed = [k for k in MORTGAGE_TYPES if wanted(k) and k not in packs]
-    choices = [(t == k, made) for k, made in packs.items()] + ([(t.isin(*routed), _mortgage(as_of, routed))] if routed else [])
-    out = F.array().cast(f"array<{SIGNAL}>")
+    choices = [(t == k, made) for k, made in packs.items()] + ([(t.isin(*routed), _mortgage(as_of, routed, combine))] if routed else [])
     for hit, made in reversed(choices):
         out = F.when(hit, made).otherwise(out)
     return out
 
 
-def assess(df: DataFrame, as_of: Column | None = None, with_image: bool = False, types: list[str] | None = None) -> DataFrame:
-    """Signals, risk_score, truth_score, risk_level, verdict for summaries with the columns named in this module. types: see domain_signals()."""
+def assess(df: DataFrame, as_of: Column | None = None, with_image: bool = False, types: list[str] | None = None, with_signals: bool = True) -> DataFrame:
+    """Signals, risk_score, truth_score, risk_level, verdict for summaries with the columns named in this module. types: see domain_signals().
+
+    Without signals the scores are summed straight from the rules, so no signal, message or detail is built.
+    """
+    if not with_signals:
+        total = built_once("core points", lambda: points(core())) + domain_points(as_of, types) + (points(image()) if with_image else F.lit(0))
+        return _banded(without_fields(with_fields(df).withColumn("risk_score", total)))
     named = F.transform(domain_signals(as_of, types), lambda s: s.withField("name", F.concat(F.lit("domain::"), s["name"])))
     parts = [built_once("core", lambda: fired(core())), named, *([fired(image())] if with_image else [])]
     return scored(without_fields(with_fields(df).withColumn("signals", F.concat(*parts))))
@@ -405,8 +437,11 @@ def assess(df: DataFrame, as_of: Column | None = None, with_image: bool = False,
 
 def scored(df: DataFrame) -> DataFrame:
     """Scores add up; the bands are 25 and 60."""
-    risk = F.aggregate("signals", F.lit(0), lambda a, s: a + s["score"])
-    df = df.withColumn("risk_score", risk).withColumn("truth_score", F.greatest(F.lit(0), 100 - F.col("risk_score")))
+    return _banded(df.withColumn("risk_score", F.aggregate("signals", F.lit(0), lambda a, s: a + s["score"])))
+
+
+def _banded(df: DataFrame) -> DataFrame:
+    df = df.withColumn("truth_score", F.greatest(F.lit(0), 100 - F.col("risk_score")))
     level = F.when(F.col("risk_score") >= 60, "high").when(F.col("risk_score") >= 25, "medium").otherwise("low")
     verdict = F.when(F.col("risk_score") >= 60, "suspicious_inconsistency").when(F.col("risk_score") >= 25, "review_recommended").otherwise("no_obvious_tampering")
     return df.withColumns({"risk_level": level, "verdict": verdict})

@@ -133,7 +133,7 @@ def identity_drift(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT person, CAST(period AS VARCHAR) AS period, CAST(risk AS BIGINT) AS risk_score, CAST(greatest(0, 100 - risk) AS BIGINT) AS truth_score, CASE WHEN risk >= 60 THEN 'high' WHEN risk >= 25 THEN 'medium' ELSE 'low' END AS risk_level FROM v_score", f"{V.SLIPS}, {V.RULES}")
 def payslip_scores(spark: SparkSession, d: str) -> DataFrame:
-    return rules.assess(V.slips(spark, d), types=["payslip"]).select("person", F.col("period").cast("string").alias("period"), *longs("risk_score", "truth_score"), "risk_level")
+    return rules.assess(V.slips(spark, d), types=["payslip"], with_signals=False).select("person", F.col("period").cast("string").alias("period"), *longs("risk_score", "truth_score"), "risk_level")
 
 
 @query(

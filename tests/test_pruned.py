@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from docsleuth.operators import ledger, quantiles, segments, similar, vectors
+from docsleuth.operators import extract, ledger, quantiles, rules, segments, similar, vectors
 from docsleuth.sources import ranges
 
 
@@ -159,3 +159,35 @@ def test_vector_index(spark):
     assert np.array_equal(again.centres, index.centres)
     none = vectors.build(df.limit(0))
     assert vectors.search(none, queries.limit(0)).count() == 0
+
+
+def test_findings_of_tables_and_arrays(spark):
+    """The table form of what rules ask of a ledger says the same as the array form, statement by statement."""
+    rnd = random.Random(11)
+    rows = []
+    for account in range(12):
+        balance = 500_000
+        for no in range(rnd.randrange(1, 25)):
+            debit, credit = rnd.choice([(0, 120_000), (120_500, 0), (300, 0), (0, 0), (0, 45_000)])
+            balance += credit - debit + rnd.choice([0, 0, 0, 0, 10_000, 777])
+            rows.append((account, f"2024-{1 + no // 9:02d}-{1 + no % 3:02d}", no, "Salary credit" if credit == 45_000 else "x", rnd.choice(["", " ", f"R{no % 7}", f"Q{no}"]), debit, credit, balance))
+    df = spark.createDataFrame(rows, "account int, day string, txn_no int, desc string, ref string, debit long, credit long, balance long").withColumn("txn_date", F.col("day").cast("date"))
+    table = {r["account"]: r["ledger_findings"].asDict() for r in ledger.findings(df, ranges=5).collect()}
+    one = F.struct("txn_date", "txn_no", F.date_format("txn_date", "dd-MM-yyyy").alias("date"), "desc", "ref", "debit", "credit", "balance")
+    arrays = df.groupBy("account").agg(F.array_sort(F.collect_list(one)).alias("t"))
+    arrays = arrays.withColumn("t", F.transform("t", lambda x: F.struct(*[x[c].alias(c) for c in ("date", "desc", "ref", "debit", "credit", "balance")])).cast(ledger.TRANSACTIONS))
+    for r in arrays.select("account", ledger.findings_of(F.col("t")).alias("f")).collect():
+        for c in ("n_rows", "has_references", "has_salary", "pairs", "repeated_references", "repeated_months", "error_diff"):
+            assert table[r["account"]][c] == r["f"][c], (r["account"], c)
+    assert ledger.findings(df.limit(0)).count() == 0
+
+
+def test_scores_without_signals(spark):
+    """Risk summed straight from the rules is that of the signals."""
+    texts = [(1, "letter", "TO WHOMSOEVER IT MAY CONCERN\nCIN: N/A\nwith effect from 01 January 2020\nCTC of Rs 12,00,000 per annum"), (2, "Payslip_1.pdf", "Payslip for the month of May 2024\nGross Earnings   100\nNet Pay   900   Basic   5\nHouse Rent Allowance   50"), (3, "other", "nothing")]
+    rows = extract.pages_of_text(spark.createDataFrame([(i, n, t.replace("\\\n", "\n")) for i, n, t in texts], "doc_id int, source_name string, text string"))
+    found = extract.summaries(rows).withColumns({"metadata": F.create_map().cast("map<string,string>"), "signature_markers": F.array().cast("array<string>")})
+    day = F.lit("2024-06-01").cast("date")
+    whole = {r["doc_id"]: (r["risk_score"], r["truth_score"], r["risk_level"], r["verdict"]) for r in rules.assess(found, day).collect()}
+    bare = {r["doc_id"]: (r["risk_score"], r["truth_score"], r["risk_level"], r["verdict"]) for r in rules.assess(found, day, with_signals=False).collect()}
+    assert whole == bare and len({v[0] for v in whole.values()}) == 3
