@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docsleuth.functions import fixed
 from docsleuth.functions import scalars as X
+from docsleuth.sources.shared import written
 
 
 def latest(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
@@ -47,7 +48,10 @@ def resolve(people: DataFrame, registry: DataFrame, keys: list[list[str]] | None
         one = registry.where(filled).groupBy(*[n.alias(f"__k{i}") for i, n in enumerate(norm)]).agg(F.min("entity_ref").alias(f"__ref{k}"), F.min_by("pan", "entity_ref").alias(f"__pan{k}"))
         cond = None
         for i, c in enumerate(cols):
-            part = F.lower(F.trim(out[c])) == F.col(f"__k{i}")
+            own = F.lower(F.trim(out[c]))
+            # people without the key match no one, but are spread over all tasks by what else is known of them
+            own = own if i else F.coalesce(X.blank_to_null(own), F.concat(F.lit("\u0000"), F.xxhash64(*[out[x] for x in people.columns]).cast("string")))
+            part = own == F.col(f"__k{i}")
             cond = part if cond is None else cond & part
         out = out.join(one, cond, "left").drop(*[f"__k{i}" for i in range(len(cols))])
         if strict and k:
@@ -69,15 +73,17 @@ def mint(people: DataFrame, registry: DataFrame, group: str, order: str) -> Data
     return numbered(fresh, "first_seen", group).crossJoin(F.broadcast(top)).select(group, F.format_string("BT-%06d", F.col("n") + F.col("top")).alias("new_ref"))
 
 
-def numbered(df: DataFrame, *order: str, buckets: int = 256) -> DataFrame:
-    """n = 1, 2, ... in the given order, without one task that sorts all rows: quantile ranges, their counts, then ranks within them."""
-    lead = order[0]
-    cuts = df.agg(F.percentile_approx(lead, [i / buckets for i in range(1, buckets)], 10_000).alias("cuts"))
-    ranged = df.crossJoin(F.broadcast(cuts)).withColumn("__b", F.size(F.filter(F.array_distinct("cuts"), lambda c: c < F.col(lead)))).drop("cuts")
-    counts = ranged.groupBy("__b").agg(F.count(F.lit(1)).alias("c"))  # at most `buckets` rows
-    before = counts.select("__b", F.coalesce(F.sum("c").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    rank = F.row_number().over(Window.partitionBy("__b").orderBy(*order))
-    return ranged.withColumn("__r", rank).join(F.broadcast(before), "__b").withColumn("n", F.col("before") + F.col("__r")).drop("__b", "__r", "before")
+def numbered(df: DataFrame, *order: str) -> DataFrame:
+    """n = 1, 2, ... in the given order, of any type, without one task that sorts all rows: ranges sorted apart, each counting on from those before.
+
+    The ranges are cut by all order columns, so rows that agree in the first one may lie in several.
+    """
+    dealt = df.repartitionByRange(*map(F.col, order)).sortWithinPartitions(*order)
+    # written as sorted: range and place are the same for the counts and for the rows
+    placed = written(dealt.withColumns({"__range": F.spark_partition_id(), "__at": F.monotonically_increasing_id()}))
+    counts = placed.groupBy("__range").agg(F.count(F.lit(1)).alias("c"), F.min("__at").alias("__first"))  # a row for each range
+    before = counts.select("__range", "__first", F.coalesce(F.sum("c").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    return placed.join(F.broadcast(before), "__range").withColumn("n", F.col("__before") + F.col("__at") - F.col("__first") + 1).drop("__range", "__at", "__first", "__before")
 
 
 def linked(people: DataFrame, forced: DataFrame, operator_fields: list[str]) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docsleuth.functions import scalars as X
+from docsleuth.sources.shared import shared_dir
 
 MATCH = 0.40
 
@@ -48,18 +49,25 @@ def embedding_links(df: DataFrame, id_col: str = "vec_id", vector: str = "embedd
 def embedding_search(df: DataFrame, wanted: Column, id_col: str = "vec_id", vector: str = "embedding", least: float = MATCH, block: int = 4096) -> DataFrame:
     """J12 as a search: query, match, score of the wanted rows against all others whose cosine reaches the threshold.
 
-    The wanted rows are dealt to blocks of about so many by a hash of the id; each is broadcast to a pass over all rows.
+    The wanted rows are dealt to blocks of about so many by a hash of the id; each is broadcast to a pass over all rows, which adds its hits to
+    a table in the shared folder, so no plan grows with the number of blocks. vectors.search() looks at fewer rows.
     """
     queries = df.where(wanted).select(F.col(id_col).alias("query"), F.col(vector).alias("vq"))
     rows = df.select(F.col(id_col).alias("match"), F.col(vector).alias("vm"))
     score = X.dot(F.col("vq"), F.col("vm"))
     n = max(1, -(-queries.count() // block))
-    out = None
-    for k in range(n):
+
+    def hits(k: int) -> DataFrame:
         part = queries.where(F.pmod(F.xxhash64("query"), F.lit(n)) == k)
-        hit = rows.join(F.broadcast(part), (F.col("query") != F.col("match")) & (score >= least)).select("query", "match", F.round(score, 4).alias("score"))
-        out = hit if out is None else out.union(hit)
-    return out
+        return rows.join(F.broadcast(part), (F.col("query") != F.col("match")) & (score >= least)).select("query", "match", F.round(score, 4).alias("score"))
+
+    if n == 1:
+        return hits(0)
+    spark = df.sparkSession
+    path = shared_dir(spark)
+    for k in range(n):
+        hits(k).write.mode("overwrite").parquet(f"{path}/block={k}")
+    return spark.read.schema(hits(0).schema).parquet(*[f"{path}/block={k}" for k in range(n)])
 
 
 def kyc_verdict(check_type: Column, matched: Column, live: Column) -> Column:

@@ -451,7 +451,8 @@ def streamed_log_days(spark: SparkSession, d: str) -> DataFrame:
     base = shared_dir(spark)
     closed = flows.run_once(flows.log_volume(_log_stream(spark, d)), spark, f"{base}/sink", f"{base}/checkpoint")
     last = closed.agg(F.max("minute").alias("last"))
-    rest = flows.log_volume(V.logs(spark, d)).crossJoin(F.broadcast(last)).where(F.coalesce(F.col("minute") > F.col("last"), F.lit(True))).drop("last")
+    later = V.logs(spark, d).crossJoin(F.broadcast(last)).where(F.coalesce(F.date_trunc("minute", "ts") > F.col("last"), F.lit(True))).drop("last")
+    rest = flows.log_volume(later)
     return closed.unionByName(rest).groupBy(F.date_format("minute", "yyyy-MM-dd").alias("day"), "level").agg(F.sum("n").alias("n"))
 
 

@@ -11,7 +11,7 @@ from docsleuth.plans import views as V
 from docsleuth.plans.filings import ORDERS, orders
 from docsleuth.plans.registry import query
 from docsleuth.sources import files, schemas
-from docsleuth.sources.shared import shared_dir
+from docsleuth.sources.shared import names, placed, shared_dir
 from docsleuth.streaming import flows, kyc
 
 # filters
@@ -376,6 +376,24 @@ def raw_intake(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
+@query("SELECT 's' || s_suppkey || '.pdf' AS name, CASE WHEN s_suppkey % 2 = 0 THEN 'invoice' ELSE 'generic' END AS doc_type, CAST(s_suppkey % 10 AS BIGINT) AS confidence_tenths, 'INV' || s_suppkey AS number, CASE WHEN s_suppkey % 3 > 0 THEN 'n' || s_nationkey END AS seller FROM supplier")
+def structured_intake(spark: SparkSession, d: str) -> DataFrame:
+    """Structured summaries, some hundred to a JSON file, found by their files' names among others."""
+    base = shared_dir(spark)
+    k = F.col("s_suppkey")
+    document = F.struct(F.when(k % 2 == 0, "invoice").otherwise("generic").alias("type"), (k % 10 / 10).alias("confidence"))
+    named = F.when(k % 3 > 0, F.create_map(F.lit("seller"), F.array(F.concat(F.lit("n"), "s_nationkey"), F.lit("second"))))
+    one = F.struct(document.alias("document"), F.struct(F.concat(F.lit("s"), k, F.lit(".pdf")).alias("name"), F.lit("in").alias("path")).alias("source"), F.create_map(F.lit("invoice_number"), F.concat(F.lit("INV"), k)).alias("key_fields"), named.alias("named_fields"))
+    parts = V.table(spark, d, "supplier").groupBy(F.expr("s_suppkey div 500").alias("part")).agg(F.to_json(F.collect_list(one)).alias("value"))
+    parts.write.partitionBy("part").text(f"{base}/made")
+    for name in names(spark, f"{base}/made"):
+        if name.startswith("part="):
+            placed(spark, f"{base}/made/{name}", f"{base}/in/{name[5:]}_structured.json")
+    V.table(spark, d, "supplier").select(F.lit("{}").alias("value")).write.text(f"{base}/in/other.json")
+    found = files.structured_documents(spark, f"{base}/in")
+    return found.select(F.col("source.name").alias("name"), F.col("document.type").alias("doc_type"), F.round(F.col("document.confidence") * 10).cast("bigint").alias("confidence_tenths"), F.col("key_fields")["invoice_number"].alias("number"), F.get(F.col("named_fields")["seller"], 0).alias("seller"))
+
+
 @query("""SELECT 'risk_level=' || risk_level AS prefix, 1::BIGINT AS n, CAST(sum(length('{"doc_id":' || doc_id || ',"source_name":"' || source_name || '"}') + 1) AS BIGINT) AS bytes FROM v_report GROUP BY 1""", V.REPORTS)
 def report_inventory(spark: SparkSession, d: str) -> DataFrame:
     """Reports stored by their risk level, and what lies below each prefix."""
