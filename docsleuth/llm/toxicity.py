@@ -43,6 +43,8 @@ ROUNDS = 150
 #: Training sequences are cut after so many words; scored ones are not.
 TRAINED_RUN = 64
 HELD_OUT = 5
+#: Cells of padded runs scored together, and bytes of texts: what a worker holds of a piece is some fifty times that.
+CELLS, SCORED_BYTES = 500_000, 2 << 20
 
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -112,7 +114,7 @@ def score_runs(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray, transi
     at = 0
     while at < len(order):
         longest = int(sizes[order[at]])
-        block = order[at : at + max(1, min(20_000, 2_000_000 // longest))]
+        block = order[at : at + max(1, min(20_000, CELLS // longest))]
         own = sizes[block]
         cells = np.arange(own.sum()) - np.repeat(np.cumsum(own) - own, own)
         columns = np.repeat(np.arange(len(block)), own)
@@ -292,7 +294,7 @@ def marks(df: DataFrame, model: Model, keep: str | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         known: dict[str, float] = {}
-        for batch in slices(batches):
+        for batch in slices(batches, size=SCORED_BYTES):
             texts = [t.decode("utf-8", "replace") for t in batch.column(1).to_pylist()]
             values = []
             for t in texts:
