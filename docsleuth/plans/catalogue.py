@@ -475,9 +475,27 @@ def streamed_classification(spark: SparkSession, d: str) -> DataFrame:
     return flows.run_once(found, spark, f"{base}/sink", f"{base}/checkpoint")
 
 
-@query()
+# each challenge starts after the frame that the one before passed at; four of them need no recursion
+_LIVE = """v_f AS (SELECT user_id || '-' || strftime(ts, '%Y%m%d') AS session_id, event_id AS frame_no, ts, CAST(event_id * 37 % 101 / 100.0 AS DOUBLE) AS x, CAST(event_id * 53 % 89 / 100.0 AS DOUBLE) AS y, CAST(event_id * 29 % 40 / 100.0 AS DOUBLE) AS ear,
+  row_number() OVER (PARTITION BY user_id, strftime(ts, '%Y%m%d') ORDER BY event_id) AS n FROM events),
+v_1 AS (SELECT f.session_id, min(f.n) AS n FROM v_f f JOIN v_f j ON f.session_id = j.session_id AND j.n BETWEEN f.n - 19 AND f.n WHERE f.n >= 3 AND j.x >= 0.62 GROUP BY 1),
+v_2 AS (SELECT f.session_id, min(f.n) AS n FROM v_1 p JOIN v_f f ON p.session_id = f.session_id AND f.n >= p.n + 3 JOIN v_f j ON f.session_id = j.session_id AND j.n BETWEEN greatest(p.n + 1, f.n - 19) AND f.n WHERE j.x <= 0.38 GROUP BY 1),
+v_3 AS (SELECT session_id, min(n) AS n FROM (SELECT f.session_id, f.n FROM v_2 p JOIN v_f f ON p.session_id = f.session_id AND f.n >= p.n + 6 JOIN v_f j ON f.session_id = j.session_id AND j.n BETWEEN greatest(p.n + 1, f.n - 19) AND f.n
+  GROUP BY 1, 2 HAVING max(j.y) - min(j.y) >= 0.28) GROUP BY 1),
+v_4 AS (SELECT session_id, min(n) AS n FROM (SELECT f.session_id, f.n FROM v_3 p JOIN v_f f ON p.session_id = f.session_id AND f.n >= p.n + 8 JOIN v_f j ON f.session_id = j.session_id AND j.n BETWEEN p.n + 1 AND f.n
+  GROUP BY f.session_id, f.n, p.n HAVING sum(j.ear ORDER BY j.n) FILTER (j.n <= p.n + 5) / 5 > 0.18 AND min(j.ear) FILTER (j.n > p.n + 5) < 0.15 AND sum(j.ear ORDER BY j.n) FILTER (j.n > f.n - 5) / 5 > 0.18) GROUP BY 1),
+v_passed AS (SELECT *, 'turn_left' AS challenge, 1 AS passed FROM v_1 UNION ALL SELECT *, 'turn_right', 2 FROM v_2 UNION ALL SELECT *, 'nod', 3 FROM v_3 UNION ALL SELECT *, 'blink', 4 FROM v_4),
+v_last AS (SELECT session_id, max(ts) AS ts FROM v_f GROUP BY 1)"""
+
+
+@query(
+    """SELECT p.session_id, f.frame_no, CASE WHEN passed = 4 THEN 'completed' ELSE 'challenge_passed' END AS status, challenge, passed::INTEGER AS passed, CAST(NULL AS DOUBLE) AS similarity FROM v_passed p JOIN v_f f ON p.session_id = f.session_id AND p.n = f.n
+  UNION ALL SELECT l.session_id, -1, 'expired', '', coalesce(p.passed, 0)::INTEGER, NULL FROM v_last l LEFT JOIN (SELECT session_id, max(passed) AS passed FROM v_passed GROUP BY 1) p ON l.session_id = p.session_id
+  WHERE coalesce(p.passed, 0) < 4 AND l.ts + INTERVAL 30 MINUTE <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE""",
+    _LIVE,
+)
 def liveness_sessions(spark: SparkSession, d: str) -> DataFrame:
-    """Events of all four challenges by keyed state; SQL has no such state, tests compare with the plain loop."""
+    """Events of all four challenges by keyed state, and the sessions that expire."""
     base = shared_dir(spark)
     V.frames(spark, d).write.parquet(f"{base}/frames")
     stream = spark.readStream.schema(spark.read.parquet(f"{base}/frames").schema).parquet(f"{base}/frames")
