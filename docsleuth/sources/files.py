@@ -114,11 +114,15 @@ def export(df: DataFrame, path: str, kind: str = "csv") -> None:
     (df.write.option("header", True).csv if kind == "csv" else df.write.json)(path)
 
 
+def below(root: str, path: str = "path") -> Column:
+    """The part of a path after the root folder's."""
+    inside = root.split(":", 1)[-1].strip("/") + "/"
+    return F.substr(F.col(path), F.instr(F.col(path), inside) + len(inside))
+
+
 def inventory(found: DataFrame, depth: int = 1, root: str = "") -> DataFrame:
     """Objects, bytes and MB below each prefix of so many parts, counted from the root."""
-    path = F.regexp_replace("path", "^[a-z0-9]+:/+", "")
-    inside = root.split(":", 1)[-1].strip("/")
-    path = F.substring_index(path, f"{inside}/", -1) if inside else path
+    path = below(root) if root.strip("/") else F.regexp_replace("path", "^[a-z0-9]+:/+", "")
     prefix = F.substring_index(path, "/", depth)
     return found.groupBy(prefix.alias("prefix")).agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("bytes")).withColumn("mb", F.round(F.col("bytes") / 1048576, 2))
 

@@ -53,8 +53,7 @@ def manifest(spark: SparkSession, target: str, version: int | None = None) -> Da
 def _listed(spark: SparkSession, source: str, extensions: list[str] | None) -> DataFrame:
     """Paths below the source, as the part after it."""
     found = files.listing(spark, source, extensions)
-    root = source.split(":", 1)[-1].strip("/") + "/"
-    return found.select(F.substring_index("path", root, -1).alias("path"), "length", F.col("modificationTime").alias("modified"))
+    return found.select(files.below(source).alias("path"), "length", F.col("modificationTime").alias("modified"))
 
 
 def _copied(source: str, folder: str):

@@ -69,7 +69,9 @@ class LifecycleSink:
         """case_key, disposition as the batch of this number finds them."""
         done = sorted(b for b in self.committed(spark) if b < before)
         whole = max((b for b in done if (b + 1) % self.compact_every == 0), default=None)
-        known = self.initial if whole is None else spark.read.schema(self.initial.schema).parquet(f"{self.base}/states/{whole}")
+        if whole is None and not exists(spark, f"{self.base}/states/first/_SUCCESS"):
+            self.initial.write.mode("overwrite").parquet(f"{self.base}/states/first")  # once: every batch starts from the same
+        known = spark.read.schema(self.initial.schema).parquet(f"{self.base}/states/{'first' if whole is None else whole}")
         return self._folded(known, self._events(spark, [b for b in done if whole is None or b > whole]))
 
 
