@@ -276,6 +276,7 @@ def shared_emails(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT case_key, CASE WHEN risk_level = 'high' THEN 'triage' WHEN risk_level = 'medium' THEN 'new' ELSE 'closed' END AS status, CASE WHEN risk_level = 'low' THEN 'cleared' ELSE 'open' END AS disposition, CASE WHEN risk_level = 'high' THEN 'high' ELSE 'normal' END AS priority FROM (SELECT r.case_key, r.risk_level, s.case_key IS NOT NULL AS seen, coalesce(s.disposition, 'open') AS disp FROM v_report r LEFT JOIN (SELECT * FROM v_state WHERE right(case_key, 1) <> '7') s ON r.case_key = s.case_key) WHERE disp NOT IN ('cleared', 'fraud_confirmed') AND (risk_level IN ('high', 'medium') OR NOT seen)", V.CASE_EVENTS)
 def case_lifecycle(spark: SparkSession, d: str) -> DataFrame:
+    """All assessments against the state at one time; cases whose key ends in 7 have no state yet, so that some are unseen."""
     state = cases.folded(V.case_events(spark, d), columns=["disposition"]).where("right(case_key, 1) <> '7'")
     return cases.lifecycle(V.reports(spark, d).select("case_key", "risk_level"), state)
 
