@@ -1,6 +1,6 @@
 """Document text to structured summaries: lines, label/value pairs, typed fields, classification.
 
-One shuffle, by doc_id, assembles a summary from lines; everything before and after is projection.
+A summary is made within its row: no shuffle, and no join that could gather labels on the driver.
 """
 
 from __future__ import annotations
@@ -22,19 +22,44 @@ def pages_of_text(df: DataFrame, text: str = "text") -> DataFrame:
 
 def lines(df: DataFrame, id_col: str = "doc_id", pages: str = "pages") -> DataFrame:
     """doc_id, page, line_no, line; blank lines are left out."""
-    rows = df.select(F.col(id_col).alias("doc_id"), F.explode(pages).alias("p")).select("doc_id", "p.page", F.posexplode(F.split("p.text", r"\R")).alias("line_no", "line"))
+    # inner explodes would also filter on the arrays' sizes, which splits every text a second time
+    rows = df.select(F.col(id_col).alias("doc_id"), F.explode_outer(pages).alias("p")).select("doc_id", "p.page", F.posexplode_outer(F.split("p.text", r"\R")).alias("line_no", "line"))
     return rows.withColumn("line", F.trim("line")).where("line != ''")
 
 
 def pairs(rows: DataFrame) -> DataFrame:
     """label/value pairs of lines with columns at least two spaces apart."""
-    seg = F.filter(F.split("line", r"\s{2,}"), lambda s: F.trim(s) != "")
-    cut = rows.withColumn("seg", seg).where(F.size("seg") >= 2)
-    made = F.transform(F.sequence(F.lit(0), F.size("seg") - 2, F.lit(2)), lambda i: F.struct(F.trim(F.get("seg", i)).alias("label"), F.trim(F.get("seg", i + 1)).alias("value")))
-    out = cut.select("doc_id", "page", "line_no", F.posexplode(made).alias("pair_no", "p"))
+    cut = rows.withColumn("seg", _columns(F.col("line")))
+    out = cut.select("doc_id", "page", "line_no", F.posexplode_outer(F.when(F.size("seg") >= 2, _paired(F.col("seg")))).alias("pair_no", "p")).where("p is not null")
     return out.select("doc_id", "page", "line_no", "pair_no", "p.label", X.normalize_label(F.col("p.label")).alias("normalized_label"), "p.value")
 
 
+def _columns(line: Column) -> Column:
+    return F.filter(F.split(line, r"\s{2,}"), lambda s: F.trim(s) != "")
+
+
+def _paired(seg: Column) -> Column:
+    return F.transform(F.sequence(F.lit(0), F.size(seg) - 2, F.lit(2)), lambda i: F.struct(F.trim(F.get(seg, i)).alias("label"), F.trim(F.get(seg, i + 1)).alias("value")))
+
+
+def with_named_fields(df: DataFrame, line_list: str = "line_list") -> DataFrame:
+    """X04, X13 within each row: named_fields and value_count from its lines, without a shuffle or a join. A document without pairs has an empty map and no count.
+
+    Pairs are sorted by label and place and cut where the label changes, so the work grows with n log n of a document's pairs.
+    """
+    pair = lambda p: F.struct(X.normalize_label(p["label"]).alias("label"), p["value"].alias("value"))
+    segs = F.filter(F.transform(line_list, _columns), lambda s: F.size(s) >= 2)
+    # a column for each step: the next one refers to it more than once, so that it is computed once
+    out = df.withColumn("__pairs", F.flatten(F.transform(segs, lambda s: F.transform(_paired(s), pair))))
+    out = out.withColumn("__pairs", F.array_sort(F.transform("__pairs", lambda p, i: F.struct(p["label"].alias("label"), i.alias("at"), p["value"].alias("value")))))
+    first = F.filter(F.transform("__pairs", lambda p, i: F.when(F.coalesce(F.get("__pairs", i - 1)["label"] == p["label"], F.lit(False)), -1).otherwise(i)), lambda i: i >= 0)
+    out = out.withColumn("__first", first)
+    of = lambda i, n: F.slice("__pairs", i + 1, F.coalesce(F.get("__first", n + 1), F.size("__pairs")) - i)
+    entry = lambda i, n: F.struct(F.get("__pairs", i)["label"].alias("label"), F.array_distinct(F.transform(of(i, n), lambda p: p["value"])).alias("values"))
+    out = out.withColumn("named_fields", F.coalesce(F.map_from_entries(F.transform("__first", entry)), F.create_map().cast("map<string,array<string>>"))).drop("__pairs", "__first")
+    return out.withColumn("value_count", F.nullif(F.aggregate(F.map_values("named_fields"), F.lit(0).cast("bigint"), lambda a, v: a + F.size(v)), F.lit(0).cast("bigint")))
+
+
 def named_fields(found: DataFrame) -> DataFrame:
     """Label to its distinct values in the order of the document."""
     ordered = F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("page", "line_no", "pair_no", "value"))), lambda x: x["value"]))
@@ -50,10 +75,13 @@ def classify(name: Column, text: Column, taxonomy: list[tuple[str, list[str]]] =
     """
     name, text = F.lower(F.coalesce(name, F.lit(""))), F.coalesce(text, F.lit(""))
 
+    # a literal, as its parts are
+    types = F.array(*[F.struct(F.lit(-k).alias("rank"), F.lit(kind).alias("type"), F.array(*map(F.lit, words)).cast("array<string>").alias("words")) for k, (kind, words) in enumerate(taxonomy)])
+
     def marked(whole: Column) -> Column:
         """Of each type its rank and the markers found."""
-        found = lambda kind, words: F.array_compact(F.array(*[F.when(F.contains(whole, F.lit(w)), F.lit(w)) for w in words], *([F.when(F.contains(name, F.lit(kind)), F.lit("(filename_boost)"))] if kind != "generic" else [F.lit(None).cast("string")])))
-        return F.array(*[F.struct(F.lit(-k).alias("rank"), F.lit(kind).alias("type"), found(kind, words).alias("found")) for k, (kind, words) in enumerate(taxonomy)])
+        boost = lambda t: F.when((t["type"] != "generic") & F.contains(name, t["type"]), F.array(F.lit("(filename_boost)"))).otherwise(F.array().cast("array<string>"))
+        return F.transform(types, lambda t: F.struct(t["rank"].alias("rank"), t["type"].alias("type"), F.concat(F.filter(t["words"], lambda w: F.contains(whole, w)), boost(t)).alias("found")))
 
     def scored(types: Column) -> Column:
         hit = F.transform(F.filter(types, lambda m: F.size(m["found"]) > 0), lambda m: F.struct((F.size(m["found"]) + F.when(F.array_contains(m["found"], "(filename_boost)"), 1).otherwise(0)).alias("score"), m["rank"].alias("rank"), m["type"].alias("type"), m["found"].alias("found")))
@@ -197,10 +225,9 @@ def summaries(df: DataFrame, id_col: str = "doc_id", name_col: str = "source_nam
     base = df.select(F.col(id_col).alias("doc_id"), F.col(name_col).alias("source_name"), F.col(pages).alias("pages"))
     full = F.array_join(F.transform("pages", lambda p: F.coalesce(p["text"], F.lit(""))), "\n")
     listed = F.flatten(F.transform("pages", lambda p: F.filter(F.transform(F.split(F.coalesce(p["text"], F.lit("")), r"\R"), lambda x: F.trim(x)), lambda x: x != "")))
-    base = base.select("doc_id", "source_name", full.alias("full_text"), listed.alias("line_list"), F.size("pages").alias("page_count"), "pages")
-    fields = named_fields(pairs(lines(base)))
+    base = base.select("doc_id", "source_name", full.alias("full_text"), listed.alias("line_list"), F.size("pages").alias("page_count"))
     kind = classify(F.col("source_name"), F.col("full_text"), taxonomy)
-    out = base.drop("pages").join(fields, "doc_id", "left").withColumn("named_fields", F.coalesce("named_fields", F.create_map().cast("map<string,array<string>>"))).withColumn("c", kind)
+    out = with_named_fields(base).withColumn("c", kind)
     out = out.withColumns({"doc_type": F.col("c.type"), "type_confidence": F.col("c.confidence"), "classification_scores": F.col("c.scores"), "matched_markers": F.col("c.markers"), "text_length": F.col("c.text_length"), "text_preview": F.col("c.preview")}).drop("c")
     routed = [("payslip", payslip_fields()), ("employment_letter", employment_fields()), ("bank_statement", bank_fields()), ("gift_letter", gift_fields())]
     as_map = lambda fs: F.map_filter(F.create_map(*[x for k, v in fs.items() for x in (F.lit(k), v)]), lambda _, v: v.isNotNull())
