@@ -111,14 +111,25 @@ def candidate_dates(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(text, F.lit(_DATE), F.lit(0)))
 
 
+def is_identifier() -> Column:
+    """X11, of a pair."""
+    return F.col("normalized_label").rlike("|".join(fixed.IDENTIFIER_LABELS))
+
+
 def identifiers(found: DataFrame) -> DataFrame:
     """X11."""
-    return found.where(F.col("normalized_label").rlike("|".join(fixed.IDENTIFIER_LABELS)))
+    return found.where(is_identifier())
+
+
+def money() -> Column:
+    """X12, of a pair: its amount; null if the label tells of none or the value holds none."""
+    named = ~F.col("normalized_label").contains("date") & F.col("normalized_label").rlike("|".join(fixed.MONEY_LABELS))
+    return F.when(named, X.parse_amount(F.col("value")))
 
 
 def monetary(found: DataFrame) -> DataFrame:
     """X12."""
-    return found.where(~F.col("normalized_label").contains("date") & F.col("normalized_label").rlike("|".join(fixed.MONEY_LABELS))).withColumn("numeric_value", X.parse_amount(F.col("value"))).where("numeric_value is not null")
+    return found.withColumn("numeric_value", money()).where("numeric_value is not null")
 
 
 def _alias(*labels: str) -> Column:
