@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from docsleuth.functions import scalars as X
 from docsleuth.operators.identity import MATCH
 
 CHALLENGES = ["turn_left", "turn_right", "nod", "blink"]
@@ -18,6 +18,8 @@ LEFT, RIGHT, NOD = 0.62, 0.38, 0.28
 EVENT = "session_id string, frame_no bigint, status string, challenge string, passed int, similarity double"
 #: The frames of a challenge that a blink is judged by, beside the recent ones.
 FIRST = 5
+#: Keys of the state; each holds the open sessions of its hash.
+BUCKETS = 4096
 
 
 def frame_features(points: str = "points", box: str = "bbox", extra: DataFrame | None = None) -> dict[str, Column]:
@@ -58,71 +60,99 @@ class Session(StatefulProcessor):
     When the last challenge has passed, a session with a reference embedding completes if the frame's own embedding is as similar as face_match()
     asks, else it fails; one without completes. A session without frames for half an hour expires, and what is kept of a
     finished one goes by the same timer.
+
+    A key with state of its own costs some milliseconds of calls between Python and the state store, and most sessions have few frames. So the keys are
+    buckets of sessions: a bucket's list of open sessions is read and written once a batch, and its timer is the earliest of theirs.
     """
 
-    FRAME = "frame_no bigint, nose_rel_x double, pitch double, ear double, det_score double"
-    NAMES = ("frame_no", "nose_rel_x", "pitch", "ear", "det_score")
-    COLUMNS = ("session_id", "frame_no", "status", "challenge", "passed", "similarity")
+    #: What challenge_passed() looks at; kept frames are these values, one frame after the other.
+    NAMES = ("nose_rel_x", "pitch", "ear", "det_score")
+    STATE = "session_id string, n int, done boolean, gone int, ear double, score double, until bigint, frames array<double>"
+    NEW = (0, False, 0, np.inf, np.inf, 0, ())
 
     def __init__(self, challenges: list[str]):
         self.challenges = challenges
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.index = handle.getValueState("index", "n int, done boolean, gone int, ear double, score double")
-        self.frames = handle.getListState("frames", self.FRAME)
+        self.open = handle.getListState("sessions", self.STATE)
 
-    def finished(self, frame: dict) -> tuple[str, float | None]:
+    def finished(self, similarity: float | None) -> str:
         """L07."""
-        reference, own = frame.get("reference"), frame.get("embedding")
-        if reference is None or not len(reference):
-            return "completed", None
-        similarity = float(np.dot(np.asarray(own, float), np.asarray(reference, float))) if own is not None and len(own) == len(reference) else 0.0
-        return "completed" if similarity >= MATCH else "failed", similarity
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        n, done, gone, *low = self.index.get() if self.index.exists() else (0, False, 0, np.inf, np.inf)
-        names = list(self.NAMES)
-        history = [dict(zip(names, r, strict=True)) for r in self.frames.get()] if self.frames.exists() else []
-        out = []
-        incoming = pd.concat(list(rows)).sort_values("frame_no")
-        for frame in incoming.to_dict("records"):
+        return "completed" if similarity is None or similarity >= MATCH else "failed"
+
+    def followed(self, session_id: str, rows: list[Row], state: tuple) -> tuple[list[Row], tuple]:
+        """The events of a session's next frames, and its state after them."""
+        n, done, gone, ear, score, until, kept = state
+        low, width, out = (ear, score), len(self.NAMES), []
+        history = [dict(zip(self.NAMES, kept[i : i + width], strict=True)) for i in range(0, len(kept), width)]
+        for row in sorted(rows, key=lambda r: r["frame_no"]):
             if done:
                 break
-            history.append(frame)
+            history.append({c: row[c] for c in self.NAMES})
             kind = self.challenges[n]
-            if challenge_passed(kind, history, gone, tuple(low)):
-                n, history, gone, low = n + 1, [], 0, [np.inf, np.inf]
+            if challenge_passed(kind, history, gone, low):
+                n, history, gone, low = n + 1, [], 0, (np.inf, np.inf)
                 done = n == len(self.challenges)
-                status, similarity = self.finished(frame) if done else ("challenge_passed", None)
-                out.append((key[0], int(frame["frame_no"]), status, kind, n, similarity))
+                similarity = row["similarity"] if done else None
+                status = self.finished(similarity) if done else "challenge_passed"
+                out.append(Row(session_id=session_id, frame_no=row["frame_no"], status=status, challenge=kind, passed=n, similarity=similarity))
             elif len(history) > FIRST + RECENT:
                 old = history.pop(FIRST)
-                gone, low = gone + 1, [min(low[0], old["ear"]), min(low[1], old["det_score"])]
-        self.index.update((n, done, gone, *map(float, low)))
-        self.frames.clear()
-        if history and not done:
-            self.frames.put([tuple(f[c] for c in names) for f in history])
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        self.handle.registerTimer(int(incoming["ts"].max().timestamp() * 1000) + TTL_MS)
-        yield pd.DataFrame(out, columns=list(self.COLUMNS)).astype({"similarity": "float64"})
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        n, done, *_ = self.index.get() if self.index.exists() else (0, False)
-        self.index.clear()
-        self.frames.clear()
-        rows = [] if done else [(key[0], -1, "expired", "", n, None)]
-        yield pd.DataFrame(rows, columns=list(self.COLUMNS)).astype({"similarity": "float64"})
+                gone, low = gone + 1, (min(low[0], old["ear"]), min(low[1], old["det_score"]))
+        frames = [] if done else [f[c] for f in history for c in self.NAMES]
+        return out, (n, done, gone, *low, max(until, max(r["at_ms"] for r in rows) + TTL_MS), frames)
+
+    def kept(self) -> dict[str, tuple]:
+        return {session_id: tuple(state) for session_id, *state in self.open.get()}
+
+    def keep(self, states: dict[str, tuple]) -> None:
+        if states:
+            self.open.put([(session_id, *state) for session_id, state in states.items()])
+            self.handle.registerTimer(min(until for *_, until, _ in states.values()))
+        else:
+            self.open.clear()
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802, N803
+        incoming: dict[str, list[Row]] = {}
+        for row in rows:
+            incoming.setdefault(row["session_id"], []).append(row)
+        states, out = self.kept(), []
+        if states:
+            self.handle.deleteTimer(min(until for *_, until, _ in states.values()))
+        for session_id, own in incoming.items():
+            found, states[session_id] = self.followed(session_id, own, states.get(session_id, self.NEW))
+            out += found
+        self.keep(states)
+        return iter(out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
+        now, states = timerValues.getCurrentWatermarkInMs(), self.kept()
+        out = [Row(session_id=session_id, frame_no=-1, status="expired", challenge="", passed=n, similarity=None) for session_id, (n, done, *_, until, _) in states.items() if until <= now and not done]
+        self.keep({session_id: state for session_id, state in states.items() if state[-2] > now})
+        return iter(out)
 
     def close(self) -> None:
         pass
 
 
+def compared(frame: Column, reference: Column) -> Column:
+    """The similarity of a frame's embedding to the reference; null without a reference, 0 if the frame has none of that length."""
+    alike = F.when(F.size(frame) == F.size(reference), X.dot(frame.cast("array<double>"), reference.cast("array<double>")))
+    return F.when(F.size(reference) > 0, F.coalesce(alike, F.lit(0.0)))
+
+
 def sessions(frames: DataFrame, challenges: list[str] | None = None) -> DataFrame:
-    """Events of a stream of frames, by session; ts, a timestamp, drives the expiry. Frames may have an embedding and their session's reference embedding."""
-    timed = frames.withWatermark("ts", "10 minutes")
-    return timed.groupBy("session_id").transformWithStateInPandas(Session(challenges or CHALLENGES), EVENT, "Append", "EventTime")
+    """Events of a stream of frames, by session; ts, a timestamp, drives the expiry. Frames may have an embedding and their session's reference embedding.
+
+    Embeddings are compared before the keyed state, so none of them is shuffled or kept.
+    """
+    both = {"embedding", "reference"} <= set(frames.columns)
+    similarity = compared(F.col("embedding"), F.col("reference")) if both else F.lit(None).cast("double")
+    seen = [F.coalesce(F.col(c).cast("double"), F.lit(float("nan"))).alias(c) for c in Session.NAMES]
+    bucket = F.pmod(F.xxhash64("session_id"), F.lit(BUCKETS)).cast("int").alias("bucket")
+    timed = frames.withWatermark("ts", "10 minutes").select(bucket, "session_id", "frame_no", *seen, "ts", F.unix_millis("ts").alias("at_ms"), similarity.alias("similarity"))
+    return timed.groupBy("bucket").transformWithState(Session(challenges or CHALLENGES), EVENT, "Append", "EventTime")
 
 
 def with_references(frames: DataFrame, entities: DataFrame, key: str = "entity_ref", vector: str = "embedding") -> DataFrame:
