@@ -36,11 +36,12 @@ def filing(df: DataFrame, doc_type: str, **fields: Column) -> DataFrame:
     pairs = [x for n, v in fields.items() for x in (F.lit(n), v.cast("string"))]
     known = F.map_filter(F.create_map(*pairs), lambda _, v: v.isNotNull())
     none = F.array().cast("array<string>")
-    return df.select(F.col("k").alias("doc_id"), F.lit(doc_type).alias("doc_type"), known.alias("key_fields"), F.create_map().cast("map<string,string>").alias("metadata"), none.alias("signature_markers"), none.alias("dates"), F.array().cast(ledger.TRANSACTIONS).alias("transactions"))
+    return V.spread(df, "k").select(F.col("k").alias("doc_id"), F.lit(doc_type).alias("doc_type"), known.alias("key_fields"), F.create_map().cast("map<string,string>").alias("metadata"), none.alias("signature_markers"), none.alias("dates"), F.array().cast(ledger.TRANSACTIONS).alias("transactions"))
 
 
 def signals(df: DataFrame, found: Column) -> DataFrame:
-    one = rules.with_fields(df).select("doc_id", F.explode_outer(found).alias("s")).where("s is not null")
+    # the signals are a column first: an explode of their expression would have all fields of all packs computed below it
+    one = rules.with_fields(df).select("doc_id", found.alias("found")).select("doc_id", F.explode_outer("found").alias("s")).where("s is not null")
     return one.select("doc_id", "s.name", "s.severity", F.col("s.score").cast("bigint").alias("score"), "s.passed")
 
 
