@@ -79,6 +79,28 @@ def _copied(source: str, folder: str):
     return run
 
 
+def _written(folder: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        writer, out = fs.FileSystem.from_uri(_uri(folder))
+        writer.create_dir(out, recursive=True)
+        for batch in batches:
+            for name, value in zip(batch.column("name").to_pylist(), batch.column("value").to_pylist(), strict=True):
+                to = posixpath.join(out, name)
+                with writer.open_output_stream(f"{to}.part") as f:
+                    f.write(value.encode())
+                writer.move(f"{to}.part", to)
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
+
+    return run
+
+
+def write_each(rows: DataFrame, folder: str) -> None:
+    """A file for each row, of its name and its text (value), written in tasks. A task that is tried again replaces what it left; nothing is renamed by the driver."""
+    rows.select("name", "value").mapInArrow(_written(folder), "n bigint").write.format("noop").mode("overwrite").save()
+
+
 def _uri(path: str) -> str:
     """As the file systems of tasks want it: a bare path is a local one."""
     return f"file://{path}" if path.startswith("/") else path.replace("file:/", "file:///", 1) if path.startswith("file:/") and not path.startswith("file://") else path
