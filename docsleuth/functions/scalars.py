@@ -13,7 +13,7 @@ from docsleuth.functions import fixed
 
 def parse_amount(v: Column) -> Column:
     """All but digits and minus signs deleted, then a whole number or null."""
-    return F.nullif(F.regexp_replace(v, "[^0-9-]", ""), F.lit("")).try_cast("bigint")
+    return F.regexp_replace(v, "[^0-9-]", "").try_cast("bigint")
 
 
 def blank_to_null(v: Column) -> Column:

@@ -5,6 +5,8 @@ A summary is made within its row: no shuffle, and no join that could gather labe
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -75,13 +77,12 @@ def classify(name: Column, text: Column, taxonomy: list[tuple[str, list[str]]] =
     """
     name, text = F.lower(F.coalesce(name, F.lit(""))), F.coalesce(text, F.lit(""))
 
-    # a literal, as its parts are
-    types = F.array(*[F.struct(F.lit(-k).alias("rank"), F.lit(kind).alias("type"), F.array(*map(F.lit, words)).cast("array<string>").alias("words")) for k, (kind, words) in enumerate(taxonomy)])
-
     def marked(whole: Column) -> Column:
-        """Of each type its rank and the markers found."""
-        boost = lambda t: F.when((t["type"] != "generic") & F.contains(name, t["type"]), F.array(F.lit("(filename_boost)"))).otherwise(F.array().cast("array<string>"))
-        return F.transform(types, lambda t: F.struct(t["rank"].alias("rank"), t["type"].alias("type"), F.concat(F.filter(t["words"], lambda w: F.contains(whole, w)), boost(t)).alias("found")))
+        """Of each type its rank and the markers found. A quoted pattern skips along the text by the marker's length, where contains() looks at each byte."""
+        quoted = lambda w: F.lit("\\Q" + w.replace("\\E", "\\E\\\\E\\Q") + "\\E")
+        boost = lambda kind: [F.when(F.contains(name, F.lit(kind)), "(filename_boost)")] if kind != "generic" else []
+        found = lambda kind, words: F.array_compact(F.array(*[F.when(F.rlike(whole, quoted(w)), w) for w in words], *boost(kind)).cast("array<string>"))
+        return F.array(*[F.struct(F.lit(-k).alias("rank"), F.lit(kind).alias("type"), found(kind, words).alias("found")) for k, (kind, words) in enumerate(taxonomy)])
 
     def scored(types: Column) -> Column:
         hit = F.transform(F.filter(types, lambda m: F.size(m["found"]) > 0), lambda m: F.struct((F.size(m["found"]) + F.when(F.array_contains(m["found"], "(filename_boost)"), 1).otherwise(0)).alias("score"), m["rank"].alias("rank"), m["type"].alias("type"), m["found"].alias("found")))
@@ -136,13 +137,17 @@ def _alias(*labels: str) -> Column:
     return F.coalesce(*[X.blank_to_null(F.get(F.col("named_fields")[x], 0)) for x in labels])
 
 
+def _kept(value: Column, that: Callable[[Column], Column]) -> Column:
+    """value where that holds, else null; the value is evaluated once, which nullif and when don't do."""
+    return F.get(F.filter(F.array(value), that), 0)
+
+
 def _find(pattern: str, group: int = 1) -> Column:
-    return X.blank_to_null(F.trim(F.regexp_replace(F.regexp_extract("full_text", pattern, group), r"\s+", " ")))
+    return _kept(F.trim(F.regexp_replace(F.regexp_extract("full_text", pattern, group), r"\s+", " ")), lambda v: v != "")
 
 
 def _amount_over(pattern: str, least: int) -> Column:
-    v = X.parse_amount(F.regexp_extract("full_text", pattern, 1))
-    return F.when(v > least, v.cast("string"))
+    return _kept(X.parse_amount(F.regexp_extract("full_text", pattern, 1)), lambda v: v > least).cast("string")
 
 
 def payslip_fields() -> dict[str, Column]:
