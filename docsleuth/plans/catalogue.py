@@ -466,8 +466,8 @@ def streamed_log_days(spark: SparkSession, d: str) -> DataFrame:
 def streamed_scores(spark: SparkSession, d: str) -> DataFrame:
     """The batch rules over a stream of summaries."""
     base = shared_dir(spark)
-    slips = written(V.slips(spark, d), f"{base}/slips")
-    found = flows.score_stream(spark.readStream.schema(slips.schema).parquet(f"{base}/slips"), types=["payslip"])
+    slips = written(V.spread(V.slips(spark, d), "person", "period"), f"{base}/slips")
+    found = flows.score_stream(spark.readStream.schema(slips.schema).parquet(f"{base}/slips"), types=["payslip"], with_signals=False)
     found = found.select("person", F.col("period").cast("string").alias("period"), *longs("risk_score", "truth_score"), "risk_level")
     return flows.run_once(found, spark, f"{base}/sink", f"{base}/checkpoint")
 

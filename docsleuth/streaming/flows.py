@@ -16,9 +16,9 @@ def intake(spark: SparkSession, folder: str, schema: str, **options: str) -> Dat
     return spark.readStream.schema(schema).options(multiLine="true", recursiveFileLookup="true", **options).json(folder)
 
 
-def score_stream(summaries: DataFrame, as_of=None, types: list[str] | None = None) -> DataFrame:
+def score_stream(summaries: DataFrame, as_of=None, types: list[str] | None = None, with_signals: bool = True) -> DataFrame:
     """The batch rules over a stream of summaries; they keep no state."""
-    return rules.assess(summaries, as_of, types=types)
+    return rules.assess(summaries, as_of, types=types, with_signals=with_signals)
 
 
 def classify_stream(documents: DataFrame, name: str = "source_name", text: str = "text") -> DataFrame:
