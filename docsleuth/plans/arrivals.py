@@ -9,7 +9,7 @@ from docsleuth.operators import cases
 from docsleuth.plans import views as V
 from docsleuth.plans.registry import query
 from docsleuth.sources import sync
-from docsleuth.sources.shared import names, placed, remove, shared_dir
+from docsleuth.sources.shared import names, remove, shared_dir
 from docsleuth.streaming import activity, flows, kyc, lifecycle
 
 _FIRST = """v_known AS (SELECT case_key, disposition FROM v_state WHERE right(case_key, 1) <> '7'),
@@ -130,10 +130,8 @@ def synced_files(spark: SparkSession, d: str) -> DataFrame:
     docs = V.table(spark, d, "documents").where("text is not null").select("doc_id", "lang", "text")
     half = docs.where("doc_id % 2 = 0")
     out = None
-    for version, rows in enumerate(({"de": half, "en": half, "es": half}, {"en": docs, "fr": docs})):
-        for lang, own in rows.items():
-            own.where(F.col("lang") == lang).orderBy("doc_id").coalesce(1).select("text").write.text(f"{base}/made/{version}-{lang}")
-            placed(spark, f"{base}/made/{version}-{lang}", f"{base}/source/{lang}.txt")
+    for version, (rows, langs) in enumerate(((half, ["de", "en", "es"]), (docs, ["en", "fr"]))):
+        sync.write_lines(rows.where(F.col("lang").isin(langs)).select(F.concat("lang", F.lit(".txt")).alias("name"), "doc_id", F.col("text").alias("value")), f"{base}/source", "doc_id")
         if version:
             remove(spark, f"{base}/source/es.txt")
         done = sync.sync(spark, f"{base}/source", f"{base}/target", ["txt"])
