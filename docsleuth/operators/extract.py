@@ -44,16 +44,17 @@ def _paired(seg: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), F.size(seg) - 2, F.lit(2)), lambda i: F.struct(F.trim(F.get(seg, i)).alias("label"), F.trim(F.get(seg, i + 1)).alias("value")))
 
 
-def with_named_fields(df: DataFrame, line_list: str = "line_list") -> DataFrame:
+def with_named_fields(df: DataFrame, line_list: str = "line_list", cut: str | None = None) -> DataFrame:
     """X04, X13 within each row: named_fields and value_count from its lines, without a shuffle or a join. A document without pairs has an empty map and no count.
 
-    Pairs are sorted by label and place and cut where the label changes, so the work grows with n log n of a document's pairs.
+    Pairs are sorted by label and place and cut where the label changes, so the work grows with n log n of a document's pairs. cut: a column of the
+    lines' columns, where they are known.
     """
     pair = lambda p: F.struct(X.normalize_label(p["label"]).alias("label"), p["value"].alias("value"))
-    segs = F.filter(F.transform(line_list, _columns), lambda s: F.size(s) >= 2)
+    segs = F.filter(F.col(cut) if cut else F.transform(line_list, _columns), lambda s: F.size(s) >= 2)
     # a column for each step: the next one refers to it more than once, so that it is computed once
     out = df.withColumn("__pairs", F.flatten(F.transform(segs, lambda s: F.transform(_paired(s), pair))))
-    out = out.withColumn("__pairs", F.array_sort(F.transform("__pairs", lambda p, i: F.struct(p["label"].alias("label"), i.alias("at"), p["value"].alias("value")))))
+    out = out.withColumn("__pairs", F.sort_array(F.transform("__pairs", lambda p, i: F.struct(p["label"].alias("label"), i.alias("at"), p["value"].alias("value")))))
     first = F.filter(F.transform("__pairs", lambda p, i: F.when(F.coalesce(F.get("__pairs", i - 1)["label"] == p["label"], F.lit(False)), -1).otherwise(i)), lambda i: i >= 0)
     out = out.withColumn("__first", first)
     of = lambda i, n: F.slice("__pairs", i + 1, F.coalesce(F.get("__first", n + 1), F.size("__pairs")) - i)
@@ -170,7 +171,7 @@ def employment_fields() -> dict[str, Column]:
     }
 
 
-def bank_fields() -> dict[str, Column]:
+def bank_fields(ends: Column | None = None) -> dict[str, Column]:
     """A statement's head, and the totals and ends of its ledger (the column transactions)."""
     head = F.filter("line_list", lambda x: (F.length(x) < 70) & F.upper(x).rlike(r"\bBANK\b"))
     balance = lambda labels: F.coalesce(*[X.parse_amount(F.get(F.col("named_fields")[x], 0)) for x in labels]).cast("string")
@@ -182,20 +183,26 @@ def bank_fields() -> dict[str, Column]:
         "account_number": _find(fixed.MASKED_ACCOUNT),
         "opening_balance": balance(fixed.OPENING_LABELS),
         "closing_balance": balance(fixed.CLOSING_LABELS),
-        **ledger_fields(F.col("transactions")),
+        **ledger_fields(F.col("transactions"), ends),
     }
 
 
-def ledger_fields(t: Column) -> dict[str, Column]:
-    """Totals, and first and last day as written; rows whose date can't be read come first. None of an empty ledger."""
+def ledger_ends(t: Column) -> Column:
+    """First and last day as written; rows whose date can't be read come first. Each date is read once."""
     dated = F.transform(t, lambda x, i: F.struct(F.coalesce(X.bank_date(x["date"]), F.lit("0001-01-01").cast("date")).alias("d"), i.alias("i"), x["date"].alias("date")))
+    return F.get(F.transform(F.array(dated), lambda x: F.struct(F.array_min(x)["date"].alias("first"), F.array_max(x)["date"].alias("last"))), 0)
+
+
+def ledger_fields(t: Column, ends: Column | None = None) -> dict[str, Column]:
+    """Totals and ends (ledger_ends(), or a column of it). None of an empty ledger."""
+    ends = ledger_ends(t) if ends is None else ends
     total = lambda side: F.aggregate(t, F.lit(0).cast("bigint"), lambda a, x: a + x[side])
     some = F.size(t) > 0
     return {
         "credit_total": F.when(some, total("credit").cast("string")),
         "debit_total": F.when(some, total("debit").cast("string")),
-        "earliest_txn_date": F.array_min(dated)["date"],
-        "latest_txn_date": F.array_max(dated)["date"],
+        "earliest_txn_date": ends["first"],
+        "latest_txn_date": ends["last"],
     }
 
 
@@ -211,16 +218,22 @@ def gift_fields() -> dict[str, Column]:
 
 def transactions(line_list: Column) -> Column:
     """Ledger rows among a statement's lines."""
-    cut = F.transform(line_list, lambda x: F.filter(F.split(x, r"\s{2,}"), lambda s: F.trim(s) != ""))
-    rows = F.filter(cut, lambda s: (F.size(s) >= 5) & F.get(s, 0).rlike(r"^\d{2}-\d{2}-\d{4}$") & (X.parse_amount(F.element_at(s, -1)) >= 1000) & X.parse_amount(F.element_at(s, -2)).isNotNull())
+    return _ledger_rows(F.transform(line_list, _columns))
+
+
+def _ledger_rows(cut: Column) -> Column:
+    """The same from the lines' columns. Each step is an array of its own, so that an amount, a text and a side are read once a row."""
+    dated = F.filter(cut, lambda s: (F.size(s) >= 5) & F.get(s, 0).rlike(r"^\d{2}-\d{2}-\d{4}$"))
+    read = F.transform(dated, lambda s: F.struct(s.alias("s"), X.parse_amount(F.element_at(s, -2)).alias("amount"), X.parse_amount(F.element_at(s, -1)).alias("balance"), F.array_join(F.slice(s, 2, F.size(s) - 4), " ").alias("desc")))
+    kept = F.filter(read, lambda r: (r["balance"] >= 1000) & r["amount"].isNotNull())
+    sided = F.transform(kept, lambda r: F.struct(r.alias("r"), F.lower(r["desc"]).rlike("|".join(fixed.CREDIT_WORDS)).alias("credit")))
     zero = F.lit(0).cast("bigint")
 
-    def row(s: Column) -> Column:
-        desc = F.array_join(F.slice(s, 2, F.size(s) - 4), " ")
-        amount, credit = X.parse_amount(F.element_at(s, -2)), F.lower(desc).rlike("|".join(fixed.CREDIT_WORDS))
-        return F.struct(F.get(s, 0).alias("date"), desc.alias("desc"), F.element_at(s, -3).alias("ref"), F.when(credit, zero).otherwise(amount).alias("debit"), F.when(credit, amount).otherwise(zero).alias("credit"), X.parse_amount(F.element_at(s, -1)).alias("balance"))
+    def row(x: Column) -> Column:
+        r = x["r"]
+        return F.struct(F.get(r["s"], 0).alias("date"), r["desc"].alias("desc"), F.element_at(r["s"], -3).alias("ref"), F.when(x["credit"], zero).otherwise(r["amount"]).alias("debit"), F.when(x["credit"], r["amount"]).otherwise(zero).alias("credit"), r["balance"].alias("balance"))
 
-    return F.transform(rows, row).cast(ledger.TRANSACTIONS)
+    return F.transform(sided, row).cast(ledger.TRANSACTIONS)
 
 
 def rederived_sides(t: Column) -> Column:
@@ -241,21 +254,22 @@ def summaries(df: DataFrame, id_col: str = "doc_id", name_col: str = "source_nam
     base = df.select(F.col(id_col).alias("doc_id"), F.col(name_col).alias("source_name"), F.col(pages).alias("pages"))
     full = F.array_join(F.transform("pages", lambda p: F.coalesce(p["text"], F.lit(""))), "\n")
     listed = F.flatten(F.transform("pages", lambda p: F.filter(F.transform(F.split(F.coalesce(p["text"], F.lit("")), r"\R"), lambda x: F.trim(x)), lambda x: x != "")))
-    base = base.select("doc_id", "source_name", full.alias("full_text"), listed.alias("line_list"), F.size("pages").alias("page_count"))
+    # lines are cut into their columns once, for pairs and ledger rows
+    base = base.select("doc_id", "source_name", full.alias("full_text"), listed.alias("line_list"), F.size("pages").alias("page_count")).withColumn("__cut", F.transform("line_list", _columns))
     kind = classify(F.col("source_name"), F.col("full_text"), taxonomy)
-    out = with_named_fields(base).withColumn("c", kind)
+    out = with_named_fields(base, cut="__cut").withColumn("c", kind)
     out = out.withColumns({"doc_type": F.col("c.type"), "type_confidence": F.col("c.confidence"), "classification_scores": F.col("c.scores"), "matched_markers": F.col("c.markers"), "text_length": F.col("c.text_length"), "text_preview": F.col("c.preview")}).drop("c")
-    routed = [("payslip", payslip_fields()), ("employment_letter", employment_fields()), ("bank_statement", bank_fields()), ("gift_letter", gift_fields())]
+    routed = [("payslip", payslip_fields()), ("employment_letter", employment_fields()), ("bank_statement", bank_fields(F.col("__ends"))), ("gift_letter", gift_fields())]
     as_map = lambda fs: F.map_filter(F.create_map(*[x for k, v in fs.items() for x in (F.lit(k), v)]), lambda _, v: v.isNotNull())
     scalar = F.map_filter(F.transform_values("named_fields", lambda _, v: F.when(F.size(v) == 1, F.get(v, 0))), lambda _, v: v.isNotNull())
     key_fields = None
     for name, fs in routed:
         key_fields = F.when(F.col("doc_type") == name, as_map(fs)) if key_fields is None else key_fields.when(F.col("doc_type") == name, as_map(fs))
-    rows = transactions(F.col("line_list"))
-    out = out.withColumn("transactions", F.when(F.col("doc_type") == "bank_statement", rows).otherwise(F.array().cast(ledger.TRANSACTIONS)))
+    rows = _ledger_rows(F.col("__cut"))
+    out = out.withColumn("transactions", F.when(F.col("doc_type") == "bank_statement", rows).otherwise(F.array().cast(ledger.TRANSACTIONS))).drop("__cut")
     if not parity:
         out = out.withColumn("transactions", rederived_sides(F.col("transactions")))
-    out = out.withColumn("key_fields", key_fields.otherwise(scalar))
+    out = out.withColumn("__ends", F.when(F.col("doc_type") == "bank_statement", ledger_ends(F.col("transactions")))).withColumn("key_fields", key_fields.otherwise(scalar)).drop("__ends")
     if not parity:
         extra = F.map_filter(F.create_map(F.lit("pf"), F.col("key_fields")["epf_contribution"], F.lit("ifsc_code"), F.col("key_fields")["ifsc"], F.lit("total_credits"), F.col("key_fields")["credit_total"], F.lit("total_debits"), F.col("key_fields")["debit_total"]), lambda _, v: v.isNotNull())
         only_new = F.map_filter(extra, lambda k, _: ~F.map_contains_key("key_fields", k))

@@ -137,13 +137,19 @@ def round_trip_array(t: Column, minimum: int = MIN_AMOUNT) -> Column:
 
 
 def repeated_reference_array(t: Column) -> Column:
-    refs = F.filter(F.transform(t, lambda x: F.trim(x["ref"])), lambda r: r != "")
-    return F.filter(refs, lambda r, i: (i > 0) & F.array_contains(F.slice(refs, 1, F.greatest(i, F.lit(1))), r) & (F.array_position(refs, r) <= i))
+    return _again(F.filter(F.transform(t, lambda x: F.trim(x["ref"])), lambda r: r != ""))
 
 
 def repeated_salary_array(t: Column) -> Column:
-    months = F.transform(F.filter(t, lambda x: is_salary(x["desc"])), lambda x: F.date_format(X.bank_date(x["date"]), "yyyy-MM"))
-    return F.filter(months, lambda m, i: (i > 0) & (F.array_position(months, m) <= i))
+    return _again(F.transform(F.filter(t, lambda x: is_salary(x["desc"])), lambda x: F.date_format(X.bank_date(x["date"]), "yyyy-MM")))
+
+
+def _again(values: Column) -> Column:
+    """Every use of a value but the first, in order; nulls are none. Values are sorted by value and place, so the work grows with n log n."""
+    placed = F.sort_array(F.transform(values, lambda v, i: F.struct(v.alias("v"), i.alias("i"))))
+    # an array of one element binds what the lambda looks back at, which would else be evaluated for each value
+    again = F.get(F.transform(F.array(placed), lambda s: F.filter(s, lambda x, j: F.get(s, j - 1)["v"] == x["v"])), 0)
+    return F.transform(F.sort_array(F.transform(again, lambda x: F.struct(x["i"].alias("i"), x["v"].alias("v")))), lambda x: x["v"])
 
 
 def first_balance_error_array(t: Column) -> Column:

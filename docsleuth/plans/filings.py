@@ -31,12 +31,12 @@ def pick(*cases: object, by: str = "k") -> Column:
     return out
 
 
-def filing(df: DataFrame, doc_type: str, **fields: Column) -> DataFrame:
-    """doc_id, doc_type, key_fields and the other columns that rules ask for; null fields are left out."""
+def filing(df: DataFrame, doc_type: str, rows: Column | None = None, **fields: Column) -> DataFrame:
+    """doc_id, doc_type, key_fields and the other columns that rules ask for; null fields are left out. rows: a statement's ledger."""
     pairs = [x for n, v in fields.items() for x in (F.lit(n), v.cast("string"))]
     known = F.map_filter(F.create_map(*pairs), lambda _, v: v.isNotNull())
     none = F.array().cast("array<string>")
-    return V.spread(df, "k").select(F.col("k").alias("doc_id"), F.lit(doc_type).alias("doc_type"), known.alias("key_fields"), F.create_map().cast("map<string,string>").alias("metadata"), none.alias("signature_markers"), none.alias("dates"), F.array().cast(ledger.TRANSACTIONS).alias("transactions"))
+    return V.spread(df, "k").select(F.col("k").alias("doc_id"), F.lit(doc_type).alias("doc_type"), known.alias("key_fields"), F.create_map().cast("map<string,string>").alias("metadata"), none.alias("signature_markers"), none.alias("dates"), (F.array() if rows is None else rows).cast(ledger.TRANSACTIONS).alias("transactions"))
 
 
 def signals(df: DataFrame, found: Column) -> DataFrame:
@@ -245,12 +245,13 @@ def payroll_signals(spark: SparkSession, d: str) -> DataFrame:
     return one.select("doc_id", "period", "s.name", "s.severity", F.col("s.score").cast("bigint").alias("score"), "s.passed")
 
 
-def heads(df: DataFrame) -> DataFrame:
+def heads(df: DataFrame, rows: Column | None = None) -> DataFrame:
     """Header fields of statements (k, debits, credits, first, last) that agree with their ledgers or not."""
     close = 10_000_000 + F.col("credits") - F.col("debits")
     return filing(
         df,
         "bank_statement",
+        rows,
         opening_balance=F.lit(10_000_000),
         total_credits=F.col("credits"),
         total_debits=F.col("debits"),
@@ -271,10 +272,8 @@ def statements(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("account")
     row = F.struct("txn_date", "txn_no", F.date_format("txn_date", "dd-MM-yyyy").alias("date"), F.when(F.col("desc") == "signup", "Salary credit").otherwise(F.col("desc")).alias("desc"), "ref", (F.col("debit") * 10).alias("debit"), (F.col("credit") * 10).alias("credit"), (F.col("balance") * 10).alias("balance"))
     t = V.balances(spark, d).groupBy("account").agg(F.array_sort(F.collect_list(row)).alias("t"), F.sum(F.col("debit") * 10).alias("debits"), F.sum(F.col("credit") * 10).alias("credits"), F.min("txn_date").alias("first"), F.max("txn_date").alias("last"))
-    df = t.withColumn("k", k)
-    out = heads(df)
     rows = F.transform("t", lambda x: F.struct(*[x[c].alias(c) for c in ("date", "desc", "ref", "debit", "credit", "balance")]))
-    return out.drop("transactions").join(df.select(F.col("k").alias("doc_id"), rows.cast(ledger.TRANSACTIONS).alias("transactions")), "doc_id")
+    return heads(t.withColumn("k", k), rows)
 
 
 def statement_rows(spark: SparkSession, d: str) -> DataFrame:
