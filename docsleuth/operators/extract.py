@@ -18,7 +18,8 @@ from docsleuth.operators import ledger
 def pages_of_text(df: DataFrame, text: str = "text") -> DataFrame:
     """Pages at form feeds or four line breaks; blank ones go, one always stays."""
     found = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), "\f|\n{4,}"), lambda p: F.trim(p) != "")
-    found = F.when(F.size(found) > 0, found).otherwise(F.array(F.lit("")))
+    # as an element of an array, so that the text is split once
+    found = F.get(F.transform(F.array(found), lambda x: F.when(F.size(x) > 0, x).otherwise(F.array(F.lit("")))), 0)
     return df.withColumn("pages", F.transform(found, lambda p, i: F.struct((i + 1).alias("page"), p.alias("text"))))
 
 
@@ -105,6 +106,27 @@ def classify(name: Column, text: Column, taxonomy: list[tuple[str, list[str]]] =
     return once(once(once(F.concat(name, F.lit("\n"), F.lower(text)), marked), scored), summed)
 
 
+def with_type(df: DataFrame, name_col: str, text_col: str, taxonomy: list[tuple[str, list[str]]] = fixed.DOC_TYPES) -> DataFrame:
+    """df with doc_type and type_confidence as classify() gives them, from plain columns of scores, so that Spark compiles the search for markers."""
+    name, text = F.lower(F.coalesce(name_col, F.lit(""))), F.lower(F.coalesce(text_col, F.lit("")))
+    out = df.withColumns({"__name": name, "__low": F.concat(name, F.lit("\n"), text)})
+    one = lambda found, points: found.cast("int") * points
+
+    def score(kind: str, words: list[str]) -> Column:
+        total = one(F.contains("__name", F.lit(kind)), 2) if kind != "generic" else F.lit(0)
+        for w in words:
+            total = total + one(F.contains("__low", F.lit(w)), 1)
+        return total
+
+    scores = F.array(*[score(*x) for x in taxonomy]).cast("array<int>")
+    out = out.withColumn("__scores", scores).drop("__name", "__low").withColumn("__best", F.array_max("__scores"))
+    kinds = F.array(*[F.lit(kind) for kind, _ in taxonomy]).cast("array<string>")
+    first = F.get(kinds, (F.array_position("__scores", F.col("__best")) - 1).cast("int"))
+    out = out.withColumn("doc_type", F.when(F.col("__best") > 0, first).otherwise(F.lit("generic")))
+    sure = F.least(F.lit(0.98), F.round(0.4 + 0.12 * F.col("__best"), 2))
+    return out.withColumn("type_confidence", F.when(F.col("doc_type") != "generic", sure).otherwise(0.2)).drop("__scores", "__best")
+
+
 _DATE = r"\b\d{1,2}[/-]\d{1,2}[/-]\d{2,4}\b"
 
 
@@ -253,12 +275,13 @@ def summaries(df: DataFrame, id_col: str = "doc_id", name_col: str = "source_nam
     """One row per document, with the columns that rules.assess() asks for. parity=False also maps labels that rules know by other names and re-derives ledger sides."""
     base = df.select(F.col(id_col).alias("doc_id"), F.col(name_col).alias("source_name"), F.col(pages).alias("pages"))
     full = F.array_join(F.transform("pages", lambda p: F.coalesce(p["text"], F.lit(""))), "\n")
-    listed = F.flatten(F.transform("pages", lambda p: F.filter(F.transform(F.split(F.coalesce(p["text"], F.lit("")), r"\R"), lambda x: F.trim(x)), lambda x: x != "")))
+    # blank lines go, so a pair of breaks may count as two, which takes a plain class of characters
+    listed = F.flatten(F.transform("pages", lambda p: F.filter(F.transform(F.split(F.coalesce(p["text"], F.lit("")), r"[\n\x0B\f\r\x85\u2028\u2029]"), lambda x: F.trim(x)), lambda x: x != "")))
     # lines are cut into their columns once, for pairs and ledger rows
     base = base.select("doc_id", "source_name", full.alias("full_text"), listed.alias("line_list"), F.size("pages").alias("page_count")).withColumn("__cut", F.transform("line_list", _columns))
     kind = classify(F.col("source_name"), F.col("full_text"), taxonomy)
-    out = with_named_fields(base, cut="__cut").withColumn("c", kind)
-    out = out.withColumns({"doc_type": F.col("c.type"), "type_confidence": F.col("c.confidence"), "classification_scores": F.col("c.scores"), "matched_markers": F.col("c.markers"), "text_length": F.col("c.text_length"), "text_preview": F.col("c.preview")}).drop("c")
+    out = with_type(with_named_fields(base, cut="__cut"), "source_name", "full_text", taxonomy).withColumn("c", kind)
+    out = out.withColumns({"classification_scores": F.col("c.scores"), "matched_markers": F.col("c.markers"), "text_length": F.length("full_text"), "text_preview": F.left(F.translate("full_text", "\n", " "), F.lit(300))}).drop("c")
     routed = [("payslip", payslip_fields()), ("employment_letter", employment_fields()), ("bank_statement", bank_fields(F.col("__ends"))), ("gift_letter", gift_fields())]
     as_map = lambda fs: F.map_filter(F.create_map(*[x for k, v in fs.items() for x in (F.lit(k), v)]), lambda _, v: v.isNotNull())
     scalar = F.map_filter(F.transform_values("named_fields", lambda _, v: F.when(F.size(v) == 1, F.get(v, 0))), lambda _, v: v.isNotNull())

@@ -452,6 +452,17 @@ def assess(df: DataFrame, as_of: Column | None = None, with_image: bool = False,
     return scored(without_fields(with_fields(df).withColumn("signals", F.concat(*parts))))
 
 
+def assess_failures(df: DataFrame, as_of: Column | None = None, types: list[str] | None = None) -> DataFrame:
+    """The scores of assess(), and the column failures in place of signals: names, severities and scores of the failed rules, without messages or details."""
+    core_failures = built_once("core failures", lambda: failures(core()))
+    total = built_once("core points", lambda: points(core())) + domain_points(as_of, types)
+    # columns of their own, so that rules are compiled: below a lambda Spark would interpret them
+    made = {"__core": core_failures, "__domain": domain_failures(as_of, types), "risk_score": total}
+    out = with_fields(df).withColumns(made)
+    named = F.transform("__domain", lambda s: s.withField("name", F.concat(F.lit("domain::"), s["name"])))
+    return _banded(without_fields(out.withColumn("failures", F.array_compact(F.concat("__core", named))).drop("__core", "__domain")))
+
+
 def scored(df: DataFrame) -> DataFrame:
     """Scores add up; the bands are 25 and 60."""
     return _banded(df.withColumn("risk_score", F.aggregate("signals", F.lit(0), lambda a, s: a + s["score"])))
